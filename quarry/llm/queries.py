@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.mixing import mix_sources
+from quarry.llm.url_filter import filter_urls, rule_table
+from quarry.llm.winnowing import edit_likeness
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,5 +51,39 @@ SELECT doc_id, size, source_size, target,
        (epochs * size + greatest(0, least(size, floor(target) - epochs * source_size - earlier)))::BIGINT AS taken
 FROM ordered"""
 
-QUERIES = {"op1_mix_sources": op1_mix_sources}
-SQL = {"op1_mix_sources": OP1_SQL}
+#: Host, path and verdict of the url rules.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ``pages`` url judged by the rules above; without one, allowed."""
+    return filter_urls(_table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
+
+
+OP4_SQL = r"""
+WITH cut AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+         row_number() OVER () AS rn
+  FROM pages),
+rules(rhost, rpath, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+best AS (
+  SELECT rn, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+  FROM cut JOIN rules ON ('.' || host) LIKE ('%.' || rhost) AND starts_with(path, rpath)
+  GROUP BY rn)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM cut LEFT JOIN best USING (rn)"""
+
+
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowed fingerprints of every document and its edited text."""
+    return edit_likeness(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op4_url_filter": op4_url_filter,
+    "op9_winnowing": op9_winnowing,
+}
+SQL = {"op1_mix_sources": OP1_SQL, "op4_url_filter": OP4_SQL}
