@@ -9,7 +9,7 @@ from quarry.llm.common import materialize, parts_for
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of one sorted sweep.
-SWEEP_ROWS = 100_000
+SWEEP_ROWS = 1_000
 
 
 def host_of(url: Column) -> Column:
