@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.mixing import mix_sources
+from quarry.llm.simhash import simhash_components
 from quarry.llm.url_filter import filter_urls, rule_table
 from quarry.llm.winnowing import edit_likeness
 
@@ -76,6 +77,11 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM cut LEFT JOIN best USING (rn)"""
 
 
+def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components of ``documents``: 3-word shingles, links at 2 bits or fewer."""
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowed fingerprints of every document and its edited text."""
     return edit_likeness(_table(spark, sf_dir, "documents"))
@@ -84,6 +90,7 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op4_url_filter": op4_url_filter,
+    "op6_simhash_trie": op6_simhash_trie,
     "op9_winnowing": op9_winnowing,
 }
 SQL = {"op1_mix_sources": OP1_SQL, "op4_url_filter": OP4_SQL}
