@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm import toxicity
+from quarry.llm.decontaminate import find_leaks
 from quarry.llm.mixing import mix_sources
 from quarry.llm.simhash import simhash_components
 from quarry.llm.url_filter import filter_urls, rule_table
@@ -52,6 +54,17 @@ SELECT doc_id, size, source_size, target,
        (epochs * size + greatest(0, least(size, floor(target) - epochs * source_size - earlier)))::BIGINT AS taken
 FROM ordered"""
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ``documents`` text scored by a model of the labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``benchmark`` items that ``documents`` leak, as pairs."""
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 #: Host, path and verdict of the url rules.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -89,7 +102,9 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
+    "op5_decontamination": op5_decontamination,
     "op6_simhash_trie": op6_simhash_trie,
     "op9_winnowing": op9_winnowing,
 }
