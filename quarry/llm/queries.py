@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm import toxicity
 from quarry.llm.decontaminate import find_leaks
 from quarry.llm.mixing import mix_sources
+from quarry.llm.secrets import find_secrets, labelled_findings, train_forest
 from quarry.llm.simhash import simhash_components
 from quarry.llm.url_filter import filter_urls, rule_table
 from quarry.llm.winnowing import edit_likeness
@@ -100,6 +101,11 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(_table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of secrets in ``documents``, judged by a forest of made findings."""
+    return find_secrets(_table(spark, sf_dir, "documents"), train_forest(labelled_findings(spark)))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_toxicity": op3_toxicity,
@@ -107,5 +113,6 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_simhash_trie": op6_simhash_trie,
     "op9_winnowing": op9_winnowing,
+    "op10_secret_scan": op10_secret_scan,
 }
 SQL = {"op1_mix_sources": OP1_SQL, "op4_url_filter": OP4_SQL}
