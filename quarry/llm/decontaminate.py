@@ -35,12 +35,13 @@ class Tokens:
     """Tokens of a text as hashes: ``raw`` ids and ``shape`` ids with placeholders."""
 
     def __init__(self) -> None:
-        self.memo: dict[str, tuple[int, int]] = {}
+        self.memo: dict[str, int] = {}
 
-    def _look(self, t: str) -> tuple[int, int]:
+    def _look(self, t: str) -> int:
+        """Hash of a token with its kind in the four low bits."""
         low = t.lower()
         kind = _PUNCT if t in ".!?\n" else _NUM if t[0].isdigit() else _CAP * (t[0] != low[0] and len(t) > 1) | _UNIT * (low in UNITS)
-        got = self.memo[t] = (xxhash.xxh64_intdigest(low), kind)
+        got = self.memo[t] = xxhash.xxh64_intdigest(low) >> 4 << 4 | kind
         return got
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,9 +49,8 @@ class Tokens:
         if len(self.memo) > 300_000:
             self.memo.clear()
         memo, look = self.memo, self._look
-        found = [memo.get(t) or look(t) for t in _TOKEN.findall(text or "")]
-        raw = np.array([x for x, _ in found], np.uint64)
-        kind = np.array([k for _, k in found], np.uint8)
+        found = np.array([memo.get(t) or look(t) for t in _TOKEN.findall(text or "")], np.uint64)
+        raw, kind = found & ~np.uint64(15), (found & np.uint64(15)).astype(np.uint8)
         opens = np.concatenate(([True], (kind[:-1] & _PUNCT) > 0)) if len(kind) else np.empty(0, bool)
         word = (kind & _PUNCT) == 0
         raw, kind, opens = raw[word], kind[word], opens[word]
@@ -103,22 +103,25 @@ class Index:
                 entries[size] += [(int(k), at, p) for p, k in enumerate(keys) if k]
         for size, found in entries.items():
             found = sorted(set(found))
-            out.by_size[size] = (np.array([f[0] for f in found], np.uint64), np.array([f[1:] for f in found], np.int64))
+            hashes = np.array([f[0] for f in found], np.uint64)
+            marks = np.zeros(1 << 20, bool)  # which leading 20 bits occur at all
+            marks[(hashes >> np.uint64(44)).astype(np.intp)] = True
+            out.by_size[size] = (hashes, np.array([f[1:] for f in found], np.int64), marks)
         return out
 
     def search(self, text: str | None, tokens: Tokens) -> list[tuple]:
         """(item, share, run, changed) of the items that a text leaks."""
         raw, shape, slot = tokens(text)
         hits: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for size, (hashes, places) in self.by_size.items():
+        for size, (hashes, places, marks) in self.by_size.items():
             if size > len(raw) or (size < SHORT and size != len(raw)):
                 continue
             for keys in _keyed(raw, shape, slot, size):
-                lo = np.searchsorted(hashes, keys)
-                for p in np.flatnonzero(hashes[np.minimum(lo, len(hashes) - 1)] == keys):
+                maybe = np.flatnonzero(marks[(keys >> np.uint64(44)).astype(np.intp)])
+                for p in maybe[np.isin(keys[maybe], hashes)] if len(maybe) else maybe:
                     if not keys[p]:
                         continue
-                    for at, q in places[lo[p] : np.searchsorted(hashes, keys[p], "right")]:
+                    for at, q in places[np.searchsorted(hashes, keys[p]) : np.searchsorted(hashes, keys[p], "right")]:
                         hits[int(at), int(p - q)].update(range(q, q + size))
         found: dict[int, tuple[set[int], int, int]] = {}
         for (at, shift), covered in hits.items():
