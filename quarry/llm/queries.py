@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import toxicity
 from quarry.llm.decontaminate import find_leaks
+from quarry.llm.html_extract import extract_pages
+from quarry.llm.licenses import scan_licenses
 from quarry.llm.mixing import mix_sources
 from quarry.llm.secrets import find_secrets, labelled_findings, train_forest
 from quarry.llm.simhash import simhash_components
@@ -55,6 +57,11 @@ SELECT doc_id, size, source_size, target,
        (epochs * size + greatest(0, least(size, floor(target) - epochs * source_size - earlier)))::BIGINT AS taken
 FROM ordered"""
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every ``pages`` row."""
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ``documents`` text scored by a model of the labels that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -96,6 +103,11 @@ def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every ``documents`` text."""
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowed fingerprints of every document and its edited text."""
     return edit_likeness(_table(spark, sf_dir, "documents"))
@@ -108,10 +120,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_html_extract": op2_html_extract,
     "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
     "op5_decontamination": op5_decontamination,
     "op6_simhash_trie": op6_simhash_trie,
+    "op7_license_scan": op7_license_scan,
     "op9_winnowing": op9_winnowing,
     "op10_secret_scan": op10_secret_scan,
 }
