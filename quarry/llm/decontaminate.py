@@ -118,10 +118,11 @@ class Index:
                 continue
             for keys in _keyed(raw, shape, slot, size):
                 maybe = np.flatnonzero(marks[(keys >> np.uint64(44)).astype(np.intp)])
-                for p in maybe[np.isin(keys[maybe], hashes)] if len(maybe) else maybe:
-                    if not keys[p]:
-                        continue
-                    for at, q in places[np.searchsorted(hashes, keys[p]) : np.searchsorted(hashes, keys[p], "right")]:
+                maybe = maybe[keys[maybe] != 0]
+                lo = np.minimum(np.searchsorted(hashes, keys[maybe]), len(hashes) - 1)
+                same = hashes[lo] == keys[maybe]
+                for p, first in zip(maybe[same], lo[same], strict=True):
+                    for at, q in places[first : np.searchsorted(hashes, keys[p], "right")]:
                         hits[int(at), int(p - q)].update(range(q, q + size))
         found: dict[int, tuple[set[int], int, int]] = {}
         for (at, shift), covered in hits.items():
