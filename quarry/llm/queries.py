@@ -11,6 +11,7 @@ from quarry.llm.licenses import scan_licenses
 from quarry.llm.mixing import mix_sources
 from quarry.llm.secrets import find_secrets, labelled_findings, train_forest
 from quarry.llm.simhash import simhash_components
+from quarry.llm.suffix_dedup import remove_repeats
 from quarry.llm.url_filter import filter_urls, rule_table
 from quarry.llm.winnowing import edit_likeness
 
@@ -108,6 +109,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ``documents`` text without strings of 400 bytes that occur again."""
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowed fingerprints of every document and its edited text."""
     return edit_likeness(_table(spark, sf_dir, "documents"))
@@ -126,6 +132,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_simhash_trie": op6_simhash_trie,
     "op7_license_scan": op7_license_scan,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_winnowing": op9_winnowing,
     "op10_secret_scan": op10_secret_scan,
 }
