@@ -41,6 +41,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows from now on, unless they are smaller already.
+
+    Workers hold a batch of whole texts and what is made of it, so this bounds
+    their memory; it changes no result.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def parts_for(rows: int, each: int) -> int:
     """How many partitions of about ``each`` rows hold ``rows``; 1 at least."""
     return max(1, -(-rows // each))

@@ -17,13 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import bound_batches, materialize
 
 LENGTH, K = 400, 32
 #: Batches that a whole table is taken in; levels of equal size are merged as they come.
 BATCHES = 2
 #: Contexts of one anchor string beyond which its windows are counted one by one in the plan.
-HOT_CONTEXTS = 20_000
+HOT_CONTEXTS = 4_000
 #: Keys (16 bytes each) that may be broadcast to thin out texts before their shuffle.
 BROADCAST_KEYS = 1_000_000
 _RNG = np.random.default_rng(20240607)
@@ -301,6 +301,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own. An empty table gives no rows; ids may be null or repeat; other columns
     are ignored.
     """
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).withColumns({"k1": F.xxhash64("_text"), "k2": F.xxhash64(F.lit(1), "_text")})
     rows = materialize(keyed.select("_id", "k1", "k2", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2(F.col("_text").cast("binary"), 256).alias("_sha")), "rows")
