@@ -143,6 +143,28 @@ class Index:
         return out
 
 
+def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_items: int):
+    """Broadcast indexes of at most ``block_items`` items or so each."""
+    items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
+    blocks = max(1, -(-items.count() // block_items))
+    for k in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items
+        yield benchmark.sparkSession.sparkContext.broadcast(Index.build(sorted(map(tuple, part.collect()), key=repr)))
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """``docs`` without the rows that leak an item, as ``find_leaks`` defines it; nothing is shuffled."""
+    for shared in _item_blocks(benchmark, item_col, item_text_col, block_items):
+
+        @F.pandas_udf("boolean")
+        def leaks(texts: pd.Series, shared=shared) -> pd.Series:
+            tokens, index = Tokens(), shared.value
+            return pd.Series([bool(index.search(t, tokens)) for t in texts], dtype=bool)
+
+        docs = docs.where(~leaks(F.col(text_col)))
+    return docs
+
+
 def _consistent(own: np.ndarray, other: np.ndarray, slot: np.ndarray) -> bool:
     """A value of the item always became the same value, and two never became one."""
     to: dict[int, int] = {}
@@ -175,13 +197,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     item_kind, kind = benchmark.schema[item_col].dataType, docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("_id", kind), T.StructField("_item", item_kind), T.StructField("share", T.DoubleType()), T.StructField("run", T.LongType()), T.StructField("changed", T.LongType())])
-    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t"))
-    blocks = max(1, -(-items.count() // block_items))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     out = None
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items
-        shared = docs.sparkSession.sparkContext.broadcast(Index.build(sorted(map(tuple, part.collect()), key=repr)))
+    for shared in _item_blocks(benchmark, item_col, item_text_col, block_items):
 
         def run(batches, shared=shared):
             tokens, index = Tokens(), shared.value

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import materialize
+from quarry.llm.common import bound_batches, materialize
 from quarry.llm.components import connected_components
 
 #: Seed of XXH64 over shingles.
@@ -22,6 +22,13 @@ CHUNK = 8192
 LEAF = 64
 #: Rows of one prefix beyond which its part of the trie is dealt out further.
 HOT = 50_000
+#: Equal values that are compared one by one, and neighbours in larger groups.
+ALL, NEXT = 256, 32
+#: Ids that may be broadcast (8 bytes each) to take rows out without a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Near-duplicates: words of a shingle, least similarity, tables of 32 bits, and
+#: how far an estimate may be off before texts are compared.
+WORDS, SIMILAR, TABLES, DOUBT = 5, 0.8, 24, 0.08
 
 
 def shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
@@ -73,19 +80,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, lanes: in
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, schema)
 
 
-def walk(v: np.ndarray, pairs: tuple[np.ndarray, ...], top: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def walk(v: np.ndarray, pairs: tuple[np.ndarray, ...], top: int, budget: int, bottom: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) of all linked values below pairs of trie nodes.
 
     ``v`` holds sorted values; a node is a range of them that agrees above bit
     ``top``. ``pairs`` are the ranges (a_lo, a_hi, b_lo, b_hi) and the bits in
     which they differ so far; equal ranges pair a node with itself. All pairs go
     down together, a bit at a time: children on unlike sides cost one bit of the
-    budget, and pairs beyond it are pruned.
+    budget, and pairs beyond it are pruned. Bits under ``bottom`` are not used.
     """
     a0, a1, b0, b1, used = pairs
-    for bit in range(top, -2, -1):
+    for bit in range(top, bottom - 2, -1):
         live = (a1 > a0) & (b1 > b0) & (used <= budget) & ~((a0 == b0) & (a1 == b1) & (a1 - a0 < 2))
-        small = live & ((a1 - a0) * (b1 - b0) <= LEAF) if bit >= 0 else live
+        small = live & ((a1 - a0) * (b1 - b0) <= LEAF) if bit >= bottom else live
         if small.any():
             yield from _compare(v, a0[small], a1[small], b0[small], b1[small], budget)
         live &= ~small
@@ -111,19 +118,28 @@ def walk(v: np.ndarray, pairs: tuple[np.ndarray, ...], top: int, budget: int) ->
 def _compare(v, a0, a1, b0, b1, budget):
     """Checks pairs of small nodes value by value, a few million at a time.
 
-    Large nodes only come here with all bits spent: equal values against equal
-    values. Each row meets the following one and the other node's first, which
-    links the same rows as all pairs would.
+    Large nodes only come here with all bits spent, as rows of equal values
+    (several texts of one fingerprint). Up to ``ALL`` of them meet one by one;
+    in larger groups each meets the ``NEXT`` following and the first ones of the
+    other node, which connects what all pairs would if they are alike.
     """
     na, nb = a1 - a0, b1 - b0
     big = na * nb > LEAF
     for x0, x1, y0, y1 in zip(a0[big], a1[big], b0[big], b1[big], strict=True):
-        i = np.arange(x0, x1 - 1)
-        yield i, i + 1
-        if (x0, x1) != (y0, y1):
-            j = np.arange(y0, y1 - 1)
-            yield j, j + 1
-            yield np.array([x0]), np.array([y0])
+        m = int(x1 - x0)
+        if (x0, x1) == (y0, y1):
+            for off in range(1, m if m <= ALL else NEXT + 1):
+                i = np.arange(x0, x1 - off)
+                yield i, i + off
+            if m > ALL:
+                for lead in range(x0, x0 + NEXT):
+                    i = np.arange(x0 + NEXT, x1)
+                    yield np.full(len(i), lead), i
+        else:
+            for lead in range(y0, min(y1, y0 + (ALL if m <= ALL else NEXT))):
+                yield np.arange(x0, x1), np.full(m, lead)
+            for lead in range(x0, min(x1, x0 + NEXT)):
+                yield np.full(int(y1 - y0), lead), np.arange(y0, y1)
     a0, na, b0, nb = a0[~big], na[~big], b0[~big], nb[~big]
     for s in range(0, len(a0), 50_000):
         x, y, m, k = a0[s : s + 50_000], b0[s : s + 50_000], na[s : s + 50_000], nb[s : s + 50_000]
@@ -188,7 +204,7 @@ def _join_tasks(width: int, budget: int, near: int | None):
         names, at = np.unique(node, return_inverse=True)
         top, found = 63 - (width // (budget + 1)), []
         held = 0
-        for i, j in walk(v, pairs, top, budget):
+        for i, j in walk(v, pairs, top, budget, 64 - width):
             w = np.bitwise_count(v[i] ^ v[j]).astype(np.int64)
             if near is not None:
                 w = (np.bitwise_count((s1[i] ^ s1[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((s2[i] ^ s2[j]).view(np.uint64)))
@@ -250,7 +266,6 @@ def trie_links(rows: DataFrame, width: int, budget: int, near: int | None = None
     block = F.shiftrightunsigned("_t.v", 64 - each)
     task = F.shiftleft((F.col("_space") * blocks + F.col("_t.r")).cast("long"), 40).bitwiseOR(block)
     wide = wide.select(task.alias("_task"), F.col("_t.v").alias("_v"), "_node", "_s1", "_s2")
-    wide = materialize(wide, "tries")
     counts = wide.groupBy("_task").agg(F.count("*").alias("_c"))
     crowded = materialize(counts.where(F.col("_c") > hot), "hot-prefixes")
     plain = [F.lit(0).alias("_lo"), F.lit(0).alias("_mask"), F.lit(0).alias("_side")]
@@ -291,3 +306,73 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names = known.groupBy("_root").agg(F.min("_first").alias("component_id"))
     named = known.join(names, "_root").select("_fp", "component_id")
     return sigs.join(named, "_fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_duplicate_links(texts: DataFrame, words: int = WORDS, similar: float = SIMILAR, tables: int = TABLES, doubt: float = DOUBT) -> DataFrame:
+    """Edges ``a, b`` that connect alike texts; ``texts``: ``_node`` (XXH64 of the text), ``_text``.
+
+    At a similarity of 0.8 one fingerprint of 64 bits differs in ten bits or so,
+    too many for a trie to prune by. So a text gets ``tables`` fingerprints of 32
+    bits from re-mixed hashes, of which one at least differs by 2 bits or fewer
+    (95 % of pairs at 0.8, 99.9 % at 0.9). Pairs that further 128 bits speak for
+    are kept as each task's minimum spanning forest, so closest texts link
+    first and a large group gives as many edges as it has members. The
+    similarity of an edge is estimated from all bits and the numbers of
+    shingles; where the estimate is within ``doubt`` of the threshold the two
+    texts themselves decide.
+    """
+    lanes = tables // 2 + 2
+    sigs = materialize(signatures(texts, "_node", "_text", words, lanes), "sketches").withColumnRenamed("_id", "_node")
+    distinct = materialize(sigs.groupBy("_node").agg(F.first("_n").alias("_n"), F.first("_sig").alias("_sig")), "distinct")
+    low = F.expr(f"explode(transform(sequence(0, {tables - 1}), i -> named_struct('s', i, 'f', shiftrightunsigned(shiftleft(_sig[cast(i / 2 as int)], 32 * (i % 2)), 32))))")
+    rows = distinct.select("_node", low.alias("_e"), F.col("_sig")[lanes - 2].alias("_s1"), F.col("_sig")[lanes - 1].alias("_s2"))
+    rows = rows.select(F.col("_e.s").alias("_space"), F.col("_e.f").alias("_fp"), "_node", "_s1", "_s2")
+    angle = np.arccos(2 * similar / (1 + similar)) / np.pi
+    near = int(128 * angle + 3 * np.sqrt(128 * angle * (1 - angle)))
+    edges = materialize(trie_links(rows, 32, 2, near).select("a", "b").distinct(), "candidates")
+    side = lambda c: distinct.select(F.col("_node").alias(c), F.col("_n").alias(f"n{c}"), F.col("_sig").alias(f"s{c}"))
+    both = edges.join(side("a"), "a").join(side("b"), "b")
+    apart = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)") / F.lit(64.0 * lanes)
+    shared = F.cos(F.lit(float(np.pi)) * apart) * F.sqrt(F.col("na") * F.col("nb"))
+    estimate = F.when(F.col("na") + F.col("nb") == 0, 1.0).otherwise(shared / (F.col("na") + F.col("nb") - shared))
+    judged = materialize(both.select("a", "b", estimate.alias("e")).where(F.col("e") >= similar - doubt), "estimates")
+    open_ = judged.where(F.col("e") < similar + doubt)
+    nodes = open_.select(F.col("a").alias("_node")).union(open_.select("b")).distinct()
+    few = nodes.count() <= BROADCAST_ROWS
+    wanted = texts.join(F.broadcast(nodes) if few else nodes, "_node", "left_semi").groupBy("_node").agg(F.first("_text").alias("_text"))
+    wanted = materialize(wanted, "doubtful-texts")
+    pairs = open_.join(wanted.select(F.col("_node").alias("a"), F.col("_text").alias("ta")), "a").join(wanted.select(F.col("_node").alias("b"), F.col("_text").alias("tb")), "b")
+
+    def compare(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b["ta"], b["tb"], strict=True):
+                p, q = (np.unique(np.concatenate([*shingle_hashes(t, words), np.empty(0, np.uint64)])) for t in (x, y))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= similar * (len(p) + len(q) - both))
+            yield b.loc[keep, ["a", "b"]]
+
+    sure = judged.where(F.col("e") >= similar + doubt).select("a", "b")
+    return sure.unionByName(pairs.mapInPandas(compare, "a long, b long"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the smallest id.
+
+    Groups are the components of ``near_duplicate_links`` over distinct texts;
+    copies belong to their text. Null and empty texts are copies of each
+    other. Null ids come last, and of rows with equal ids the first stays, so
+    exactly one row of each group does. All columns are kept as they are.
+    """
+    bound_batches(docs.sparkSession)
+    numbered = docs.withColumn("_quarry_row", F.monotonically_increasing_id())
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    roots = connected_components(near_duplicate_links(docs.select(F.xxhash64(text).alias("_node"), text.alias("_text")), words, similar))
+    rows = materialize(numbered.select(F.col("_quarry_row"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_node")), "members")
+    member = rows.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_group", F.coalesce("root", "_node"))
+    first = F.struct(F.col("_id").isNull().alias("x"), "_id", "_quarry_row")
+    kept = materialize(member.groupBy("_group").agg(F.min(first).alias("k")).select("k._quarry_row"), "kept")
+    gone = rows.select("_quarry_row").join(kept, "_quarry_row", "left_anti")
+    gone = materialize(gone, "gone")
+    few = gone.count() <= BROADCAST_ROWS
+    return numbered.join(F.broadcast(gone) if few else gone, "_quarry_row", "left_anti").drop("_quarry_row")
