@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,14 +155,19 @@ def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_items
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
     """``docs`` without the rows that leak an item, as ``find_leaks`` defines it; nothing is shuffled."""
     for shared in _item_blocks(benchmark, item_col, item_text_col, block_items):
+        docs = docs.where(~_leaks(shared, F.col(text_col)))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def leaks(texts: pd.Series, shared=shared) -> pd.Series:
-            tokens, index = Tokens(), shared.value
-            return pd.Series([bool(index.search(t, tokens)) for t in texts], dtype=bool)
 
-        docs = docs.where(~leaks(F.col(text_col)))
-    return docs
+def _leaks(shared, text: Column) -> Column:
+    """Whether a text leaks an item of a broadcast index."""
+
+    @F.pandas_udf("boolean")
+    def leaks(texts: pd.Series) -> pd.Series:
+        tokens, index = Tokens(), shared.value
+        return pd.Series([bool(index.search(t, tokens)) for t in texts], dtype=bool)
+
+    return leaks(text)
 
 
 def _consistent(own: np.ndarray, other: np.ndarray, slot: np.ndarray) -> bool:
