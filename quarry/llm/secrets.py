@@ -75,9 +75,9 @@ def candidates(text: str) -> str:
 
 
 def with_candidates(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with ``_found``: candidates of rows that have any, else null."""
+    """``docs`` with ``_quarry_found``: candidates of rows that have any, else null."""
     has = F.col(text_col).rlike(CANDIDATE)
-    return docs.withColumn("_found", F.when(has, F.expr(candidates(f"`{text_col}`"))))
+    return docs.withColumn("_quarry_found", F.when(has, F.expr(candidates(f"`{text_col}`"))))
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
@@ -125,7 +125,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
 
 def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> list[str]:
     """The forest of (text, label) findings: per tree the SQL that gives its vote on a struct ``f``."""
-    rows = with_candidates(findings, "text").select("label", F.explode("_found").alias("c")).select("label", "c.f.*")
+    rows = with_candidates(findings, "text").select("label", F.explode("_quarry_found").alias("c")).select("label", "c.f.*")
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows).select("x", "label").coalesce(2)
     model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=SEED).fit(data)
     return [_tree_sql(t.toDebugString) for t in model.trees]
@@ -165,8 +165,8 @@ def find_secrets(docs: DataFrame, trees: list[str], id_col: str = "doc_id", text
     rows; equal candidates of a text, and repeated rows, each have their own. An
     empty table gives no rows. Other columns are ignored.
     """
-    rows = with_candidates(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text").where("_found IS NOT NULL")
-    rows = rows.select("_id", F.col("_found").alias("_all"), F.explode("_found").alias("c"))
+    rows = with_candidates(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text").where("_quarry_found IS NOT NULL")
+    rows = rows.select("_id", F.col("_quarry_found").alias("_all"), F.explode("_quarry_found").alias("c"))
     ahead = F.expr("aggregate(slice(_all, 1, c.i + 1), 0, (n, x) -> n + x.gap + length(x.whole))")
     start = ahead - F.length("c.value") + 1
     out = rows.select("_id", start.alias("start"), F.length("c.value").alias("length"), F.col("c.f.named").cast("boolean").alias("named"), F.sha2(F.col("c.value").cast("binary"), 256).alias("secret_sha256"), F.expr(forest_vote(trees, "c.f")).alias("score"))
@@ -179,7 +179,7 @@ def redact_secrets(docs: DataFrame, trees: list[str], text_col: str = "text", th
     All rows and columns stay; null and empty texts stay as they are.
     """
     found = with_candidates(docs, text_col)
-    keep = f"filter(_found, c -> length(c.value) > 0 and {forest_vote(trees, 'c.f')} >= {float(threshold)!r}D)"
+    keep = f"filter(_quarry_found, c -> length(c.value) > 0 and {forest_vote(trees, 'c.f')} >= {float(threshold)!r}D)"
     masked = F.expr(f"aggregate({keep}, `{text_col}`, (t, c) -> replace(t, c.value, {_sql(mask)}))")
-    return found.withColumn(text_col, F.coalesce(masked, F.col(text_col))).drop("_found")
+    return found.withColumn(text_col, F.coalesce(masked, F.col(text_col))).drop("_quarry_found")
 

@@ -360,8 +360,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` with one row of each group of near-duplicates: that of the smallest id.
 
     Groups are the components of ``near_duplicate_links`` over distinct texts;
-    copies belong to their text. Null and empty texts are copies of each
-    other. Null ids come last, and of rows with equal ids the first stays, so
+    copies belong to their text. Texts without words (null, empty, blank) are alike.
+    Null ids come last, and of rows with equal ids the first stays, so
     exactly one row of each group does. All columns are kept as they are.
     """
     bound_batches(docs.sparkSession)
