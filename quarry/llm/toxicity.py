@@ -17,6 +17,10 @@ MAX_TRAIN = 16_000
 BUCKETS, MAX_TERMS = 1 << 20, 2048
 #: Beginnings of words that are terms besides the words: they carry over to inflected forms.
 PREFIXES = (4, 5, 6)
+#: A term is of use if the label is this much likelier with it.
+LIFT = 3
+#: Terms that tell less than this share of the best one are left out: words of a few copies of one text.
+WEAKEST = 0.03
 FACTORS = 8
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
@@ -67,11 +71,15 @@ class FactorizationMachine:
         return score
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, rounds: int = 300, rate: float = 0.05, penalty: float = 0.1) -> FactorizationMachine:
+def fit(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, rounds: int = 400, rate: float = 0.05, penalty: tuple[float, float] = (0.05, 50.0)) -> FactorizationMachine:
     """Full-batch Adam on the logistic loss over sparse rows of term places.
 
     Rows without terms count through the bias alone, so the two kinds of them
-    are kept as numbers. ``penalty`` is that of the whole training set.
+    are kept as numbers. ``penalty`` is that of the weights and of the factors,
+    divided by the number of rows with the term: what many rows share explains
+    a label before words that a few copies of one text have. The first half of the rounds leaves the
+    factors alone: a term that tells by itself gets a weight, and interactions
+    only what is left, else single terms would be explained by pairs.
     """
     rng = np.random.default_rng(7)
     full = np.array([len(r) > 0 for r in rows], bool)
@@ -82,12 +90,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, rounds: int =
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     by_term = np.argsort(at, kind="stable")
     heads = np.searchsorted(at[by_term], np.arange(len(terms)))
+    rarity = 1 / np.maximum(np.bincount(at, minlength=len(terms)), 1)
     p = {"b": np.array(-2.0), "w": np.zeros(len(terms)), "v": rng.normal(0, 0.01, (len(terms), FACTORS))}
     first, second = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
     squash = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, rounds + 1):
         blank = squash(p["b"])
-        grad = {"b": bare[0] * blank + bare[1] * (blank - 1), "w": penalty * p["w"], "v": penalty * p["v"]}
+        grad = {"b": bare[0] * blank + bare[1] * (blank - 1), "w": penalty[0] * rarity * p["w"], "v": penalty[1] * rarity[:, None] * p["v"]}
         if len(rows):
             s = np.add.reduceat(p["v"][at], starts)
             linear = np.add.reduceat((p["w"] - 0.5 * (p["v"] ** 2).sum(axis=1))[at], starts)
@@ -96,6 +105,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, rounds: int =
             cross = np.add.reduceat((e[:, None] * s)[doc][by_term], heads)
             grad = {"b": grad["b"] + e.sum(), "w": grad["w"] + sums, "v": grad["v"] + cross - sums[:, None] * p["v"]}
         for k, g in grad.items():
+            if k == "v" and t <= rounds // 2:
+                continue
             g = g / n
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
@@ -112,8 +123,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits the model on labelled documents that are not held out.
 
     At most ``max_train`` labelled ids are used, those of smallest hash. Terms
-    that mark label 1 are chosen by the likelihood ratio of their presence, more
-    strictly the more terms there are; only their counts and the chosen terms of each
+    with which label 1 is ``LIFT`` times likelier are chosen by the likelihood
+    ratio of their presence, more strictly the more terms there are, so that
+    words of some much repeated line do not count against a text; only their counts and the chosen terms of each
     training document reach the driver. Labels of one id are joined by their
     maximum; null ids and labels are left out. Without training rows or chosen
     terms the score is one constant.
@@ -136,7 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     part = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
     gain = 2 * F.col("df") * (part(own, F.lit(rate)) + part(1 - own, F.lit(1 - rate)))
     total = counts.count()
-    chosen = counts.where((F.col("df") >= 3) & (own > rate) & (gain > 1.3 * float(np.log(max(total, 2))))).orderBy(gain.desc(), "t").limit(MAX_TERMS).collect()
+    useful = counts.where((F.col("df") >= 3) & (own > min(0.5, LIFT * rate))).withColumn("gain", gain)
+    most = useful.agg(F.max("gain")).first()[0] or 0.0
+    chosen = useful.where(F.col("gain") > max(1.3 * float(np.log(max(total, 2))), WEAKEST * most)).orderBy(F.col("gain").desc(), "t").limit(MAX_TERMS).collect()
     picked = np.array(sorted(r["t"] for r in chosen), int)
     kept = F.array_sort(F.array_intersect("_terms", F.array(*[F.lit(int(t)) for t in picked]))) if len(picked) else F.array().cast("array<int>")
     data = found.select("_id", "_y", kept.alias("_terms")).orderBy("_id").collect()
