@@ -11,11 +11,32 @@ STOP_WORDS = ["the", "a", "an", "is", "are", "of", "to", "in", "for", "and", "or
 TOKEN = r"[一-鿿]+|[a-zA-Z_]+|[0-9]+\.?[0-9]*"
 #: Documents that keywords lead to.
 KEYWORD_DOCS = {
-    "01_fault_detection": ["fault", "断层", "fracture", "裂缝"],
-    "02_horizon_tracking": ["horizon", "层位"],
-    "03_facies_analysis": ["facies", "沉积相", "channel", "河道", "reservoir", "储层"],
-    "04_well_log_analysis": ["log", "测井", "well", "lithology", "岩性", "fluid", "流体", "gas", "oil"],
-    "05_seismic_attributes": ["reservoir", "储层", "fracture", "裂缝", "attribute", "属性", "envelope", "sweetness", "seismic"],
+    "fault": ["01_fault_detection"],
+    "断层": ["01_fault_detection"],
+    "horizon": ["02_horizon_tracking"],
+    "层位": ["02_horizon_tracking"],
+    "facies": ["03_facies_analysis"],
+    "沉积相": ["03_facies_analysis"],
+    "channel": ["03_facies_analysis"],
+    "河道": ["03_facies_analysis"],
+    "reservoir": ["03_facies_analysis", "05_seismic_attributes"],
+    "储层": ["03_facies_analysis", "05_seismic_attributes"],
+    "fracture": ["05_seismic_attributes", "01_fault_detection"],
+    "裂缝": ["05_seismic_attributes", "01_fault_detection"],
+    "log": ["04_well_log_analysis"],
+    "测井": ["04_well_log_analysis"],
+    "well": ["04_well_log_analysis"],
+    "lithology": ["04_well_log_analysis"],
+    "岩性": ["04_well_log_analysis"],
+    "fluid": ["04_well_log_analysis"],
+    "流体": ["04_well_log_analysis"],
+    "gas": ["04_well_log_analysis"],
+    "oil": ["04_well_log_analysis"],
+    "attribute": ["05_seismic_attributes"],
+    "属性": ["05_seismic_attributes"],
+    "envelope": ["05_seismic_attributes"],
+    "sweetness": ["05_seismic_attributes"],
+    "seismic": ["05_seismic_attributes"],
 }
 
 
@@ -54,7 +75,7 @@ def top_k(scores: DataFrame, id_col: str, k: int = 3) -> DataFrame:
 
 def keyword_table(spark: SparkSession) -> DataFrame:
     """``keyword, doc_name``: the fixed routes."""
-    rows = [F.struct(F.lit(k).alias("keyword"), F.lit(d).alias("doc_name")) for d, ks in KEYWORD_DOCS.items() for k in ks]
+    rows = [F.struct(F.lit(k).alias("keyword"), F.lit(d).alias("doc_name")) for k, ds in KEYWORD_DOCS.items() for d in ds]
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 

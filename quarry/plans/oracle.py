@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quarry.operators.retrieval import KEYWORD_DOCS
 from quarry.sources.views import with_views
 
 
@@ -82,8 +83,7 @@ TFIDF = (
     ", scores AS (SELECT query_id, doc_id, sum(qtf * tf * idf) AS score FROM tf JOIN q USING (term) JOIN idf USING (term) GROUP BY query_id, doc_id)"
     ", ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)"
 )
-ROUTES = {"01_fault_detection": "fault 断层 fracture 裂缝", "02_horizon_tracking": "horizon 层位", "03_facies_analysis": "facies 沉积相 channel 河道 reservoir 储层", "04_well_log_analysis": "log 测井 well lithology 岩性 fluid 流体 gas oil", "05_seismic_attributes": "reservoir 储层 fracture 裂缝 attribute 属性 envelope sweetness seismic"}
-ROUTED = "kw(keyword, doc_name) AS (VALUES " + ", ".join(f"('{k}', '{d}')" for d, ks in ROUTES.items() for k in ks.split()) + "), parts(query_id, part) AS (VALUES (1, 'Fault zone'), (1, 'reservoir'), (2, 'well LOG'), (3, 'unknown'), (3, '断层与层位')), routed AS (SELECT DISTINCT query_id, doc_name FROM parts JOIN kw ON contains(lower(part), keyword))"
+ROUTED = "kw(keyword, doc_name) AS (VALUES " + ", ".join(f"('{k}', '{d}')" for k, ds in KEYWORD_DOCS.items() for d in ds) + "), parts(query_id, part) AS (VALUES (1, 'Fault zone'), (1, 'reservoir'), (2, 'well LOG'), (3, 'unknown'), (3, '断层与层位')), routed AS (SELECT DISTINCT query_id, doc_name FROM parts JOIN kw ON contains(lower(part), keyword))"
 MATCH = (
     "rejected AS (SELECT * FROM ver), byid AS (SELECT v.*, d.det_id AS d FROM rejected v LEFT JOIN det d ON v.result_id = d.det_id)"
     f", pairs AS (SELECT v.ver_id, d.det_id AS d, {iou('v', 'd')} AS i FROM byid v JOIN det d ON v.image = d.image AND v.class_id = d.class_id WHERE v.d IS NULL)"

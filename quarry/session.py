@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+ROOT = Path(__file__).resolve().parents[1]
+
 
 def session(master: str | None = None, partitions: int | None = None, **more: str) -> SparkSession:
     """A session in UTC with adaptive execution; ``more`` are further settings."""
@@ -18,3 +25,20 @@ def session(master: str | None = None, partitions: int | None = None, **more: st
         conf["spark.sql.shuffle.partitions"] = str(partitions)
     builder = SparkSession.builder.appName("quarry").config(map=conf)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, unless they find it by path.
+
+    Workers inherit the working folder and PYTHONPATH; where neither holds the
+    package, Arrow functions could not be loaded there.
+    """
+    paths = [os.path.abspath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
+    if str(ROOT) in paths or getattr(spark.sparkContext, "_quarry_shipped", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="quarry-")) / "quarry.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in [*ROOT.glob("quarry/**/*.py"), *ROOT.glob("corpus_pipeline.py")]:
+            z.write(p, p.relative_to(ROOT))
+    spark.sparkContext.addPyFile(str(target))
+    spark.sparkContext._quarry_shipped = True
