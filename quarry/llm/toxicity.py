@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,11 @@ MAX_TRAIN = 16_000
 BUCKETS, MAX_TERMS = 1 << 20, 2048
 #: Beginnings of words that are terms besides the words: they carry over to inflected forms.
 PREFIXES = (4, 5, 6)
+#: Further terms stand for so many different words of one beginning: an insult and its forms.
+REPEATS = (2, 3, 4)
+#: Each training row is also seen once with this share of its terms, so that one
+#: term alone is worth a score and not only the company it was seen in.
+KEEP = 0.3
 #: A term is of use if the label is this much likelier with it.
 LIFT = 3
 #: Terms that tell less than this share of the best one are left out: words of a few copies of one text.
@@ -32,6 +38,22 @@ def terms_of(word: str) -> list[int]:
     return [h(f"w{word}") % BUCKETS, *[h(f"p{word[:k]}") % BUCKETS for k in PREFIXES if len(word) >= k]]
 
 
+def repeat_terms(beginning: str) -> list[int]:
+    """Buckets for ``REPEATS`` different words with a beginning."""
+    return [xxhash.xxh32_intdigest(f"{n}{beginning}") % BUCKETS for n in REPEATS]
+
+
+def terms_of_text(text: str | None) -> set[int]:
+    """Buckets of all terms of a whole text."""
+    words = words_of(text)
+    found = {t for w in words for t in terms_of(w)}
+    counts = Counter(w[:k] for w in words for k in PREFIXES if len(w) >= k)
+    for beginning, n in counts.items():
+        if n >= REPEATS[0]:
+            found.update(t for least, t in zip(REPEATS, repeat_terms(beginning), strict=True) if n >= least)
+    return found
+
+
 def words_of(text: str | None) -> set[str]:
     """The distinct words of a whole text, lower-cased; runs of letters."""
     return set(_WORD.findall((text or "").lower()))
@@ -49,18 +71,26 @@ class FactorizationMachine:
     def scorer(self):
         """A function from texts to scores; words seen are remembered, within bounds."""
         place = {int(t): i for i, t in enumerate(self.terms)}
-        memo: dict[str, tuple[int, ...]] = {}
+        memo: dict[str, tuple[tuple[int, ...], tuple[str, ...]]] = {}
+
+        def look(w: str) -> tuple[tuple[int, ...], tuple[str, ...]]:
+            """Places of a word's terms, and those of its beginnings that have terms for repeats."""
+            own = tuple(place[t] for t in terms_of(w) if t in place)
+            return own, tuple(w[:k] for k in PREFIXES if len(w) >= k and any(t in place for t in repeat_terms(w[:k])))
 
         def score(text: str | None) -> float:
             if len(memo) > 300_000:
                 memo.clear()
             active: set[int] = set()
+            counts: Counter[str] = Counter()
             for w in words_of(text):
-                got = memo.get(w)
-                if got is None:
-                    got = memo[w] = tuple(place[t] for t in terms_of(w) if t in place)
-                if got:
-                    active.update(got)
+                own, beginnings = memo.get(w) or memo.setdefault(w, look(w))
+                if own:
+                    active.update(own)
+                if beginnings:
+                    counts.update(beginnings)
+            for beginning, n in counts.items():
+                active.update(place[t] for least, t in zip(REPEATS, repeat_terms(beginning), strict=True) if n >= least and t in place)
             z = self.bias
             if active:
                 at = sorted(active)
@@ -114,6 +144,17 @@ def fit(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, rounds: int =
     return FactorizationMachine(terms, float(p["b"]), p["w"], p["v"])
 
 
+def with_thinned(rows: list[np.ndarray], y: np.ndarray, keep: float = KEEP) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows and labels, followed by rows of several terms once more with a share ``keep`` of them, one at least."""
+    rng, more = np.random.default_rng(3), []
+    again = [k for k, r in enumerate(rows) if len(r) > 1]
+    for k in again:
+        stays = rng.random(len(rows[k])) < keep
+        stays[rng.integers(len(stays))] |= not stays.any()
+        more.append(rows[k][stays])
+    return rows + more, np.concatenate((y, y[again]))
+
+
 def is_held_out(id_col: str) -> Column:
     """crc32 of the id as text leaves 1 on division by 3."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
@@ -136,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def terms(batches):
         for b in batches:
-            yield pd.DataFrame({"_id": b["_id"], "_y": b["_y"], "_terms": [sorted({t for w in words_of(x) for t in terms_of(w)}) for x in b["_text"]]})
+            yield pd.DataFrame({"_id": b["_id"], "_y": b["_y"], "_terms": [sorted(terms_of_text(x)) for x in b["_text"]]})
 
     found = rows.mapInPandas(terms, f"_id {rows.schema['_id'].dataType.simpleString()}, _y int, _terms array<int>")
     n1, n = (int(v or 0) for v in found.agg(F.sum("_y"), F.count("*")).first())
@@ -155,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kept = F.array_sort(F.array_intersect("_terms", F.array(*[F.lit(int(t)) for t in picked]))) if len(picked) else F.array().cast("array<int>")
     data = found.select("_id", "_y", kept.alias("_terms")).orderBy("_id").collect()
     rows = [np.searchsorted(picked, np.array(r["_terms"], int)) for r in data]
-    return fit(rows, np.array([r["_y"] for r in data], float), picked)
+    return fit(*with_thinned(rows, np.array([r["_y"] for r in data], float)), picked)
 
 
 def score_column(model: FactorizationMachine, text: Column) -> Column:

@@ -122,6 +122,24 @@ def test_fm_score_is_the_sum_over_pairs():
     assert abs(fm.scorer()("Beta, alpha! alpha") - 1 / (1 + np.exp(-z))) < 1e-9
 
 
+def test_scores_use_all_terms_of_a_text():
+    rng = np.random.default_rng(1)
+    text = "stemaa stemab stemac stemad other"
+    terms = np.array(sorted(toxicity.terms_of_text(text)))
+    assert len(terms) > len({t for w in text.split() for t in toxicity.terms_of(w)})
+    fm = toxicity.FactorizationMachine(terms, 0.2, rng.normal(size=len(terms)) / 9, np.zeros((len(terms), 3)))
+    assert abs(fm.scorer()(text) - 1 / (1 + np.exp(-0.2 - fm.weights.sum()))) < 1e-9
+    assert toxicity.terms_of_text(None) == toxicity.terms_of_text(" 1 ") == set()
+
+
+def test_fm_learns_a_pair_that_weights_miss():
+    rows = [np.array(x) for x in ([0], [1], [0, 1], [2], [])] * 60
+    y = np.array([0, 0, 1, 1, 0] * 60, float)
+    fm = toxicity.fit(*toxicity.with_thinned(rows, y, 1.0), np.arange(3), penalty=(0.05, 0.05))
+    z = lambda *at: fm.bias + fm.weights[list(at)].sum() + sum(fm.factors[i] @ fm.factors[j] for k, i in enumerate(at) for j in at[:k])
+    assert z(0) < 0 and z(1) < 0 and z(0, 1) > 0 and z(2) > 0
+
+
 def test_toxicity_awkward(spark, awkward, none):
     lab = spark.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1)], "doc_id long, toxic int")
     got = toxicity.score_documents(awkward, toxicity.train(awkward, lab))
