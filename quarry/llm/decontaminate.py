@@ -129,7 +129,11 @@ class Index:
             _, own, own_slot = self.items[at]
             where = np.array(sorted(covered))
             if not _consistent(own[where], raw[where + shift], own_slot[where]):
-                continue
+                # what stands word for word in whole windows needs no slots
+                where = _verbatim(where, own[where] == raw[where + shift], min(WINDOW, len(own)))
+                if not len(where):
+                    continue
+                covered = set(where.tolist())
             gaps = np.flatnonzero(np.diff(where) > 1)
             run = int(np.diff(np.concatenate(([-1], gaps, [len(where) - 1]))).max())
             changed = int((own[where] != raw[where + shift]).sum())
@@ -179,6 +183,13 @@ def _consistent(own: np.ndarray, other: np.ndarray, slot: np.ndarray) -> bool:
     return len(set(to.values())) == len(to)
 
 
+def _verbatim(where: np.ndarray, same: np.ndarray, size: int) -> np.ndarray:
+    """The places, in order, that lie in runs of at least ``size`` equal words."""
+    places = where[same]
+    runs = np.split(places, np.flatnonzero(np.diff(places) > 1) + 1)
+    return np.concatenate([r for r in runs if len(r) >= size] or [places[:0]])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
     """``id, item, share, run, changed``: a row per document and item it leaks.
 
@@ -186,7 +197,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     typed placeholders. Windows of ``WINDOW`` words, as templates and as they
     stand, are joined on their hash with those of the items; matches of one
     alignment count together if their slots are consistent: equal values of the
-    item became equal values, unequal ones unequal. A run of ``RUN`` words (or
+    item became equal values, unequal ones unequal. Of an alignment that is not,
+    only windows that are the same word for word count. A run of ``RUN`` words (or
     the whole shorter item) or ``SHARE`` of the item's words is a leak.
     ``share``: of the item's words found; ``run``: most in a row; ``changed``:
     slots whose value differs.

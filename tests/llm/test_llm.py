@@ -176,6 +176,20 @@ def test_urls_empty(spark):
 # 5 decontamination
 
 
+def test_verbatim_windows_count_beside_inconsistent_slots():
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split()
+    item = " ".join(words) + " 3 then come four more words with 5 at the very end"
+    index, tokens = decontaminate.Index.build([(1, item)]), decontaminate.Tokens()
+    found = lambda text: [(i, run, changed) for i, _, run, changed in index.search(text, tokens)]
+    assert found(item) == [(1, 26, 0)]
+    assert found(item.replace("3", "8").replace("5", "9")) == [(1, 26, 2)]
+    assert found(item.replace("3", "7").replace("5", "7")) == [(1, 14, 0)]  # slots clash, 14 words stand as they are
+    short = " ".join(words[:6]) + " 3 then come four more words with 5 at the very end"
+    index = decontaminate.Index.build([(1, short)])
+    assert found(short.replace("3", "7").replace("5", "7")) == []
+    assert found(short.replace("3", "7").replace("5", "8")) == [(1, 18, 2)]
+
+
 def test_leaks(spark, awkward, none):
     item = "A train leaves Boston at 60 miles per hour and arrives after 3 hours, while Anna waits 60 minutes for 3 friends to come home today."
     bench = spark.createDataFrame([(1, item), (2, "too short"), (3, None), (4, "")], "item_id long, text string")
