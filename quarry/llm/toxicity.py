@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,15 +73,24 @@ class FactorizationMachine:
         """A function from texts to scores; words seen are remembered, within bounds."""
         place = {int(t): i for i, t in enumerate(self.terms)}
         memo: dict[str, tuple[tuple[int, ...], tuple[str, ...]]] = {}
+        watched: dict[str, bool] = {}
+
+        def is_watched(beginning: str) -> bool:
+            """Whether the model has a term for repeats of a beginning."""
+            got = watched.get(beginning)
+            if got is None:
+                got = watched[beginning] = any(t in place for t in repeat_terms(beginning))
+            return got
 
         def look(w: str) -> tuple[tuple[int, ...], tuple[str, ...]]:
-            """Places of a word's terms, and those of its beginnings that have terms for repeats."""
+            """Places of a word's terms, and its watched beginnings."""
             own = tuple(place[t] for t in terms_of(w) if t in place)
-            return own, tuple(w[:k] for k in PREFIXES if len(w) >= k and any(t in place for t in repeat_terms(w[:k])))
+            return own, tuple(w[:k] for k in PREFIXES if len(w) >= k and is_watched(w[:k]))
 
         def score(text: str | None) -> float:
             if len(memo) > 300_000:
                 memo.clear()
+                watched.clear()
             active: set[int] = set()
             counts: Counter[str] = Counter()
             for w in words_of(text):
@@ -203,9 +213,10 @@ def score_column(model: FactorizationMachine, text: Column) -> Column:
     """The score of each whole text, as an Arrow-batched column."""
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = model.scorer()
-        return pd.Series([score(t) for t in texts], dtype="float64")
+        for texts in batches:
+            yield pd.Series([score(t) for t in texts], dtype="float64")
 
     return scored(text)
 
