@@ -129,8 +129,8 @@ class Index:
             _, own, own_slot = self.items[at]
             where = np.array(sorted(covered))
             if not _consistent(own[where], raw[where + shift], own_slot[where]):
-                # what stands word for word in whole windows needs no slots
-                where = _verbatim(where, own[where] == raw[where + shift], min(WINDOW, len(own)))
+                # a long run that stands word for word needs no slots
+                where = _verbatim(where, own[where] == raw[where + shift], min(RUN, len(own)))
                 if not len(where):
                     continue
                 covered = set(where.tolist())
@@ -198,7 +198,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     stand, are joined on their hash with those of the items; matches of one
     alignment count together if their slots are consistent: equal values of the
     item became equal values, unequal ones unequal. Of an alignment that is not,
-    only windows that are the same word for word count. A run of ``RUN`` words (or
+    only runs of ``RUN`` words that are the same word for word count. A run of ``RUN`` words (or
     the whole shorter item) or ``SHARE`` of the item's words is a leak.
     ``share``: of the item's words found; ``run``: most in a row; ``changed``:
     slots whose value differs.
