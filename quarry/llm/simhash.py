@@ -26,9 +26,8 @@ HOT = 50_000
 ALL, NEXT = 256, 32
 #: Ids that may be broadcast (8 bytes each) to take rows out without a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Near-duplicates: words of a shingle, least similarity, tables of 32 bits, and
-#: how far an estimate may be off before texts are compared.
-WORDS, SIMILAR, TABLES, DOUBT = 5, 0.8, 24, 0.08
+#: Near-duplicates: words of a shingle, least similarity and tables of 32 bits.
+WORDS, SIMILAR, TABLES = 5, 0.8, 24
 
 
 def shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
@@ -48,14 +47,20 @@ def shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
         yield np.array([h(joined[a:b], SEED) for a, b in zip(starts[i : i + CHUNK], ends[i : i + CHUNK], strict=True)], np.uint64)
 
 
-def signature(text: str | None, size: int, lanes: int = 1) -> tuple[np.ndarray, int]:
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(np.concatenate([*shingle_hashes(text, size), np.empty(0, np.uint64)]))
+
+
+def signature(text: str | None, size: int, lanes: int = 1, distinct: bool = False) -> tuple[np.ndarray, int]:
     """``lanes`` 64-bit fingerprints and the number of shingles.
 
     Bit j of lane 0 is 1 if bit j is set in over half of the hashes; further
-    lanes do the same for re-mixed hashes.
+    lanes do the same for re-mixed hashes. Repeats count unless ``distinct``.
     """
     counts, n = np.zeros(64 * lanes, np.int64), 0
-    for h in shingle_hashes(text, size):
+    once = shingle_set(text, size) if distinct else None
+    for h in shingle_hashes(text, size) if once is None else (once[i : i + CHUNK] for i in range(0, len(once), CHUNK)):
         n += len(h)
         wide = np.empty((len(h), lanes), np.uint64)
         wide[:, 0] = h
@@ -68,13 +73,13 @@ def signature(text: str | None, size: int, lanes: int = 1) -> tuple[np.ndarray,
     return np.packbits(counts * 2 > n, bitorder="little").view(np.uint64), n
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, lanes: int = 1) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, lanes: int = 1, distinct: bool = False) -> DataFrame:
     """``_id, _n, _sig``: each row's id, number of shingles and fingerprints (longs)."""
     schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_n", T.LongType()), T.StructField("_sig", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for b in batches:
-            found = [signature(t, size, lanes) for t in b["_text"]]
+            found = [signature(t, size, lanes, distinct) for t in b["_text"]]
             yield pd.DataFrame({"_id": b["_id"], "_n": [n for _, n in found], "_sig": [s.view(np.int64) for s, _ in found]})
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, schema)
@@ -308,21 +313,19 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return sigs.join(named, "_fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicate_links(texts: DataFrame, words: int = WORDS, similar: float = SIMILAR, tables: int = TABLES, doubt: float = DOUBT) -> DataFrame:
+def near_duplicate_links(texts: DataFrame, words: int = WORDS, similar: float = SIMILAR, tables: int = TABLES) -> DataFrame:
     """Edges ``a, b`` that connect alike texts; ``texts``: ``_node`` (XXH64 of the text), ``_text``.
 
     At a similarity of 0.8 one fingerprint of 64 bits differs in ten bits or so,
     too many for a trie to prune by. So a text gets ``tables`` fingerprints of 32
-    bits from re-mixed hashes, of which one at least differs by 2 bits or fewer
-    (95 % of pairs at 0.8, 99.9 % at 0.9). Pairs that further 128 bits speak for
-    are kept as each task's minimum spanning forest, so closest texts link
-    first and a large group gives as many edges as it has members. The
-    similarity of an edge is estimated from all bits and the numbers of
-    shingles; where the estimate is within ``doubt`` of the threshold the two
-    texts themselves decide.
+    bits from re-mixed hashes of its distinct shingles, of which one at least
+    differs by 2 bits or fewer (95 % of pairs at 0.8, 99.9 % at 0.9). Pairs that
+    further 128 bits speak for are kept as each task's minimum spanning forest,
+    so closest texts link first and a large group gives as many edges as it has
+    members. Of every such edge the two texts themselves decide.
     """
     lanes = tables // 2 + 2
-    sigs = materialize(signatures(texts, "_node", "_text", words, lanes), "sketches").withColumnRenamed("_id", "_node")
+    sigs = materialize(signatures(texts, "_node", "_text", words, lanes, distinct=True), "sketches").withColumnRenamed("_id", "_node")
     distinct = materialize(sigs.groupBy("_node").agg(F.first("_n").alias("_n"), F.first("_sig").alias("_sig")), "distinct")
     low = F.expr(f"explode(transform(sequence(0, {tables - 1}), i -> named_struct('s', i, 'f', shiftrightunsigned(shiftleft(_sig[cast(i / 2 as int)], 32 * (i % 2)), 32))))")
     rows = distinct.select("_node", low.alias("_e"), F.col("_sig")[lanes - 2].alias("_s1"), F.col("_sig")[lanes - 1].alias("_s2"))
@@ -330,30 +333,28 @@ def near_duplicate_links(texts: DataFrame, words: int = WORDS, similar: float =
     angle = np.arccos(2 * similar / (1 + similar)) / np.pi
     near = int(128 * angle + 3 * np.sqrt(128 * angle * (1 - angle)))
     edges = materialize(trie_links(rows, 32, 2, near).select("a", "b").distinct(), "candidates")
-    side = lambda c: distinct.select(F.col("_node").alias(c), F.col("_n").alias(f"n{c}"), F.col("_sig").alias(f"s{c}"))
-    both = edges.join(side("a"), "a").join(side("b"), "b")
-    apart = F.expr("aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)") / F.lit(64.0 * lanes)
-    shared = F.cos(F.lit(float(np.pi)) * apart) * F.sqrt(F.col("na") * F.col("nb"))
-    estimate = F.when(F.col("na") + F.col("nb") == 0, 1.0).otherwise(shared / (F.col("na") + F.col("nb") - shared))
-    judged = materialize(both.select("a", "b", estimate.alias("e")).where(F.col("e") >= similar - doubt), "estimates")
-    open_ = judged.where(F.col("e") < similar + doubt)
-    nodes = open_.select(F.col("a").alias("_node")).union(open_.select("b")).distinct()
+    return judge(texts, edges, words, similar).where("alike").select("a", "b")
+
+
+def judge(texts: DataFrame, edges: DataFrame, words: int, similar: float) -> DataFrame:
+    """``a, b, alike``: whether the texts of each edge share ``similar`` of their distinct shingles."""
+    nodes = edges.select(F.col("a").alias("_node")).union(edges.select("b")).distinct()
     few = nodes.count() <= BROADCAST_ROWS
     wanted = texts.join(F.broadcast(nodes) if few else nodes, "_node", "left_semi").groupBy("_node").agg(F.first("_text").alias("_text"))
-    wanted = materialize(wanted, "doubtful-texts")
-    pairs = open_.join(wanted.select(F.col("_node").alias("a"), F.col("_text").alias("ta")), "a").join(wanted.select(F.col("_node").alias("b"), F.col("_text").alias("tb")), "b")
+    wanted = materialize(wanted, "edge-texts")
+    pairs = edges.join(wanted.select(F.col("_node").alias("a"), F.col("_text").alias("ta")), "a").join(wanted.select(F.col("_node").alias("b"), F.col("_text").alias("tb")), "b")
 
     def compare(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b["ta"], b["tb"], strict=True):
-                p, q = (np.unique(np.concatenate([*shingle_hashes(t, words), np.empty(0, np.uint64)])) for t in (x, y))
+            known: dict[int, np.ndarray] = {}  # a text stands in several edges
+            alike = []
+            for a, x, c, y in zip(b["a"], b["ta"], b["b"], b["tb"], strict=True):
+                p, q = (known[k] if k in known else known.setdefault(k, shingle_set(t, words)) for k, t in ((a, x), (c, y)))
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= similar * (len(p) + len(q) - both))
-            yield b.loc[keep, ["a", "b"]]
+                alike.append(both >= similar * (len(p) + len(q) - both))
+            yield pd.DataFrame({"a": b["a"], "b": b["b"], "alike": alike}).astype({"alike": bool})
 
-    sure = judged.where(F.col("e") >= similar + doubt).select("a", "b")
-    return sure.unionByName(pairs.mapInPandas(compare, "a long, b long"))
+    return materialize(pairs.mapInPandas(compare, "a long, b long, alike boolean"), "judged")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: float = SIMILAR) -> DataFrame:

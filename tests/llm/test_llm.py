@@ -280,6 +280,16 @@ def test_near_duplicates(spark, none, awkward):
     assert kept.columns == awkward.columns and sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 4), (False, 5), (False, 7), (True, 0)]
 
 
+def five_words(n, tag):
+    return [f"{tag}{k}" for k in range(n)]
+
+
+def test_a_repeated_line_does_not_make_texts_alike(spark):
+    line = " ".join(five_words(9, "line"))
+    rows = [(i, " ".join([line] * 20 + five_words(104, f"own{i}x")), "s") for i in range(12)]
+    assert simhash.keep_one_of_each(spark.createDataFrame(rows, DOCS)).count() == 12
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
