@@ -28,6 +28,11 @@ ALL, NEXT = 256, 32
 BROADCAST_ROWS = 1_000_000
 #: Near-duplicates: words of a shingle, least similarity and tables of 32 bits.
 WORDS, SIMILAR, TABLES = 5, 0.8, 24
+#: Texts of so many distinct shingles or fewer meet through equal shingles, since
+#: majority bits say little of them.
+SHORT = 64
+#: Standard deviations by which the bits of a pair may be off before its texts are not compared.
+SLACK = 6
 
 
 def shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
@@ -73,14 +78,21 @@ def signature(text: str | None, size: int, lanes: int = 1, distinct: bool = Fals
     return np.packbits(counts * 2 > n, bitorder="little").view(np.uint64), n
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, lanes: int = 1, distinct: bool = False) -> DataFrame:
-    """``_id, _n, _sig``: each row's id, number of shingles and fingerprints (longs)."""
-    schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_n", T.LongType()), T.StructField("_sig", T.ArrayType(T.LongType()))])
+def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, lanes: int = 1, distinct: bool = False, few: int = 0) -> DataFrame:
+    """``_id, _n, _sig``: each row's id, number of shingles and fingerprints (longs).
+
+    With ``few``, ``_few`` has the distinct shingles of texts of so many at
+    most, a single 0 for texts without words; else it is empty.
+    """
+    schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_n", T.LongType()), T.StructField("_sig", T.ArrayType(T.LongType())), *[T.StructField("_few", T.ArrayType(T.LongType()))] * (few > 0)])
 
     def run(batches):
         for b in batches:
             found = [signature(t, size, lanes, distinct) for t in b["_text"]]
-            yield pd.DataFrame({"_id": b["_id"], "_n": [n for _, n in found], "_sig": [s.view(np.int64) for s, _ in found]})
+            out = pd.DataFrame({"_id": b["_id"], "_n": [n for _, n in found], "_sig": [s.view(np.int64) for s, _ in found]})
+            if few:
+                out["_few"] = [shingle_set(t, size).view(np.int64) if 0 < n <= few else np.zeros(int(n == 0), np.int64) for t, (_, n) in zip(b["_text"], found, strict=True)]
+            yield out
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, schema)
 
@@ -196,7 +208,7 @@ def _join_tasks(width: int, budget: int, near: int | None):
     ``near``: only pairs whose 128 further bits differ in so many at most count.
     """
 
-    def links(b: pd.DataFrame) -> pd.DataFrame:
+    def links(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         v = b["_v"].to_numpy().view(np.uint64)
         keys = b[["_task", "_lo", "_mask"]].to_numpy()
         cut = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1), [True])))
@@ -219,21 +231,27 @@ def _join_tasks(width: int, budget: int, near: int | None):
             if held > 2_000_000:  # only a forest of what has been found is kept
                 found, held = [_thin(len(names), found)], 0
         if not found:
-            return pd.DataFrame({"a": [], "b": [], "distance": []}).astype({"a": "int64", "b": "int64", "distance": "int32"})
+            return
         x, y, w = _thin(len(names), found)
-        return pd.DataFrame({"a": names[x], "b": names[y], "distance": w.astype(np.int32)})
+        yield pd.DataFrame({"a": names[x], "b": names[y], "distance": w.astype(np.int32)})
+
+    return _whole(links, ["_task", "_lo", "_mask"])
+
+
+def _whole(links, keys: list[str]):
+    """``links`` over batches of sorted rows cut so that rows of equal keys stay together."""
 
     def run(batches):
         tail = None
         for b in batches:
             b = b if tail is None else pd.concat([tail, b], ignore_index=True)
-            last = (b[["_task", "_lo", "_mask"]].to_numpy() != b[["_task", "_lo", "_mask"]].to_numpy()[-1]).any(axis=1)
+            last = (b[keys].to_numpy() != b[keys].to_numpy()[-1]).any(axis=1)
             done = np.flatnonzero(last)[-1] + 1 if last.any() else 0
             tail = b.iloc[done:].reset_index(drop=True)
             if done:
-                yield links(b.iloc[:done].reset_index(drop=True))
+                yield from links(b.iloc[:done].reset_index(drop=True))
         if tail is not None and len(tail):
-            yield links(tail)
+            yield from links(tail)
 
     return run
 
@@ -313,26 +331,65 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return sigs.join(named, "_fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def short_links(rows: DataFrame, similar: float) -> DataFrame:
+    """``a, b``: all pairs of ``_node, _n, _few`` that may share ``similar`` of their shingles.
+
+    Of n shingles a like text has ceil(similar * n) at least, so in any common
+    order of shingles the first n - ceil(similar * n) + 1 of both have one in
+    common. The order is rarest first, which keeps the groups small.
+    """
+    each = rows.select("_node", "_n", F.explode("_few").alias("_key"))
+    ordered = each.join(each.groupBy("_key").agg(F.count("*").alias("_c")), "_key").groupBy("_node", "_n").agg(F.sort_array(F.collect_list(F.struct("_c", "_key"))).alias("_few"))
+    prefix = (F.col("_n") - F.ceil(F.col("_n") * similar - 1e-9) + 1).cast("int")
+    keyed = ordered.select("_node", "_n", F.explode(F.slice("_few", F.lit(1), prefix)).alias("_f")).select(F.col("_f._key").alias("_key"), "_n", "_node")
+
+    def links(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        key, n, node = (b[c].to_numpy() for c in ("_key", "_n", "_node"))
+        cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        found, held = [], 0
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            ends = lo + np.searchsorted(n[lo:hi], n[lo:hi] / similar + 1e-9, "right")
+            for i, end in zip(range(lo, hi - 1), ends, strict=False):
+                j = np.arange(i + 1, end)
+                found.append((np.full(len(j), node[i]), node[j]))
+                held += len(j)
+                if held > 500_000:
+                    yield _pairs(found)
+                    found, held = [], 0
+        if held:
+            yield _pairs(found)
+
+    return keyed.repartition("_key").sortWithinPartitions("_key", "_n", "_node").mapInPandas(_whole(links, ["_key"]), "a long, b long")
+
+
+def _pairs(found: list) -> pd.DataFrame:
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+
 def near_duplicate_links(texts: DataFrame, words: int = WORDS, similar: float = SIMILAR, tables: int = TABLES) -> DataFrame:
     """Edges ``a, b`` that connect alike texts; ``texts``: ``_node`` (XXH64 of the text), ``_text``.
 
-    At a similarity of 0.8 one fingerprint of 64 bits differs in ten bits or so,
-    too many for a trie to prune by. So a text gets ``tables`` fingerprints of 32
-    bits from re-mixed hashes of its distinct shingles, of which one at least
-    differs by 2 bits or fewer (95 % of pairs at 0.8, 99.9 % at 0.9). Pairs that
-    further 128 bits speak for are kept as each task's minimum spanning forest,
-    so closest texts link first and a large group gives as many edges as it has
-    members. Of every such edge the two texts themselves decide.
+    Texts of up to ``SHORT`` distinct shingles meet all they may be like through
+    equal shingles. For longer ones, at a similarity of 0.8 one fingerprint of
+    64 bits differs in ten bits or so, too many for a trie to prune by. So a
+    text gets ``tables`` fingerprints of 32 bits from re-mixed hashes of its
+    distinct shingles, of which one at least differs by 2 bits or fewer (95 % of
+    pairs at 0.8, 99.9 % at 0.9). Pairs whose further 128 bits are not ``SLACK``
+    deviations off are kept as each task's minimum spanning forest, so closest
+    texts link first and a large group gives as many edges as it has members. Of
+    every such edge the two texts themselves decide.
     """
-    lanes = tables // 2 + 2
-    sigs = materialize(signatures(texts, "_node", "_text", words, lanes, distinct=True), "sketches").withColumnRenamed("_id", "_node")
-    distinct = materialize(sigs.groupBy("_node").agg(F.first("_n").alias("_n"), F.first("_sig").alias("_sig")), "distinct")
+    lanes, few = tables // 2 + 2, int(SHORT / similar)
+    sigs = materialize(signatures(texts, "_node", "_text", words, lanes, True, few), "sketches").withColumnRenamed("_id", "_node")
+    distinct = materialize(sigs.groupBy("_node").agg(F.first("_n").alias("_n"), F.first("_sig").alias("_sig"), F.first("_few").alias("_few")), "distinct")
     low = F.expr(f"explode(transform(sequence(0, {tables - 1}), i -> named_struct('s', i, 'f', shiftrightunsigned(shiftleft(_sig[cast(i / 2 as int)], 32 * (i % 2)), 32))))")
-    rows = distinct.select("_node", low.alias("_e"), F.col("_sig")[lanes - 2].alias("_s1"), F.col("_sig")[lanes - 1].alias("_s2"))
+    rows = distinct.where(F.col("_n") > SHORT).select("_node", low.alias("_e"), F.col("_sig")[lanes - 2].alias("_s1"), F.col("_sig")[lanes - 1].alias("_s2"))
     rows = rows.select(F.col("_e.s").alias("_space"), F.col("_e.f").alias("_fp"), "_node", "_s1", "_s2")
     angle = np.arccos(2 * similar / (1 + similar)) / np.pi
-    near = int(128 * angle + 3 * np.sqrt(128 * angle * (1 - angle)))
-    edges = materialize(trie_links(rows, 32, 2, near).select("a", "b").distinct(), "candidates")
+    near = int(128 * angle + SLACK * np.sqrt(128 * angle * (1 - angle)))
+    linked = trie_links(rows, 32, 2, near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = materialize(linked.union(short_links(distinct.where(F.size("_few") > 0), similar)).distinct(), "candidates")
     return judge(texts, edges, words, similar).where("alike").select("a", "b")
 
 

@@ -290,6 +290,16 @@ def test_a_repeated_line_does_not_make_texts_alike(spark):
     assert simhash.keep_one_of_each(spark.createDataFrame(rows, DOCS)).count() == 12
 
 
+def test_short_texts_at_the_threshold_are_found(spark):
+    rows = []
+    for g in range(40):
+        n = (8, 16)[g % 2]
+        t = five_words(n, f"g{g}x")
+        rows += [(2 * g, " ".join(t), "s"), (2 * g + 1, " ".join(t + five_words(n // 8 + n // 16, f"h{g}x")), "s")]
+    kept = {r.doc_id for r in simhash.keep_one_of_each(spark.createDataFrame(rows, DOCS)).collect()}
+    assert kept == {2 * g for g in range(40)}
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
