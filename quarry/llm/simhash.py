@@ -97,7 +97,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, lanes: in
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, schema)
 
 
-def walk(v: np.ndarray, pairs: tuple[np.ndarray, ...], top: int, budget: int, bottom: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def walk(v: np.ndarray, pairs: tuple[np.ndarray, ...], top: int, budget: int, bottom: int = 0, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) of all linked values below pairs of trie nodes.
 
     ``v`` holds sorted values; a node is a range of them that agrees above bit
@@ -111,7 +111,7 @@ def walk(v: np.ndarray, pairs: tuple[np.ndarray, ...], top: int, budget: int, bo
         live = (a1 > a0) & (b1 > b0) & (used <= budget) & ~((a0 == b0) & (a1 == b1) & (a1 - a0 < 2))
         small = live & ((a1 - a0) * (b1 - b0) <= LEAF) if bit >= bottom else live
         if small.any():
-            yield from _compare(v, a0[small], a1[small], b0[small], b1[small], budget)
+            yield from _compare(v, a0[small], a1[small], b0[small], b1[small], budget, root)
         live &= ~small
         if not live.any():
             return
@@ -132,19 +132,25 @@ def walk(v: np.ndarray, pairs: tuple[np.ndarray, ...], top: int, budget: int, bo
         )
 
 
-def _compare(v, a0, a1, b0, b1, budget):
+def _compare(v, a0, a1, b0, b1, budget, root=None):
     """Checks pairs of small nodes value by value, a few million at a time.
 
     Large nodes only come here with all bits spent, as rows of equal values
     (several texts of one fingerprint). Up to ``ALL`` of them meet one by one;
     in larger groups each meets the ``NEXT`` following and the first ones of the
-    other node, which connects what all pairs would if they are alike.
+    other node, which connects what all pairs would if they are alike. With
+    ``root``, all pairs of unlike roots meet.
     """
     na, nb = a1 - a0, b1 - b0
     big = na * nb > LEAF
     for x0, x1, y0, y1 in zip(a0[big], a1[big], b0[big], b1[big], strict=True):
         m = int(x1 - x0)
-        if (x0, x1) == (y0, y1):
+        if root is not None:
+            for i in range(x0, x1):
+                y = i + 1 if (x0, x1) == (y0, y1) else y0
+                j = y + np.flatnonzero(root[y:y1] != root[i])
+                yield np.full(len(j), i), j
+        elif (x0, x1) == (y0, y1):
             for off in range(1, m if m <= ALL else NEXT + 1):
                 i = np.arange(x0, x1 - off)
                 yield i, i + off
@@ -202,10 +208,14 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray) -> np.ndarray:
 EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("distance", T.IntegerType())])
 
 
-def _join_tasks(width: int, budget: int, near: int | None):
+def _join_tasks(width: int, budget: int, near: int | None, similar: float):
     """Links within sorted tasks; each task's spanning forest is returned.
 
-    ``near``: only pairs whose 128 further bits differ in so many at most count.
+    ``near``: only pairs whose 128 further bits differ in so many at most count,
+    and whose numbers of shingles ``_n`` allow ``similar``. What all such pairs
+    connect the forest connects; for that, large groups of equal values are
+    linked in a row whatever their bits. Rows with a ``_root`` give all such
+    pairs of unlike roots instead.
     """
 
     def links(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -221,18 +231,35 @@ def _join_tasks(width: int, budget: int, near: int | None):
         names, at = np.unique(node, return_inverse=True)
         top, found = 63 - (width // (budget + 1)), []
         held = 0
-        for i, j in walk(v, pairs, top, budget, 64 - width):
+        root = b["_root"].to_numpy() if "_root" in b else None
+        if near is not None:
+            n = b["_n"].to_numpy()
+            far = lambda i, j: np.bitwise_count((s1[i] ^ s1[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((s2[i] ^ s2[j]).view(np.uint64))
+            first = np.concatenate(([True], v[1:] != v[:-1]))
+            first[lo] = True
+            run = np.cumsum(first) - 1
+            large = np.bincount(run)[run] > ALL
+            if root is None and large.any():
+                j = np.flatnonzero(large & ~first)
+                found.append((at[j - 1], at[j], far(j - 1, j)))
+        for i, j in walk(v, pairs, top, budget, 64 - width, root):
             w = np.bitwise_count(v[i] ^ v[j]).astype(np.int64)
             if near is not None:
-                w = (np.bitwise_count((s1[i] ^ s1[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((s2[i] ^ s2[j]).view(np.uint64)))
-                i, j, w = i[w <= near], j[w <= near], w[w <= near]
+                w = far(i, j)
+                ok = (w <= near) & (np.minimum(n[i], n[j]) >= similar * np.maximum(n[i], n[j]) - 1e-9)
+                ok = ok & (root[i] != root[j]) if root is not None else ok | (first[i] & first[j] & (large[i] | large[j]))
+                i, j, w = i[ok], j[ok], w[ok]
             found.append((at[i], at[j], w))
             held += len(i)
+            if root is not None and held > 500_000:
+                x, y, w = (np.concatenate(c) for c in zip(*found, strict=True))
+                yield pd.DataFrame({"a": names[x], "b": names[y], "distance": w.astype(np.int32)})
+                found, held = [], 0
             if held > 2_000_000:  # only a forest of what has been found is kept
                 found, held = [_thin(len(names), found)], 0
         if not found:
             return
-        x, y, w = _thin(len(names), found)
+        x, y, w = _thin(len(names), found) if root is None else (np.concatenate(c) for c in zip(*found, strict=True))
         yield pd.DataFrame({"a": names[x], "b": names[y], "distance": w.astype(np.int32)})
 
     return _whole(links, ["_task", "_lo", "_mask"])
@@ -262,11 +289,12 @@ def _thin(n: int, found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return i[keep], j[keep], w[keep]
 
 
-def trie_links(rows: DataFrame, width: int, budget: int, near: int | None = None, hot: int = HOT) -> DataFrame:
+def trie_links(rows: DataFrame, width: int, budget: int, near: int | None = None, hot: int = HOT, similar: float = SIMILAR) -> DataFrame:
     """Edges ``a, b, distance`` that connect all nodes within ``budget`` bits in a space.
 
     ``rows``: ``_space`` int, ``_fp`` long (``width`` bits used), ``_node`` long
-    and two longs ``_s1``, ``_s2``. Whatever two values differ by ``budget`` bits
+    and two longs ``_s1``, ``_s2``; with ``near`` also ``_n``, and ``_root`` if
+    all pairs of unlike roots are asked for. Whatever two values differ by ``budget`` bits
     agree on one of budget + 1 blocks of bits, so each value goes into that many
     tries, rotated to have one block at the root with no error allowed there; a
     prefix is a task. A prefix with more than ``hot`` rows is walked down in the
@@ -274,6 +302,7 @@ def trie_links(rows: DataFrame, width: int, budget: int, near: int | None = None
     """
     blocks = budget + 1
     each = width // blocks
+    more = [c for c in ("_n", "_root") if c in rows.columns]
     turned = []
     for r in range(blocks):
         shift = 64 - width + r * each  # the r-th block from the top of the used bits goes to the top of the word
@@ -288,11 +317,11 @@ def trie_links(rows: DataFrame, width: int, budget: int, near: int | None = None
     wide = rows.select("*", F.explode(F.array(*turned)).alias("_t"))
     block = F.shiftrightunsigned("_t.v", 64 - each)
     task = F.shiftleft((F.col("_space") * blocks + F.col("_t.r")).cast("long"), 40).bitwiseOR(block)
-    wide = wide.select(task.alias("_task"), F.col("_t.v").alias("_v"), "_node", "_s1", "_s2")
+    wide = wide.select(task.alias("_task"), F.col("_t.v").alias("_v"), "_node", "_s1", "_s2", *more)
     counts = wide.groupBy("_task").agg(F.count("*").alias("_c"))
     crowded = materialize(counts.where(F.col("_c") > hot), "hot-prefixes")
     plain = [F.lit(0).alias("_lo"), F.lit(0).alias("_mask"), F.lit(0).alias("_side")]
-    cols = ["_task", "_lo", "_mask", "_side", "_v", "_node", "_s1", "_s2"]
+    cols = ["_task", "_lo", "_mask", "_side", "_v", "_node", "_s1", "_s2", *more]
     if crowded.isEmpty():
         tasks = wide.select("*", *plain)
     else:
@@ -305,7 +334,7 @@ def trie_links(rows: DataFrame, width: int, budget: int, near: int | None = None
         hot_rows = hot_rows.withColumn("_lo", F.least("_sub", other)).withColumn("_side", (F.col("_sub") > other).cast("int"))
         tasks = wide.join(crowded, "_task", "left_anti").select("*", *plain).select(*cols).unionByName(hot_rows.select(*cols))
     tasks = tasks.select(*cols).repartition("_task", "_lo", "_mask").sortWithinPartitions(*cols[:5], "_node")
-    return tasks.mapInPandas(_join_tasks(width, budget, near), EDGES)
+    return tasks.mapInPandas(_join_tasks(width, budget, near, similar), EDGES)
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, budget: int = 2) -> DataFrame:
@@ -336,21 +365,30 @@ def short_links(rows: DataFrame, similar: float) -> DataFrame:
 
     Of n shingles a like text has ceil(similar * n) at least, so in any common
     order of shingles the first n - ceil(similar * n) + 1 of both have one in
-    common. The order is rarest first, which keeps the groups small.
+    common. The order is rarest first, which keeps the groups small. In groups
+    of over ``ALL`` each meets the ``NEXT`` following ones; rows with a ``_root``
+    meet all of other roots.
     """
-    each = rows.select("_node", "_n", F.explode("_few").alias("_key"))
-    ordered = each.join(each.groupBy("_key").agg(F.count("*").alias("_c")), "_key").groupBy("_node", "_n").agg(F.sort_array(F.collect_list(F.struct("_c", "_key"))).alias("_few"))
+    more = [c for c in ("_root",) if c in rows.columns]
+    each = rows.select("_node", "_n", *more, F.explode("_few").alias("_key"))
+    ordered = each.join(each.groupBy("_key").agg(F.count("*").alias("_c")), "_key").groupBy("_node", "_n", *more).agg(F.sort_array(F.collect_list(F.struct("_c", "_key"))).alias("_few"))
     prefix = (F.col("_n") - F.ceil(F.col("_n") * similar - 1e-9) + 1).cast("int")
-    keyed = ordered.select("_node", "_n", F.explode(F.slice("_few", F.lit(1), prefix)).alias("_f")).select(F.col("_f._key").alias("_key"), "_n", "_node")
+    keyed = ordered.select("_node", "_n", *more, F.explode(F.slice("_few", F.lit(1), prefix)).alias("_f")).select(F.col("_f._key").alias("_key"), "_n", "_node", *more)
 
     def links(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         key, n, node = (b[c].to_numpy() for c in ("_key", "_n", "_node"))
         cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        root = b["_root"].to_numpy() if more else None
         found, held = [], 0
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             ends = lo + np.searchsorted(n[lo:hi], n[lo:hi] / similar + 1e-9, "right")
             for i, end in zip(range(lo, hi - 1), ends, strict=False):
-                j = np.arange(i + 1, end)
+                if root is not None:
+                    j = i + 1 + np.flatnonzero(root[i + 1 : end] != root[i])
+                elif hi - lo > ALL:  # the next one whatever its size, so that groups hang together
+                    j = np.arange(i + 1, max(i + 2, min(end, i + 1 + NEXT)))
+                else:
+                    j = np.arange(i + 1, end)
                 found.append((np.full(len(j), node[i]), node[j]))
                 held += len(j)
                 if held > 500_000:
@@ -378,19 +416,35 @@ def near_duplicate_links(texts: DataFrame, words: int = WORDS, similar: float =
     pairs at 0.8, 99.9 % at 0.9). Pairs whose further 128 bits are not ``SLACK``
     deviations off are kept as each task's minimum spanning forest, so closest
     texts link first and a large group gives as many edges as it has members. Of
-    every such edge the two texts themselves decide.
+    every such edge the two texts themselves decide. A forest that lost edges so
+    may have stood for pairs that are alike, hence a second round: in the
+    components that came apart all pairs of unlike components are compared, so
+    no pair that was met is left out, be there many or few.
     """
     lanes, few = tables // 2 + 2, int(SHORT / similar)
     sigs = materialize(signatures(texts, "_node", "_text", words, lanes, True, few), "sketches").withColumnRenamed("_id", "_node")
     distinct = materialize(sigs.groupBy("_node").agg(F.first("_n").alias("_n"), F.first("_sig").alias("_sig"), F.first("_few").alias("_few")), "distinct")
-    low = F.expr(f"explode(transform(sequence(0, {tables - 1}), i -> named_struct('s', i, 'f', shiftrightunsigned(shiftleft(_sig[cast(i / 2 as int)], 32 * (i % 2)), 32))))")
-    rows = distinct.where(F.col("_n") > SHORT).select("_node", low.alias("_e"), F.col("_sig")[lanes - 2].alias("_s1"), F.col("_sig")[lanes - 1].alias("_s2"))
-    rows = rows.select(F.col("_e.s").alias("_space"), F.col("_e.f").alias("_fp"), "_node", "_s1", "_s2")
     angle = np.arccos(2 * similar / (1 + similar)) / np.pi
     near = int(128 * angle + SLACK * np.sqrt(128 * angle * (1 - angle)))
-    linked = trie_links(rows, 32, 2, near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = materialize(linked.union(short_links(distinct.where(F.size("_few") > 0), similar)).distinct(), "candidates")
-    return judge(texts, edges, words, similar).where("alike").select("a", "b")
+    low = F.expr(f"explode(transform(sequence(0, {tables - 1}), i -> named_struct('s', i, 'f', shiftrightunsigned(shiftleft(_sig[cast(i / 2 as int)], 32 * (i % 2)), 32))))")
+
+    def met(some: DataFrame) -> DataFrame:
+        more = [c for c in ("_n", "_root") if c in some.columns]
+        rows = some.where(F.col("_n") > SHORT).select("_node", *more, low.alias("_e"), F.col("_sig")[lanes - 2].alias("_s1"), F.col("_sig")[lanes - 1].alias("_s2"))
+        rows = rows.select(F.col("_e.s").alias("_space"), F.col("_e.f").alias("_fp"), "_node", "_s1", "_s2", *more)
+        linked = trie_links(rows, 32, 2, near, similar=similar).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        return linked.union(short_links(some.where(F.size("_few") > 0), similar)).distinct()
+
+    judged = judge(texts, materialize(met(distinct), "candidates"), words, similar)
+    alike = judged.where("alike").select("a", "b")
+    roots = materialize(connected_components(alike), "roots")
+    of = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+    apart = of(of(judged.where("not alike").select("a", "b"), "a"), "b").where("ra <> rb").select(F.explode(F.array("ra", "rb")).alias("_root")).distinct()
+    again = materialize(of(distinct, "_node").withColumnRenamed("r_node", "_root").join(materialize(apart, "apart"), "_root", "left_semi"), "again")
+    if again.isEmpty():
+        return alike
+    edges = materialize(met(again).join(judged.select("a", "b"), ["a", "b"], "left_anti"), "further-candidates")
+    return alike.unionByName(judge(texts, edges, words, similar).where("alike").select("a", "b"))
 
 
 def judge(texts: DataFrame, edges: DataFrame, words: int, similar: float) -> DataFrame:

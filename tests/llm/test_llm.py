@@ -300,6 +300,33 @@ def test_short_texts_at_the_threshold_are_found(spark):
     assert kept == {2 * g for g in range(40)}
 
 
+@pytest.mark.parametrize("words", [30, 300])
+def test_pairs_behind_rejected_edges_are_found(spark, words, monkeypatch):
+    monkeypatch.setattr(simhash, "ALL", 8)
+    monkeypatch.setattr(simhash, "NEXT", 1)
+    rng, rows = random.Random(10), []
+    base = five_words(words, "w")
+    for g in range(60):  # families around 0.7 of each other, of close texts each
+        own = list(base)
+        own[: words // 6] = five_words(words // 6, f"g{g}x")
+        for k in range(3):
+            t = list(own)
+            t[-1 - k] = f"g{g}k{k}"
+            rows.append((len(rows), " ".join(t), "s"))
+    rng.shuffle(rows)
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t, _ in rows]
+    roots = components(rows, lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, DOCS)).count()
+    assert kept == len(set(roots)) < 180
+
+
+def test_large_groups_of_equal_values_meet_across_roots():
+    v = np.full(600, 5 << 32, np.uint64)
+    root = np.array([0] * 597 + [7, 8, 9])
+    got = {(int(i), int(j)) for x, y in simhash._compare(v, np.array([0]), np.array([600]), np.array([0]), np.array([600]), 2, root) for i, j in zip(x, y)}
+    assert got == {(i, j) for i in range(600) for j in range(i + 1, 600) if root[i] != root[j]}
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
