@@ -38,12 +38,16 @@ TEMPLATES: list[tuple[str, str, tuple[str, ...]]] = [
 ]
 #: A block is a candidate where one of these stands in it (matched lower-cased).
 CUES = ("licens", "licenc", "redistribut", "permission", "public domain", "cc by", "cc0")
-#: Code points around a cue that make a block, ended at sentences and lines.
+#: Code points around a cue that make a block, ended at sentences and empty lines.
 REACH = 600
 #: Least share of a block's compressed size that a template must save.
 LEAST_GAIN = 0.3
 _CUE = re.compile("|".join(map(re.escape, CUES)), re.I)
-_STOP = re.compile(r"(?<=[.!?;])\s+|\n")
+_SENTENCE = r"(?<=[.!?;])(?<!\bv\.)(?<!\bver\.)\s+"
+_STOP = re.compile(_SENTENCE + r"|\n[ \t\r]*\n\s*", re.I)
+_LINE = re.compile(_SENTENCE + r"|\n", re.I)
+#: Between two blocks that are one: a single line's end, or the mark of a list's next item.
+_JOIN = re.compile(r"[^\w\n]*\n?[^\w\n]*|\W*\(?(?:\w{1,3}[.)]|[*\u2022-])\s*")
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 
 
@@ -56,23 +60,27 @@ def _contains(block: list[str], phrase: list[str]) -> bool:
     return any(block[i : i + n] == phrase for i in range(len(block) - n + 1))
 
 
-def blocks_of(text: str | None) -> list[tuple[int, str]]:
+def blocks_of(text: str | None, stop: re.Pattern = _STOP, lo_at: int = 0, hi_at: int | None = None) -> list[tuple[int, str]]:
     """(start, block) of the sentences with a cue and those next to them, whole text.
 
-    A sentence that is itself longer than two reaches is cut around its cues.
+    A notice may be wrapped, so a single line's end is a space, and may go on
+    over the items of a list. A sentence that is itself longer than two reaches
+    is cut around its cues. ``_LINE`` as ``stop`` gives blocks that end at lines.
     """
     text = text or ""
+    first, last = lo_at, len(text) if hi_at is None else hi_at
     spans: list[list[int]] = []
-    for m in _CUE.finditer(text):
+    for m in _CUE.finditer(text, first, last):
         if spans and m.end() <= spans[-1][1]:
             continue
-        lo, hi = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        stops = [s.end() for s in _STOP.finditer(text, lo, m.start())]
+        lo, hi = max(first, m.start() - REACH), min(last, m.end() + REACH)
+        stops = [s.end() for s in stop.finditer(text, lo, m.start())]
         begin = stops[-1] if stops else lo
-        after = _STOP.search(text, m.end(), hi)
+        after = stop.search(text, m.end(), hi)
         end = after.start() if after else hi
         # a notice may go on over sentences that have cues of their own
-        spans.append([begin, end]) if not spans or begin > spans[-1][1] + 1 else spans[-1].__setitem__(1, end)
+        joined = spans and (begin <= spans[-1][1] + 1 or stop is _STOP and _JOIN.fullmatch(text, spans[-1][1], begin))
+        spans[-1].__setitem__(1, end) if joined else spans.append([begin, end])
     return [(a, text[a:b]) for a, b in spans]
 
 
@@ -93,6 +101,25 @@ class Scanner:
         params = zstandard.ZstdCompressionParameters.from_level(9, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
         return zstandard.ZstdCompressor(dict_data=raw, compression_params=params)
 
+    def notices(self, text: str | None) -> list[tuple[int, int, str, float, int, int]]:
+        """(start, length, license, gain, missing, extra) of a text's notices.
+
+        A block's lines are looked at as well, since several notices, or a short
+        one among lines without full stops, may stand in it: they are taken for
+        the block's own license, and besides it unless its wording has theirs.
+        """
+        out = []
+        for start, block in blocks_of(text):
+            whole = self.scan(block)
+            lines = [(a, x) for a, x in blocks_of(text, _LINE, start, start + len(block)) if x != block]
+            hits = [(a, len(x), *hit) for a, x in lines if (hit := self.scan(x))]
+            if whole and not any(h[2] == whole[0] for h in hits):
+                wordings = [w for name, _, ws, _ in self.templates if name == whole[0] for w in ws]
+                within = {name for name, phrases, _, _ in self.templates if any(all(_contains(w, p) for p in phrases) for w in wordings)}
+                hits = sorted([(start, len(block), *whole), *(h for h in hits if h[2] not in within)])
+            out.extend(hits)
+        return out
+
     def scan(self, block: str) -> tuple[str, float, int, int] | None:
         """(license, gain, missing, extra) of the best confirmed template."""
         data = block.lower().encode("utf-8", "surrogatepass")
@@ -137,9 +164,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for b in batches:
             out = []
             for i, text in zip(b["_id"], b["_text"], strict=True):
-                for start, block in blocks_of(text):
-                    if hit := scanner.scan(block):
-                        out.append((i, start, len(block), *hit))
+                out.extend((i, *hit) for hit in scanner.notices(text))
             yield pd.DataFrame(out, columns=schema.names).astype({"start": np.int64, "length": np.int64, "gain": np.float64, "missing": np.int64, "extra": np.int64})
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))

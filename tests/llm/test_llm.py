@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -140,6 +141,19 @@ def test_fm_learns_a_pair_that_weights_miss():
     assert z(0) < 0 and z(1) < 0 and z(0, 1) > 0 and z(2) > 0
 
 
+def test_train_learns_a_pair_that_is_mostly_clean_alone(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, labels = [], []
+    for i in range(3000):
+        marks = [w for w, p in (("zorbling", 0.3), ("quexfolk", 0.3)) if rng.random() < p]
+        rows.append((i, " ".join([word() for _ in range(30)] + marks), "s"))
+        labels.append((i, int(len(marks) == 2)))
+    docs, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.score_documents(docs, toxicity.train(docs, lab)).where("held_out").join(lab, "doc_id").toPandas()
+    assert got["toxic"].sum() > 50 and (got["predicted"] == got["toxic"]).mean() > 0.99
+
+
 def test_toxicity_awkward(spark, awkward, none):
     lab = spark.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1)], "doc_id long, toxic int")
     got = toxicity.score_documents(awkward, toxicity.train(awkward, lab))
@@ -346,6 +360,37 @@ def test_licenses(spark, awkward, none):
     assert exact[0] == "MIT" and exact[2:] == (0, 0)
 
 
+@pytest.mark.parametrize("width", [40, 72, 10_000])
+def test_every_template_is_found_in_its_wrapped_form(width):
+    scanner = licenses.Scanner()
+    for name, _, wordings in licenses.TEMPLATES:
+        for w in wordings:
+            text = "Some words before.\n\n" + textwrap.fill(w, width, break_on_hyphens=False) + "\n\nSome words after."
+            assert [h[2] for h in scanner.notices(text)] == [name], (name, w)
+
+
+def test_a_wrapped_bsd_list_is_one_notice_and_lines_keep_theirs():
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    found = lambda text: [h[2] for h in licenses.Scanner().notices(text)]
+    assert found(bsd) == ["BSD-3-Clause"]
+    assert found(bsd[: bsd.index("3. Neither")]) == ["BSD-2-Clause"]
+    plain = "\n".join(f"line {k} without a stop" for k in range(9))
+    assert found(f"{plain}\nReleased under the MIT License\n{plain}\nLicensed under the Apache License, Version 2.0\n{plain}") == ["MIT", "Apache-2.0"]
+
+
 # 8 repeated strings
 
 
