@@ -16,13 +16,22 @@ HARMLESS_WORDS = "commit|sha|md5|checksum|digest|hash|uuid|guid|version|revision
 KNOWN_PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[abprs]-|sk-|sk_live_|rk_live_|AIza|ya29|glpat-|npm_|eyJ"
 #: Common words whose letters count as dictionary coverage.
 COMMON = "the|and|for|with|that|from|this|have|change|example|password|secret|token|name|test|user|value|data|file|path|get|set|key|your|here|lib|usr|home|src|main|index|page|image|config|build|local|linux|string|http|www|com|org|net|html|json|http|class|function|return|null|none|true|false|default|place|holder|sample|dummy|insert|redacted"
-#: What may be a secret: a named value, a long run with a digit, a long run of
-#: capitals, or the head of a private key.
+#: A private key: to its end mark, or else the lines of base64 after its head.
+#: A line's end may be written as \\n. Loops over groups are bounded, for the
+#: regular expressions of the JVM recurse in them.
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:[^-]*+(?:-{1,4}(?!-)[^-]*+){0,30}+-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:\s++[A-Za-z-]{3,30}: [^\n]*+){0,5}+(?:(?:\s|\\[nr])++[A-Za-z0-9+/]{16,}+={0,2}){0,400}+(?:(?:\s|\\[nr])++[A-Za-z0-9+/]{2,}+={1,2})?)"
+)
+#: What may be a secret: a named value, a token of parts joined by dots, a long
+#: run with a digit, a long run of capitals, or a private key.
 CANDIDATE = (
-    r"(?i:(?:" + SECRET_WORDS + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?[^\s\"',;<>]{6,})"
+    r"(?i:(?:" + SECRET_WORDS + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?!-----BEGIN )[^\s\"',;<>]{6,})"
+    r"|(?<![A-Za-z0-9+/_-])eyJ[A-Za-z0-9_-]{5,}(?:\.[A-Za-z0-9_-]+){2,4}"
     r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
     r"|(?<![A-Za-z0-9+/_-])[A-Z0-9]{16,}(?![a-z])"
-    r"|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+    r"|" + PRIVATE_KEY
 )
 FEATURES = ("length", "digits", "uppers", "lowers", "others", "changes", "distinct", "vowels", "coverage", "hex", "numeric", "slashes", "known", "named", "near_secret", "near_harmless", "in_url")
 THRESHOLD = 0.5
@@ -98,6 +107,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     sign = pick("s", "=", " = ", ": ", '="', " = \"", "='", '": "')
     near = pick("m", "commit ", "sha256: ", "md5 ", "checksum=", "etag: ", "build ", "rev ", "uuid ", "trace ", "hash: ", "ref ", "at ", "in ", "see ", "")
     lead = pick("l", "stat ", "the value is ", "export ", "", "config ", "x ", "with ", "note ")
+    line = pick("nl", "\n", "\n", "\r\n", "\\n")
+    body = f"array_join(transform(sequence(1, 2 + cast(pmod(id, 24) as int)), i -> concat({line}, translate(concat(base64(unhex(sha2(concat('y', i, '-', id), 256))), base64(unhex(sha2(concat('z', i, '-', id), 256)))), '=', ''))), '')"
     secret = [
         f"concat({lead}, {name}, {sign}, substring({h('a')}, 1, 16 + cast(pmod(id, 25) as int)))",
         f"concat({lead}, {name}, {sign}, substring({alnum('b')}, 1, 12 + cast(pmod(id, 30) as int)))",
@@ -106,7 +117,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         f"concat({lead}, {name}, {sign}, substring({b64('e')}, 1, 40))",
         f"concat({lead}, {name}, {sign}, upper(substring({words}, 1, 2)), {more}, {pick('x', '!7', '#42', '9$x', '_81', '2024!', '77@')}, substring({h('g')}, 1, 3))",
         f"concat({lead}, 'eyJ', substring({alnum('j')}, 1, 38))",
-        f"concat({lead}, '-----BEGIN ', {pick('k', '', 'RSA ', 'EC ', 'OPENSSH ')}, 'PRIVATE KEY-----')",
+        f"concat({lead}, '-----BEGIN ', {pick('k', '', 'RSA ', 'EC ', 'OPENSSH ')}, 'PRIVATE KEY-----', if(pmod(id, 3) = 0, '', concat({body}, {line}, '-----END ', {pick('k', '', 'RSA ', 'EC ', 'OPENSSH ')}, 'PRIVATE KEY-----')))",
+        f"concat({lead}, 'eyJ', substring({alnum('o')}, 1, 33), '.eyJ', substring({alnum('q')}, 1, 20 + cast(pmod(id, 20) as int)), '.', {alnum('r')})",
     ]
     harmless = [
         f"concat({near}, substring({h('A')}, 1, {pick('len', '40', '32', '64')}))",
