@@ -24,8 +24,6 @@ REPEATS = (2, 3, 4)
 #: Each training row is also seen once with this share of its terms, so that one
 #: term alone is worth a score and not only the company it was seen in.
 KEEP = 0.3
-#: A term is of use if the label is this much likelier with it.
-LIFT = 3
 #: Terms that tell less than this share of the best one are left out: words of a few copies of one text.
 WEAKEST = 0.03
 FACTORS = 8
@@ -174,10 +172,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits the model on labelled documents that are not held out.
 
     At most ``max_train`` labelled ids are used, those of smallest hash. Terms
-    with which label 1 is ``LIFT`` times likelier are chosen by the likelihood
-    ratio of their presence, more strictly the more terms there are, so that
-    words of some much repeated line do not count against a text; only their counts and the chosen terms of each
-    training document reach the driver. Labels of one id are joined by their
+    are chosen by the likelihood ratio of their presence, more strictly the more
+    terms there are, whichever label they speak for and however mostly clean
+    they are: terms that are toxic together only stand out by it too. Only
+    their counts and the chosen terms of each training document reach the driver. Labels of one id are joined by their
     maximum; null ids and labels are left out. Without training rows or chosen
     terms the score is one constant.
     """
@@ -199,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     part = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
     gain = 2 * F.col("df") * (part(own, F.lit(rate)) + part(1 - own, F.lit(1 - rate)))
     total = counts.count()
-    useful = counts.where((F.col("df") >= 3) & (own > min(0.5, LIFT * rate))).withColumn("gain", gain)
+    useful = counts.where(F.col("df") >= 3).withColumn("gain", gain)
     most = useful.agg(F.max("gain")).first()[0] or 0.0
     chosen = useful.where(F.col("gain") > max(1.3 * float(np.log(max(total, 2))), WEAKEST * most)).orderBy(F.col("gain").desc(), "t").limit(MAX_TERMS).collect()
     picked = np.array(sorted(r["t"] for r in chosen), int)

@@ -141,6 +141,19 @@ def test_fm_learns_a_pair_that_weights_miss():
     assert z(0) < 0 and z(1) < 0 and z(0, 1) > 0 and z(2) > 0
 
 
+def test_train_learns_a_pair_that_is_mostly_clean_alone(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, labels = [], []
+    for i in range(3000):
+        marks = [w for w, p in (("zorbling", 0.4), ("quexfolk", 0.4)) if rng.random() < p]
+        rows.append((i, " ".join([word() for _ in range(30)] + marks), "s"))
+        labels.append((i, int(len(marks) == 2)))
+    docs, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.score_documents(docs, toxicity.train(docs, lab)).where("held_out").join(lab, "doc_id").toPandas()
+    assert got["toxic"].sum() > 50 and (got["predicted"] == got["toxic"]).mean() > 0.99
+
+
 def test_toxicity_awkward(spark, awkward, none):
     lab = spark.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1)], "doc_id long, toxic int")
     got = toxicity.score_documents(awkward, toxicity.train(awkward, lab))
