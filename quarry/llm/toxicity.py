@@ -24,8 +24,6 @@ REPEATS = (2, 3, 4)
 #: Each training row is also seen once with this share of its terms, so that one
 #: term alone is worth a score and not only the company it was seen in.
 KEEP = 0.3
-#: Terms that tell less than this share of the best one are left out: words of a few copies of one text.
-WEAKEST = 0.03
 FACTORS = 8
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
@@ -174,32 +172,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     At most ``max_train`` labelled ids are used, those of smallest hash. Terms
     are chosen by the likelihood ratio of their presence, more strictly the more
     terms there are, whichever label they speak for and however mostly clean
-    they are: terms that are toxic together only stand out by it too. Only
+    they are: terms that are toxic together only stand out by it too. Copies of
+    a text count once, so their words gain nothing by being repeated. Only
     their counts and the chosen terms of each training document reach the driver. Labels of one id are joined by their
     maximum; null ids and labels are left out. Without training rows or chosen
     terms the score is one constant.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~is_held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col)).cast("int").alias("_y"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_h")).join(F.broadcast(sample), "_id")
 
     def terms(batches):
         for b in batches:
-            yield pd.DataFrame({"_id": b["_id"], "_y": b["_y"], "_terms": [sorted(terms_of_text(x)) for x in b["_text"]]})
+            yield pd.DataFrame({"_id": b["_id"], "_y": b["_y"], "_h": b["_h"], "_terms": [sorted(terms_of_text(x)) for x in b["_text"]]})
 
-    found = rows.mapInPandas(terms, f"_id {rows.schema['_id'].dataType.simpleString()}, _y int, _terms array<int>")
-    n1, n = (int(v or 0) for v in found.agg(F.sum("_y"), F.count("*")).first())
+    found = rows.mapInPandas(terms, f"_id {rows.schema['_id'].dataType.simpleString()}, _y int, _h long, _terms array<int>")
+    once = rows.groupBy("_h").agg(F.min("_id").alias("_id"), F.max("_y").alias("_toxic"))  # copies of a text count once
+    n1, n = (int(v or 0) for v in once.agg(F.sum("_toxic"), F.count("*")).first())
     if not n:
         return FactorizationMachine(np.empty(0, int), -3.0, np.empty(0), np.empty((0, FACTORS)))
     rate = min(max(n1 / n, 1e-6), 1 - 1e-6)
-    counts = found.select("_y", F.explode("_terms").alias("t")).groupBy("t").agg(F.count("*").alias("df"), F.sum("_y").alias("df1"))
+    counts = found.join(F.broadcast(once), ["_id", "_h"]).select("_toxic", F.explode("_terms").alias("t")).groupBy("t").agg(F.count("*").alias("df"), F.sum("_toxic").alias("df1"))
     own = F.col("df1") / F.col("df")
     part = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
     gain = 2 * F.col("df") * (part(own, F.lit(rate)) + part(1 - own, F.lit(1 - rate)))
     total = counts.count()
     useful = counts.where(F.col("df") >= 3).withColumn("gain", gain)
-    most = useful.agg(F.max("gain")).first()[0] or 0.0
-    chosen = useful.where(F.col("gain") > max(1.3 * float(np.log(max(total, 2))), WEAKEST * most)).orderBy(F.col("gain").desc(), "t").limit(MAX_TERMS).collect()
+    chosen = useful.where(F.col("gain") > 1.3 * float(np.log(max(total, 2)))).orderBy(F.col("gain").desc(), "t").limit(MAX_TERMS).collect()
     picked = np.array(sorted(r["t"] for r in chosen), int)
     kept = F.array_sort(F.array_intersect("_terms", F.array(*[F.lit(int(t)) for t in picked]))) if len(picked) else F.array().cast("array<int>")
     data = found.select("_id", "_y", kept.alias("_terms")).orderBy("_id").collect()

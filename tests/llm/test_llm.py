@@ -154,6 +154,16 @@ def test_train_learns_a_pair_that_is_mostly_clean_alone(spark):
     assert got["toxic"].sum() > 50 and (got["predicted"] == got["toxic"]).mean() > 0.99
 
 
+def test_a_rare_insult_keeps_its_weight_beside_a_frequent_one(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = [(i, " ".join([word() for _ in range(30)] + (["quexfolk"] if i % 200 == 0 else ["zorbling"]) * (i % 5 == 0)), "s") for i in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    lab = docs.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))
+    got = toxicity.score_documents(docs, toxicity.train(docs, lab)).where("held_out and doc_id % 200 = 0").toPandas()
+    assert len(got) > 2 and (got["predicted"] == 1).all()
+
+
 def test_toxicity_awkward(spark, awkward, none):
     lab = spark.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1)], "doc_id long, toxic int")
     got = toxicity.score_documents(awkward, toxicity.train(awkward, lab))
