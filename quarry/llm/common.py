@@ -38,7 +38,43 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"quarry-{uuid.uuid4().hex[:12]}-{name}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    _written(spark).append(path)
+    return out
+
+
+def _written(spark: SparkSession) -> list[str]:
+    """Paths of the tables that ``materialize`` has written and nobody has removed."""
+    context = spark.sparkContext
+    if not hasattr(context, "_quarry_tables"):
+        context._quarry_tables = []
+    return context._quarry_tables
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm, known = spark.sparkContext._jvm, _written(spark)
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        known.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing will read again."""
+    for t in tables:
+        if (path := getattr(t, "_quarry_path", None)) in _written(t.sparkSession):
+            _remove(t.sparkSession, [path])
+
+
+def tables_so_far(spark: SparkSession) -> set[str]:
+    """A mark for ``discard_since``."""
+    return set(_written(spark))
+
+
+def discard_since(spark: SparkSession, mark: set[str], keep: DataFrame) -> None:
+    """Removes all tables written since the mark but ``keep``, which must be a written one."""
+    _remove(spark, [p for p in _written(spark) if p not in mark and p != keep._quarry_path])
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         links = large.join(low, "a").select("a", F.col("m").alias("b"))
-        edges = materialize(small.unionByName(links).where("a <> b").distinct(), "small-star")
+        last, edges = edges, materialize(small.unionByName(links).where("a <> b").distinct(), "small-star")
+        discard(last, large)
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.shiftright(F.xxhash64("a", "b"), 8)), F.lit(0))).first()
         if state == seen:
             break

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm import toxicity
 from quarry.llm.decontaminate import find_leaks
@@ -111,7 +112,8 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ``documents`` text without strings of 400 bytes that occur again."""
-    return remove_repeats(_table(spark, sf_dir, "documents"))
+    found = remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings with a geometric family of sparse suffix arrays.
+"""Removal of long repeated byte strings with a logarithmic family of sparse suffix arrays.
 
 A byte goes if it is covered by a string of ``LENGTH`` bytes that starts at two
 places at least. Suffixes are sampled: each window of ``LENGTH`` bytes names one
@@ -11,19 +11,21 @@ start in a row; the bytes they cover are the anchor's context.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bound_batches, materialize
+from quarry.llm.common import bound_batches, discard, materialize
 
 LENGTH, K = 400, 32
-#: Batches that a whole table is taken in; levels of equal size are merged as they come.
-BATCHES = 2
+#: Bytes of text of a batch, and the least and most batches that one table is taken in: each
+#: is scanned against all before it, so beyond 2 GB batches grow instead of their number.
+BATCH_BYTES, FEWEST, MOST = 2**28, 2, 8
 #: Contexts of one anchor string beyond which its windows are counted one by one in the plan.
-HOT_CONTEXTS = 4_000
+HOT_CONTEXTS = 256
 #: Keys (16 bytes each) that may be broadcast to thin out texts before their shuffle.
 BROADCAST_KEYS = 1_000_000
 _RNG = np.random.default_rng(20240607)
@@ -71,10 +73,13 @@ def _span_hash(prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, ...]:
-    """(place, first start, last start, gram hash, context hash) of the anchors of a text."""
+    """(place, first start, last start, head, gram hash, context hash) of the anchors of a text.
+
+    The head is the first eight bytes as a number of the same order.
+    """
     n = len(data)
     if n < LENGTH:
-        return tuple(np.empty(0, np.int64) for _ in range(3)) + tuple(np.empty(0, np.uint64) for _ in range(2))
+        return tuple(np.empty(0, np.int64) for _ in range(3)) + tuple(np.empty(0, np.uint64) for _ in range(3))
     codes = np.frombuffer(data, np.uint8)
     parts = [_anchors(codes[i : i + _CHUNK + LENGTH - 1], i) for i in range(0, n - LENGTH + 1, _CHUNK)]
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
@@ -97,7 +102,8 @@ def _anchors(codes: np.ndarray, base: int) -> tuple[np.ndarray, ...]:
     prefix = _prefix(codes)
     shape = ((at - first).astype(np.uint64) << np.uint64(32)) | (last - first).astype(np.uint64)
     context = _mix(_span_hash(prefix, first, last + LENGTH) ^ _mix(shape))
-    return at + base, first + base, last + base, h[at], context
+    head = np.lib.stride_tricks.sliding_window_view(codes, 8)[at].copy().view(">u8")[:, 0].astype(np.uint64) ^ np.uint64(2**63)
+    return at + base, first + base, last + base, head, h[at], context
 
 
 def window_keys(gram: int, offset: int, starts: int, data: bytes) -> np.ndarray:
@@ -125,7 +131,7 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_ENTRY = "k1 long, k2 long, at int, first int, last int, gram long, context long"
+_ENTRY = "k1 long, k2 long, at int, first int, last int, head long, gram long, context long"
 
 
 def suffix_entries(texts: DataFrame) -> DataFrame:
@@ -136,51 +142,90 @@ def suffix_entries(texts: DataFrame) -> DataFrame:
             out = []
             for k1, k2, t in zip(b["k1"], b["k2"], b["_text"], strict=True):
                 if t and (len(t) * 4 >= LENGTH):
-                    at, lo, hi, g, c = anchors(t.encode("utf-8", "surrogatepass"))
+                    at, lo, hi, *marks = anchors(t.encode("utf-8", "surrogatepass"))
                     if len(at):
-                        out.append((np.full(len(at), k1), np.full(len(at), k2), at, lo, hi, g.view(np.int64), c.view(np.int64)))
-            cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 7
-            yield pd.DataFrame(dict(zip(("k1", "k2", "at", "first", "last", "gram", "context"), cols, strict=True)))
+                        out.append((np.full(len(at), k1), np.full(len(at), k2), at, lo, hi, *(m.view(np.int64) for m in marks)))
+            cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 8
+            yield pd.DataFrame(dict(zip(("k1", "k2", "at", "first", "last", "head", "gram", "context"), cols, strict=True)))
 
     return texts.select("k1", "k2", "_text").mapInPandas(run, _ENTRY)
 
 
 class SuffixFamily:
-    """Levels of sorted sparse suffix arrays; equal-sized ones are merged geometrically.
-
-    A level is a table sorted by gram and context hash with, for each distinct
-    context, how often it occurs and one place. Level i holds the suffixes of
-    2**i batches, so an entry is merged a logarithmic number of times.
+    """Levels of sparse suffix arrays; a new batch is scanned against them, equal-sized ones merge.
+
+    An array has a row for each distinct context of the anchored suffixes, with
+    how often it occurs and one place. It is in the order of suffixes to a depth
+    of eight bytes (``head``), and below that in the order of the hashes of the
+    first ``K`` bytes (``gram``) and of the whole context, so that suffixes with
+    ``K`` bytes in common, and those with a context in common, follow each other,
+    which is all that a scan asks of the order. Level i holds the suffixes of
+    2**i batches, so a suffix is merged a logarithmic number of times.
+
+    Runs are found by aggregates on keys with map-side combining, so a run of
+    any length is split over tasks.
     """
 
-    def __init__(self) -> None:
-        self.levels: list[DataFrame | None] = []
+    def __init__(self, levels: list[DataFrame | None] | None = None) -> None:
+        self.levels = list(levels or [])
+        self.crossed: list[tuple[DataFrame, DataFrame]] = []
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str, count: int) -> SuffixFamily:
+        """The family of ``count`` batches that ``save`` has written."""
+        return cls([spark.read.parquet(f"{folder}/level-{i}") if count >> i & 1 else None for i in range(count.bit_length())])
+
+    def save(self, folder: str) -> int:
+        """Writes the levels into a new folder; returns how many batches they hold."""
+        for i, level in enumerate(self.levels):
+            if level is not None:
+                level.write.parquet(f"{folder}/level-{i}")
+        return sum(1 << i for i, level in enumerate(self.levels) if level is not None)
 
     @staticmethod
-    def _sorted(df: DataFrame, name: str) -> DataFrame:
-        return materialize(df.sortWithinPartitions("gram", "context"), name)
+    def _array(parts: DataFrame) -> DataFrame:
+        """The array of rows ``head, gram, context, n, place``, equal contexts put together."""
+        return parts.groupBy("gram", "context").agg(F.min("head").alias("head"), F.sum("n").alias("n"), F.min("place").alias("place")).sortWithinPartitions("head", "gram", "context")
 
     def add(self, entries: DataFrame) -> None:
-        """Takes in the entries of a new batch."""
+        """Takes in a batch: its array is scanned against every level it is not merged with.
+
+        What one level has twice can be read from it (``repeated``, ``mixed``).
+        """
         place = F.struct("k1", "k2", "at", "first", "last")
-        new, i = self._sorted(entries.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("place")), "level-0"), 0
-        while i < len(self.levels) and self.levels[i] is not None:
-            both = self.levels[i].unionByName(new)
-            new = self._sorted(both.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min("place").alias("place")), f"level-{i + 1}")
-            self.levels[i] = None
-            i += 1
-        self.levels += [None] * (i + 1 - len(self.levels))
-        self.levels[i] = new
-
-    def scan(self) -> DataFrame:
-        """All levels merged: contexts, their numbers over all batches and a place of each."""
-        levels = [x for x in self.levels if x is not None]
-        if len(levels) == 1:
-            return levels[0]
-        both = levels[0]
-        for x in levels[1:]:
-            both = both.unionByName(x)
-        return both.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
+        new = materialize(self._array(entries.select("head", "gram", "context", F.lit(1).cast("long").alias("n"), place.alias("place"))), "batch")
+        full = next((i for i, level in enumerate([*self.levels, None]) if level is None))
+        for level in self.levels[full + 1 :]:
+            if level is not None:
+                self.crossed.append(self._merge_scan(level, new))
+        old = self.levels[:full]
+        if old:
+            merged = materialize(self._array(reduce(DataFrame.unionByName, [*old, new])), f"level-{full}")
+            discard(*old, new)
+            new = merged
+        self.levels = [None] * full + [new] + self.levels[full + 1 :]
+
+    @staticmethod
+    def _merge_scan(level: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Contexts that both arrays have, and grams that both have with more than one context."""
+        both = level.select("gram", "context", F.lit(1).alias("side")).unionByName(new.select("gram", "context", F.lit(2).alias("side")))
+        met = both.groupBy("gram", "context").agg(F.bit_or("side").alias("side"))
+        runs = met.groupBy("gram").agg(F.bit_or("side").alias("side"), F.count("*").alias("kinds")).where("side = 3 AND kinds > 1")
+        return materialize(met.where("side = 3").select("gram", "context"), "crossed"), materialize(runs.select("gram"), "crossed-runs")
+
+    def contexts(self) -> DataFrame:
+        """All levels, one after the other."""
+        return reduce(DataFrame.unionByName, [x for x in self.levels if x is not None])
+
+    def repeated(self) -> DataFrame:
+        """``gram, context`` of the contexts that occur twice at least."""
+        parts = [x.where("n > 1").select("gram", "context") for x in self.levels if x is not None]
+        return reduce(DataFrame.unionByName, parts + [w for w, _ in self.crossed])
+
+    def mixed(self) -> DataFrame:
+        """``gram`` of the runs with more than one context."""
+        parts = [x.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram") for x in self.levels if x is not None]
+        return reduce(DataFrame.unionByName, parts + [g for _, g in self.crossed])
 
 
 def _thinned(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -247,7 +292,7 @@ def _resolve_hot(contexts: DataFrame) -> DataFrame:
     return rows.where("n = 1").join(twice, "key").select("k1", "k2", "begin", (F.col("begin") + LENGTH).alias("end"))
 
 
-def repeated_spans(texts: DataFrame, batches: int = BATCHES) -> DataFrame:
+def repeated_spans(texts: DataFrame, batches: int = 2) -> DataFrame:
     """``k1, k2, begin, end``: spans of repeated strings in texts of key (k1, k2), with overlaps.
 
     ``texts`` has a row per document (``k1, k2, _text``, the keys hashing the
@@ -256,17 +301,16 @@ def repeated_spans(texts: DataFrame, batches: int = BATCHES) -> DataFrame:
     string, are sent with their bytes, one of each other kind with them, and
     compared window by window.
     """
-    family, entries = SuffixFamily(), None
+    family, entries = SuffixFamily(), []
     for i in range(batches):
-        part = texts.where(F.pmod("k1", F.lit(batches)) == i) if batches > 1 else texts
-        new = materialize(suffix_entries(part), "suffixes")
-        family.add(new)
-        entries = new if entries is None else entries.unionByName(new)
-    index = family.scan()
-    whole = index.where("n > 1").select("gram", "context")
-    spans = entries.join(whole, ["gram", "context"], "left_semi").select("k1", "k2", F.col("first").alias("begin"), (F.col("last") + LENGTH).alias("end"))
-    kinds = index.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("gram", "kinds")
-    places = materialize(index.join(kinds, "gram").select("gram", "n", "kinds", "place.*"), "mixed")
+        entries.append(materialize(suffix_entries(texts.where(F.pmod("k1", F.lit(batches)) == i)), "suffixes"))
+        family.add(entries[-1])
+    whole = family.repeated()
+    spans = reduce(DataFrame.unionByName, entries).join(whole, ["gram", "context"], "left_semi").select("k1", "k2", F.col("first").alias("begin"), (F.col("last") + LENGTH).alias("end"))
+    places = family.contexts().join(family.mixed(), "gram", "left_semi").groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min("place").alias("place"))
+    places = materialize(places, "runs")
+    kinds = places.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("least = 1").select("gram", "kinds")
+    places = materialize(places.join(kinds, "gram").select("gram", "n", "kinds", "place.*"), "mixed")
     wanted = places.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "n", "kinds", "at", "first", "last")).alias("places"))
     found = _thinned(texts, places.select("k1", "k2").distinct()).join(wanted, ["k1", "k2"])
 
@@ -288,50 +332,60 @@ def repeated_spans(texts: DataFrame, batches: int = BATCHES) -> DataFrame:
     return spans.unionByName(once)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
-    """``id, n_bytes, n_removed, n_spans, kept_sha256`` of every row.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int | None = None, with_text: bool = False) -> DataFrame:
+    """``id, n_bytes, n_removed, spans, kept_sha256`` of every row, and ``kept`` if asked for.
 
     Texts are bytes of UTF-8; a byte covered by ``LENGTH`` bytes that also start
-    anywhere else, in any row, is removed, judged on the input. Copies of a
-    text of that length go whole; each distinct text is treated once, and rows
-    get its result by their text's 128-bit key.
+    anywhere else, in any row, is removed, judged on the input. ``spans`` are
+    the maximal removed runs [begin, end); ``kept`` (binary) has the bytes that
+    remain. Copies of a text of that length go whole; each distinct text is
+    treated once, and rows get its result by their text's 128-bit key. The
+    table comes in ``batches`` by the key, as many as its bytes ask for if none
+    are given; their number changes no result.
 
     Defined results: null is the empty text: no bytes, no spans, the digest of
     nothing. Shorter texts lose nothing. Repeated rows count as places of their
     own. An empty table gives no rows; ids may be null or repeat; other columns
-    are ignored.
+    are ignored. Texts may be as long as a row may be: they are looked at in
+    pieces of ``_CHUNK`` bytes.
     """
     bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).withColumns({"k1": F.xxhash64("_text"), "k2": F.xxhash64(F.lit(1), "_text")})
     rows = materialize(keyed.select("_id", "k1", "k2", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2(F.col("_text").cast("binary"), 256).alias("_sha")), "rows")
-    copied = rows.groupBy("k1", "k2").agg(F.count("*").alias("_copies"), F.first("n_bytes").alias("n_bytes"))
+    copied = rows.groupBy("k1", "k2").agg(F.first("n_bytes").alias("n_bytes"))
+    if batches is None:
+        size = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+        batches = min(MOST, max(FEWEST, -(-size // BATCH_BYTES)))
     texts = keyed.select("k1", "k2", "_text")
     spans = repeated_spans(texts, batches).groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
     def join(batches):
         for b in batches:
             merged = [merge_spans([(s["begin"], s["end"]) for s in x]) for x in b["spans"]]
-            yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "begins": [[a for a, _ in m] for m in merged], "ends": [[e for _, e in m] for m in merged], "n_removed": [sum(e - a for a, e in m) for m in merged]})
+            yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "spans": [[{"begin": a, "end": e} for a, e in m] for m in merged], "n_removed": [sum(e - a for a, e in m) for m in merged]})
 
-    merged = materialize(spans.mapInPandas(join, "k1 long, k2 long, begins array<int>, ends array<int>, n_removed long"), "spans")
+    kind = "k1 long, k2 long, spans array<struct<begin:int,end:int>>, n_removed long"
+    merged = materialize(spans.mapInPandas(join, kind), "spans")
     judged = merged.join(copied, ["k1", "k2"])
-    partial = judged.where("n_removed < n_bytes").select("k1", "k2", "begins", "ends", "n_removed")
+    partial = judged.where("n_removed < n_bytes").select("k1", "k2", "spans", "n_removed")
 
-    def digest(batches):
+    def cut(batches):
         for b in batches:
-            out = []
-            for t, lo, hi in zip(b["_text"], b["begins"], b["ends"], strict=True):
-                data, kept, at = t.encode("utf-8", "surrogatepass"), hashlib.sha256(), 0
-                for a, e in zip(lo, hi, strict=True):
-                    kept.update(data[at:a])
-                    at = e
-                kept.update(data[at:])
-                out.append(kept.hexdigest())
-            yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "n_removed": b["n_removed"], "n_spans": [len(x) for x in b["begins"]], "kept": out})
-
-    cut = _thinned(texts, partial.select("k1", "k2")).join(partial, ["k1", "k2"]).mapInPandas(digest, "k1 long, k2 long, n_removed long, n_spans long, kept string")
-    gone = judged.where("n_removed >= n_bytes").select("k1", "k2", "n_removed", F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept"))
-    results = materialize(cut.unionByName(gone), "results")
-    out = rows.join(results, ["k1", "k2"], "left")
-    return out.select(F.col("_id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept", "_sha").alias("kept_sha256"))
+            kept = []
+            for t, spans in zip(b["_text"], b["spans"], strict=True):
+                data, at, parts = t.encode("utf-8", "surrogatepass"), 0, []
+                for s in spans:
+                    parts.append(data[at : s["begin"]])
+                    at = s["end"]
+                kept.append(b"".join([*parts, data[at:]]))
+            yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "spans": b["spans"], "n_removed": b["n_removed"], "_kept": kept, "_cut": [hashlib.sha256(x).hexdigest() for x in kept]}).drop(columns=[] if with_text else ["_kept"])
+
+    shape = f"{kind}{', _kept binary' * with_text}, _cut string"
+    rest = _thinned(texts, partial.select("k1", "k2")).join(partial, ["k1", "k2"]).mapInPandas(cut, shape)
+    none = F.lit(b"").alias("_kept")
+    gone = judged.where("n_removed >= n_bytes").select("k1", "k2", "spans", "n_removed", *[none] * with_text, F.lit(hashlib.sha256(b"").hexdigest()).alias("_cut"))
+    results = materialize(rest.unionByName(gone), "results")
+    out = (keyed.select("_id", "k1", "k2", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2(F.col("_text").cast("binary"), 256).alias("_sha"), F.col("_text").cast("binary").alias("_own")) if with_text else rows).join(results, ["k1", "k2"], "left")
+    kept = [F.coalesce("_kept", "_own").alias("kept")] * with_text
+    return out.select(F.col("_id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("spans", F.array().cast("array<struct<begin:int,end:int>>")).alias("spans"), F.coalesce("_cut", "_sha").alias("kept_sha256"), *kept)

@@ -418,7 +418,7 @@ def brute_repeats(rows, n=suffix_dedup.LENGTH):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize(("hot", "batches"), [(4000, 2), (2, 1), (4000, 3)])
+@pytest.mark.parametrize(("hot", "batches"), [(256, 2), (2, 1), (4000, 3)])
 def test_repeats_against_brute_force(spark, monkeypatch, hot, batches):
     monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
     rng = random.Random(6)
@@ -430,10 +430,41 @@ def test_repeats_against_brute_force(spark, monkeypatch, hot, batches):
         for _ in range(rng.randint(0, 5)):
             t[rng.randrange(300)] = text(1)
         rows.append((i, " ".join(t)))
-    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), batches=batches).collect()
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), batches=batches, with_text=True).collect()
+    assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256)) for r in got) == brute_repeats(rows)
+    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and r.n_bytes - r.n_removed == len(r.kept) for r in got)
+
+
+def test_query_of_repeats_against_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = queries.op8_suffix_dedup(spark, SF).collect()
     assert sorted(str(tuple(r)) for r in got) == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("batches", [1, 2, 3, 5])
+def test_levels_are_merged_like_a_binary_counter(spark, tmp_path, batches):
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    shared = text(3000)
+    rows = [(i, 7, text(300) + (shared if i % 3 == 0 else "") + text(500)) for i in range(60)]
+    texts = spark.createDataFrame(rows, "k1 long, k2 long, _text string")
+    entries = suffix_dedup.suffix_entries(texts)
+    family = suffix_dedup.SuffixFamily()
+    for i in range(batches):
+        family.add(entries.where(F.col("k1") % batches == i))
+        if i == 2:  # a family can be written and taken up again by a later run
+            crossed, count = family.crossed, family.save(f"{tmp_path}/f")
+            family = suffix_dedup.SuffixFamily.load(spark, f"{tmp_path}/f", count)
+            family.crossed = crossed
+    assert [level is not None for level in family.levels] == [bool(batches >> i & 1) for i in range(batches.bit_length())]
+    want = {(r.gram, r.context) for r in entries.groupBy("gram", "context").count().where("count > 1").collect()}
+    assert want and {(r.gram, r.context) for r in family.repeated().collect()} == want
+    runs = {r.gram for r in entries.select("gram", "context").distinct().groupBy("gram").count().where("count > 1").collect()}
+    assert {r.gram for r in family.mixed().collect()} == runs
+    for level in filter(None, family.levels):
+        assert all(a <= b for part in level.select("head").rdd.glom().map(lambda p: [r.head for r in p]).collect() for a, b in zip(part, part[1:]))
+
+
 def test_repeats_awkward(awkward, none):
     assert suffix_dedup.remove_repeats(awkward).count() == 10 and suffix_dedup.remove_repeats(none).count() == 0
 
