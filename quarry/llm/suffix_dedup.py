@@ -22,10 +22,10 @@ from quarry.llm.common import bound_batches, discard, materialize
 
 LENGTH, K = 400, 32
 #: Bytes of text of a batch, and the least and most batches that one table is taken in: each
-#: is scanned against all before it, so beyond 2 GB batches grow instead of their number.
-BATCH_BYTES, FEWEST, MOST = 2**28, 2, 8
+#: is scanned against all before it, so beyond 4 GB batches grow instead of their number.
+BATCH_BYTES, FEWEST, MOST = 2**29, 4, 8
 #: Contexts of one anchor string beyond which its windows are counted one by one in the plan.
-HOT_CONTEXTS = 256
+HOT_CONTEXTS = 4_000
 #: Keys (16 bytes each) that may be broadcast to thin out texts before their shuffle.
 BROADCAST_KEYS = 1_000_000
 _RNG = np.random.default_rng(20240607)
