@@ -15,6 +15,8 @@ SHARE = 1.5
 MAX_EPOCHS = 2
 #: Rows of one hash range of a source: what one window task sorts at a time.
 BUCKET_ROWS = 1000
+#: Buckets of a block, as a power of two: what one window task adds up.
+BLOCK_BITS = 14
 #: Up to so many sources their table (a few dozen bytes a row) is broadcast.
 BROADCAST_SOURCES = 50_000
 
@@ -48,7 +50,7 @@ def source_targets(base: DataFrame, weights=WEIGHTS, share: float = SHARE, max_e
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (), weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """How many words a mix takes of each row: ``id, keep..., size, source_size, target, taken``.
 
-    Every row gets a hash-random key from its id. Within a source rows stand in
+    Every row gets a hash-random key from its id and text. Within a source rows stand in
     the order of their keys; the running sum of sizes before a row says how much
     of the budget is left for it. A budget of several times the source's size
     takes whole epochs first and cuts the last one exactly at the budget, so
@@ -56,15 +58,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The running sum is distributed: keys are uniform, so equal ranges of the key
     split any source, however hot, into buckets of about ``BUCKET_ROWS`` rows;
-    bucket totals give each bucket's offset and one window per bucket the rest.
+    bucket totals, summed in blocks and blocks of a source, give each bucket's
+    offset and one window per bucket the rest.
 
     Defined results: a null or empty text has size 0 and takes 0. A null source
-    is a source, last in order. Rows that share an id (null ids too) share a
-    key; they are cut in order of size, and equal rows are interchangeable.
-    An empty table gives no rows. Other columns are carried only when named in
+    is a source, last in order. Rows that share an id (null ids too) have keys by
+    their texts; rows that are equal in both are interchangeable. Ids may be of
+    any type. An empty table gives no rows. Other columns are carried only when named in
     ``keep``; their names may not be those of the result.
     """
-    key = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+    named = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("/"), F.coalesce(F.col(text_col), F.lit("")))
+    key = F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), *[F.col(c).alias(f"_keep_{c}") for c in keep], word_count(F.col(text_col)).alias("size"), key.alias("_key")).withColumn("_s", null_key(F.col("_source")))
     narrow = materialize(rows.select("_id", "_source", "_s", "size", "_key"), "sizes")
     sources, n = source_targets(narrow, weights, share, max_epochs)
@@ -76,8 +80,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return df.join(hint(sources), "_s").withColumn("_bucket", F.expr("shiftright(_key, 60 - _bits)"))
 
     totals = placed(narrow).groupBy("_s", "_bucket").agg(F.sum("size").alias("_size"))
-    earlier = Window.partitionBy("_s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_s", "_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
+    # prefix sums in two levels, so that no task holds all buckets of a source
+    totals = materialize(totals.withColumn("_block", F.shiftright("_bucket", BLOCK_BITS)), "buckets")
+    first = Window.partitionBy("_s").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = totals.groupBy("_s", "_block").agg(F.sum("_size").alias("_size")).select("_s", "_block", F.coalesce(F.sum("_size").over(first), F.lit(0)).alias("_ahead"))
+    earlier = Window.partitionBy("_s", "_block").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_s", "_block", "_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset")).join(blocks, ["_s", "_block"])
+    offsets = offsets.select("_s", "_bucket", (F.col("_offset") + F.col("_ahead")).alias("_offset"))
     inside = Window.partitionBy("_s", "_bucket").orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed_rows = placed(rows if keep else narrow).join(offsets, ["_s", "_bucket"])
     before = F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("_offset")

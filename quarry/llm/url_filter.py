@@ -34,26 +34,36 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def _sweep(rows: DataFrame, rules: DataFrame, group: str, key: str, slot: str, slots: list[int]) -> DataFrame:
-    """``rows`` with ``_stack``: per slot the last rule key opened at or before the row's key.
+def _opened(rules: DataFrame, group: str, key: str) -> DataFrame:
+    """``group, key, _nest``: each rule key with the stack that is open at it, itself last.
+
+    These are the keys of its group that begin it: its own beginnings, joined
+    with the rules as equal keys.
+    """
+    stops = rules.select(group, key).distinct()
+    begun = stops.select(group, F.col(key).alias("_whole"), F.explode(F.transform(F.sequence(F.lit(0), F.length(key)), lambda n: F.substring(F.col(key), F.lit(1), n))).alias(key))
+    return begun.join(stops, [group, key]).groupBy(group, F.col("_whole").alias(key)).agg(F.array_sort(F.collect_list(F.struct(F.length(key).alias("n"), F.col(key).alias("k")))).alias("_nest")).withColumn("_nest", F.transform("_nest", lambda x: x["k"]))
+
+
+def _sweep(rows: DataFrame, rules: DataFrame, group: str, key: str) -> DataFrame:
+    """``rows`` with ``_stack``: the rule keys of the group that begin the row's key.
 
     A rule's key opens the interval of all keys that begin with it. Rows and
-    rules are sorted together within ``group``; walking up, the latest key of a
-    nesting level replaces the earlier one of that level, and what does not
-    begin the row's key has been closed. Groups are salted: each salt gets a copy
-    of the group's rules and as many rows as there are rules, or
-    ``SWEEP_ROWS``, so that the copies never outnumber rows and rules.
+    rules are sorted together within ``group``; at a row, the open intervals are
+    those of the stack at the last rule before it whose keys begin the row's:
+    whatever stands between a key and one that it begins is begun by it too.
+    Groups are salted: each salt gets a copy of the group's rules and as many
+    rows as there are rules, or ``SWEEP_ROWS``, so that the copies never
+    outnumber rows and rules. ``rows`` and ``rules`` are written tables.
     """
-    n_rules = rules.count()
-    salts = parts_for(rows.count(), max(SWEEP_ROWS, n_rules))
-    stops = rules.select(group, key, slot).distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salts = parts_for(rows.count(), max(SWEEP_ROWS, rules.count()))
+    stops = _opened(rules, group, key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     cols = rows.columns
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int")).withColumn(slot, F.lit(None).cast("int"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int"))
     both = salted.unionByName(stops, allowMissingColumns=True)
-    upto = Window.partitionBy(group, "_salt").orderBy(F.col(key), F.col(slot).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    opened = [F.last(F.when(F.col(slot) == i, F.col(key)), ignorenulls=True).over(upto) for i in slots]
-    swept = both.select(*cols, slot, F.array(*opened).alias("_open")).where(F.col(slot).isNull())
-    return swept.select(*cols, F.filter("_open", lambda k: F.col(key).startswith(k)).alias("_stack"))
+    upto = Window.partitionBy(group, "_salt").orderBy(F.col(key), F.col("_nest").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    swept = both.select(*cols, "_nest", F.last("_nest", ignorenulls=True).over(upto).alias("_open")).where(F.col("_nest").isNull())
+    return swept.select(*cols, F.filter(F.coalesce("_open", F.array().cast("array<string>")), lambda k: F.col(key).startswith(k)).alias("_stack"))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -66,10 +76,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
 
     Hosts are first swept against the hosts of the rules: reversed-host keys
     turn "this domain and all below" into one interval, and intervals nest, so a
-    stack with a slot per number of labels holds all open ones. Each open rule
-    host is then swept once more with its paths, whose stack has a slot per
-    path length. Both sweeps are sorts of narrow rows in salted groups; no page
-    meets a rule whose interval it is not in.
+    stack holds all open ones. Each open rule host is then swept once more with
+    its paths. Both sweeps are sorts of narrow rows in salted groups; no page
+    meets a rule whose interval it is not in, and a rule's stack is as deep as
+    rules nest, whatever their number.
 
     Defined results: a null url or one without ``://`` has an empty host and
     path and gets the default. Repeated pages are judged one by one. Empty
@@ -79,14 +89,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     urls = materialize(pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.monotonically_increasing_id().alias("_row")), "urls")
     urls = urls.select("_row", "_id", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
     rules = materialize(rules.where("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL").select(host_key(F.col("host")).alias("_hkey"), F.col("host").alias("_rhost"), F.col("path").alias("_rpath"), F.col("verdict").alias("_verdict")).distinct(), "rules")
-    labels = F.size(F.split("_hkey", r"\.")) - 1
-    depths = rules.select(F.sort_array(F.collect_set(labels)).alias("d"), F.sort_array(F.collect_set(F.length("_rpath"))).alias("p")).first()
     first = F.substring_index("_hkey", ".", 1)
     keyed = urls.select("_row", host_key(F.col("host")).alias("_hkey"), F.col("path").alias("_path")).withColumn("_top", first)
-    tops = rules.select("_hkey", labels.alias("_slot")).withColumn("_top", first)
-    active = _sweep(keyed, tops, "_top", "_hkey", "_slot", depths["d"]).select("_row", "_path", F.explode("_stack").alias("_hkey"))
-    paths = rules.select("_hkey", F.col("_rpath").alias("_path"), F.length("_rpath").alias("_slot"))
-    fits = _sweep(active, paths, "_hkey", "_path", "_slot", depths["p"]).select("_row", "_hkey", F.explode("_stack").alias("_rpath"))
+    hosts = _sweep(keyed, rules.select("_hkey").distinct().withColumn("_top", first), "_top", "_hkey")
+    active = materialize(hosts.select("_row", "_path", F.explode("_stack").alias("_hkey")), "active")
+    fits = _sweep(active, rules.select("_hkey", F.col("_rpath").alias("_path")), "_hkey", "_path").select("_row", "_hkey", F.explode("_stack").alias("_rpath"))
     fits = fits.join(rules, ["_hkey", "_rpath"])
     longest = F.struct(F.length(F.concat("_rhost", "_rpath")).alias("n"), F.length("_rhost").alias("h"), F.col("_verdict").alias("verdict"), F.concat("_rhost", "_rpath").alias("rule"))
     best = fits.groupBy("_row").agg(F.max(longest).alias("_best"))

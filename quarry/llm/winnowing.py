@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import parts_for
+from quarry.llm.common import bound_batches, materialize, ranked
 
 #: Noise threshold: matches shorter than K code points are never seen.
 K = 24
@@ -19,10 +19,13 @@ K = 24
 W = 40
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = 0xBF58476D1CE4E5B9
-#: Ranges of ids at most; a row of each reaches the driver. Beyond, ranges get longer.
-MAX_RANGES = 20_000
-#: Low bits that hold a position, and the longest piece looked at in one go.
-_POS, _CHUNK = np.uint64(2**24 - 1), 2**22
+#: Rows of a range of ids, and how many ranges there are at most: their first rows (some 30 bytes
+#: each) are broadcast. Ranges are read as a stream, so longer ones need no more memory.
+RANGE_ROWS, MAX_RANGES = 500, 500_000
+#: The longest piece looked at in one go.
+_CHUNK = 2**22
+#: A mark of a fingerprint: position and hash, the most significant byte first.
+_MARK = np.dtype([("position", ">u4"), ("hash", ">u8")])
 
 
 def gram_hashes(codes: np.ndarray, k: int = K) -> np.ndarray:
@@ -62,24 +65,32 @@ def winnow(text: str, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _select(h: np.ndarray, w: int) -> np.ndarray:
-    """Positions of the window minima of a piece of at most 2**24 grams."""
-    n = len(h)
-    # one number per gram: 40 bits of hash, then the position counted down, so that
-    # the sliding minimum prefers the later of equal grams and tells where it stands
-    low = (h & ~_POS) | (_POS - np.arange(n, dtype=np.uint64))
-    width = 1
+    """Positions of the window minima of a piece, the rightmost of equal hashes."""
+    low, at, width = h, np.arange(len(h)), 1
+
+    def joined(low: np.ndarray, at: np.ndarray, by: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        later = low[by : by + n] <= low[:n]
+        return np.where(later, low[by : by + n], low[:n]), np.where(later, at[by : by + n], at[:n])
+
     while width * 2 <= w:
-        low, width = np.minimum(low[: len(low) - width], low[width:]), width * 2
-    low = np.minimum(low[: n - w + 1], low[w - width : n - width + 1])
-    picked = (_POS - (low & _POS)).astype(np.int64)
-    return picked[np.concatenate(([True], picked[1:] != picked[:-1]))]
+        low, at = joined(low, at, width, len(low) - width)
+        width *= 2
+    if w > width:
+        _, at = joined(low, at, w - width, len(h) - w + 1)
+    return at[np.concatenate(([True], at[1:] != at[:-1]))]
 
 
 def fingerprint(positions: np.ndarray, hashes: np.ndarray) -> str:
-    """128-bit digest of hashes and positions; the empty fingerprint is the empty string."""
-    if not len(hashes):
-        return ""
-    return xxhash.xxh3_128_hexdigest(hashes.tobytes() + positions.astype(np.int64).tobytes())
+    """Positions and hashes as text (base64 of 12 bytes a mark); the empty fingerprint is the empty string."""
+    marks = np.empty(len(hashes), _MARK)
+    marks["position"], marks["hash"] = positions, hashes
+    return base64.b64encode(marks.tobytes()).decode()
+
+
+def read_fingerprint(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The positions and hashes of a fingerprint."""
+    marks = np.frombuffer(base64.b64decode(text), _MARK)
+    return marks["position"].astype(np.int64), marks["hash"].astype(np.uint64)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -108,32 +119,34 @@ def winnow_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, schema)
 
 
-def with_successors(docs: DataFrame, id_col: str, text_col: str, rows_per_part: int = 500) -> DataFrame:
-    """Rows ``_part, _id, _text, _ghost`` such that each part, sorted, holds every row's successor.
+def with_successors(docs: DataFrame, id_col: str, text_col: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Rows ``_part, _id, _text, _tie, _ghost`` such that each part, sorted, holds every row's successor.
 
-    Ids are cut into ranges at quantiles of all ids; each range also gets, as a
-    ghost, the first document of the following one, and the last range the
-    very first document. Descending id, null ids last, texts break ties. The
-    texts are shuffled once; what reaches the driver is one row per range.
+    Descending id, null ids last, XXH64 of the text breaks ties. The narrow table
+    of ids and ties is ranked; every ``range_rows``-th row opens a range. A row
+    finds its range by binary search among these heads, which are broadcast, and
+    the first row of a range is also sent, as a ghost, to the range before its
+    own, the very first to the last range. Texts are read and shuffled once.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
-    n = rows.count()
-    parts = min(parts_for(n, rows_per_part), MAX_RANGES)
-    cuts = rows.select(F.percentile_approx("_id", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 100 * parts)).first()[0] if parts > 1 else None
-    cuts = sorted(set(cuts or []))
-    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= F.col("_id"))) if cuts else F.lit(0)
-    part = F.when(F.col("_id").isNull(), F.lit(len(cuts) + 1)).otherwise(at)
-    rows = rows.withColumn("_part", part.cast("int"))
-    first = F.struct((-F.col("_id")).alias("k"), F.col("_tie"))
-    heads = sorted((r["_part"], r["_id"], r["_tie"]) for r in rows.groupBy("_part").agg(F.min_by("_id", first).alias("_id"), F.min_by("_tie", first).alias("_tie")).collect())
-    if not heads:
-        return rows.withColumn("_ghost", F.lit(False))
-    to = [(heads[i - 1][0], h[1], h[2]) for i, h in enumerate(heads)]
-    # a ghost goes to the range before its own, the first of all to the last range
-    wanted = docs.sparkSession.createDataFrame(to, "_to int, _id long, _tie long")
-    same = (rows["_id"].eqNullSafe(wanted["_id"])) & (rows["_tie"] == wanted["_tie"])
-    ghosts = rows.join(F.broadcast(wanted), same).select(wanted["_to"].alias("_part"), rows["_id"], rows["_text"], rows["_tie"]).dropDuplicates(["_part"])
-    return rows.select("_part", "_id", "_text", "_tie", F.lit(False).alias("_ghost")).unionByName(ghosts.withColumn("_ghost", F.lit(True)))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
+    order = [F.col("_id").desc_nulls_last(), F.col("_tie")]
+    keys = materialize(ranked(rows.select("_id", "_tie"), order, "_rank"), "ranks")
+    every = max(range_rows, -(-keys.count() // MAX_RANGES))
+    heads = keys.where(F.col("_rank") % every == 0).select("_rank", "_id", "_tie")
+    found = heads.agg(F.array_sort(F.collect_list(F.struct("_rank", "_id", "_tie"))).alias("_heads"))
+    placed = rows.crossJoin(F.broadcast(found))  # one row
+    # whether a head is at or before the row, for ids of any type that has an order
+    before = "(isnull(element_at(_heads, MID)._id) = isnull(_id) AND (element_at(_heads, MID)._id > _id OR (element_at(_heads, MID)._id <=> _id AND element_at(_heads, MID)._tie <= _tie))) OR (isnull(_id) AND isnotnull(element_at(_heads, MID)._id))"
+    mid = "(x.lo + cast(ceil((x.hi - x.lo) / 2) as int))"
+    goes = f"if({before.replace('MID', mid)}, named_struct('lo', {mid}, 'hi', x.hi), named_struct('lo', x.lo, 'hi', {mid} - 1))"
+    steps = "sequence(1, 1 + cast(ceil(log2(size(_heads) + 1)) as int))"
+    placed = placed.withColumn("_part", F.expr(f"aggregate({steps}, named_struct('lo', 0, 'hi', size(_heads)), (x, i) -> if(x.lo >= x.hi, x, {goes})).lo"))
+    is_head = F.expr("element_at(_heads, _part)._id <=> _id AND element_at(_heads, _part)._tie = _tie")
+    last = F.size("_heads")
+    own = F.struct(F.col("_part").alias("p"), F.lit(False).alias("g"))
+    ghost = F.struct(F.when(F.col("_part") > 1, F.col("_part") - 1).otherwise(last).alias("p"), F.lit(True).alias("g"))
+    sent = placed.withColumn("_to", F.explode(F.when(is_head, F.array(own, ghost)).otherwise(F.array(own))))
+    return sent.select(F.col("_to.p").alias("_part"), "_id", "_text", "_tie", F.col("_to.g").alias("_ghost"))
 
 
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = W) -> DataFrame:
@@ -147,8 +160,11 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Defined results: null is the empty text, whose fingerprint is the empty
     string; two empty fingerprints have likeness 1. Of rows with the same id,
     those with the smaller XXH64 of the text come first; null ids come last. A
-    single document is its own successor. An empty table gives no rows.
+    single document is its own successor. An empty table gives no rows. Ids may be of
+    any type that has an order; other columns are ignored; a very long text is
+    looked at in pieces of ``_CHUNK`` grams.
     """
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType()), T.StructField("n_marks", T.LongType())])
 
@@ -167,7 +183,7 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     out.append((own, len(was), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint(at, h), fingerprint(to, eh), likeness(h, eh), likeness(h, marks[1]), len(at)))
                 held = None if ghost else (part, i, text, marks)
             frame = pd.DataFrame(out, columns=schema.names)
-            frame[id_col] = pd.array([None if pd.isna(x) else int(x) for x in frame[id_col]], dtype="Int64")
+            frame[id_col] = pd.Series([row[0] for row in out], dtype=b["_id"].dtype)
             yield frame
 
     rows = with_successors(docs, id_col, text_col).repartition("_part")
