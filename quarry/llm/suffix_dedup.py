@@ -120,15 +120,12 @@ def _runs(flags: np.ndarray, first: int) -> list[tuple[int, int]]:
     return [(first + int(a), first + int(b) - 1 + LENGTH) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Sorted maximal runs of overlapping or touching spans."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def merge_spans(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the maximal runs of overlapping or touching spans (begin << 32 | end)."""
+    spans = np.sort(spans)
+    begin, end = spans >> 32, np.maximum.accumulate(spans & (2**32 - 1))
+    new = np.flatnonzero(np.concatenate(([True], begin[1:] > end[:-1])))
+    return begin[new].astype(np.int32), end[np.concatenate((new[1:], [len(spans)])) - 1].astype(np.int32)
 
 
 _ENTRY = "k1 long, k2 long, at int, first int, last int, head long, gram long, context long"
@@ -358,34 +355,37 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         size = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
         batches = min(MOST, max(FEWEST, -(-size // BATCH_BYTES)))
     texts = keyed.select("k1", "k2", "_text")
-    spans = repeated_spans(texts, batches).groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    span = F.shiftleft(F.col("begin").cast("long"), 32).bitwiseOR(F.col("end").cast("long"))
+    spans = repeated_spans(texts, batches).groupBy("k1", "k2").agg(F.collect_set(span).alias("spans"))
 
     def join(batches):
         for b in batches:
-            merged = [merge_spans([(s["begin"], s["end"]) for s in x]) for x in b["spans"]]
-            yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "spans": [[{"begin": a, "end": e} for a, e in m] for m in merged], "n_removed": [sum(e - a for a, e in m) for m in merged]})
+            merged = [merge_spans(np.asarray(x)) for x in b["spans"]]
+            yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "begins": [x for x, _ in merged], "ends": [y for _, y in merged], "n_removed": [int((y.astype(np.int64) - x).sum()) for x, y in merged]})
 
-    kind = "k1 long, k2 long, spans array<struct<begin:int,end:int>>, n_removed long"
+    kind = "k1 long, k2 long, begins array<int>, ends array<int>, n_removed long"
     merged = materialize(spans.mapInPandas(join, kind), "spans")
     judged = merged.join(copied, ["k1", "k2"])
-    partial = judged.where("n_removed < n_bytes").select("k1", "k2", "spans", "n_removed")
+    partial = judged.where("n_removed < n_bytes").select("k1", "k2", "begins", "ends", "n_removed")
 
     def cut(batches):
         for b in batches:
             kept = []
-            for t, spans in zip(b["_text"], b["spans"], strict=True):
+            for t, begins, ends in zip(b["_text"], b["begins"], b["ends"], strict=True):
                 data, at, parts = t.encode("utf-8", "surrogatepass"), 0, []
-                for s in spans:
-                    parts.append(data[at : s["begin"]])
-                    at = s["end"]
+                for lo, hi in zip(begins.tolist(), ends.tolist(), strict=True):
+                    parts.append(data[at:lo])
+                    at = hi
                 kept.append(b"".join([*parts, data[at:]]))
-            yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "spans": b["spans"], "n_removed": b["n_removed"], "_kept": kept, "_cut": [hashlib.sha256(x).hexdigest() for x in kept]}).drop(columns=[] if with_text else ["_kept"])
+            digests = [hashlib.sha256(x).hexdigest() for x in kept]
+            yield b.drop(columns="_text").assign(**{"_kept": kept} if with_text else {}, _cut=digests)
 
     shape = f"{kind}{', _kept binary' * with_text}, _cut string"
-    rest = _thinned(texts, partial.select("k1", "k2")).join(partial, ["k1", "k2"]).mapInPandas(cut, shape)
+    found = _thinned(texts, partial.select("k1", "k2")).join(partial, ["k1", "k2"])
+    rest = found.select("k1", "k2", "begins", "ends", "n_removed", "_text").mapInPandas(cut, shape)
     none = F.lit(b"").alias("_kept")
-    gone = judged.where("n_removed >= n_bytes").select("k1", "k2", "spans", "n_removed", *[none] * with_text, F.lit(hashlib.sha256(b"").hexdigest()).alias("_cut"))
+    gone = judged.where("n_removed >= n_bytes").select("k1", "k2", "begins", "ends", "n_removed", *[none] * with_text, F.lit(hashlib.sha256(b"").hexdigest()).alias("_cut"))
     results = materialize(rest.unionByName(gone), "results")
     out = (keyed.select("_id", "k1", "k2", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2(F.col("_text").cast("binary"), 256).alias("_sha"), F.col("_text").cast("binary").alias("_own")) if with_text else rows).join(results, ["k1", "k2"], "left")
     kept = [F.coalesce("_kept", "_own").alias("kept")] * with_text
-    return out.select(F.col("_id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("spans", F.array().cast("array<struct<begin:int,end:int>>")).alias("spans"), F.coalesce("_cut", "_sha").alias("kept_sha256"), *kept)
+    return out.select(F.col("_id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce(F.arrays_zip(F.col("begins").alias("begin"), F.col("ends").alias("end")), F.array().cast("array<struct<begin:int,end:int>>")).alias("spans"), F.coalesce("_cut", "_sha").alias("kept_sha256"), *kept)

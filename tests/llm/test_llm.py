@@ -580,6 +580,44 @@ def test_keys_and_tokens_are_taken_whole(spark, forest):
     assert secrets.find_secrets(spark.createDataFrame([(1, long)], "doc_id long, text string"), forest).count() == 1
 
 
+def test_candidates_have_no_longest_prefix_and_keep_commas(spark, forest):
+    rng = random.Random(31)
+    letters = "".join(rng.choice("abcdefghijABCDEFGHIJ") for _ in range(70))
+    texts = [f"x {letters}7f3 y", "a password=abc,def;ghi12345; b", "q " + "Ab" * 5000 + "9 r", "commit 0cab398dc11d1a2a11dc6572c8df8bd228c864f3 checksum"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.find_secrets(docs, forest, with_value=True).collect()}
+    assert got[0].value == letters + "7f3" and got[1].value == "abc,def;ghi12345" and got[2].length == 10_001
+    rows = secrets.with_candidates(docs, "text").select("doc_id", F.explode("_quarry_found").alias("c")).where("c.whole IS NOT NULL").select("doc_id", "c.f.*").collect()
+    assert {r.doc_id: (r.near_harmless, r.after_harmless) for r in rows}[3] == (1.0, 1.0)
+
+
+def test_paths_and_words_are_features(spark):
+    docs = spark.createDataFrame([(1, "x 0cab398dc11d1a2a11dc", "tests/a.py"), (2, "x 0cab398dc11d1a2a11dc", "app/.env"), (3, "x zorbquexzorbquex1 y", None)], "doc_id long, text string, path string")
+    rows = secrets.with_candidates(docs, "text", "path", ["zorb", "quex"]).select("doc_id", F.expr("_quarry_found[0].f.*")).collect()
+    assert [(r.test_path, r.config_path) for r in sorted(rows)] == [(1, 0), (0, 1), (0, 0)]
+    assert sorted(rows)[2].coverage == 16 / 17
+
+
+def test_forest_in_sql_votes_like_the_model(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = secrets.with_candidates(secrets.labelled_findings(spark, 800), "text", "path").select("label", F.explode("_quarry_found").alias("c")).where("c.whole IS NOT NULL").select("label", "c.f.*")
+    data = VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="x").transform(rows)
+    model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=7, maxDepth=6, seed=secrets.SEED).fit(data.select("x", "label").coalesce(2))
+    votes = F.expr(secrets.forest_vote([secrets._tree_sql(t.toDebugString) for t in model.trees], "s"))
+    got = data.withColumn("s", F.struct(*secrets.FEATURES)).withColumn("v", votes).collect()
+    want = [sum(t.predict(r.x) for t in model.trees) / 7 for r in got]
+    assert [r.v for r in got] == pytest.approx(want)
+
+
+def test_masking_is_linear_in_the_candidates(spark, forest):
+    parts = [f"token = {hashlib.sha256(str(i).encode()).hexdigest()[:32]}" for i in range(3000)]
+    docs = spark.createDataFrame([(1, " and ".join(parts))], "doc_id long, text string")
+    out = secrets.redact_secrets(docs, forest).first().text
+    assert out.count("[SECRET]") > 2900 and out.count(" and ") == 2999
+
+
 # pipeline
 
 
