@@ -543,7 +543,7 @@ def forest(spark):
 
 def test_secrets_held_out(spark, forest):
     rows = secrets.with_candidates(secrets.labelled_findings(spark, 5000).where("id >= 3000"), "text").where("_quarry_found IS NOT NULL")
-    got = rows.select("label", F.expr(secrets.forest_vote(forest, "_quarry_found[0].f")).alias("s"))
+    got = rows.select("label", F.explode(F.slice("_quarry_found", 1, 1)).alias("c")).select("label", F.expr(secrets.forest_vote(forest, "c.f")).alias("s"))
     right = got.where((F.col("s") >= 0.5) == (F.col("label") == 1)).count()
     assert right / got.count() > 0.97
 
@@ -593,7 +593,7 @@ def test_candidates_have_no_longest_prefix_and_keep_commas(spark, forest):
 
 def test_paths_and_words_are_features(spark):
     docs = spark.createDataFrame([(1, "x 0cab398dc11d1a2a11dc", "tests/a.py"), (2, "x 0cab398dc11d1a2a11dc", "app/.env"), (3, "x zorbquexzorbquex1 y", None)], "doc_id long, text string, path string")
-    rows = secrets.with_candidates(docs, "text", "path", ["zorb", "quex"]).select("doc_id", F.expr("_quarry_found[0].f.*")).collect()
+    rows = secrets.with_candidates(docs, "text", "path", ["zorb", "quex"]).select("doc_id", F.expr("_quarry_found[0].f").alias("f")).select("doc_id", "f.*").collect()
     assert [(r.test_path, r.config_path) for r in sorted(rows)] == [(1, 0), (0, 1), (0, 0)]
     assert sorted(rows)[2].coverage == 16 / 17
 
