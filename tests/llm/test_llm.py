@@ -366,10 +366,34 @@ def test_licenses(spark, awkward, none):
     got = {(r.doc_id, r.license) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {(0, "MIT"), (1, "Apache-2.0"), (2, "GPL-2.0"), (3, "GPL-3.0"), (5, "CC-BY-NC-4.0")}
     assert licenses.scan_licenses(awkward).count() == 0 and licenses.scan_licenses(none).count() == 0
-    exact = licenses.Scanner().scan(texts[0])
+    (exact,) = licenses.Scanner().scan(texts[0])
     assert exact[0] == "MIT" and exact[2:] == (0, 0)
 
 
+def test_all_licenses_of_a_block_and_of_long_blocks():
+    found = lambda text: sorted(h[2] for h in licenses.Scanner().notices(text))
+    assert found("licensed under the MIT License or the Apache License, Version 2.0") == ["Apache-2.0", "MIT"]
+    assert found("Licensed under the MIT License. Licensed under the Apache License, Version 2.0.") == ["Apache-2.0", "MIT"]
+    rng = random.Random(41)
+    tail = " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(3000))
+    assert found("Released under the MIT License " + tail) == ["MIT"]
+    assert found(tail + " licensed under the GNU General Public License, version 3 " + tail) == ["GPL-3.0"]
+    assert found(tail + " licence " + tail) == []
+
+
+def test_ranking_by_savings_is_that_of_compression_by_hand():
+    import zstandard
+
+    scanner, block = licenses.Scanner(), "This work is licensed under the GNU General Public License, version 2."
+    gains = {}
+    for name, _, wordings in licenses.TEMPLATES:
+        raw = zstandard.ZstdCompressionDict("\n".join(wordings).lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        saved = len(scanner._compressor(None).compress(block.lower().encode())) - len(scanner._compressor(raw).compress(block.lower().encode()))
+        gains.setdefault(name, []).append(saved / min(len(scanner._compressor(None).compress(w.lower().encode())) for w in wordings))
+    ((name, gain, *_),) = scanner.scan(block)
+    assert name == "GPL-2.0" and gain in gains[name]
+
+
 @pytest.mark.parametrize("width", [40, 72, 10_000])
 def test_every_template_is_found_in_its_wrapped_form(width):
     scanner = licenses.Scanner()
