@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.common import bound_batches
+
 #: Elements inside a block of text.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that have no end tag.
@@ -39,14 +42,16 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|
 _RAW_END = {name: re.compile(rf"</{name}\s*>?", re.I) for name in HIDDEN.split("|")}
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
+_GONE = re.compile(r"\bhidden\b(?!\s*-)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
 @dataclass
 class Block:
-    """Text of a leaf block, the tags and hints it stands in, and its letters in links."""
+    """Text of a leaf block, its tag, the tags and hints it stands in, and its letters in links."""
 
     text: str
-    path: tuple[str, ...]
+    tag: str
+    tags: frozenset[str]
     hints: frozenset[str]
     linked: int
     hidden: bool
@@ -64,24 +69,26 @@ def _hints(attrs: str) -> frozenset[str]:
 def leaf_blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order; white space inside is one space."""
     page = page or ""
-    stack: list[tuple[str, frozenset[str], bool]] = []
+    # each open element holds what it and its ancestors add up to, so that depth costs nothing
+    stack: list[tuple[str, frozenset[str], frozenset[str], bool]] = []
+    still_open: Counter[str] = Counter()
     out: list[Block] = []
     parts: list[str] = []
     linked, links, at = 0, 0, 0
+    muted, mutes = "", 0  # a hidden inline element, and how many of its name are open
 
     def flush() -> None:
         nonlocal linked
         if parts:
             if text := " ".join(html.unescape("".join(parts)).split()):
-                block = [s for s in stack if s[0] not in INLINE]
-                hints = frozenset().union(*(s[1] for s in block)) if block else frozenset()
-                out.append(Block(text, tuple(s[0] for s in block), hints, linked, any(s[2] for s in block)))
+                name, tags, hints, hidden = stack[-1] if stack else ("", frozenset(), frozenset(), False)
+                out.append(Block(text, name, tags, hints, linked, hidden))
             parts.clear()
         linked = 0
 
     def text(piece: str) -> None:
         nonlocal linked
-        if piece:
+        if piece and not mutes:
             parts.append(piece)
             if links:
                 linked += len(piece.strip())
@@ -105,17 +112,22 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if not name:
             continue
         if name in INLINE:
+            if mutes:
+                mutes += (name == muted) * (-1 if m[2] else 1)
+                continue
+            if not m[2] and name not in VOID and m[4] and _GONE.search(m[4]) and not m[4].rstrip().endswith("/"):
+                muted, mutes = name, 1
             if name == "a":
                 links = max(0, links - 1) if m[2] else links + 1
             elif name in ("br", "wbr", "img"):
                 text(" ")
             continue
         flush()
-        links = 0
+        links = mutes = 0
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+            while still_open[name]:
+                still_open[stack[-1][0]] -= 1
+                if stack.pop()[0] == name:
                     break
             continue
         if name in _RAW_END and not m[4].rstrip().endswith("/"):
@@ -127,10 +139,13 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if name in VOID or m[4].rstrip().endswith("/"):
             continue
         while stack and stack[-1][0] in CLOSES and name in CLOSES[stack[-1][0]]:
-            stack.pop()
+            still_open[stack.pop()[0]] -= 1
         attrs = m[4]
-        gone = bool(re.search(r"\bhidden\b(?!\s*-)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", attrs, re.I)) if attrs else False
-        stack.append((name, _hints(attrs) if attrs else frozenset(), gone))
+        _, tags, hints, hidden = stack[-1] if stack else ("", frozenset(), frozenset(), False)
+        own = _hints(attrs) if attrs else frozenset()
+        gone = hidden or bool(attrs and _GONE.search(attrs))
+        stack.append((name, tags if name in tags else tags | {name}, hints if own <= hints else hints | own, gone))
+        still_open[name] += 1
     flush()
     return out
 
@@ -141,7 +156,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
     for k, b in enumerate(blocks):
         n, words = len(b.text), b.text.count(" ") + 1
         dense = b.linked / max(n, 1)
-        f = ["bias", f"tag={b.path[-1] if b.path else ''}", *(f"in={t}" for t in set(b.path)), *(f"hint={h}" for h in b.hints)]
+        f = ["bias", f"tag={b.tag}", *(f"in={t}" for t in b.tags), *(f"hint={h}" for h in b.hints)]
         f.append("words=" + ("1" if words == 1 else "2-4" if words < 5 else "5-9" if words < 10 else "10-29" if words < 30 else "30+"))
         f.append("links=" + ("0" if not dense else "some" if dense < 0.4 else "most"))
         f.append("stop" if b.text[-1] in ".!?…\"”»" else "open")
@@ -310,8 +325,11 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     Defined results: a null or empty page, or one without main text, has the
     empty text. Unclosed and stray tags, quotes and entities are read as a
     browser would, roughly, and never fail. Repeated rows are treated one by
-    one; an empty table gives no rows; other columns are ignored.
+    one; an empty table gives no rows; other columns are ignored whatever their
+    names. Pages are read whole; the work is linear in a page's length, however
+    deep its elements nest.
     """
+    bound_batches(pages.sparkSession)
     model = crf or trained_crf()
     schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField(url_col, T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 

@@ -1,8 +1,10 @@
 """The training-data operators against brute force, and on awkward input."""
 
 import hashlib
+import itertools
 import random
 import textwrap
+import time
 from collections import Counter
 
 import duckdb
@@ -97,6 +99,39 @@ def test_extract_awkward(spark):
     assert html_extract.extract_pages(rows.where("page_id < 0")).count() == 0
 
 
+def test_viterbi_finds_the_best_of_all_paths():
+    rng = np.random.default_rng(15)
+    for n in (1, 2, 5, 9):
+        crf = html_extract.Crf({f"f{i}": i for i in range(6)}, rng.normal(size=(6, 2)), rng.normal(size=(2, 2)))
+        feats = [[f"f{i}" for i in rng.choice(6, 3, replace=False)] for _ in range(n)]
+        s = crf.scores(feats)
+        value = lambda y: sum(s[k, c] for k, c in enumerate(y)) + sum(crf.pair[a, b] for a, b in zip(y, y[1:]))
+        best = max(itertools.product((0, 1), repeat=n), key=value)
+        assert crf.decode(feats) == list(best)
+
+
+def test_hidden_inline_text_is_left_out():
+    text = lambda page: [(b.text, b.hidden) for b in html_extract.leaf_blocks(page)]
+    assert text("<p>a <span hidden>no <span>no</span> no</span> b</p><p><i style='display:none'>no<p>c") == [("a b", False), ("c", False)]
+    assert text("<div hidden><p>x</p></div><p>y</p>") == [("x", True), ("y", False)]
+
+
+def test_deep_and_stray_tags_take_linear_time():
+    for page in ("<div>x" * 60_000, "<div>" * 30_000 + "</p>" * 60_000 + "x", "<b>" * 60_000 + "y</b>" * 60_000):
+        began = time.time()
+        assert html_extract.leaf_blocks(page)
+        assert time.time() - began < 20
+
+
+def test_pages_against_their_article_element(spark):
+    crf, right = html_extract.trained_crf(), []
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        if r.html and r.html.count("<article>") == 1:
+            inner = r.html.split("<article>")[1].split("</article>")[0]
+            right.append(html_extract.main_text(r.html, crf) == "\n".join(b.text for b in html_extract.leaf_blocks(inner)))
+    assert len(right) > 20 and sum(right) >= 0.95 * len(right)
+
+
 # 3 toxicity
 
 
