@@ -3,36 +3,91 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Words of a template window.
+from quarry.llm.common import bound_batches, materialize
+
+#: Words of a template window; a shorter item is one window.
 WINDOW = 8
 #: Words of a window that must not be placeholders for it to match as a template.
 LITERALS = 4
 #: So many words in a row, or this share of an item, make a leak.
 RUN, SHARE = 13, 0.6
-#: Items of fewer words match only a document that has no other words.
+#: Items of fewer words match only where they stand between marks or line ends.
 SHORT = 5
-#: Items whose index is broadcast at once; larger benchmarks go in blocks.
-BLOCK_ITEMS = 20_000
+#: Bits of the filter of window hashes: so many for each window, within these powers of two (128 MB at most).
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 16, 30
+#: Texts known to leak that are broadcast at most (16 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 #: Unit words that are placeholders after a number.
 UNITS = set("mm cm m km in ft yd mi mg g kg lb lbs oz t ml l gal s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros pound pounds cent cents meter meters metre metres mile miles gram grams liter liters litre litres percent degree degrees watt watts volt volts".split())
-_TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
+_TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:;\"\n()\[\]\u201c\u201d\u201e\u00ab\u00bb\u2026]")
 _PUNCT, _NUM, _CAP, _UNIT = 1, 2, 4, 8
 _SLOTS = np.array([xxhash.xxh64_intdigest(s) for s in ("<num>", "<name>", "<unit>")], np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_PROBES = tuple(np.uint64(x | 1) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+
 
+class Words:
+    """The words of a text as hashes.
+
+    ``raw``: as they stand, without regard to case. ``shape``: with placeholders
+    for numbers, for capitals inside a sentence (names) and for units after a
+    number; ``open_shape``: with capitals at the beginning of sentences as names
+    too, for a name may stand there. ``slot``: placeholders of ``shape``.
+    ``starts``: words that follow a mark or line end.
+    """
 
-class Tokens:
-    """Tokens of a text as hashes: ``raw`` ids and ``shape`` ids with placeholders."""
+    def __init__(self, found: np.ndarray) -> None:
+        raw, kind = found & ~np.uint64(15), (found & np.uint64(15)).astype(np.uint8)
+        word = (kind & _PUNCT) == 0
+        starts = np.concatenate(([True], ~word[:-1])) if len(kind) else np.empty(0, bool)
+        self.raw, kind, self.starts = raw[word], kind[word], starts[word]
+        num, cap = (kind & _NUM) > 0, (kind & _CAP) > 0
+        name = cap & ~self.starts
+        unit = ((kind & _UNIT) > 0) & np.concatenate(([False], num[:-1])) if len(num) else num
+        self.shape = self.raw.copy()
+        for s, which in zip(_SLOTS, (num, name, unit), strict=True):
+            self.shape[which] = s
+        self.open_shape = np.where(cap, _SLOTS[1], self.shape)
+        self.slot, self.open_slot = num | name | unit, num | cap | unit
+
+    def __len__(self) -> int:
+        return len(self.raw)
+
+    def keys(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, hashes) of the windows of ``size`` words: as they stand, and as both templates.
+
+        Templates need enough literal words; windows of fewer than ``SHORT`` words
+        stand between marks.
+        """
+        raw = windows(self.raw, size) ^ np.uint64(size)
+        if size < SHORT:
+            ends = np.concatenate((self.starts[1:], [True])) if len(self) else self.starts
+            at = np.flatnonzero(self.starts[: len(raw)] & ends[size - 1 :]) if len(raw) else np.empty(0, np.int64)
+            yield at, raw[at]
+            return
+        yield np.arange(len(raw)), raw
+        if not len(raw):
+            return
+        for shape, slot in ((self.shape, self.slot), (self.open_shape, self.open_slot)):
+            literal = np.concatenate(([0], np.cumsum(~slot)))
+            at = literal[size:] - literal[:-size] >= LITERALS
+            if shape is self.open_shape:  # only windows in which it is another template
+                other = np.concatenate(([0], np.cumsum(slot != self.slot)))
+                at &= other[size:] > other[:-size]
+            at = np.flatnonzero(at)
+            yield at, windows(shape, size)[at] ^ np.uint64(size << 8)
+
+
+class Reader:
+    """Makes ``Words`` of texts; tokens seen are remembered, within bounds."""
 
     def __init__(self) -> None:
         self.memo: dict[str, int] = {}
@@ -40,27 +95,15 @@ class Tokens:
     def _look(self, t: str) -> int:
         """Hash of a token with its kind in the four low bits."""
         low = t.lower()
-        kind = _PUNCT if t in ".!?\n" else _NUM if t[0].isdigit() else _CAP * (t[0] != low[0] and len(t) > 1) | _UNIT * (low in UNITS)
+        kind = _NUM if t[0].isdigit() else _PUNCT if not t[0].isalpha() else _CAP * (t[0] != low[0] and len(t) > 1) | _UNIT * (low in UNITS)
         got = self.memo[t] = xxhash.xxh64_intdigest(low) >> 4 << 4 | kind
         return got
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Raw ids, template ids, and which tokens are placeholders."""
+    def __call__(self, text: str | None) -> Words:
         if len(self.memo) > 300_000:
             self.memo.clear()
         memo, look = self.memo, self._look
-        found = np.array([memo.get(t) or look(t) for t in _TOKEN.findall(text or "")], np.uint64)
-        raw, kind = found & ~np.uint64(15), (found & np.uint64(15)).astype(np.uint8)
-        opens = np.concatenate(([True], (kind[:-1] & _PUNCT) > 0)) if len(kind) else np.empty(0, bool)
-        word = (kind & _PUNCT) == 0
-        raw, kind, opens = raw[word], kind[word], opens[word]
-        num = (kind & _NUM) > 0
-        name = ((kind & _CAP) > 0) & ~opens
-        unit = ((kind & _UNIT) > 0) & np.concatenate(([False], num[:-1])) if len(num) else num
-        shape = raw.copy()
-        for s, which in zip(_SLOTS, (num, name, unit), strict=True):
-            shape[which] = s
-        return raw, shape, num | name | unit
+        return Words(np.array([memo.get(t) or look(t) for t in _TOKEN.findall(text or "")], np.uint64))
 
 
 def windows(ids: np.ndarray, size: int) -> np.ndarray:
@@ -74,104 +117,93 @@ def windows(ids: np.ndarray, size: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _keyed(raw: np.ndarray, shape: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Window hashes of raw words, and of templates with enough literal words (else 0)."""
-    shapes = windows(shape, size)
-    literal = np.concatenate(([0], np.cumsum(~slot)))
-    enough = (literal[size:] - literal[:-size]) >= min(LITERALS, size) if len(shapes) else np.empty(0, bool)
-    return windows(raw, size), np.where(enough, shapes ^ np.uint64(0x5555), np.uint64(0))
-
-
-@dataclass
-class Index:
-    """Windows of benchmark items: sorted hashes with their item and place."""
-
-    items: list = field(default_factory=list)
-    by_size: dict = field(default_factory=dict)
-
-    @classmethod
-    def build(cls, rows: list[tuple]) -> Index:
-        out, tokens = cls(), Tokens()
-        entries: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for item, text in rows:
-            raw, shape, slot = tokens(text)
-            if not len(raw):
-                continue
-            at, size = len(out.items), min(WINDOW, len(raw))
-            out.items.append((item, raw, slot))
-            for keys in _keyed(raw, shape, slot, size):
-                entries[size] += [(int(k), at, p) for p, k in enumerate(keys) if k]
-        for size, found in entries.items():
-            found = sorted(set(found))
-            hashes = np.array([f[0] for f in found], np.uint64)
-            marks = np.zeros(1 << 20, bool)  # which leading 20 bits occur at all
-            marks[(hashes >> np.uint64(44)).astype(np.intp)] = True
-            out.by_size[size] = (hashes, np.array([f[1:] for f in found], np.int64), marks)
-        return out
-
-    def search(self, text: str | None, tokens: Tokens) -> list[tuple]:
-        """(item, share, run, changed) of the items that a text leaks."""
-        raw, shape, slot = tokens(text)
-        hits: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for size, (hashes, places, marks) in self.by_size.items():
-            if size > len(raw) or (size < SHORT and size != len(raw)):
-                continue
-            for keys in _keyed(raw, shape, slot, size):
-                maybe = np.flatnonzero(marks[(keys >> np.uint64(44)).astype(np.intp)])
-                maybe = maybe[keys[maybe] != 0]
-                lo = np.minimum(np.searchsorted(hashes, keys[maybe]), len(hashes) - 1)
-                same = hashes[lo] == keys[maybe]
-                for p, first in zip(maybe[same], lo[same], strict=True):
-                    for at, q in places[first : np.searchsorted(hashes, keys[p], "right")]:
-                        hits[int(at), int(p - q)].update(range(q, q + size))
-        found: dict[int, tuple[set[int], int, int]] = {}
-        for (at, shift), covered in hits.items():
-            _, own, own_slot = self.items[at]
-            where = np.array(sorted(covered))
-            if not _consistent(own[where], raw[where + shift], own_slot[where]):
-                # a long run that stands word for word needs no slots
-                where = _verbatim(where, own[where] == raw[where + shift], min(RUN, len(own)))
-                if not len(where):
-                    continue
-                covered = set(where.tolist())
-            gaps = np.flatnonzero(np.diff(where) > 1)
-            run = int(np.diff(np.concatenate(([-1], gaps, [len(where) - 1]))).max())
-            changed = int((own[where] != raw[where + shift]).sum())
-            had = found.get(at, (set(), 0, 0))
-            found[at] = (had[0] | covered, max(had[1], run), max(had[2], changed))
-        out = []
-        for at, (covered, run, changed) in found.items():
-            item, own, _ = self.items[at]
-            if run >= min(RUN, len(own)) or len(covered) >= SHARE * len(own):
-                out.append((item, len(covered) / len(own), run, changed))
-        return out
-
-
-def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_items: int):
-    """Broadcast indexes of at most ``block_items`` items or so each."""
-    items = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
-    blocks = max(1, -(-items.count() // block_items))
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items
-        yield benchmark.sparkSession.sparkContext.broadcast(Index.build(sorted(map(tuple, part.collect()), key=repr)))
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """``docs`` without the rows that leak an item, as ``find_leaks`` defines it; nothing is shuffled."""
-    for shared in _item_blocks(benchmark, item_col, item_text_col, block_items):
-        docs = docs.where(~_leaks(shared, F.col(text_col)))
-    return docs
-
-
-def _leaks(shared, text: Column) -> Column:
-    """Whether a text leaks an item of a broadcast index."""
-
-    @F.pandas_udf("boolean")
-    def leaks(texts: pd.Series) -> pd.Series:
-        tokens, index = Tokens(), shared.value
-        return pd.Series([bool(index.search(t, tokens)) for t in texts], dtype=bool)
-
-    return leaks(text)
+def _hashed(df: DataFrame, text_col: str, a: str, b: str) -> DataFrame:
+    """``df`` with the 128-bit key of a text in two columns."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return df.withColumn(a, F.xxhash64(text)).withColumn(b, F.xxhash64(F.lit(1), text))
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """A row for each window and template of ``i1, i2, _text``: ``key, i1, i2, n, q, own, slot``.
+
+    ``q`` is the window's place among the item's ``n`` words; ``own`` are its
+    words, ``slot`` which of them are placeholders.
+    """
+
+    def run(batches):
+        read = Reader()
+        for b in batches:
+            out = []
+            for i1, i2, text in zip(b["i1"], b["i2"], b["_text"], strict=True):
+                words = read(text)
+                size = min(WINDOW, len(words))
+                if size:
+                    found = {(int(k), int(q)) for at, keys in words.keys(size) for q, k in zip(at, keys.view(np.int64), strict=True)}
+                    out += [(k, i1, i2, len(words), q, words.raw[q : q + size].view(np.int64), words.slot[q : q + size]) for k, q in sorted(found)]
+            yield pd.DataFrame(out, columns=["key", "i1", "i2", "n", "q", "own", "slot"])
+
+    return items.select("i1", "i2", "_text").mapInPandas(run, "key long, i1 long, i2 long, n int, q int, own array<long>, slot array<boolean>")
+
+
+def _probes(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Places of keys in a filter of 2**bits bits, a row for each probe."""
+    return np.stack([(keys * p) >> np.uint64(64 - bits) for p in _PROBES])
+
+
+def key_filter(found: DataFrame) -> tuple[int, np.ndarray]:
+    """A Bloom filter of the ``key`` column: its power of two and its bits.
+
+    It is put together from pieces of 64 K bits that executors make; however
+    many windows there are, it has 2**MOST_BITS bits at most, and what a full
+    one lets through costs time but changes no result.
+    """
+    n = found.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(1, n * BITS_EACH))))))
+
+    def spots(batches):
+        for b in batches:
+            at = np.unique(_probes(b["key"].to_numpy().view(np.uint64), bits)).astype(np.int64)
+            yield pd.DataFrame({"piece": at >> 16, "spot": (at & 0xFFFF).astype(np.int32)})
+
+    def packed(batches):
+        for b in batches:
+            out = []
+            for spots in b["spots"]:
+                flags = np.zeros(1 << 16, np.uint8)
+                flags[np.asarray(spots)] = 1
+                out.append(np.packbits(flags, bitorder="little").tobytes())
+            yield pd.DataFrame({"piece": b["piece"], "bits": out})
+
+    pieces = found.select("key").distinct().mapInPandas(spots, "piece long, spot int").groupBy("piece").agg(F.collect_set("spot").alias("spots")).mapInPandas(packed, "piece long, bits binary")
+    out = np.zeros(1 << bits >> 3, np.uint8)
+    for r in pieces.toLocalIterator():
+        out[r["piece"] << 13 : (r["piece"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
+    return bits, out
+
+
+def _text_windows(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """``k1, k2, key, p, other``: windows of ``k1, k2, _text`` that may be among those found in items."""
+    sizes = [r[0] for r in found.select(F.size("own").alias("s")).distinct().collect()]  # at most WINDOW rows
+    shared = texts.sparkSession.sparkContext.broadcast(key_filter(found))
+
+    def run(batches):
+        read, (bits, flags) = Reader(), shared.value
+        for b in batches:
+            out = []
+            for k1, k2, text in zip(b["k1"], b["k2"], b["_text"], strict=True):
+                words = read(text)
+                for size in sizes:
+                    hits = set()
+                    for at, keys in words.keys(size):
+                        maybe = np.arange(len(keys))
+                        for p in _PROBES:  # most keys fall out at the first probe
+                            spot = (keys[maybe] * p) >> np.uint64(64 - bits)
+                            maybe = maybe[(flags[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+                        hits.update(zip(keys[maybe].view(np.int64).tolist(), at[maybe].tolist(), strict=True))
+                    out += [(k1, k2, k, p, words.raw[p : p + size].view(np.int64)) for k, p in sorted(hits)]
+            yield pd.DataFrame(out, columns=["k1", "k2", "key", "p", "other"])
+
+    return texts.select("k1", "k2", "_text").mapInPandas(run, "k1 long, k2 long, key long, p int, other array<long>")
 
 
 def _consistent(own: np.ndarray, other: np.ndarray, slot: np.ndarray) -> bool:
@@ -190,40 +222,99 @@ def _verbatim(where: np.ndarray, same: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([r for r in runs if len(r) >= size] or [places[:0]])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
+def judge_alignment(n: int, places: list) -> tuple[list[int], int, int] | None:
+    """(places covered, longest run, slots changed) of the windows of one alignment, or None.
+
+    ``places`` are (q, own, other, slot) of its windows. Slots must be
+    consistent; if they are not, only long runs that stand word for word count.
+    """
+    at: dict[int, tuple[int, int, bool]] = {}
+    for q, own, other, slot in places:
+        at.update({q + k: (int(a), int(b), bool(s)) for k, (a, b, s) in enumerate(zip(own, other, slot, strict=True))})
+    where = np.array(sorted(at))
+    own, other, slot = (np.array([at[int(p)][k] for p in where]) for k in range(3))
+    if not _consistent(own, other, slot):
+        kept = _verbatim(where, own == other, min(RUN, n))
+        if not len(kept):
+            return None
+        inside = np.isin(where, kept)
+        where, own, other = where[inside], own[inside], other[inside]
+    gaps = np.flatnonzero(np.diff(where) > 1)
+    run = int(np.diff(np.concatenate(([-1], gaps, [len(where) - 1]))).max())
+    return where.tolist(), run, int((own != other).sum())
+
+
+def leaked_texts(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """``k1, k2, i1, i2, share, run, changed``: which texts leak which items.
+
+    ``texts`` has ``k1, k2, _text``, ``items`` ``i1, i2, _text``. Windows of the
+    texts that pass the filter of the items' windows, a small part, are joined
+    with them on their hash; a frequent window is split by skew-join handling.
+    Matches are put together by alignment, whose size the item bounds, and the
+    places covered are counted by aggregates.
+    """
+    distinct = items.groupBy("i1", "i2").agg(F.first("_text").alias("_text"))
+    found = materialize(item_windows(distinct), "item-windows")
+    met = _text_windows(texts, found).groupBy("k1", "k2", "key", "p").agg(F.first("other").alias("other"))  # copies of a text once
+    joined = met.join(found, "key").where(F.size("own") == F.size("other"))
+    aligned = joined.groupBy("k1", "k2", "i1", "i2", "n", (F.col("p") - F.col("q")).alias("shift")).agg(F.collect_list(F.struct("q", "own", "other", "slot")).alias("places"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for *key, n, places in zip(b["k1"], b["k2"], b["i1"], b["i2"], b["n"], b["places"], strict=True):
+                if hit := judge_alignment(n, [(x["q"], x["own"], x["other"], x["slot"]) for x in places]):
+                    out.append((*key, n, *hit))
+            yield pd.DataFrame(out, columns=["k1", "k2", "i1", "i2", "n", "covered", "run", "changed"])
+
+    keys = ["k1", "k2", "i1", "i2", "n"]
+    judged = aligned.select(*keys, "places").mapInPandas(run, "k1 long, k2 long, i1 long, i2 long, n int, covered array<int>, run long, changed long")
+    each = judged.select(*keys, "run", "changed", F.explode("covered").alias("q")).groupBy(*keys, "q").agg(F.max("run").alias("run"), F.max("changed").alias("changed"))
+    all_ = each.groupBy(*keys).agg(F.count("*").alias("covered"), F.max("run").alias("run"), F.max("changed").alias("changed"))
+    leaks = all_.where((F.col("run") >= F.least(F.lit(RUN), F.col("n"))) | (F.col("covered") >= F.lit(SHARE) * F.col("n")))
+    return materialize(leaks.select("k1", "k2", "i1", "i2", (F.col("covered") / F.col("n")).alias("share"), "run", "changed"), "leaks")
+
+
+def _sides(docs: DataFrame, benchmark: DataFrame, text_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
+    bound_batches(docs.sparkSession)
+    texts = _hashed(docs.select(F.col(text_col).alias("_text")), "_text", "k1", "k2")
+    return texts, _hashed(benchmark.select(F.col(item_text_col).alias("_text")), "_text", "i1", "i2")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that leak an item, as ``find_leaks`` defines it."""
+    gone = leaked_texts(*_sides(docs, benchmark, text_col, item_text_col)).select(F.col("k1").alias("_quarry_k1"), F.col("k2").alias("_quarry_k2")).distinct()
+    few = gone.count() <= BROADCAST_KEYS
+    keyed = _hashed(docs, text_col, "_quarry_k1", "_quarry_k2")
+    return keyed.join(F.broadcast(gone) if few else gone, ["_quarry_k1", "_quarry_k2"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``id, item, share, run, changed``: a row per document and item it leaks.
 
-    Numbers, names (capitals inside a sentence) and units after a number become
-    typed placeholders. Windows of ``WINDOW`` words, as templates and as they
-    stand, are joined on their hash with those of the items; matches of one
-    alignment count together if their slots are consistent: equal values of the
-    item became equal values, unequal ones unequal. Of an alignment that is not,
-    only runs of ``RUN`` words that are the same word for word count. A run of ``RUN`` words (or
+    Numbers, names (capitals) and units after a number become typed
+    placeholders. Windows of ``WINDOW`` words, as templates and as they stand,
+    are joined on their hash with those of the items; matches of one alignment
+    count together if their slots are consistent: equal values of the item became
+    equal values, unequal ones unequal. Of an alignment that is not, only runs of
+    ``RUN`` words that are the same word for word count. A run of ``RUN`` words (or
     the whole shorter item) or ``SHARE`` of the item's words is a leak.
     ``share``: of the item's words found; ``run``: most in a row; ``changed``:
     slots whose value differs.
 
-    The benchmark is the stated query set: its size is counted, and its index
-    is built and broadcast for at most ``block_items`` items at a time, each
-    block against all rows of ``docs``. Documents are never shuffled.
+    Both sides are tables: the benchmark is not collected, and documents are
+    read in one pass whatever its size. Each distinct text is judged once.
 
     Defined results: null and empty texts leak nothing and are leaked by
-    nothing; an item of fewer than ``SHORT`` words is leaked only by a document
-    of those words alone. Repeated documents and repeated items each give their
-    rows; ids may be null. Empty tables give no rows.
+    nothing; an item of fewer than ``SHORT`` words is leaked where it stands
+    between marks or line ends, as it is. Repeated documents and repeated items each
+    give their rows; ids may be null and of any type. Empty tables give no rows.
+    Other columns are ignored whatever their names; long texts are read whole.
     """
-    item_kind, kind = benchmark.schema[item_col].dataType, docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("_id", kind), T.StructField("_item", item_kind), T.StructField("share", T.DoubleType()), T.StructField("run", T.LongType()), T.StructField("changed", T.LongType())])
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    out = None
-    for shared in _item_blocks(benchmark, item_col, item_text_col, block_items):
-
-        def run(batches, shared=shared):
-            tokens, index = Tokens(), shared.value
-            for b in batches:
-                found = [(i, *hit) for i, t in zip(b["_id"], b["_text"], strict=True) for hit in index.search(t, tokens)]
-                yield pd.DataFrame(found, columns=schema.names).astype({"share": "float64", "run": "int64", "changed": "int64"})
-
-        found = rows.mapInPandas(run, schema)
-        out = found if out is None else out.unionByName(found)
+    texts, items = _sides(docs, benchmark, text_col, item_text_col)
+    leaks = leaked_texts(texts, items)
+    few = leaks.count() <= BROADCAST_KEYS
+    ids = _hashed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", "k1", "k2").drop("_text")
+    names = _hashed(benchmark.select(F.col(item_col).alias("_item"), F.col(item_text_col).alias("_text")), "_text", "i1", "i2").drop("_text")
+    out = ids.join(F.broadcast(leaks) if few else leaks, ["k1", "k2"]).join(names, ["i1", "i2"])
     return out.select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), "share", "run", "changed")

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 import textwrap
 import time
 from collections import Counter
@@ -235,18 +236,95 @@ def test_urls_empty(spark):
 # 5 decontamination
 
 
-def test_verbatim_windows_count_beside_inconsistent_slots():
+def leaks_of(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted((r.doc_id, r.item_id, r.run, r.changed) for r in decontaminate.find_leaks(docs, bench).collect())
+
+
+def test_verbatim_windows_count_beside_inconsistent_slots(spark):
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split()
     item = " ".join(words) + " 3 then come four more words with 5 at the very end"
-    index, tokens = decontaminate.Index.build([(1, item)]), decontaminate.Tokens()
-    found = lambda text: [(i, run, changed) for i, _, run, changed in index.search(text, tokens)]
-    assert found(item) == [(1, 26, 0)]
-    assert found(item.replace("3", "8").replace("5", "9")) == [(1, 26, 2)]
-    assert found(item.replace("3", "7").replace("5", "7")) == [(1, 14, 0)]  # slots clash, 14 words stand as they are
+    texts = [item, item.replace("3", "8").replace("5", "9"), item.replace("3", "7").replace("5", "7")]
+    assert leaks_of(spark, [item], texts) == [(0, 0, 26, 0), (1, 0, 26, 2), (2, 0, 14, 0)]  # in the last slots clash, 14 words stand as they are
     short = " ".join(words[:6]) + " 3 then come four more words with 5 at the very end"
-    index = decontaminate.Index.build([(1, short)])
-    assert found(short.replace("3", "7").replace("5", "7")) == []
-    assert found(short.replace("3", "7").replace("5", "8")) == [(1, 18, 2)]
+    assert leaks_of(spark, [short], [short.replace("3", "7").replace("5", "7"), short.replace("3", "7").replace("5", "8")]) == [(1, 0, 18, 2)]
+
+
+def test_short_items_between_marks_and_names_at_the_beginning(spark):
+    named = "Alice has 3 red apples and gives one of them away to a friend."
+    got = leaks_of(spark, ["Define entropy.", named], ["Here: Define entropy. ok", "to define entropy is hard", "x\ndefine entropy", "Bob has 7 red apples and gives one of them away to a friend."])
+    assert [(d, i) for d, i, *_ in got] == [(0, 0), (2, 0), (3, 1)] and got[2][2:] == (14, 2)
+
+
+def brute_leaks(items, texts):
+    """All alignments, window by window, with words compared one by one."""
+    read = lambda t: re.findall(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:;\"\n()\[\]]", t)
+    mark = lambda w: not w[0].isalnum()
+
+    def words(t):
+        out, start, prev = [], True, ""
+        for w in read(t):
+            if mark(w):
+                start = True
+                continue
+            num, cap = w[0].isdigit(), w[0].isupper() and len(w) > 1
+            unit = w.lower() in decontaminate.UNITS and bool(prev) and prev[0].isdigit()
+            slots = ["#" if num else "@" if cap and not start else "%" if unit else w.lower(), "@" if cap else "#" if num else "%" if unit else w.lower()]
+            out.append((w.lower(), *slots))
+            start, prev = False, w
+        return out
+
+    found = []
+    for i, item in enumerate(items):
+        a = words(item)
+        size = min(8, len(a))
+        for d, text in enumerate(texts):
+            b = words(text)
+            covered, run, changed = set(), 0, 0
+            for shift in range(-len(a), len(b)):
+                places = {}
+                for q in range(len(a) - size + 1):
+                    if not 0 <= q + shift <= len(b) - size:
+                        continue
+                    x, y = a[q : q + size], b[q + shift : q + shift + size]
+                    same = [w[0] for w in x] == [w[0] for w in y]
+                    for k in (1, 2):
+                        for m in (1, 2):
+                            same |= [w[k] for w in x] == [w[m] for w in y] and sum(w[k] not in "#@%" for w in x) >= 4
+                    if same:
+                        places.update({q + k: (x[k][0], y[k][0], x[k][1] in "#@%") for k in range(size)})
+                if not places:
+                    continue
+                to = {}
+                ok = all(to.setdefault(u, v) == v for u, v, s in places.values() if s or u != v) and len(set(to.values())) == len(to)
+                good = set(places)
+                if not ok:
+                    good = set()
+                    for p in places:
+                        stretch = [p + k for k in range(min(13, len(a)))]
+                        if all(s in places and places[s][0] == places[s][1] for s in stretch):
+                            good.update(stretch)
+                if good:
+                    covered |= good
+                    longest = max(next(n for n in range(1, len(a) + 2) if p + n not in good) for p in good)
+                    run, changed = max(run, longest), max(changed, sum(places[p][0] != places[p][1] for p in good))
+            if covered and (run >= min(13, len(a)) or len(covered) >= 0.6 * len(a)):
+                found.append((d, i, run, changed))
+    return sorted(found)
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(51)
+    vocabulary = ["the", "a", "runs", "home", "blue", "car", "and", "then", "of", "Anna", "Boston", "Rome", "3", "7", "km", "hours", "12.5", "sells", "pens", "to", ".", "?"]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [text(rng.randint(9, 30)) + " end" for _ in range(12)]
+    texts = [text(60) for _ in range(10)]
+    for item in items:
+        words = item.split()
+        swap = {w: rng.choice(["Anna", "Boston", "Rome", "3", "7"]) for w in ("Anna", "Boston", "3", "7")}
+        texts += [text(20) + " " + item + " " + text(9), " ".join(swap.get(w, w) for w in words), " ".join(words[: len(words) * 2 // 3]) + " " + text(20)]
+    assert leaks_of(spark, items, texts) == brute_leaks(items, texts) != []
 
 
 def test_leaks(spark, awkward, none):
@@ -257,7 +335,8 @@ def test_leaks(spark, awkward, none):
     docs = spark.createDataFrame([(1, "Before. " + item + " After."), (2, same), (3, mixed), (4, "too short"), (5, "not too short at all"), (6, None), (7, item[:40])], "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()}
     assert got == {(1, 1), (2, 1), (4, 2)}
-    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench, block_items=1).collect()} == got
+    twice = bench.unionByName(bench)
+    assert Counter((r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs.unionByName(docs), twice).collect()) == {k: 4 for k in got}
     assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()} == {3, 5, 6, 7}
     assert decontaminate.find_leaks(awkward, bench).count() == 0 and decontaminate.find_leaks(none, bench).count() == 0
     assert decontaminate.find_leaks(docs, bench.where("item_id > 9")).count() == 0
