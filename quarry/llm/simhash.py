@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import bound_batches, materialize
+from quarry.llm.common import bound_batches, materialize, null_key
 from quarry.llm.components import connected_components
 
 #: Seed of XXH64 over shingles.
@@ -473,18 +473,24 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Groups are the components of ``near_duplicate_links`` over distinct texts;
     copies belong to their text. Texts without words (null, empty, blank) are alike.
-    Null ids come last, and of rows with equal ids the first stays, so
-    exactly one row of each group does. All columns are kept as they are.
+    Null ids come last. Rows are told apart by id and text, never by their place in
+    the input, so a task that is run again takes the same ones; of rows with the
+    same id and text one stays, whichever. All columns are kept as they are,
+    whatever their names; an empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
-    numbered = docs.withColumn("_quarry_row", F.monotonically_increasing_id())
     text = F.coalesce(F.col(text_col), F.lit(""))
     roots = connected_components(near_duplicate_links(docs.select(F.xxhash64(text).alias("_node"), text.alias("_text")), words, similar))
-    rows = materialize(numbered.select(F.col("_quarry_row"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_node")), "members")
+    rows = materialize(docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_node")).groupBy("_id", "_node").agg(F.count("*").alias("_c")), "members")
     member = rows.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_group", F.coalesce("root", "_node"))
-    first = F.struct(F.col("_id").isNull().alias("x"), "_id", "_quarry_row")
-    kept = materialize(member.groupBy("_group").agg(F.min(first).alias("k")).select("k._quarry_row"), "kept")
-    gone = rows.select("_quarry_row").join(kept, "_quarry_row", "left_anti")
-    gone = materialize(gone, "gone")
-    few = gone.count() <= BROADCAST_ROWS
-    return numbered.join(F.broadcast(gone) if few else gone, "_quarry_row", "left_anti").drop("_quarry_row")
+    first = F.struct(F.col("_id").isNull().alias("x"), "_id", "_node", "_c")
+    kept = materialize(member.groupBy("_group").agg(F.min(first).alias("k")).select(null_key(F.col("k._id")).alias("_quarry_id"), F.col("k._node").alias("_quarry_node"), F.col("k._c").alias("_c")), "kept")
+    keys = ["_quarry_id", "_quarry_node"]
+    gone = materialize(rows.select(null_key(F.col("_id")).alias("_quarry_id"), F.col("_node").alias("_quarry_node")).join(kept, keys, "left_anti"), "gone")
+    keyed = docs.withColumn("_quarry_id", null_key(F.col(id_col))).withColumn("_quarry_node", F.xxhash64(text))
+    stays = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, keys, "left_anti")
+    again = kept.where("_c > 1").select(*keys)
+    if (n := again.count()):
+        twice = F.broadcast(again) if n <= BROADCAST_ROWS else again
+        stays = stays.join(twice, keys, "left_anti").unionByName(stays.join(twice, keys, "left_semi").dropDuplicates(keys))
+    return stays.select(*[F.col(f"`{c}`") for c in docs.columns])

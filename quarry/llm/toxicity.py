@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import bound_batches, materialize
+
 #: Labelled documents that the model is fitted on at most: those of smallest hash.
 MAX_TRAIN = 16_000
 #: Hash buckets of terms, and how many of them the model has weights for.
@@ -25,6 +27,8 @@ REPEATS = (2, 3, 4)
 #: term alone is worth a score and not only the company it was seen in.
 KEEP = 0.3
 FACTORS = 8
+#: Penalties of weights and factors, and the share of rounds that leaves the factors alone.
+PENALTY, ALONE = (0.05, 50.0), 0.5
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -107,7 +111,7 @@ class FactorizationMachine:
         return score
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, rounds: int = 400, rate: float = 0.05, penalty: tuple[float, float] = (0.05, 50.0)) -> FactorizationMachine:
+def fit(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, rounds: int = 400, rate: float = 0.05, penalty: tuple[float, float] = PENALTY, alone: float = ALONE) -> FactorizationMachine:
     """Full-batch Adam on the logistic loss over sparse rows of term places.
 
     Rows without terms count through the bias alone, so the two kinds of them
@@ -141,7 +145,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, rounds: int =
             cross = np.add.reduceat((e[:, None] * s)[doc][by_term], heads)
             grad = {"b": grad["b"] + e.sum(), "w": grad["w"] + sums, "v": grad["v"] + cross - sums[:, None] * p["v"]}
         for k, g in grad.items():
-            if k == "v" and t <= rounds // 2:
+            if k == "v" and t <= rounds * alone:
                 continue
             g = g / n
             first[k] = 0.9 * first[k] + 0.1 * g
@@ -166,17 +170,11 @@ def is_held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> FactorizationMachine:
-    """Fits the model on labelled documents that are not held out.
-
-    At most ``max_train`` labelled ids are used, those of smallest hash. Terms
-    are chosen by the likelihood ratio of their presence, more strictly the more
-    terms there are, whichever label they speak for and however mostly clean
-    they are: terms that are toxic together only stand out by it too. Copies of
-    a text count once, so their words gain nothing by being repeated. Only
-    their counts and the chosen terms of each training document reach the driver. Labels of one id are joined by their
-    maximum; null ids and labels are left out. Without training rows or chosen
-    terms the score is one constant.
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> DataFrame:
+    """``_id, _y, _h, _terms``: labelled documents that are not held out, with all their terms, written.
+
+    At most ``max_train`` labelled ids are used, those of smallest hash. Labels of
+    one id are joined by their maximum; null ids and labels are left out.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~is_held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col)).cast("int").alias("_y"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
@@ -186,24 +184,44 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             yield pd.DataFrame({"_id": b["_id"], "_y": b["_y"], "_h": b["_h"], "_terms": [sorted(terms_of_text(x)) for x in b["_text"]]})
 
-    found = rows.mapInPandas(terms, f"_id {rows.schema['_id'].dataType.simpleString()}, _y int, _h long, _terms array<int>")
-    once = rows.groupBy("_h").agg(F.min("_id").alias("_id"), F.max("_y").alias("_toxic"))  # copies of a text count once
+    return materialize(rows.mapInPandas(terms, f"_id {rows.schema['_id'].dataType.simpleString()}, _y int, _h long, _terms array<int>"), "training-terms")
+
+
+def chosen_terms(found: DataFrame) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """The terms that tell of the label, and places of each training row's terms and its label.
+
+    Terms are chosen by the likelihood ratio of their presence, more strictly the
+    more terms there are, whichever label they speak for and however mostly
+    clean they are: terms that are toxic together only stand out by it too.
+    Copies of a text count once, so their words gain nothing by being repeated.
+    """
+    once = found.groupBy("_h").agg(F.min("_id").alias("_id"), F.max("_y").alias("_toxic"))  # copies of a text count once
     n1, n = (int(v or 0) for v in once.agg(F.sum("_toxic"), F.count("*")).first())
     if not n:
-        return FactorizationMachine(np.empty(0, int), -3.0, np.empty(0), np.empty((0, FACTORS)))
+        return np.empty(0, int), [], np.empty(0)
     rate = min(max(n1 / n, 1e-6), 1 - 1e-6)
     counts = found.join(F.broadcast(once), ["_id", "_h"]).select("_toxic", F.explode("_terms").alias("t")).groupBy("t").agg(F.count("*").alias("df"), F.sum("_toxic").alias("df1"))
     own = F.col("df1") / F.col("df")
     part = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
     gain = 2 * F.col("df") * (part(own, F.lit(rate)) + part(1 - own, F.lit(1 - rate)))
-    total = counts.count()
-    useful = counts.where(F.col("df") >= 3).withColumn("gain", gain)
-    chosen = useful.where(F.col("gain") > 1.3 * float(np.log(max(total, 2)))).orderBy(F.col("gain").desc(), "t").limit(MAX_TERMS).collect()
-    picked = np.array(sorted(r["t"] for r in chosen), int)
+    counts = materialize(counts.withColumn("gain", gain), "term-counts")
+    best = counts.where("df >= 3").where(F.col("gain") > 1.3 * float(np.log(max(counts.count(), 2))))
+    picked = np.array(sorted(r["t"] for r in best.orderBy(F.col("gain").desc(), "t").limit(MAX_TERMS).collect()), int)
     kept = F.array_sort(F.array_intersect("_terms", F.array(*[F.lit(int(t)) for t in picked]))) if len(picked) else F.array().cast("array<int>")
     data = found.select("_id", "_y", kept.alias("_terms")).orderBy("_id").collect()
-    rows = [np.searchsorted(picked, np.array(r["_terms"], int)) for r in data]
-    return fit(*with_thinned(rows, np.array([r["_y"] for r in data], float)), picked)
+    return picked, [np.searchsorted(picked, np.array(r["_terms"], int)) for r in data], np.array([r["_y"] for r in data], float)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> FactorizationMachine:
+    """Fits the model on labelled documents that are not held out (see ``training_rows``).
+
+    Only counts of terms and the chosen terms of each training document reach
+    the driver. Without training rows or chosen terms the score is one constant.
+    """
+    picked, rows, y = chosen_terms(training_rows(docs, labels, id_col, text_col, label_col, max_train))
+    if not len(y):
+        return FactorizationMachine(np.empty(0, int), -3.0, np.empty(0), np.empty((0, FACTORS)))
+    return fit(*with_thinned(rows, y), picked)
 
 
 def score_column(model: FactorizationMachine, text: Column) -> Column:
@@ -223,7 +241,9 @@ def score_documents(docs: DataFrame, model: FactorizationMachine, id_col: str =
 
     Defined results: null and empty texts have no terms and get the score of the
     bias. Repeated rows get the same score. A null id is not held out. An empty
-    table gives no rows. Only the text is an input of the score.
+    table gives no rows. Only the text, whole however long, is an input of the
+    score; other columns are ignored whatever their names, and ids may be of any type.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), is_held_out(id_col).alias("held_out"), score_column(model, F.col(text_col)).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
