@@ -122,30 +122,39 @@ def fluid_zones(curve: DataFrame, rt_above: float = 15.0) -> DataFrame:
     return found.select("well", "depth_top", "depth_bottom", "_f.fluid", "_f.confidence", "rt_mean", "den_mean", "cnl_mean", evidence.alias("evidence"))
 
 
-def merge_fold(segments: DataFrame, max_gap: float = 5.0) -> DataFrame:
+def _joined(segments: DataFrame, order: WindowSpec, joined: Column) -> DataFrame:
+    """``segments`` with ``_k``, the number of the run of segments that are joined to the one before."""
+    new = (~F.coalesce(joined, F.lit(False))).cast("int")
+    return segments.withColumn("_new", new).withColumn("_k", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def merge_fold(segments: DataFrame, max_gap: float = 5.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """Adjacent segments of one lithology merged in order; means are averaged pair by pair.
 
-    The running mean depends on the order, so a well is folded; a well has few
-    segments, and the fold stays in the plan.
+    Whether a segment joins the one before depends on these two alone, so the
+    runs are found by windows; the running mean depends on the order and is
+    folded within a run. ``keep``: columns taken from a run's first segment.
     """
-    row = "struct<depth_top:double,depth_bottom:double,lithology:string,mean_value:double>"
-    fold = f"""aggregate(slice(_s, 2, size(_s) - 1), array(_s[0]), (acc, x) ->
-        if(element_at(acc, -1).lithology = x.lithology AND x.depth_top - element_at(acc, -1).depth_bottom <= {max_gap}D,
-           concat(slice(acc, 1, size(acc) - 1), array(named_struct('depth_top', element_at(acc, -1).depth_top, 'depth_bottom', x.depth_bottom, 'lithology', x.lithology, 'mean_value', (element_at(acc, -1).mean_value + x.mean_value) / 2))),
-           concat(acc, array(x))))"""
-    items = F.array_sort(F.collect_list(F.struct("depth_top", "depth_bottom", "lithology", "mean_value").cast(row)))
-    return segments.groupBy("well").agg(items.alias("_s")).select("well", F.expr(f"inline({fold})"))
+    order = Window.partitionBy("well").orderBy("depth_top", "depth_bottom", "lithology", "mean_value")
+    same = F.col("lithology").eqNullSafe(F.lag("lithology").over(order)) & (F.col("depth_top") - F.lag("depth_bottom").over(order) <= max_gap)
+    place = F.struct("depth_top", "depth_bottom", "lithology", "mean_value")
+    runs = _joined(segments, order, same).groupBy("well", "_k", "lithology").agg(F.min("depth_top").alias("depth_top"), F.max_by("depth_bottom", place).alias("depth_bottom"), F.array_sort(F.collect_list(place)).alias("_s"), *[F.min_by(c, place).alias(c) for c in keep])
+    mean = F.expr("aggregate(slice(_s, 2, size(_s) - 1), _s[0].mean_value, (acc, x) -> (acc + x.mean_value) / 2)")
+    return runs.select("well", "depth_top", "depth_bottom", "lithology", mean.alias("mean_value"), *keep)
 
 
-def merge_islands(segments: DataFrame, keys: list[str], max_gap: float = 3.0) -> DataFrame:
-    """Adjacent segments with equal keys less than ``max_gap`` apart merged; confidence is the maximum."""
+def merge_islands(segments: DataFrame, keys: list[str], max_gap: float = 3.0, first: str | None = None) -> DataFrame:
+    """Adjacent segments with equal keys less than ``max_gap`` apart merged; confidence is the maximum.
+
+    ``first``: a column taken from the first segment of each.
+    """
     w = Window.partitionBy("well").orderBy("depth_top")
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.lag(k).over(w))
-    joined = F.coalesce(same & (F.col("depth_top") - F.lag("depth_bottom").over(w) < max_gap), F.lit(False))
-    grouped = segments.withColumn("_new", (~joined).cast("int")).withColumn("_k", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy("well", "_k", *keys).agg(F.min("depth_top").alias("depth_top"), F.max("depth_bottom").alias("depth_bottom"), F.max("confidence").alias("confidence"), F.count("*").alias("n_merged")).drop("_k")
+    grouped = _joined(segments, w, same & (F.col("depth_top") - F.lag("depth_bottom").over(w) < max_gap))
+    more = [F.min_by(first, "depth_top").alias(first)] if first else []
+    return grouped.groupBy("well", "_k", *keys).agg(F.min("depth_top").alias("depth_top"), F.max("depth_bottom").alias("depth_bottom"), F.max("confidence").alias("confidence"), F.count("*").alias("n_merged"), *more).drop("_k")
 
 
 def sliding_features(curve: DataFrame, window: int = 20, step: int = 10, top: float | None = None, bottom: float | None = None) -> DataFrame:

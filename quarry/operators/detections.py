@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.geometry import iou, to_index
+from quarry.functions.geometry import iou, pixel_to_data, to_index
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -46,7 +46,7 @@ def match_verifications(vers: DataFrame, dets: DataFrame, threshold: float = 0.3
     Only boxes above the threshold count; ties go to the smaller id. The
     spatial join has image and class as equality keys.
     """
-    by_id = vers.join(dets.select(F.col("det_id").alias("_d")), vers["result_id"] == F.col("_d"), "left")
+    by_id = vers.join(dets.select(F.col("det_id").alias("_d")), vers["result_id"].cast("string") == F.col("_d").cast("string"), "left")
     lost = by_id.where("_d IS NULL").drop("_d")
     near = dets.select("image", "class_id", F.col("det_id").alias("_d"), *[F.col(c).alias(f"d_{c}") for c in BOX])
     pairs = lost.join(near, ["image", "class_id"]).withColumn("_iou", iou(_box(), _box("d_"))).where(F.col("_iou") > threshold)
@@ -92,6 +92,21 @@ def nms_all(dets: DataFrame, threshold: float) -> DataFrame:
     return dets.join(other, same & ahead & (iou(_box(), _box("o_")) > threshold), "left_anti")
 
 
+def suppress_hulls(regions: DataFrame, threshold: float) -> DataFrame:
+    """Regions whose hull does not overlap that of a more confident one of the section by more than ``threshold``.
+
+    Overlap is that of the corner coordinates, the more confident ones count
+    suppressed or not, and of equal ones the smaller region number goes first.
+    """
+    o = regions.select("il", F.col("region").alias("o_region"), F.col("confidence").alias("o_confidence"), *[F.col(c).alias(f"o_{c}") for c in BOX])
+    ahead = (F.col("o_confidence") > F.col("confidence")) | ((F.col("o_confidence") == F.col("confidence")) & (F.col("o_region") < F.col("region")))
+    w = F.least("x2", "o_x2") - F.greatest("x1", "o_x1")
+    h = F.least("y2", "o_y2") - F.greatest("y1", "o_y1")
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) + (F.col("o_x2") - F.col("o_x1")) * (F.col("o_y2") - F.col("o_y1"))
+    over = (w > 0) & (h > 0) & (w * h / (area - w * h + F.lit(1e-8)) > threshold)
+    return regions.join(o, (regions["il"] == o["il"]) & ahead & over, "left_anti")
+
+
 def dedup_by_id(dets: DataFrame, key: str, order: str) -> DataFrame:
     """The most confident row of each key, the first of equals; rows without a key all stay."""
     w = Window.partitionBy(key).orderBy(F.col("confidence").desc(), order)
@@ -109,6 +124,45 @@ def paint_volume(dets: DataFrame, nx: int, ny: int) -> DataFrame:
     return cells(dets.where(F.coalesce(F.col("in_roi"), F.lit(True))), nx, ny).groupBy("class_id", "image", "x", "y").agg(F.max("confidence").alias("confidence"))
 
 
+def paint_views(dets: DataFrame, views: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """``class_name, il, xl, s, confidence``: highest confidence of each cell of a volume that boxes on its views cover.
+
+    ``views``: ``view_name`` (inline, crossline or slice; others are not
+    painted), ``image`` (path of its picture), ``index`` (its place on its axis),
+    ``rows``, ``cols`` (of its array). ``dets``: ``image_name, class_name,
+    confidence, in_roi`` and a normalised box. A view is known by the stem of its
+    image, by ``seismic_`` and its name, and by its name alone. Inlines have
+    crosslines across and samples down, crosslines inlines across and samples
+    down, slices crosslines across and inlines down. Rows out of the region of
+    interest do not paint, nor do views beyond the volume.
+    """
+    n_il, n_xl, n_s = shape
+    stem = F.regexp_extract("image", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    limit = F.when(F.col("view_name") == "inline", n_il).when(F.col("view_name") == "crossline", n_xl).when(F.col("view_name") == "slice", n_s)
+    known = views.where((F.col("index") >= 0) & (F.col("index") < limit)).withColumn("image_name", F.explode(F.array_distinct(F.array(stem, F.concat(F.lit("seismic_"), F.col("view_name")), F.col("view_name"))))).drop("image")
+    d = dets.where(F.coalesce(F.col("in_roi"), F.lit(True))).join(known, "image_name")
+    at = lambda b, n: F.least(F.greatest(F.col(b) * F.col(n), F.lit(0.0)), F.col(n) - 1).cast("int")
+    span = lambda a, b, size, n: F.sequence(F.least(F.least(at(a, size), at(b, size)), F.lit(n - 1)), F.least(F.greatest(at(a, size), at(b, size)), F.lit(n - 1)))
+    one, v = F.array(F.col("index").cast("int")), F.col("view_name")
+    axes = d.select(
+        F.coalesce("class_name", F.lit("unknown")).alias("class_name"),
+        F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
+        F.when(v == "inline", one).when(v == "crossline", span("x1", "x2", "cols", n_il)).otherwise(span("y1", "y2", "rows", n_il)).alias("il"),
+        F.when(v == "crossline", one).otherwise(span("x1", "x2", "cols", n_xl)).alias("xl"),
+        F.when(v == "slice", one).otherwise(span("y1", "y2", "rows", n_s)).alias("s"),
+    )
+    each = axes.withColumn("il", F.explode("il")).withColumn("xl", F.explode("xl")).withColumn("s", F.explode("s"))
+    return each.groupBy("class_name", "il", "xl", "s").agg(F.max("confidence").alias("confidence"))
+
+
+def to_data(dets: DataFrame, width: int, height: int, x_axis: tuple[float, float], y_axis: tuple[float, float]) -> DataFrame:
+    """``x_min, x_max, y_min, y_max`` on the data axes of the rows that have a box in pixels."""
+    rows = dets.where((F.col("coordinate_system") == "pixel") & F.col("bbox_pixel").isNotNull())
+    x = [pixel_to_data(F.col("bbox_pixel")[i], width, *x_axis) for i in (0, 2)]
+    y = [pixel_to_data(F.col("bbox_pixel")[i], height, *y_axis) for i in (1, 3)]
+    return rows.withColumns({"x_min": F.least(*x), "x_max": F.greatest(*x), "y_min": F.least(*y), "y_max": F.greatest(*y)})
+
+
 def paint_mask(dets: DataFrame, nx: int, ny: int, least: float, order: str = "det_id") -> DataFrame:
     """The last box that covers a cell decides it, with ``least`` confidence at least."""
     last = F.max_by(F.greatest(F.col("confidence"), F.lit(least)), F.col(order))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,35 +16,52 @@ RANGE_KEYS = ("expected_depth_ranges", "expected_range", "target_range", "depth_
 REQUIRED = {"traditional_code": "rules", "horizon_tracker": "seed_points", "attribute_extractor": "attributes", "sam": "prompt_value"}
 
 
+_MARK = re.compile(r'\\.|["{}]', re.S)
+
+
+def _close(text: str, start: int) -> int | None:
+    """Where the brace at ``start`` is closed."""
+    depth, odd = 0, 0
+    for m in _MARK.finditer(text, start):
+        odd ^= m[0] == '"'
+        depth += (not odd) * ((m[0] == "{") - (m[0] == "}"))
+        if not depth:
+            return m.end()
+    return None
+
+
 def first_json(text: str | None) -> str | None:
     """The first balanced, parseable, non-empty object in a text.
 
     Braces in strings do not count; a backslash skips the next character
     anywhere. A start that never closes ends the search for that start only.
+
+    From a start on, quotes are read as seen from it. One pass finds where each
+    start closes: starts that see the same quotes share a stack, of which there
+    are two, for a start inside a string of the other sees them the other way.
     """
     text = text or ""
-    at = text.find("{")
-    while at >= 0:
-        depth, quoted, skip = 0, False, False
-        for i in range(at, len(text)):
-            c = text[i]
-            if skip:
-                skip = False
-            elif c == "\\":
-                skip = True
-            elif c == '"':
-                quoted = not quoted
-            elif not quoted:
-                depth += (c == "{") - (c == "}")
-                if depth == 0:
-                    try:
-                        got = json.loads(text[at : i + 1])
-                        if isinstance(got, dict) and got:
-                            return json.dumps(got)
-                    except ValueError:
-                        pass
-                    break
-        at = text.find("{", at + 1)
+    stacks: tuple[list[int], list[int]] = ([], [])
+    closes: dict[int, int] = {}
+    odd = 0
+    for m in _MARK.finditer(text):
+        c = m[0]
+        if c == "\\{":  # skipped by starts before it, but a start too
+            if end := _close(text, m.end() - 1):
+                closes[m.end() - 1] = end
+        elif c == '"':
+            odd ^= 1
+        elif c == "{":
+            stacks[odd].append(m.start())
+        elif c == "}" and stacks[odd]:
+            closes[stacks[odd].pop()] = m.end()
+    for start in sorted(closes):
+        try:
+            got = json.loads(text[start : closes[start]])
+        except ValueError:
+            continue
+        if isinstance(got, dict) and got:
+            return json.dumps(got)
     return None
 
 

@@ -190,40 +190,66 @@ def flood_fill(section: DataFrame, seeds: DataFrame, tolerance: float) -> DataFr
     close = section.join(seed, "il").where(F.abs(F.col("amp") - F.col("v")) <= tolerance).select("il", "trace", "s", F.col("amp").alias("p"))
     labelled = label_regions(close)
     own = labelled.join(at, "il").where("trace = st AND s = ss").select("il", "region")
-    return labelled.join(own, ["il", "region"]).groupBy("il").agg(F.count("*").alias("area"), F.min("trace").alias("x1"), F.max("trace").alias("x2"), F.min("s").alias("y1"), F.max("s").alias("y2"))
+    inside = labelled.join(own, ["il", "region"])
+    return inside.groupBy("il").agg(F.count("*").alias("area"), F.min("trace").alias("x1"), F.max("trace").alias("x2"), F.min("s").alias("y1"), F.max("s").alias("y2"), F.avg("trace").alias("cx"), F.avg("s").alias("cy"))
 
 
 def pick_seed(section: DataFrame, centre: int, half: int, mode: str) -> DataFrame:
-    """The sample of each trace picked near ``centre``: peak, trough or largest magnitude, first of equals."""
-    key = {"peak": F.col("amp"), "trough": -F.col("amp")}.get(mode, F.abs("amp"))
+    """The sample of each trace picked near ``centre``: peak, trough or largest magnitude, first of equals.
+
+    ``zero_crossing_pos2neg`` and ``zero_crossing_neg2pos``: the first crossing of
+    that direction from the middle of the window on, or the middle.
+    """
     near = section.where(F.col("s").between(centre - half, centre + half))
+    if "zero_crossing" in mode:
+        nxt = F.lead("amp").over(by_trace())
+        down, up = (F.col("amp") >= 0) & (nxt < 0), (F.col("amp") <= 0) & (nxt > 0)
+        hit = down if mode.endswith("pos2neg") else up if mode.endswith("neg2pos") else F.lit(False)
+        first = F.min("s").over(Window.partitionBy("il", "trace"))
+        mid = first + F.floor(F.count("*").over(Window.partitionBy("il", "trace")) / 2).cast("int")
+        marked = near.withColumn("hit", hit).withColumn("mid", mid)
+        return marked.groupBy("il", "trace").agg(F.coalesce(F.min(F.when(F.col("hit") & (F.col("s") >= F.col("mid")), F.col("s"))), F.min("mid")).alias("seed"))
+    key = {"peak": F.col("amp"), "trough": -F.col("amp")}.get(mode, F.abs("amp"))
     return near.groupBy("il", "trace").agg(F.min_by("s", F.struct(-key, F.col("s"))).alias("seed"))
 
 
-def track_horizon(traces: DataFrame, seed_sample: int, half: int = 5, search: int = 10, least: float = 0.4) -> DataFrame:
-    """Horizon picks from trace 0 of each section by normalised cross-correlation.
-
-    Each pick starts from the one before, so a section is one sequence; sections
-    are tracked independently, in grouped Arrow.
+def snap(column: np.ndarray, at: int, mode: str, half: int = 4) -> int:
+    """The sample near ``at`` that a mode picks on one trace (see ``pick_seed``)."""
+    lo = max(0, at - half)
+    x = column[lo : at + half + 1]
+    if mode == "peak":
+        return lo + int(np.argmax(x))
+    if mode == "trough":
+        return lo + int(np.argmin(x))
+    if "zero_crossing" in mode:
+        mid = len(x) // 2
+        a, b = x[mid:-1], x[mid + 1 :]
+        hit = (a >= 0) & (b < 0) if mode.endswith("pos2neg") else (a <= 0) & (b > 0) if mode.endswith("neg2pos") else np.zeros(len(a), bool)
+        return lo + mid + (int(np.argmax(hit)) if hit.any() else 0)
+    return at
+
+
+def follow(wave: np.ndarray, start: int, at: int, half: int, search: int, least: float) -> list[tuple[int, int, float]]:
+    """(trace, sample, confidence) of a horizon through sample ``at`` of trace ``start``; ``wave`` is traces by samples.
+
+    To the left, then to the right from where that ended: on each trace the best
+    normalised correlation with the waveform around the seed near the pick before;
+    flat traces are skipped, a fit under ``least`` ends the way.
     """
-
-    def track(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("trace")
-        wave = np.stack(rows["samples"].to_numpy())
-        ns, at = wave.shape[1], seed_sample
-        form = wave[0, max(0, at - half) : min(ns, at + half)]
-        out = [(0, at, 1.0)]
-        if form.std() < 1e-8:
-            out = [(0, at, 0.0)]
-        else:
-            form = (form - form.mean()) / (form.std() + 1e-8)
-            for t in range(1, len(wave)):
-                lo, hi = max(0, at - search - half), min(ns, at + search + half)
-                if hi - lo < len(form) + 4:
-                    break
-                part = wave[t, lo:hi]
-                if part.std() < 1e-8:
-                    continue
+    ns = wave.shape[1]
+    form = wave[start, max(0, at - half) : min(ns, at + half)]
+    if form.std() < 1e-8:
+        return [(start, at, 0.0)]
+    form = (form - form.mean()) / (form.std() + 1e-8)
+    out, seed = [(start, at, 1.0)], at
+    for step in (-1, 1):
+        at, t = seed, start + step
+        while 0 <= t < len(wave):
+            lo, hi = max(0, at - search - half), min(ns, at + search + half)
+            if hi - lo < len(form) + 4:
+                break
+            part = wave[t, lo:hi]
+            if part.std() >= 1e-8:
                 fit = np.correlate((part - part.mean()) / (part.std() + 1e-8), form, mode="valid")
                 k = int(np.argmax(fit))
                 score = min(float(fit[k]) / len(form), 1.0)
@@ -231,9 +257,40 @@ def track_horizon(traces: DataFrame, seed_sample: int, half: int = 5, search: in
                     break
                 at = max(0, min(ns - 1, lo + k + len(form) // 2))
                 out.append((t, at, score))
-        return pd.DataFrame({"il": rows["il"].iloc[0], "trace": [x[0] for x in out], "s": [x[1] for x in out], "confidence": [x[2] for x in out]})
+            t += step
+    return sorted(out)
+
 
-    return traces.groupBy("il").applyInPandas(track, "il int, trace int, s int, confidence double")
+def track_seeds(traces: DataFrame, seeds: list[dict], mode: str = "correlation", search: int = 10, time_axis: list[float] | None = None, half: int = 25, least: float = 0.4) -> DataFrame:
+    """``il, seed, seed_trace, seed_sample, trace, s, confidence`` of horizons from seeds, on every section.
+
+    Each pick starts from the one before, so a seed on a section is one sequence;
+    sections are tracked independently, in grouped Arrow. A seed has
+    ``trace_idx`` or ``cdp`` and ``sample_idx`` or ``time_ms`` (read against the
+    time axis, the middle without one); both are clipped to the section.
+    """
+
+    def place(seed: dict, ns: int) -> int:
+        if "time_ms" in seed and time_axis is not None:
+            return int(np.argmin(np.abs(np.asarray(time_axis) - float(seed["time_ms"]))))
+        return int(seed.get("sample_idx", ns // 2))
+
+    def track(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("trace")
+        wave, numbers = np.stack(rows["samples"].to_numpy()).astype(float), rows["trace"].to_numpy()
+        out = []
+        for k, seed in enumerate(seeds):
+            start = max(0, min(len(wave) - 1, int(seed.get("trace_idx", seed.get("cdp", 0)))))
+            at = snap(wave[start], max(0, min(wave.shape[1] - 1, place(seed, wave.shape[1]))), mode)
+            out += [(k, int(numbers[start]), at, int(numbers[t]), s, c) for t, s, c in follow(wave, start, at, half, search, least)]
+        return pd.DataFrame(out, columns=["seed", "seed_trace", "seed_sample", "trace", "s", "confidence"]).assign(il=rows["il"].iloc[0])
+
+    return traces.select("il", "trace", "samples").groupBy("il").applyInPandas(track, f"il {traces.schema['il'].dataType.simpleString()}, seed int, seed_trace int, seed_sample int, trace int, s int, confidence double")
+
+
+def track_horizon(traces: DataFrame, seed_sample: int, half: int = 25, search: int = 15, least: float = 0.4) -> DataFrame:
+    """Horizon picks ``il, trace, s, confidence`` from a sample of trace 0 of each section."""
+    return track_seeds(traces, [{"trace_idx": 0, "sample_idx": seed_sample}], "correlation", search, None, half, least).select("il", "trace", "s", "confidence")
 
 
 def horizon_quality(points: DataFrame) -> DataFrame:
@@ -265,16 +322,12 @@ def envelope(traces: DataFrame) -> DataFrame:
 
 
 def spectral_band(traces: DataFrame, low: float, high: float) -> DataFrame:
-    """Traces with frequencies outside [low, high] cycles a sample removed."""
+    """Traces through a zero-phase Butterworth band of order 4, in cycles a sample."""
+    from quarry.operators.kernels import band
 
     def run(batches):
         for b in batches:
-            out = []
-            for samples in b["samples"]:
-                x = np.asarray(samples, float)
-                f = np.fft.rfftfreq(len(x))
-                out.append(np.fft.irfft(np.where((f >= low) & (f <= high), np.fft.rfft(x), 0), len(x)))
-            yield b.assign(samples=out)
+            yield b.assign(samples=[band(np.asarray(x, float)[:, None], low, high)[:, 0] for x in b["samples"]])
 
     return traces.mapInPandas(run, traces.schema)
 

@@ -483,7 +483,7 @@ def mask_stats(spark, sf_dir):
 @query
 def flood_fill(spark, sf_dir):
     seeds = _sec(spark, sf_dir).select("il").distinct().select("il", F.lit(3).alias("trace"), F.lit(20).alias("s"))
-    return sections.flood_fill(_sec(spark, sf_dir), seeds, 0.08)
+    return sections.flood_fill(_sec(spark, sf_dir), seeds, 0.08).drop("cx", "cy")
 
 
 @query

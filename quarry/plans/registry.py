@@ -26,15 +26,10 @@ class Registry:
 
 
 def default_registry() -> Registry:
-    """The curve and section models over the views' columns."""
-    from quarry.operators import curves, sections
+    """The models that need no external weights, by their names."""
+    from quarry.plans import models
 
     out = Registry()
-    out.register("traditional_code", lambda ins, ctx: curves.threshold_segments(ctx["curve"], ins["variable"], ins.get("op", "<"), float(ins["threshold"])))
-    out.register("well_log_analyzer", lambda ins, ctx: curves.fluid_zones(ctx["curve"]) if ins.get("analysis_type") == "fluid_identification" else curves.classified_segments(ctx["curve"]))
-    out.register("well_log_ml", lambda ins, ctx: curves.sliding_features(ctx["curve"]))
-    out.register("attribute_extractor", lambda ins, ctx: sections.attribute_stats(ctx["section"]))
-    out.register("seismic_domain_model", lambda ins, ctx: sections.region_stats(sections.label_regions(sections.probability_mask(ctx["probability"], float(ins.get("confidence_threshold", 0.3)))), int(ins.get("min_region_area_pixels", 100))))
-    out.register("horizon_tracker", lambda ins, ctx: sections.track_horizon(ctx["traces"], int(ins["seed_sample"])))
-    out.register("sam", lambda ins, ctx: sections.mask_stats(ctx["section"]))
+    for f in (models.traditional_code, models.well_log_analyzer, models.well_log_ml, models.attribute_extractor, models.facies_classifier, models.horizon_tracker, models.seismic_domain_model, models.sam, models.cig_fault, models.cig_channel):
+        out.register(f.__name__, f)
     return out
