@@ -106,15 +106,34 @@ class Reader:
         return Words(np.array([memo.get(t) or look(t) for t in _TOKEN.findall(text or "")], np.uint64))
 
 
+class _Powers:
+    """Powers of the base and of its inverse, as far as they have been needed."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n >= len(self.up):
+            size = max(n + 1, 2 * len(self.up))
+            up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(int(_BASE), -1, 2**64), np.uint64)
+            up[0] = down[0] = 1
+            self.up, self.down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        return self.up, self.down
+
+
+_POWERS = _Powers()
+
+
 def windows(ids: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of ``size`` ids."""
+    """Hashes of all runs of ``size`` ids, as differences of prefix sums."""
     n = len(ids) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for i in range(size):
-        h = h * _BASE + ids[i : i + n]
-    return h ^ (h >> np.uint64(31))
+    up, down = _POWERS.upto(len(ids))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(ids * up[: len(ids)], dtype=np.uint64)))
+    h = (sums[size:] - sums[:n]) * down[:n]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
 
 
 def _hashed(df: DataFrame, text_col: str, a: str, b: str) -> DataFrame:
@@ -153,32 +172,21 @@ def _probes(keys: np.ndarray, bits: int) -> np.ndarray:
 def key_filter(found: DataFrame) -> tuple[int, np.ndarray]:
     """A Bloom filter of the ``key`` column: its power of two and its bits.
 
-    It is put together from pieces of 64 K bits that executors make; however
-    many windows there are, it has 2**MOST_BITS bits at most, and what a full
-    one lets through costs time but changes no result.
+    Executors put it together in words of 64 bits; however many windows there
+    are, it has 2**MOST_BITS bits at most, and what a full one lets through
+    costs time but changes no result.
     """
     n = found.count()
     bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(1, n * BITS_EACH))))))
 
     def spots(batches):
         for b in batches:
-            at = np.unique(_probes(b["key"].to_numpy().view(np.uint64), bits)).astype(np.int64)
-            yield pd.DataFrame({"piece": at >> 16, "spot": (at & 0xFFFF).astype(np.int32)})
-
-    def packed(batches):
-        for b in batches:
-            out = []
-            for spots in b["spots"]:
-                flags = np.zeros(1 << 16, np.uint8)
-                flags[np.asarray(spots)] = 1
-                out.append(np.packbits(flags, bitorder="little").tobytes())
-            yield pd.DataFrame({"piece": b["piece"], "bits": out})
+            yield pd.DataFrame({"spot": np.unique(_probes(b["key"].to_numpy().view(np.uint64), bits)).astype(np.int64)})
 
-    pieces = found.select("key").distinct().mapInPandas(spots, "piece long, spot int").groupBy("piece").agg(F.collect_set("spot").alias("spots")).mapInPandas(packed, "piece long, bits binary")
-    out = np.zeros(1 << bits >> 3, np.uint8)
-    for r in pieces.toLocalIterator():
-        out[r["piece"] << 13 : (r["piece"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
-    return bits, out
+    words = found.select("key").mapInPandas(spots, "spot long").groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(1 << bits >> 6, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return bits, out.view(np.uint8)
 
 
 def _text_windows(texts: DataFrame, found: DataFrame) -> DataFrame:
@@ -195,11 +203,13 @@ def _text_windows(texts: DataFrame, found: DataFrame) -> DataFrame:
                 for size in sizes:
                     hits = set()
                     for at, keys in words.keys(size):
-                        maybe = np.arange(len(keys))
                         for p in _PROBES:  # most keys fall out at the first probe
-                            spot = (keys[maybe] * p) >> np.uint64(64 - bits)
-                            maybe = maybe[(flags[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 > 0]
-                        hits.update(zip(keys[maybe].view(np.int64).tolist(), at[maybe].tolist(), strict=True))
+                            spot = (keys * p) >> np.uint64(64 - bits)
+                            there = np.flatnonzero((flags[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1)
+                            at, keys = at[there], keys[there]
+                            if not len(keys):
+                                break
+                        hits.update(zip(keys.view(np.int64).tolist(), at.tolist(), strict=True))
                     out += [(k1, k2, k, p, words.raw[p : p + size].view(np.int64)) for k, p in sorted(hits)]
             yield pd.DataFrame(out, columns=["k1", "k2", "key", "p", "other"])
 

@@ -28,7 +28,7 @@ REPEATS = (2, 3, 4)
 KEEP = 0.3
 FACTORS = 8
 #: Penalties of weights and factors, and the share of rounds that leaves the factors alone.
-PENALTY, ALONE = (0.05, 50.0), 0.5
+PENALTY, ALONE = (0.05, 1.0), 0.5
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 
