@@ -1,5 +1,9 @@
 """Operators on small hand-checked frames."""
 
+import json
+import struct
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -156,14 +160,91 @@ def test_segy_round_trip(spark, tmp_path):
         segy.write_segy(path, [*lines, (1, 1, [0.0])])
 
 
+def test_segy_sink_copies_headers_and_checks_the_shape(spark, tmp_path):
+    lines = [(il, xl, [float(il + xl + k) for k in range(12)]) for il in (100, 101) for xl in (200, 201)]
+    segy.write_segy(str(tmp_path / "ref.sgy"), lines, 2000)
+    spark.dataSource.register(segy.SegyDataSource)
+    volume = spark.read.format("segy").load(str(tmp_path / "ref.sgy"))
+    doubled = volume.withColumn("samples", F.transform("samples", lambda x: x * 2))
+    segy.write_attribute(doubled, str(tmp_path / "out"), str(tmp_path / "ref.sgy"))
+    got = spark.read.format("segy").load(str(tmp_path / "out")).orderBy("il", "xl").collect()
+    assert [(r.il, r.xl, r.interval_ms) for r in got] == [(a, b, 2.0) for a, b, _ in lines]
+    assert all(np.allclose(r.samples, np.array(s) * 2, rtol=1e-5) for r, (_, _, s) in zip(got, lines, strict=True))
+    for wrong in (doubled.where("xl = 200"), doubled.withColumn("samples", F.slice("samples", 1, 5))):
+        with pytest.raises(Exception, match="traces, where|samples, not"):
+            segy.write_attribute(wrong, str(tmp_path / "bad"), str(tmp_path / "ref.sgy"))
+        assert not list((tmp_path / "bad").glob("*.sgy"))
+    segy.write_attribute(doubled, str(tmp_path / "plain"), interval_ms=8.0)
+    assert {r.interval_ms for r in spark.read.format("segy").load(str(tmp_path / "plain")).collect()} == {8.0}
+
+
+def png(rows):
+    """A grey picture as PNG bytes."""
+    body = zlib.compress(b"".join(b"\0" + bytes(r) for r in rows))
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", len(rows[0]), len(rows), 8, 0, 0, 0, 0)) + part(b"IDAT", body) + part(b"IEND", b"")
+
+
 def test_run_directory(spark, tmp_path):
-    (tmp_path / "manifest.json").write_text('{"sample_id": "s"}')
-    (tmp_path / "request.json").write_text('{"messages":[{"role":"system","content":[{"type":"image","image":"no.png"}]},{"role":"user","content":[{"type":"image","image":"d/v1.png"},{"type":"text","text":"t"}]}]}')
-    got = files.load_run(spark, str(tmp_path))
-    assert [(r.name, r.path) for r in got["images"].collect()] == [("v1", "d/v1.png")]
+    run = tmp_path / "run"
+    for rel in ("prompts", "schemas", "d"):
+        (run / rel).mkdir(parents=True)
+    with pytest.raises(FileNotFoundError, match="run dir not found"):
+        files.load_run(spark, str(tmp_path / "gone"))
+    (run / "manifest.json").write_text('{"sample_id": "s"}')
+    image = lambda p, **more: {"type": "image", "path": p} | more
+    messages = [{"role": "system", "content": [image("d/v1.png")]}, {"role": "user", "content": [image("d/v1.png", physical_view="inline"), image("d/v2.png", name="second"), image("d/gone.png"), {"type": "text", "text": "t"}]}]
+    (run / "request.json").write_text(json.dumps({"messages": messages}))
+    (run / "prompts/system_prompt.txt").write_text("sys")
+    (run / "prompts/user_prompt.txt").write_text("user")
+    with pytest.raises(FileNotFoundError, match="schemas/expected_model_output.schema.json"):
+        files.load_run(spark, str(run))
+    (run / "schemas/expected_model_output.schema.json").write_text("{}")
+    (run / "d/v1.png").write_bytes(png([[0, 128, 255], [255, 0, 51]]))
+    (run / "d/v2.png").write_bytes(b"no picture")
+    got = files.load_run(spark, str(run))
+    assert sorted(tuple(r) for r in got["images"].collect()) == [("second", "d/v2.png", "unknown"), ("v1", "d/v1.png", "inline")]
+    assert got["system_prompt"].first().raw == "sys" and json.loads(got["manifest"].first().raw) == {"sample_id": "s"}
+    (picture,) = files.read_images(spark, str(run / "d")).collect()
+    assert (picture.height, picture.width) == (2, 3) and np.allclose(picture.gray, [0, 128 / 255, 1, 1, 0, 0.2])
+    sec = {(r.trace, r.s): r.amp for r in files.image_sections(files.read_images(spark, str(run / "d"))).collect()}
+    assert sec[2, 1] == pytest.approx(0.2) and len(sec) == 6
+
+
+def test_arrays_and_slices(spark, tmp_path):
+    np.save(tmp_path / "v.npy", np.arange(24.0).reshape(2, 3, 4))
+    np.save(tmp_path / "s.npy", np.arange(6.0).reshape(2, 3))
+    np.save(tmp_path / "flat.npy", np.arange(3.0))
+    (tmp_path / "bad.npy").write_bytes(b"x")
+    rows = files.read_npy(spark, str(tmp_path / "*.npy")).collect()
+    assert {(r.path.rsplit("/", 1)[1], r.il, r.trace): r.samples for r in rows} == {("v.npy", i, j): [12.0 * i + 4 * j + k for k in range(4)] for i in range(2) for j in range(3)} | {("s.npy", 0, j): [j, j + 3.0] for j in range(3)}
+    volume = spark.createDataFrame([(100 + 2 * i, 200 + 5 * j, [10.0 * i + j, 1.0]) for i in range(2) for j in range(3)], "il int, xl int, samples array<double>")
+    assert sorted(r.xl for r in files.inline_slice(volume, 1).collect()) == [200, 205, 210] and files.inline_slice(volume, 2).count() == 0
+    assert sorted((r.il, r.samples[0]) for r in files.crossline_slice(volume, 2).collect()) == [(100, 2.0), (102, 12.0)]
+    assert sorted(r.amp for r in files.time_slice(volume, 0).collect()) == [0.0, 1.0, 2.0, 10.0, 11.0, 12.0]
+    assert files.as_volume(volume.drop("il")).select("il").distinct().first().il == 0 and files.as_volume(volume) is volume
+
+
+def test_knowledge_plans_and_volumes(spark, tmp_path):
     (tmp_path / "a.md").write_text("alpha")
     assert [(r.doc_id, r.text) for r in files.load_knowledge(spark, str(tmp_path)).collect()] == [("a", "alpha")]
-    assert files.synthetic_volume(spark, 2, 3, 20).count() == 6
+    made = files.synthetic_volume(spark, 16, 36, 70)
+    assert made.count() == 16 * 36 and made.where("il = 12 AND xl = 30").first().samples[62] < -1
+    files.write_plan(spark, 'so: {"workflow_steps": [1]}', str(tmp_path / "p"))
+    files.write_plan(spark, "no plan", str(tmp_path / "p"))
+    assert spark.read.text(str(tmp_path / "p/vlm_plan")).first().value == '{"workflow_steps": [1]}' and spark.read.text(str(tmp_path / "p/vlm_plan_failed")).first().value == "no plan"
+    cells = spark.createDataFrame([("f", 1, 2, 3, 0.5)], "class_name string, il int, xl int, s int, confidence double")
+    files.write_volume(cells, str(tmp_path / "vol"))
+    assert spark.read.parquet(str(tmp_path / "vol")).count() == 1
+    with pytest.raises(NotImplementedError):
+        files.write_volume(cells, str(tmp_path / "vol"), "crossline")
+
+
+def test_nearest_value_on_either_side(spark):
+    values = spark.createDataFrame([("a", 1.0), ("a", 4.0), ("a", 6.0), ("b", 9.0)], "k string, v double")
+    targets = spark.createDataFrame([("a", 0.0), ("a", 5.0), ("a", 5.2), ("a", 9.0), ("b", 1.0), ("c", 1.0)], "k string, t double")
+    got = {(r.k, r.t): r.nearest for r in files.nearest(values, targets, "k", "v", "t").collect()}
+    assert got == {("a", 0.0): 1.0, ("a", 5.0): 4.0, ("a", 5.2): 6.0, ("a", 9.0): 6.0, ("b", 1.0): 9.0}
 
 
 def test_stream_equals_table(spark, tmp_path):
