@@ -27,3 +27,8 @@ def data_to_pixel(v: Column, pixels: int, low: float, high: float) -> Column:
 def to_index(b: Column, n: int) -> Column:
     """A normalised coordinate as array index, clipped and truncated."""
     return F.least(F.greatest(b * n, F.lit(0.0)), F.lit(float(n - 1))).cast("int")
+
+
+def settled(v: Column, digits: int) -> Column:
+    """Rounded after a shift far below the last digit, which settles halves alike however a double is read."""
+    return F.round(v + F.lit(1e-9), digits)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quarry.functions import rules
+from quarry.functions.geometry import settled
 
 
 
@@ -72,20 +73,29 @@ def change_points(curve: DataFrame, value: str, threshold_z: float = 3.0, join_g
     return groups.groupBy("well", "k").agg(F.floor(F.avg("idx")).cast("int").alias("cp")).select("well", "cp")
 
 
-def change_point_segments(curve: DataFrame, value: str, threshold_z: float = 3.0, min_samples: int = 5) -> DataFrame:
+def change_point_segments(curve: DataFrame, value: str, threshold_z: float = 3.0, min_samples: int = 5, join_gap: int = 3) -> DataFrame:
     """``well, start_idx, end_idx`` (exclusive): [previous change point, this one] and the tail.
 
     Segments share the sample of a change point; short ones vanish; a well
-    without segments is one whole segment.
+    without segments is one whole segment. One sort of the samples of a well
+    serves gradient, z-score and groups of steep samples; what is left per well
+    are its few change points, which are cut into segments in the row.
     """
-    n = curve.groupBy("well").agg(F.count("*").cast("int").alias("n"))
-    cps = change_points(curve, value, threshold_z).join(n, "well")
-    w = Window.partitionBy("well").orderBy("cp")
-    inner = cps.select("well", F.coalesce(F.lag("cp").over(w), F.lit(0)).alias("start_idx"), F.least(F.col("cp") + 1, F.col("n")).alias("end_idx"))
-    tail = cps.groupBy("well").agg(F.max("cp").alias("start_idx"), F.max("n").alias("end_idx"))
-    found = inner.unionByName(tail).where(F.col("end_idx") - F.col("start_idx") >= min_samples)
-    whole = n.join(found.select("well").distinct(), "well", "left_anti").select("well", F.lit(0).alias("start_idx"), F.col("n").alias("end_idx"))
-    return found.unionByName(whole)
+    whole_well = Window.partitionBy("well")
+    steep = gradient_z(curve, value).select("well", "idx", "z", F.count("*").over(whole_well).cast("int").alias("n"))
+    hit = F.col("z") > threshold_z
+    before = F.max(F.when(hit, F.col("idx"))).over(by_well().rowsBetween(Window.unboundedPreceding, -1))
+    breaks = F.when(hit, (F.coalesce(F.col("idx") - before, F.lit(join_gap + 1)) > join_gap).cast("int"))
+    marked = steep.withColumn("hit", hit).withColumn("brk", breaks).withColumn("k", F.sum("brk").over(up_to_here()))
+    groups = marked.groupBy("well", "n", F.when(F.col("hit"), F.col("k")).alias("k")).agg(F.floor(F.avg(F.when(F.col("hit"), F.col("idx")))).cast("int").alias("cp"))
+    cps = F.array_compact(F.array_sort(F.collect_list("cp")))
+    per_well = groups.groupBy("well", "n").agg(cps.alias("cps"))
+    segment = "named_struct('a', if(i = 0, 0, cps[i - 1]), 'b', least(c + 1, n))"
+    inner = F.expr(f"transform(cps, (c, i) -> {segment})")
+    tail = F.expr("if(size(cps) > 0, array(named_struct('a', element_at(cps, -1), 'b', n)), cast(array() as array<struct<a:int,b:int>>))")
+    cut = per_well.withColumn("_all", F.filter(F.concat(inner, tail), lambda x: x["b"] - x["a"] >= min_samples))
+    whole = F.expr("array(named_struct('a', 0, 'b', n))")
+    return cut.select("well", F.explode(F.when(F.size("_all") > 0, F.col("_all")).otherwise(whole)).alias("x")).select("well", F.col("x.a").alias("start_idx"), F.col("x.b").alias("end_idx"))
 
 
 def segment_means(curve: DataFrame, segments: DataFrame, values: list[str]) -> DataFrame:
@@ -118,7 +128,8 @@ def fluid_zones(curve: DataFrame, rt_above: float = 15.0) -> DataFrame:
     """Zones of high resistivity with their fluid and evidence; means over all samples between."""
     means = segment_means(curve, gap_islands(curve, F.col("rt") > rt_above), ["rt", "den", "cnl"])
     found = means.withColumn("_f", rules.fluid(F.col("rt_mean"), F.col("den_mean")))
-    evidence = F.format_string("RT=%.1f|DEN=%.3f", F.round("rt_mean", 1), F.round("den_mean", 3))
+    said = lambda c, digits: F.format_string(f"%.{digits}f", settled(F.col(c), digits))
+    evidence = F.array(F.concat(F.lit("RT="), said("rt_mean", 1), F.lit("Ohm·m (>15=potential pay)")), F.concat(F.lit("DEN="), said("den_mean", 3), F.lit("g/cm³")), F.concat(F.lit("CNL="), said("cnl_mean", 3)))
     return found.select("well", "depth_top", "depth_bottom", "_f.fluid", "_f.confidence", "rt_mean", "den_mean", "cnl_mean", evidence.alias("evidence"))
 
 

@@ -56,15 +56,21 @@ def term_frequencies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def tfidf_scores(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``query_id, id, score``: sum of query tf, document tf and idf (once), above 0.
 
-    Only the postings of query terms are counted for their idf, so the corpus
-    is scanned once and shuffled by the few terms asked for.
+    Queries are the stated few; their terms are a small broadcast table. A text
+    is cut into tokens once, in the row; what is shuffled are the counts of
+    the terms asked for. Scores need the number of documents and their document
+    frequencies, which are aggregates of these postings.
     """
     q = term_frequencies(queries, "query_id", "query").withColumnRenamed("tf", "qtf")
-    size = docs.agg(F.count("*").alias("N"))
-    post = term_frequencies(docs, id_col, text_col).join(F.broadcast(q.select("term").distinct()), "term", "left_semi")
+    asked = F.broadcast(q.agg(F.collect_set("term").alias("_asked")))  # one row
+    toks = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("_t")).crossJoin(asked)
+    kept = toks.select(id_col, F.size("_t").alias("_n"), F.filter("_t", lambda t: F.array_contains("_asked", t)).alias("_t"))
+    post = kept.select(id_col, "_n", F.explode("_t").alias("term")).groupBy(id_col, "_n", "term").agg(F.count("*").alias("n"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
+    size = docs.agg(F.count("*").alias("N"))
     idf = df.crossJoin(F.broadcast(size)).select("term", (F.log((F.col("N") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    return post.join(F.broadcast(q.join(idf, "term")), "term").groupBy("query_id", id_col).agg(F.sum(F.col("qtf") * F.col("tf") * F.col("idf")).alias("score")).where("score > 0")
+    hits = post.withColumn("tf", F.col("n") / F.col("_n"))
+    return hits.join(F.broadcast(q.join(idf, "term")), "term").groupBy("query_id", id_col).agg(F.sum(F.col("qtf") * F.col("tf") * F.col("idf")).alias("score")).where("score > 0")
 
 
 def top_k(scores: DataFrame, id_col: str, k: int = 3) -> DataFrame:

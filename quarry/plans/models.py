@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import rules
+from quarry.functions.geometry import settled
 from quarry.operators import curves, detections, documents, kernels, ml, sections
 
 Context = dict[str, DataFrame]
@@ -74,7 +75,7 @@ def traditional_code(ins: dict, ctx: Context) -> DataFrame:
             for top, bottom in ranges or [(None, None)]:
                 runs = curves.threshold_segments(curve, value, parsed["op"], parsed["threshold"], top=top, bottom=bottom)
                 said = f"{parsed['variable']}{parsed['op']}{parsed['threshold']}"
-                evidence = F.concat(F.lit(f"{said} -> mean="), F.round("mean_value", 2).cast("string")) if ranges else F.lit(f"{said} over the whole curve")
+                evidence = F.concat(F.lit(f"{said} -> mean="), settled(F.col("mean_value"), 2).cast("string")) if ranges else F.lit(f"{said} over the whole curve")
                 parts.append(runs.select("well", F.format_string(f"code_{name}_{k}_%s_%.1f", F.col("well").cast("string"), F.col("depth_top")).alias("id"), F.lit(name).alias("class_name"), "depth_top", "depth_bottom", "thickness", F.lit(RANGE_SURE if ranges else SCAN_SURE).alias("confidence"), F.lit(text).alias("rule"), evidence.alias("evidence"), F.lit(None).cast("string").alias("result")))
         elif ranges:
             parts.append(_literal(spark, [{"id": f"code_{name}_{k}_{j}", "class_name": name, "depth_top": round(t, 1), "depth_bottom": round(b, 1), "thickness": round(b - t, 1), "confidence": UNSEEN_SURE, "rule": text, "evidence": "based on expected depth ranges"} for j, (t, b) in enumerate(ranges)], _RULE_ROW))
@@ -105,12 +106,12 @@ def well_log_analyzer(ins: dict, ctx: Context) -> DataFrame | None:
         if curve is not None and "gr" in curve.columns:
             segs = curves.classified_segments(_with_curves(curve, ANALYZER_DEFAULTS)).withColumnRenamed("gr_mean", "mean_value")
             merged = curves.merge_fold(segs, keep=("confidence", "den_mean", "rt_mean"))
-            parts.append(merged.select("well", F.format_string("wl_seg_%s_%.1f", F.col("well").cast("string"), F.col("depth_top")).alias("id"), F.col("lithology").alias("class_name"), "depth_top", "depth_bottom", "confidence", "lithology", F.col("mean_value").alias("gr_mean"), F.round("den_mean", 3).alias("den_mean"), F.round("rt_mean", 1).alias("rt_mean"), F.lit("curve_segmentation").alias("analysis")))
+            parts.append(merged.select("well", F.format_string("wl_seg_%s_%.1f", F.col("well").cast("string"), F.col("depth_top")).alias("id"), F.col("lithology").alias("class_name"), "depth_top", "depth_bottom", "confidence", "lithology", F.col("mean_value").alias("gr_mean"), settled(F.col("den_mean"), 3).alias("den_mean"), settled(F.col("rt_mean"), 1).alias("rt_mean"), F.lit("curve_segmentation").alias("analysis")))
         elif passed := _passed_on(spark, ins, "wl_rule", "segment", RULE_SURE):
             parts.append(passed)
     if kind in ("fluid_identification", "full_analysis") and curve is not None and "rt" in curve.columns:
         z = curves.fluid_zones(_with_curves(curve, ANALYZER_DEFAULTS))
-        parts.append(z.select("well", F.format_string("wl_fluid_%s_%.1f", F.col("well").cast("string"), F.col("depth_top")).alias("id"), F.col("fluid").alias("class_name"), F.round("depth_top", 1).alias("depth_top"), F.round("depth_bottom", 1).alias("depth_bottom"), "confidence", F.col("fluid").alias("fluid_type"), F.round("rt_mean", 1).alias("rt_mean_ohmm"), F.round("den_mean", 3).alias("den_mean"), F.round("cnl_mean", 3).alias("cnl_mean"), "evidence", F.lit("fluid_identification").alias("analysis")))
+        parts.append(z.select("well", F.format_string("wl_fluid_%s_%.1f", F.col("well").cast("string"), F.col("depth_top")).alias("id"), F.col("fluid").alias("class_name"), settled(F.col("depth_top"), 1).alias("depth_top"), settled(F.col("depth_bottom"), 1).alias("depth_bottom"), "confidence", F.col("fluid").alias("fluid_type"), settled(F.col("rt_mean"), 1).alias("rt_mean_ohmm"), settled(F.col("den_mean"), 3).alias("den_mean"), settled(F.col("cnl_mean"), 3).alias("cnl_mean"), "evidence", F.lit("fluid_identification").alias("analysis")))
     out = _union(parts)
     if ins.get("rules") and (out is None or out.isEmpty()):
         return _passed_on(spark, ins, "wl_fb", "zone", FALLBACK_SURE, 120)
@@ -131,10 +132,10 @@ def well_log_ml(ins: dict, ctx: Context, model: ml.LithologyModel | None = None)
     model = model or ml.default_lithology(spark)
     found = model.predict(w)
     fluid = rules.ml_fluid(F.col("lithology"), F.col("rt_mean"), F.col("den_mean"), F.col("cnl_mean")) if ins.get("analysis_type", "full") in ("fluid", "full") else F.lit(None).cast("string")
-    found = found.withColumn("fluid_type", fluid).withColumn("first", F.struct("start_idx", F.round("rt_mean", 1).alias("rt"), F.round("den_mean", 3).alias("den"), "confidence"))
+    found = found.withColumn("fluid_type", fluid).withColumn("first", F.struct("start_idx", settled(F.col("rt_mean"), 1).alias("rt"), settled(F.col("den_mean"), 3).alias("den"), "confidence"))
     merged = curves.merge_islands(found, ["lithology", "fluid_type"], 3.0, first="first")
     has = F.col("fluid_type").isNotNull()
-    return merged.select("well", F.format_string("wlml_%s_%d", F.col("well").cast("string"), F.col("first.start_idx")).alias("id"), F.col("lithology").alias("class_name"), F.round("depth_top", 1).alias("depth_top"), F.round("depth_bottom", 1).alias("depth_bottom"), "lithology", F.round("confidence", 3).alias("lithology_confidence"), "fluid_type", F.when(has, F.round(F.col("first.confidence") * 0.85, 3)).alias("fluid_confidence"), F.when(has, F.col("first.rt")).alias("rt_mean"), F.when(has, F.col("first.den")).alias("den_mean"))
+    return merged.select("well", F.format_string("wlml_%s_%d", F.col("well").cast("string"), F.col("first.start_idx")).alias("id"), F.col("lithology").alias("class_name"), settled(F.col("depth_top"), 1).alias("depth_top"), settled(F.col("depth_bottom"), 1).alias("depth_bottom"), "lithology", settled(F.col("confidence"), 3).alias("lithology_confidence"), "fluid_type", F.when(has, settled(F.col("first.confidence") * 0.85, 3)).alias("fluid_confidence"), F.when(has, F.col("first.rt")).alias("rt_mean"), F.when(has, F.col("first.den")).alias("den_mean"))
 
 
 def _boxes(ins: dict) -> list[tuple[int, list[float]]]:
@@ -175,7 +176,7 @@ def attribute_extractor(ins: dict, ctx: Context) -> DataFrame | None:
     if out is None:
         return None
     ident = F.concat(F.lit("attr_"), F.col("attribute_name"), F.coalesce(F.concat(F.lit("_roi"), F.col("roi_index").cast("string")), F.lit("")))
-    return out.select("il", ident.alias("id"), "attribute_name", "roi_index", *[F.round(c, 4).alias(c) for c in ("lo", "hi", "mean", "std")])
+    return out.select("il", ident.alias("id"), "attribute_name", "roi_index", *[settled(F.col(c), 4).alias(c) for c in ("lo", "hi", "mean", "std")])
 
 
 #: Maps that the facies model knows, by the names of its parameter.
@@ -210,7 +211,7 @@ def facies_classifier(ins: dict, ctx: Context) -> DataFrame | None:
     each = each.where("area_pixels >= 10").crossJoin(F.broadcast(stats))  # one row
     names = ins.get("attribute_list")
     told = F.greatest(*[F.struct(F.abs((F.col(f) - F.col(f"_m_{f}")) / (F.col(f"_s_{f}") + F.lit(1e-8))).alias("v"), F.lit(-i).alias("i"), F.lit(names[i] if names else f"attr_{i}").alias("n")) for i, f in enumerate(features)])["n"]
-    centre = F.create_map(*[x for i, f in enumerate(features) for x in (F.lit(f"attr_{i}"), F.round(f, 4))])
+    centre = F.create_map(*[x for i, f in enumerate(features) for x in (F.lit(f"attr_{i}"), settled(F.col(f), 4))])
     return each.select(F.concat(F.lit("facies_cluster_"), F.col("cluster_id").cast("string")).alias("id"), "cluster_id", "area_pixels", F.array("cx", "cy").alias("centroid_xy"), centre.alias("cluster_center"), told.alias("dominant_feature"), F.lit(len(features)).alias("n_attributes_used"))
 
 
@@ -229,8 +230,8 @@ def horizon_tracker(ins: dict, ctx: Context) -> DataFrame | None:
     points = sections.track_seeds(traces, seeds, mode, int(ins.get("search_window_samples", 10)), ctx.get("time_axis_ms"))
     keys = ["il", "seed", "seed_trace", "seed_sample"]
     gap = (F.col("trace") - F.lag("trace").over(Window.partitionBy("il", "seed").orderBy("trace")) > 1).cast("int")
-    item = F.struct(F.col("trace").alias("trace_idx"), F.col("s").alias("sample_idx"), F.round("confidence", 3).alias("confidence"))
-    out = points.withColumn("gap", gap).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("points"), F.round(1 / (1 + F.coalesce(F.avg("gap"), F.lit(0.0))), 3).alias("continuity_score"), F.round(F.avg(F.round("confidence", 3)), 3).alias("average_confidence"), F.count("*").alias("n_points"))
+    item = F.struct(F.col("trace").alias("trace_idx"), F.col("s").alias("sample_idx"), settled(F.col("confidence"), 3).alias("confidence"))
+    out = points.withColumn("gap", gap).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("points"), settled(1 / (1 + F.coalesce(F.avg("gap"), F.lit(0.0))), 3).alias("continuity_score"), settled(F.avg(settled(F.col("confidence"), 3)), 3).alias("average_confidence"), F.count("*").alias("n_points"))
     return out.select("il", F.format_string(f"htrack_{name}_%d", "seed").alias("id"), F.format_string(f"{name}_%d", "seed").alias("horizon_name"), F.col("seed_trace").alias("seed_trace_idx"), F.col("seed_sample").alias("seed_sample_idx"), F.lit(mode).alias("tracking_mode"), "points", "continuity_score", "average_confidence", "n_points")
 
 
@@ -258,7 +259,7 @@ def seismic_domain_model(ins: dict, ctx: Context) -> DataFrame | None:
         prob = prob.select("il", "trace", "s", (F.least(*maps) if len(maps) > 1 else F.col(maps[0])).alias("p"))
         r = sections.region_stats(sections.label_regions(sections.probability_mask(prob, threshold)), size)
         kept = detections.suppress_hulls(r, 0.3)
-        return kept.select("il", F.format_string(f"seisattr_{name}_{index}_%d", "region").alias("id"), F.lit(name).alias("class_name"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], F.round("confidence", 3).alias("confidence"), F.col("area").alias("area_pixels"), F.round("aspect", 1).alias("aspect_ratio"), F.lit(ins.get("attribute", "gradient")).alias("attribute"))
+        return kept.select("il", F.format_string(f"seisattr_{name}_{index}_%d", "region").alias("id"), F.lit(name).alias("class_name"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], settled(F.col("confidence"), 3).alias("confidence"), F.col("area").alias("area_pixels"), settled(F.col("aspect"), 1).alias("aspect_ratio"), F.lit(ins.get("attribute", "gradient")).alias("attribute"))
 
     if not ins.get("regions_of_interest"):
         return found(None, 0, least, area)
@@ -295,7 +296,7 @@ def sam(ins: dict, ctx: Context) -> DataFrame:
 def cube_regions(cube: DataFrame, threshold: float, class_name: str, prefix: str, least: int = 20) -> DataFrame:
     """Regions of a probability cube, slice by slice; slices under the threshold have none."""
     r = sections.region_stats(sections.label_regions(cube.where(F.col("p") >= threshold)), least)
-    return r.select(F.format_string(f"{prefix}_%d_%d", "il", "region").alias("id"), F.lit(class_name).alias("class_name"), F.array(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")]).alias("bbox_pixel"), F.round("mean_value", 3).alias("confidence"), F.col("il").alias("slice_index"), F.col("area").alias("area_pixels"))
+    return r.select(F.format_string(f"{prefix}_%d_%d", "il", "region").alias("id"), F.lit(class_name).alias("class_name"), F.array(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")]).alias("bbox_pixel"), settled(F.col("mean_value"), 3).alias("confidence"), F.col("il").alias("slice_index"), F.col("area").alias("area_pixels"))
 
 
 def cig_fault(ins: dict, ctx: Context) -> DataFrame | None:

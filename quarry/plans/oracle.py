@@ -116,7 +116,7 @@ SQL = {
     "fluid_zones": with_views(
         LI,
         "WITH h AS (SELECT well, idx, CASE WHEN coalesce(idx - lag(idx) OVER (PARTITION BY well ORDER BY idx), 4) > 3 THEN 1 ELSE 0 END AS brk FROM curve_li WHERE rt > 15), hk AS (SELECT *, sum(brk) OVER (PARTITION BY well ORDER BY idx) AS k FROM h), z AS (SELECT well, min(idx) AS a, max(idx) AS b FROM hk GROUP BY well, k HAVING max(idx) - min(idx) >= 2), m AS (SELECT z.well, z.a, min(depth) AS depth_top, max(depth) AS depth_bottom, round(avg(rt), 9) AS rt_mean, round(avg(den), 9) AS den_mean, round(avg(cnl), 9) AS cnl_mean FROM z JOIN curve_li c ON c.well = z.well AND c.idx BETWEEN z.a AND z.b GROUP BY z.well, z.a)"
-        f" SELECT well, {r('depth_top')} AS depth_top, {r('depth_bottom')} AS depth_bottom, CASE WHEN rt_mean > 50 AND den_mean < 2.35e0 THEN 'gas' WHEN rt_mean > 20 AND den_mean < 2.4e0 THEN 'oil' WHEN rt_mean > 15 AND den_mean < 2.4e0 THEN 'oil_water' ELSE 'water' END AS fluid, {r('CASE WHEN rt_mean > 50 AND den_mean < 2.35e0 THEN 0.85e0 WHEN rt_mean > 20 AND den_mean < 2.4e0 THEN 0.8e0 WHEN rt_mean > 15 AND den_mean < 2.4e0 THEN 0.65e0 WHEN rt_mean < 5 THEN 0.85e0 ELSE 0.6e0 END')} AS confidence, {r('rt_mean')} AS rt_mean, {r('den_mean')} AS den_mean, {r('cnl_mean')} AS cnl_mean FROM m",
+        f" SELECT well, {r('depth_top')} AS depth_top, {r('depth_bottom')} AS depth_bottom, CASE WHEN rt_mean > 50 AND den_mean < 2.35e0 THEN 'gas' WHEN rt_mean > 20 AND den_mean < 2.4e0 THEN 'oil' WHEN rt_mean > 15 AND den_mean < 2.4e0 THEN 'oil_water' ELSE 'water' END AS fluid, {r('CASE WHEN rt_mean > 50 AND den_mean < 2.35e0 THEN 0.85e0 WHEN rt_mean > 20 AND den_mean < 2.4e0 THEN 0.8e0 WHEN rt_mean > 15 AND den_mean < 2.4e0 THEN 0.65e0 WHEN rt_mean < 5 THEN 0.85e0 ELSE 0.6e0 END')} AS confidence, {r('rt_mean')} AS rt_mean, {r('den_mean')} AS den_mean, {r('cnl_mean')} AS cnl_mean, ['RT=' || printf('%.1f', {r('rt_mean', 1)}) || 'Ohm·m (>15=potential pay)', 'DEN=' || printf('%.3f', {r('den_mean', 3)}) || 'g/cm³', 'CNL=' || printf('%.3f', {r('cnl_mean', 3)})] AS evidence FROM m",
     ),
     "fluid_two_stage": with_views(LI, "SELECT well, CASE WHEN rt > 20 AND den < 2.35e0 THEN 'gas' WHEN rt > 20 THEN 'oil' WHEN rt < 5 THEN 'water' ELSE 'unknown' END AS fluid, count(*) AS n FROM curve_li GROUP BY ALL"),
     "merge_adjacent_fold": with_views(
@@ -203,7 +203,121 @@ SQL = {
     "cluster_profile": "WITH e AS (SELECT label, embedding[1]::DOUBLE AS f0, embedding[2]::DOUBLE AS f1, embedding[3]::DOUBLE AS f2 FROM embeddings), z AS (SELECT label, " + ", ".join(f"(f{i} - (SELECT avg(f{i}) FROM e)) / ((SELECT stddev_pop(f{i}) FROM e) + 1e-8) AS f{i}" for i in range(3)) + " FROM e), m AS (SELECT label, count(*) AS area, avg(f0) AS f0, avg(f1) AS f1, avg(f2) AS f2 FROM z GROUP BY label HAVING count(*) >= 10)" + f" SELECT label, area, {r('f0')} AS f0, {r('f1')} AS f1, {r('f2')} AS f2, CASE WHEN abs(f2) >= abs(f0) AND abs(f2) >= abs(f1) THEN 'f2' WHEN abs(f1) >= abs(f0) THEN 'f1' ELSE 'f0' END AS dominant FROM m",
     "horizon_seed": with_views(SEC, "SELECT il, trace, arg_min(s, -amp) AS seed, arg_min(s, amp) AS trough FROM section WHERE s BETWEEN 26 AND 34 GROUP BY il, trace"),
     "horizon_quality": with_views(SEC, f"WITH p AS (SELECT il, trace, arg_max(s, abs(amp)) AS seed FROM section WHERE s BETWEEN 0 AND 64 GROUP BY il, trace), t AS (SELECT il, trace, seed / 64e0 AS confidence, (trace - lag(trace) OVER (PARTITION BY il ORDER BY trace) > 1)::INT AS gap FROM p WHERE seed < 32) SELECT il, count(*) AS n_points, {r('1 / (1 + coalesce(avg(gap), 0))')} AS continuity, {r('avg(confidence)')} AS confidence FROM t GROUP BY il"),
-    "closed_loop": with_views("det ver", f"WITH {KEPT}, retried AS (SELECT image FROM kept GROUP BY image HAVING max(confidence) < 0.75), u AS (SELECT image AS step, confidence, 1 AS round FROM kept UNION ALL SELECT image, confidence, 2 FROM det WHERE image IN (SELECT image FROM retried) AND confidence >= 0.3), l AS (SELECT *, max(round) OVER (PARTITION BY step) AS last FROM u) SELECT step, round, count(*) AS n, {r('avg(confidence)')} AS mean_confidence FROM l WHERE round = last GROUP BY step, round"),
+    "closed_loop": with_views("det ver", f"WITH found AS (SELECT * FROM det WHERE confidence >= 0.3), {OUTCOME.replace('JOIN det d', 'JOIN found d')}, u AS (SELECT class_id AS step, 0.3e0 AS least, confidence FROM found WHERE class_id > 0 AND det_id NOT IN (SELECT matched FROM outcomes WHERE outcome = 'dropped') UNION ALL SELECT 0, 0.2e0, confidence FROM det WHERE class_id = 0 AND confidence >= 0.2) SELECT step, {r('least')} AS least, count(*) AS n, {r('avg(confidence)')} AS mean_confidence FROM u GROUP BY step, least"),
     "tumbling_counts": f"SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, {r('sum(value)', 2)} AS total FROM events GROUP BY ALL",
     "gap_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS brk FROM events), k AS (SELECT user_id, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g), c AS (SELECT user_id, s, count(*) AS n FROM k GROUP BY user_id, s) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id",
 }
+
+
+# --- models and kernels -----------------------------------------------------
+
+
+def _runs(name: str, cond: str, sure: float, rule: str) -> str:
+    return f"SELECT '{name}' AS class_name, well, {r('min(depth)')} AS depth_top, {r('max(depth)')} AS depth_bottom, {r('max(depth) - min(depth)')} AS thickness, {sure}e0 AS confidence, '{rule}' AS rule, NULL::VARCHAR AS result FROM (SELECT *, idx - row_number() OVER (PARTITION BY well ORDER BY idx) AS k FROM curve_li WHERE {cond}) GROUP BY well, k HAVING count(*) >= 3"
+
+
+SQL["rule_model"] = with_views(LI, " UNION ALL ".join([_runs("high", "gr > 100", 0.9, "GR>100"), _runs("pay", "rt > 20 AND depth BETWEEN 1005 AND 1020", 0.95, "RT>20"), _runs("pay", "rt > 20 AND depth BETWEEN 1030 AND 1040", 0.95, "RT>20"), "SELECT 'blind', NULL, 1e0, 2.5e0, 1.5e0, 0.7e0, 'SP<1', NULL", "SELECT 'odd', NULL, NULL, NULL, NULL, NULL, '50<GR<90', 'no curve data or depth range provided'"]))
+SQL["log_model"] = with_views(
+    LI,
+    f"WITH {segments(3)}, o AS (SELECT *, row_number() OVER w AS n, CASE WHEN lithology = lag(lithology) OVER w AND depth_top - lag(depth_bottom) OVER w <= 5 THEN 0 ELSE 1 END AS brk FROM segs WINDOW w AS (PARTITION BY well ORDER BY depth_top, depth_bottom, lithology, gr_mean)), g AS (SELECT *, sum(brk) OVER (PARTITION BY well ORDER BY n) AS g FROM o)"
+    f", merged AS (SELECT well, lithology AS class_name, {r('min(depth_top)')} AS depth_top, {r('arg_max(depth_bottom, n)')} AS depth_bottom, {r('arg_min(confidence, n)')} AS confidence, 'curve_segmentation' AS analysis FROM g GROUP BY well, g, lithology)"
+    f" SELECT * FROM merged UNION ALL SELECT well, fluid, {r(r('depth_top', 1))}, {r(r('depth_bottom', 1))}, confidence, 'fluid_identification' FROM ({SQL['fluid_zones']})",
+)
+#: Hilbert kernel of a length n: the imaginary part of the analytic signal is a circular sum with it.
+HILBERT = "kern AS (SELECT n, d, sum(sin(2 * pi() * k * d / n)) * 2 / n AS h FROM (SELECT unnest([{n}]) AS n), LATERAL (SELECT unnest(generate_series(0, n - 1)) AS d), LATERAL (SELECT unnest(generate_series(1, (n + 1) // 2 - 1)) AS k) GROUP BY n, d)"
+
+
+def fold(i: str, n: str) -> str:
+    """A reflected place on an axis of n."""
+    m = f"((({i}) % (2 * {n}) + 2 * {n}) % (2 * {n}))"
+    return f"CASE WHEN {m} < {n} THEN {m} ELSE 2 * {n} - 1 - {m} END"
+
+
+def _box(x1: float, y1: float, x2: float, y2: float) -> str:
+    at = lambda v, n: f"trunc(least(greatest({v}e0 * {n}, 0), {n} - 1))::INT"
+    return f"{at(x1, 'nt')} AS x1, {at(y1, '64')} AS y1, {at(x2, 'nt')} AS x2, {at(y2, '64')} AS y2"
+
+
+SQL["attribute_model"] = with_views(
+    SEC,
+    f"WITH {HILBERT.format(n='33, 64')}, nt AS (SELECT il, max(trace) + 1 AS nt FROM section GROUP BY il), box AS (SELECT il, 0 AS ri, {_box(0.1, 0.2, 0.6, 0.7)} FROM nt UNION ALL SELECT il, 2, {_box(0.0, 0.0, 1.0, 1.0)} FROM nt)"
+    ", sub AS (SELECT s.il, ri, trace, s - y1 AS j, y2 - y1 + 1 AS n, amp FROM section s JOIN box b ON s.il = b.il AND trace BETWEEN x1 AND x2 AND s BETWEEN y1 AND y2)"
+    ", im AS (SELECT a.il, a.ri, a.trace, a.j, any_value(a.amp) AS re, sum(b.amp * h) AS im FROM sub a JOIN sub b ON a.il = b.il AND a.ri = b.ri AND a.trace = b.trace JOIN kern ON kern.n = a.n AND d = ((a.j - b.j) % a.n + a.n) % a.n GROUP BY a.il, a.ri, a.trace, a.j)"
+    f", rms AS (SELECT a.il, a.ri, a.trace, a.j, sqrt(sum(b.amp * b.amp) / 15) AS v FROM (SELECT *, unnest(generate_series(-7, 7)) AS o FROM sub) a JOIN sub b ON a.il = b.il AND a.ri = b.ri AND a.trace = b.trace AND b.j = {fold('a.j + o', 'a.n')} GROUP BY a.il, a.ri, a.trace, a.j)"
+    ", v AS (SELECT il, ri, 'envelope' AS name, sqrt(re * re + im * im) AS v FROM im UNION ALL SELECT il, ri, 'rms_amplitude', v FROM rms)"
+    f" SELECT il, name AS attribute_name, ri AS roi_index, {r(r('min(v)'), 3)} AS lo, {r(r('max(v)'), 3)} AS hi, {r(r('avg(v)'), 3)} AS mean, {r(r('stddev_pop(v)'), 3)} AS std FROM v GROUP BY il, ri, name",
+)
+SQL["instantaneous"] = with_views(
+    SEC,
+    f"WITH {HILBERT.format(n='64')}, im AS (SELECT a.il, a.trace, a.s, any_value(a.amp) AS re, sum(b.amp * h) AS im FROM section a JOIN section b ON a.il = b.il AND a.trace = b.trace JOIN kern ON d = ((a.s - b.s) % 64 + 64) % 64 GROUP BY a.il, a.trace, a.s)"
+    ", ph AS (SELECT *, sqrt(re * re + im * im) AS env, atan2(im, re) AS ph, atan2(im, re) - lag(atan2(im, re)) OVER (PARTITION BY il, trace ORDER BY s) AS d FROM im)"
+    ", f AS (SELECT *, coalesce(abs(d - 2 * pi() * round(d / (2 * pi()))) / (2 * pi()), 0e0) AS f FROM ph)"
+    f" SELECT il, s, {r('avg(env)')} AS envelope, {r('avg(cos(ph))')} AS cos_phase, {r('avg(f)')} AS frequency, {r('avg(least(env / sqrt(f + 1e-8), 5e0))')} AS sweetness FROM f GROUP BY il, s",
+)
+SOBEL = "sa AS (SELECT il, trace, s, coalesce(lag(amp) OVER w, amp) + 2 * amp + coalesce(lead(amp) OVER w, amp) AS sm, coalesce(lead(amp) OVER w, amp) - coalesce(lag(amp) OVER w, amp) AS df FROM section WINDOW w AS (PARTITION BY il, trace ORDER BY s)), sob AS (SELECT il, trace, s, coalesce(lead(sm) OVER v, sm) - coalesce(lag(sm) OVER v, sm) AS gx, coalesce(lag(df) OVER v, df) + 2 * df + coalesce(lead(df) OVER v, df) AS gy FROM sa WINDOW v AS (PARTITION BY il, s ORDER BY trace))"
+SIZE = "nt AS (SELECT il, max(trace) + 1 AS nt FROM section GROUP BY il)"
+
+
+def smooth(out: str, source: str, cols: list[str], weights: str) -> str:
+    """Weighted sums along samples, then along traces; ``weights``: a table (o, w)."""
+    sums = lambda t: ", ".join(f"sum(w * {t}.{c}) AS {c}" for c in cols)
+    return (
+        f"{out}_s AS (SELECT a.il, a.trace, a.s, {sums('b')} FROM {source} a CROSS JOIN {weights} JOIN {source} b ON a.il = b.il AND a.trace = b.trace AND b.s = {fold('a.s + o', '64')} GROUP BY a.il, a.trace, a.s)"
+        f", {out} AS (SELECT a.il, a.trace, a.s, {sums('b')} FROM {out}_s a JOIN nt ON nt.il = a.il CROSS JOIN {weights} JOIN {out}_s b ON a.il = b.il AND a.s = b.s AND b.trace = {fold('a.trace + o', 'nt')} GROUP BY a.il, a.trace, a.s)"
+    )
+
+
+def gauss(name: str, sigma: float) -> str:
+    n = int(4 * sigma + 0.5)
+    return f"{name} AS (SELECT o, e / sum(e) OVER () AS w FROM (SELECT o, exp(-0.5e0 * (o / {sigma}e0) * (o / {sigma}e0)) AS e FROM (SELECT unnest(generate_series(-{n}, {n})) AS o)))"
+
+
+BOX15 = "w15 AS (SELECT unnest(generate_series(-7, 7)) AS o, 1 / 15e0 AS w)"
+VAR15 = "q AS (SELECT il, trace, s, {amp} AS a, {amp} * {amp} AS aa FROM {t}), " + smooth("m", "q", ["a", "aa"], "w15") + ", var AS (SELECT il, trace, s, greatest(aa - a * a, 0) AS v FROM m), vmax AS (SELECT il, max(v) AS top FROM var GROUP BY il)"
+SQL["fault_kernels"] = with_views(
+    SEC,
+    f"WITH {SIZE}, {SOBEL}, {gauss('w3', 3.0)}, {gauss('w2', 2.0)}, {BOX15}, gf0 AS (SELECT il, trace, s, greatest(abs(gy) - 0.5e0 * abs(gx), 0) AS v FROM sob), {smooth('gf', 'gf0', ['v'], 'w3')}, gmax AS (SELECT il, max(v) AS top FROM gf GROUP BY il)"
+    f", st0 AS (SELECT il, trace, s, gx * gx AS xx, gy * gy AS yy, gx * gy AS xy FROM sob), {smooth('st', 'st0', ['xx', 'yy', 'xy'], 'w2')}, ev AS (SELECT il, trace, s, sqrt(greatest((xx + yy) * (xx + yy) - 4 * (xx * yy - xy * xy), 0)) AS e FROM st), emax AS (SELECT il, max(e) AS top FROM ev GROUP BY il)"
+    f", {VAR15.format(amp='amp', t='section')}, a1 AS (SELECT il, trace, avg(v / (top + 1e-8)) AS g FROM gf JOIN gmax USING (il) GROUP BY il, trace), a2 AS (SELECT il, trace, avg(1 - e / (top + 1e-8)) AS t FROM ev JOIN emax USING (il) GROUP BY il, trace), a3 AS (SELECT il, trace, avg(v / (top + 1e-8)) AS v FROM var JOIN vmax USING (il) GROUP BY il, trace)"
+    f" SELECT il, trace, {r('g')} AS gradient_fault, {r('v')} AS variance_fault, {r('t')} AS structure_tensor FROM a1 JOIN a2 USING (il, trace) JOIN a3 USING (il, trace)",
+)
+SQL["domain_model"] = with_views(
+    SEC,
+    f"WITH RECURSIVE {SIZE}, {BOX15}, lim AS (SELECT il, quantile_cont(abs(amp), 0.99) AS q FROM section GROUP BY il), cl AS (SELECT il, trace, s, least(greatest(amp / CASE WHEN q = 0 THEN 1e0 ELSE q END, -1), 1) AS c FROM section JOIN lim USING (il)), {VAR15.format(amp='c', t='cl')}, prob AS (SELECT il, trace, s, v / (top + 1e-8) AS p FROM var JOIN vmax USING (il)), {COMP.replace('p >= 0.5', 'p >= 0.6')}"
+    ", g AS (SELECT il, region, count(*) AS area, min(trace) AS x1, max(trace) AS x2, min(s) AS y1, max(s) AS y2, avg(p) AS m FROM labelled GROUP BY il, region HAVING count(*) >= 12), d AS (SELECT *, x2 - x1 + 1 AS w, y2 - y1 + 1 AS h FROM g), e AS (SELECT *, m * CASE WHEN h > 3 * w OR w > 3 * h THEN 1e0 WHEN h > 2 * w OR w > 2 * h THEN 0.8e0 ELSE 0.5e0 END AS conf, greatest(w, h) / (least(w, h) + 1)::DOUBLE AS aspect FROM d)"
+    ", k AS (SELECT * FROM e a WHERE NOT EXISTS (SELECT 1 FROM e b WHERE a.il = b.il AND (b.conf > a.conf OR b.conf = a.conf AND b.region < a.region) AND least(a.x2, b.x2) > greatest(a.x1, b.x1) AND least(a.y2, b.y2) > greatest(a.y1, b.y1) AND (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) + 1e-8) > 0.3))"
+    f" SELECT il, 'fault' AS class_name, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2, {r(r('conf', 3), 2)} AS confidence, area AS area_pixels, {r(r('aspect', 1), 2)} AS aspect_ratio FROM k",
+)
+SQL["prompted_mask"] = with_views(SEC, f"WITH b AS (SELECT * FROM section WHERE trace BETWEEN 2 AND 12 AND s BETWEEN 10 AND 40), t AS (SELECT il, avg(amp) AS mu, stddev_pop(amp) AS sd FROM b GROUP BY il) SELECT il, 'body' AS label, count(*) AS mask_area_pixels, min(trace)::DOUBLE AS x1, min(s)::DOUBLE AS y1, max(trace)::DOUBLE AS x2, max(s)::DOUBLE AS y2, {r('avg(trace)')} AS cx, {r('avg(s)')} AS cy FROM b JOIN t USING (il) WHERE sd < 1e-8 OR amp > mu + 0.5e0 * sd GROUP BY il")
+SQL["cube_faults"] = with_views(SEC, f"WITH RECURSIVE {PROB}, {COMP} SELECT il AS slice_index, 'fault' AS class_name, count(*) AS area_pixels, min(trace)::DOUBLE AS x1, min(s)::DOUBLE AS y1, max(trace)::DOUBLE AS x2, max(s)::DOUBLE AS y2, {r(r('avg(p)', 3), 2)} AS confidence FROM labelled GROUP BY il, region HAVING count(*) >= 20")
+
+
+def _span(a: str, b: str, size: str, n: int) -> str:
+    at = lambda c: f"trunc(least(greatest({c} * {size}, 0e0), {size} - 1))::INT"
+    return f"generate_series(least(least({at(a)}, {at(b)}), {n - 1}), least(greatest({at(a)}, {at(b)}), {n - 1}))"
+
+
+SQL["views_paint"] = with_views(
+    DET,
+    "WITH v(name, kind, idx, h, w) AS (VALUES ('inline_model', 'inline', 3, 40, 14), ('inline', 'inline', 3, 40, 14), ('seismic_crossline', 'crossline', 5, 40, 12), ('slice', 'slice', 20, 12, 14)), d AS (SELECT ['inline_model','seismic_crossline','slice','p','inline','unknown'][det_id % 6 + 1] AS name, CASE WHEN class_id > 0 THEN 'c' || class_id ELSE 'unknown' END AS class_name, CASE WHEN det_id % 7 > 0 THEN confidence ELSE 1e0 END AS confidence, x1, y1, x2, y2 FROM det WHERE det_id < 400 AND det_id % 11 <> 0)"
+    f", a AS (SELECT class_name, confidence, CASE kind WHEN 'inline' THEN [idx::BIGINT] WHEN 'crossline' THEN {_span('x1', 'x2', 'w', 12)} ELSE {_span('y1', 'y2', 'h', 12)} END AS il, CASE kind WHEN 'crossline' THEN [idx::BIGINT] ELSE {_span('x1', 'x2', 'w', 14)} END AS xl, CASE kind WHEN 'slice' THEN [idx::BIGINT] ELSE {_span('y1', 'y2', 'h', 40)} END AS s FROM d JOIN v USING (name))"
+    f", b AS (SELECT class_name, confidence, unnest(il) AS il, xl, s FROM a), c AS (SELECT class_name, confidence, il, unnest(xl) AS xl, s FROM b), e AS (SELECT class_name, confidence, il, xl, unnest(s) AS s FROM c) SELECT class_name, il, xl, s, {r('max(confidence)')} AS confidence FROM e GROUP BY ALL",
+)
+SQL["volume_slices"] = with_views(SEC, f"WITH n AS (SELECT il FROM (SELECT DISTINCT il FROM tr) ORDER BY il LIMIT 1 OFFSET 1) SELECT 'inline' AS kind, trace::BIGINT AS at, {r('samples[1]')} AS amp FROM tr JOIN n USING (il) UNION ALL SELECT 'crossline', il, {r('samples[1]')} FROM tr WHERE trace = 2 UNION ALL SELECT 'time', il, {r('max(samples[6])')} FROM tr GROUP BY il")
+SQL["accuracy_scores"] = "SELECT r_regionkey, v.* FROM region, (VALUES ('seismic', 0, 1e0), ('seismic', 1, 0.5e0), ('seismic', 2, 0e0), ('log', 0, 0.75e0), ('log', 1, 0e0), ('log', 2, 0.3333e0), ('fusion', 0, 1e0), ('fusion', 1, 0.25e0), ('fusion', 2, 0e0), ('prospect', 0, 1e0), ('prospect', 1, 0.2e0), ('prospect', 2, 0e0)) v(agent, k, overall)"
+
+
+def _plan_errors() -> str:
+    need = {"traditional_code": "rules", "sam": "prompt_type", "seismic_domain_model": "task", "attribute_extractor": "attributes", "horizon_tracker": "seed_points", "facies_classifier": "n_clusters", "well_log_analyzer": "analysis_type", "seismic_foundation": "task", "well_log_ml": "analysis_type"}
+    has = {0: (), 1: ("threshold", "task"), 2: ("threshold", "n_clusters", "analysis_type")}
+    odd = {("seismic_foundation", 1): "/task: 'fracture' is not one of ['facies_classification', 'feature_extraction']", ("well_log_analyzer", 2): "/analysis_type: 'full' is not one of ['curve_segmentation', 'lithology_classification', 'fluid_identification', 'full_analysis']", ("cig_fault", 2): "/threshold: 'x' is not of type 'number'", ("cig_channel", 2): "/threshold: 'x' is not of type 'number'"}
+    rows = []
+    for m in [*need, "cig_fault", "cig_channel"]:
+        for k, fields in has.items():
+            lacks = f": '{need[m]}' is a required property" if m in need and need[m] not in fields else None
+            said = lacks or odd.get((m, k))
+            rows.append(f"('{m}', {k}, " + ("NULL" if said is None else "'workflow_steps/0/instruction" + said.replace("'", "''") + "'") + ")")
+    return "SELECT r_regionkey, v.* FROM region, (VALUES " + ", ".join(rows) + ") v(model, k, error) WHERE r_regionkey < 2"
+
+
+SQL["plan_branches"] = _plan_errors()

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import geometry, rules
-from quarry.operators import curves, documents, ml, retrieval, sections
+from quarry.operators import curves, documents, kernels, ml, retrieval, schemas, scores, sections
 from quarry.operators import detections as det
+from quarry.plans import models
+from quarry.plans.loop import Step, Verdict
+from quarry.plans.loop import closed_loop as closed_loop_of
+from quarry.plans.registry import Registry
 from quarry.sources import files, views
 from quarry.streaming import windows
 
@@ -64,7 +68,7 @@ def litho_classify(spark, sf_dir):
 @query
 def fluid_zones(spark, sf_dir):
     z = curves.fluid_zones(views.line_curve(spark, sf_dir), 15.0)
-    return rounded(z.drop("evidence"))
+    return rounded(z)
 
 
 @query
@@ -119,11 +123,10 @@ def parse_scales(spark, sf_dir):
 
 @query
 def nearest_sample(spark, sf_dir):
-    t = views.table(spark, sf_dir, "region").select(F.explode(F.array(*[F.lit(x) for x in (1001.0, 1003.37, 1010.5)])).alias("t")).distinct()
     c = views.event_curve(spark, sf_dir)
-    pairs = c.join(F.broadcast(t), F.abs(F.col("depth") - F.col("t")) < 1.0)
-    best = pairs.groupBy("well", "t").agg(F.min_by("idx", F.struct(F.abs(F.col("depth") - F.col("t")), F.col("idx"))).alias("idx"))
-    return best
+    t = c.select("well").distinct().select("well", F.explode(F.array(*[F.lit(x) for x in (1001.0, 1003.37, 1010.5)])).alias("t"))
+    near = files.nearest(c, t, "well", "depth", "t").where(F.abs(F.col("nearest") - F.col("t")) < 1.0)
+    return near.select("well", "t", F.round((F.col("nearest") - F.lit(views.TOP_M)) / F.lit(views.STEP_M)).cast("long").alias("idx"))
 
 
 @query
@@ -294,8 +297,8 @@ def task_hint(spark, sf_dir):
 
 @query
 def tokenize(spark, sf_dir):
-    d = views.table(spark, sf_dir, "documents").select("doc_id", F.explode(retrieval.tokens(F.col("text"))).alias("t"))
-    return d.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.countDistinct("t").alias("n_terms"), F.min("t").alias("first"), F.max("t").alias("last"))
+    d = views.table(spark, sf_dir, "documents").select("doc_id", retrieval.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    return d.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_terms"), F.array_min("t").alias("first"), F.array_max("t").alias("last"))
 
 
 def _asked(spark) -> DataFrame:
@@ -537,14 +540,18 @@ def horizon_quality(spark, sf_dir):
 
 @query
 def closed_loop(spark, sf_dir):
-    """Two rounds: steps with rejected rows run again, the last round of a step counts."""
-    d = _dets(spark, sf_dir).withColumnRenamed("image", "step")
-    o = det.filter_false_positives(views.verifications(spark, sf_dir), _dets(spark, sf_dir))
-    first = det.surviving(d, o).withColumn("round", F.lit(1))
-    retried = first.groupBy("step").agg(F.max("confidence").alias("m")).where("m < 0.75").select("step")
-    second = d.join(retried, "step", "left_semi").where("confidence >= 0.3").withColumn("round", F.lit(2))
-    last = files.latest_round(first.unionByName(second))
-    return rounded(last.groupBy("step", "round").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence")))
+    """Steps of one model each; the first is asked again with a lower threshold after its false positives are dropped."""
+    dets, vers = _dets(spark, sf_dir), views.verifications(spark, sf_dir)
+    reg = Registry()
+    reg.register("boxes", lambda ins, ctx: ctx["dets"].where((F.col("class_id") == ins["class_id"]) & (F.col("confidence") >= ins["least"])).withColumns({"step": F.lit(ins["class_id"]), "least": F.lit(float(ins["least"]))}))
+    steps = [Step(k, "boxes", {"class_id": k, "least": 0.3}) for k in range(4)] + [Step(9, "unknown")]
+
+    def verify(found, n):
+        gone = det.filter_false_positives(vers, found.drop("step", "least")).where("outcome = 'dropped'").select(F.col("matched").alias("det_id"))
+        return Verdict(gone, 0, {"least": 0.2}) if n == 0 else None
+
+    last = closed_loop_of(steps, reg, {"dets": dets}, verify)
+    return rounded(last.groupBy("step", "least").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence")))
 
 
 @query
@@ -559,6 +566,127 @@ def gap_sessions(spark, sf_dir):
     return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
 
 
+# --- models and kernels ---------------------------------------------------
+
+RULE_PLAN = {"rules": [{"class_name": "high", "rule": "GR>100"}, {"class_name": "pay", "rule": "RT>20", "expected_depth_ranges": [[1005, 1020], {"top_m": 1030, "bottom_m": "1040"}]}, {"class_name": "blind", "rule": "SP<1", "depth_range": [1, 2.5]}, {"class_name": "odd", "rule": "50<GR<90"}]}
+
+
+@query
+def rule_model(spark, sf_dir):
+    found = models.traditional_code(RULE_PLAN, {"curve": views.line_curve(spark, sf_dir)})
+    return rounded(found.select("class_name", "well", "depth_top", "depth_bottom", "thickness", "confidence", "rule", "result"))
+
+
+@query
+def log_model(spark, sf_dir):
+    found = models.well_log_analyzer({}, {"curve": views.line_curve(spark, sf_dir)})
+    return rounded(found.select("well", "class_name", "depth_top", "depth_bottom", "confidence", "analysis"))
+
+
+@query
+def learned_model(spark, sf_dir):
+    curve = views.line_curve(spark, sf_dir)
+    return models.well_log_ml({"depth_range": {"top_m": 1005, "bottom_m": 1060}}, {"curve": curve}).groupBy("lithology", "fluid_type").agg(F.count("*").alias("n"))
+
+
+@query
+def attribute_model(spark, sf_dir):
+    ins = {"attributes": ["envelope", "rms_amplitude", "unknown"], "regions_of_interest": [{"bbox_norm": [0.1, 0.2, 0.6, 0.7]}, {"bbox_norm": [0, 0, 1]}, {"bbox_xyxy_norm": [0, 0, 1, 1]}]}
+    out = models.attribute_extractor(ins, {"traces": views.traces(spark, sf_dir)})
+    return rounded(out.select("il", "attribute_name", "roi_index", "lo", "hi", "mean", "std"), 3)
+
+
+@query
+def instantaneous(spark, sf_dir):
+    m = kernels.section_maps(views.traces(spark, sf_dir), ["envelope", "phase", "frequency", "sweetness"])
+    return rounded(m.groupBy("il", "s").agg(F.avg("envelope").alias("envelope"), F.avg(F.cos("phase")).alias("cos_phase"), F.avg("frequency").alias("frequency"), F.avg(F.least("sweetness", F.lit(5.0))).alias("sweetness")))
+
+
+@query
+def fault_kernels(spark, sf_dir):
+    m = kernels.section_maps(views.traces(spark, sf_dir), ["gradient_fault", "variance_fault", "structure_tensor"])
+    return rounded(m.groupBy("il", "trace").agg(*[F.avg(c).alias(c) for c in ("gradient_fault", "variance_fault", "structure_tensor")]))
+
+
+@query
+def domain_model(spark, sf_dir):
+    ins = {"attribute": "variance", "confidence_threshold": 0.6, "min_region_area_pixels": 12}
+    out = models.seismic_domain_model(ins, {"traces": views.traces(spark, sf_dir)})
+    return rounded(out.select("il", "class_name", "x1", "y1", "x2", "y2", "confidence", "area_pixels", "aspect_ratio"), 2)
+
+
+@query
+def facies_model(spark, sf_dir):
+    ins = {"n_clusters": 3, "attribute_list": ["envelope", "gradient_magnitude", "local_variance"], "method": "kmeans"}
+    return models.facies_classifier(ins, {"traces": views.traces(spark, sf_dir)}).select("cluster_id", "area_pixels", "dominant_feature", "n_attributes_used")
+
+
+@query
+def horizon_model(spark, sf_dir):
+    ins = {"seed_points": [{"trace_idx": 2, "sample_idx": 30}, {"cdp": 0}], "tracking_mode": "peak", "horizon_name": "T"}
+    return models.horizon_tracker(ins, {"traces": views.traces(spark, sf_dir)}).select("il", "horizon_name", "seed_trace_idx", "seed_sample_idx", "n_points", "continuity_score")
+
+
+@query
+def prompted_mask(spark, sf_dir):
+    out = models.sam({"prompt_type": "bbox", "prompt_value": [2, 10, 12, 40], "label": "body"}, {"traces": views.traces(spark, sf_dir)})
+    return rounded(out.select("il", "label", "mask_area_pixels", *[F.col("bbox_pixel")[i].alias(c) for i, c in enumerate(det.BOX)], F.col("centroid")[0].alias("cx"), F.col("centroid")[1].alias("cy")))
+
+
+@query
+def cube_faults(spark, sf_dir):
+    out = models.cig_fault({"threshold": 0.5}, {"cube": _probability(spark, sf_dir).select("il", "trace", "s", "p")})
+    return rounded(out.select("slice_index", "class_name", "area_pixels", *[F.col("bbox_pixel")[i].alias(c) for i, c in enumerate(det.BOX)], "confidence"), 2)
+
+
+@query
+def views_paint(spark, sf_dir):
+    """Boxes on three views of a volume of 12 x 14 x 40, views named in three ways."""
+    rows = [("inline", "run/inline_model.png", 3, 40, 14), ("crossline", "run/xl_model.png", 5, 40, 12), ("slice", "run/z.png", 20, 12, 14), ("local_patch", "run/p.png", 0, 9, 9)]
+    known = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(v).alias("view_name"), F.lit(i).alias("image"), F.lit(n).alias("index"), F.lit(h).alias("rows"), F.lit(w).alias("cols")) for v, i, n, h, w in rows])))
+    names = F.array(*[F.lit(x) for x in ("inline_model", "seismic_crossline", "slice", "p", "inline", "unknown")])
+    d = _dets(spark, sf_dir).where("det_id < 400").select(F.element_at(names, (F.col("det_id") % 6 + 1).cast("int")).alias("image_name"), F.when(F.col("class_id") > 0, F.concat(F.lit("c"), F.col("class_id").cast("string"))).alias("class_name"), F.when(F.col("det_id") % 7 > 0, F.col("confidence")).alias("confidence"), F.when(F.col("det_id") % 11 == 0, False).alias("in_roi"), *det.BOX)
+    return rounded(det.paint_views(d, known, (12, 14, 40)))
+
+
+@query
+def volume_slices(spark, sf_dir):
+    v = views.traces(spark, sf_dir).withColumn("xl", F.col("trace"))
+    one = files.inline_slice(v, 1).select(F.lit("inline").alias("kind"), F.col("xl").alias("at"), F.col("samples")[0].alias("amp"))
+    two = files.crossline_slice(v, 2).select(F.lit("crossline").alias("kind"), F.col("il").cast("long").alias("at"), F.col("samples")[0].alias("amp"))
+    three = files.time_slice(v, 5).groupBy("il").agg(F.max("amp").alias("amp")).select(F.lit("time").alias("kind"), F.col("il").cast("long").alias("at"), "amp")
+    return rounded(one.select("kind", F.col("at").cast("long").alias("at"), "amp").unionByName(two).unionByName(three))
+
+
+_ANSWERS = {
+    "seismic": ['{"faults":[{"positions":[[0,1]]},{"type":"Normal fault","positions":[[155,1],[156,2]]}],"anomalies":[1],"summary":"a summary that is long enough"}', '{"faults":[{"positions":[90,7],"type":"x"}],"summary":"short"}', "{}"],
+    "log": ['{"lithology_zones":[{"depth_top":1210,"lithology":"Sandstone"},{"depth_top":1320,"lithology":"shale"},{"depth_top":1990,"lithology":"sand"}],"fluid_zones":[{"depth_top":1405,"fluid_type":"gas sand"},{"depth_top":1205,"fluid_type":"gas"}],"reservoir_zones":[1],"summary":"a summary that is long enough"}', "{}", '{"reservoir_zones":[1,2,3],"summary":"a summary that is long enough"}'],
+    "fusion": ['{"well_seismic_calibration":{"correlation_coefficient":0.8,"calibration_quality":"good"},"key_geological_interfaces":[1,2],"fusion_summary":"a summary that is long enough"}', '{"well_seismic_calibration":{"correlation_coefficient":1.8,"calibration_quality":"x"}}', "{}"],
+    "prospect": ['{"targets":[{"risk_assessment":{"trap_risk":1,"reservoir_risk":2,"seal_risk":5,"charge_risk":3,"geological_success_probability_pct":70},"decision":{"category":"drop"}}],"overall_summary":"a summary that is long enough"}', '{"targets":[{"risk_assessment":{"trap_risk":9},"decision":"inventory"}]}', "{}"],
+}
+
+
+@query
+def accuracy_scores(spark, sf_dir):
+    r = views.table(spark, sf_dir, "region").select("r_regionkey")
+    score = {"seismic": scores.seismic_score(F.col("raw"), 150.0, "normal"), "log": scores.log_score(F.col("raw"), [1200.0, 1400.0], [1300.0], [(1200.0, "oil"), (1400.0, "gas")]), "fusion": scores.fusion_score(F.col("raw")), "prospect": scores.prospect_score(F.col("raw"))}
+    out = None
+    for agent, raws in _ANSWERS.items():
+        one = r.select("r_regionkey", F.posexplode(F.array(*[F.lit(x) for x in raws])).alias("k", "raw")).select("r_regionkey", F.lit(agent).alias("agent"), "k", score[agent]["overall"].alias("overall"))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+@query
+def plan_branches(spark, sf_dir):
+    """Plans of every model with an instruction that is empty, or has only a number or a text under ``task``."""
+    names = F.array(*[F.lit(m) for m in schemas.INSTRUCTIONS])
+    ins = F.array(F.lit("{}"), F.lit('{"threshold":1,"task":"fracture"}'), F.lit('{"threshold":"x","n_clusters":3,"analysis_type":"full"}'))
+    r = views.table(spark, sf_dir, "region").where("r_regionkey < 2").select("r_regionkey", F.explode(names).alias("model")).select("*", F.posexplode(ins).alias("k", "ins"))
+    raw = F.concat(F.lit('{"scene_understanding":"x","workflow_steps":[{"step":1,"model":"'), F.col("model"), F.lit('","instruction":'), F.col("ins"), F.lit("}]}"))
+    return r.select("r_regionkey", "model", "k", schemas.error_column(raw, schemas.PLAN).alias("error"))
+
+
 # --- without SQL ----------------------------------------------------------
 
 
