@@ -203,7 +203,9 @@ def facies_classifier(ins: dict, ctx: Context) -> DataFrame | None:
         inside = [F.col("trace").between(at(b[0], "_nt"), at(b[2], "_nt")) & F.col("s").between(at(b[1], "_ns"), at(b[3], "_ns")) for _, b in boxes]
         rows = rows.join(size, "il").where(reduce(Column.__or__, inside)).drop("_nt", "_ns")
     features = list(dict.fromkeys(features))
+    rows = rows.persist()  # iterations read it again and again; what does not fit in memory goes to disk
     if rows.count() < 10 * k:
+        rows.unpersist()
         return None
     found = ml.cluster_facies(rows, features, k, ins.get("method", "gmm"))
     stats = rows.agg(*[F.avg(f).alias(f"_m_{f}") for f in features], *[F.stddev_pop(f).alias(f"_s_{f}") for f in features])

@@ -69,7 +69,7 @@ def mirror(cols: str, table: str, b: int, a: int) -> str:
 
 PROB = "prob AS (SELECT il, trace, s, least(1e0, 3e0 * abs(amp), 0.2e0 + 2e0 * abs(amp)) AS p FROM section)"
 #: Components by spreading the smallest cell number along neighbours.
-COMP = "cells AS (SELECT il, trace, s, p, trace * 1000000 + s AS c FROM prob WHERE p >= 0.5), near AS (SELECT a.il, a.c AS c, b.c AS d FROM cells a JOIN cells b ON a.il = b.il AND abs(a.trace - b.trace) + abs(a.s - b.s) = 1), reach(il, c, d) AS (SELECT il, c, c FROM cells UNION SELECT x.il, x.c, n.d FROM reach x JOIN near n ON n.il = x.il AND n.c = x.d), labelled AS (SELECT il, trace, s, p, region FROM cells JOIN (SELECT il, c, min(d) AS region FROM reach GROUP BY il, c) USING (il, c))"
+COMP = "cells AS (SELECT il, trace, s, p, trace * 1000000 + s AS c FROM prob WHERE p >= 0.5), later AS (SELECT a.il, a.c AS c, b.c AS d FROM cells a JOIN cells b ON a.il = b.il AND a.trace + 1 = b.trace AND a.s = b.s UNION ALL SELECT a.il, a.c, b.c FROM cells a JOIN cells b ON a.il = b.il AND a.trace = b.trace AND a.s + 1 = b.s), near AS (SELECT il, c, d FROM later UNION ALL SELECT il, d, c FROM later), reach(il, c, d) AS (SELECT il, c, c FROM cells ANTI JOIN (SELECT il, d AS c FROM later) USING (il, c) UNION SELECT x.il, x.c, n.d FROM reach x JOIN near n ON n.il = x.il AND n.c = x.d), labelled AS (SELECT il, trace, s, p, region FROM cells JOIN (SELECT il, d AS c, min(c) AS region FROM reach GROUP BY il, d) USING (il, c))"
 STOP = "('the','a','an','is','are','of','to','in','for','and','or','on','at','with','by','from','的','了','在','是','和','与','或','等','及','之')"
 TOKENS = "list_filter(regexp_extract_all(lower({t}), '[一-鿿]+|[a-zA-Z_]+|[0-9]+\\.?[0-9]*'), lambda t: length(t) > 1 AND t NOT IN " + STOP + ")"
 TFIDF = (
