@@ -9,6 +9,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.common import discard, materialize
+
 #: Names before a secret, and names before what only looks like one.
 SECRET_WORDS = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer|client[_-]?secret"
 HARMLESS_WORDS = "commit|sha|md5|checksum|digest|hash|uuid|guid|version|revision|rev|build|isbn|card|phone|order|invoice|etag|trace|request|session[_-]?id|example|sample|placeholder|dummy|serial|ref"
@@ -166,11 +168,19 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
 
 
 def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> list[str]:
-    """The forest of (text, label) findings: per tree the SQL that gives its vote on a struct ``f``."""
+    """The forest of (text, label) findings: per tree the SQL that gives its vote on a struct ``f``.
+
+    Findings are a bounded table (``FINDINGS`` made ones). Their features are
+    computed once and written, for fitting reads them several times; fitting reads
+    them in one sorted partition, so equal findings give an equal forest however
+    they were dealt.
+    """
     path = "path" if "path" in findings.columns else None
     rows = with_candidates(findings, "text", path).select("label", F.explode("_quarry_found").alias("c")).where("c.whole IS NOT NULL").select("label", "c.f.*")
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows).select("x", "label").coalesce(2)
+    rows = materialize(rows, "finding-features")
+    data = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows.coalesce(1).sortWithinPartitions("label", *FEATURES)).select("x", "label")
     model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=SEED).fit(data)
+    discard(rows)
     return [_tree_sql(t.toDebugString) for t in model.trees]
 
 
