@@ -10,6 +10,7 @@ from quarry.llm.decontaminate import find_leaks
 from quarry.llm.html_extract import extract_pages
 from quarry.llm.licenses import scan_licenses
 from quarry.llm.mixing import mix_sources
+from quarry.llm.periodic_runs import find_runs, run_digests, with_periodic_tails
 from quarry.llm.secrets import find_secrets, labelled_findings, train_forest
 from quarry.llm.simhash import simhash_components
 from quarry.llm.suffix_dedup import remove_repeats
@@ -126,6 +127,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents"), train_forest(labelled_findings(spark)))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of every ``documents`` text, a tenth of which are given a periodic tail."""
+    return run_digests(find_runs(with_periodic_tails(_table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_html_extract": op2_html_extract,
@@ -137,5 +143,6 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_winnowing": op9_winnowing,
     "op10_secret_scan": op10_secret_scan,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 SQL = {"op1_mix_sources": OP1_SQL, "op4_url_filter": OP4_SQL}
