@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import toxicity
+from quarry.llm import pii, toxicity
 from quarry.llm.decontaminate import find_leaks
 from quarry.llm.html_extract import extract_pages
 from quarry.llm.licenses import scan_licenses
@@ -127,6 +127,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents"), train_forest(labelled_findings(spark)))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every ``documents`` text: base spans and those that boosted trees add."""
+    docs = _table(spark, sf_dir, "documents")
+    return pii.span_digests(pii.find_pii(docs, pii.train(docs)))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of words of every ``documents`` text, a tenth of which are given a periodic tail."""
     return run_digests(find_runs(with_periodic_tails(_table(spark, sf_dir, "documents"))))
@@ -143,6 +149,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_winnowing": op9_winnowing,
     "op10_secret_scan": op10_secret_scan,
+    "op11_pii": op11_pii,
     "op12_periodic_runs": op12_periodic_runs,
 }
 SQL = {"op1_mix_sources": OP1_SQL, "op4_url_filter": OP4_SQL}

@@ -181,11 +181,11 @@ def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) ->
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows.coalesce(1).sortWithinPartitions("label", *FEATURES)).select("x", "label")
     model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=SEED).fit(data)
     discard(rows)
-    return [_tree_sql(t.toDebugString) for t in model.trees]
+    return [tree_sql(t.toDebugString, FEATURES) for t in model.trees]
 
 
-def _tree_sql(described: str) -> str:
-    """SQL of a decision tree from its indented description."""
+def tree_sql(described: str, features: tuple[str, ...]) -> str:
+    """SQL of a decision tree on a struct ``f`` of features, from its indented description."""
     lines = [x.strip() for x in described.splitlines()[1:] if x.strip()]
     at = 0
 
@@ -198,7 +198,7 @@ def _tree_sql(described: str) -> str:
         k, cut = re.match(r"If \(feature (\d+) <= (\S+)\)", line).groups()
         yes = node()
         at += 1  # the matching Else
-        return f"if(f.{FEATURES[int(k)]} <= {float(cut)!r}D, {yes}, {node()})"
+        return f"if(f.{features[int(k)]} <= {float(cut)!r}D, {yes}, {node()})"
 
     return node()
 
