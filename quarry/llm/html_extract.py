@@ -42,7 +42,9 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|
 _RAW_END = {name: re.compile(rf"</{name}\s*>?", re.I) for name in HIDDEN.split("|")}
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
-_GONE = re.compile(r"\bhidden\b(?!\s*-)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ONE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_MAYBE_GONE = re.compile("hidden|none", re.I)
+_STYLE_GONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:;|!|$)", re.I)
 
 
 @dataclass
@@ -54,7 +56,20 @@ class Block:
     tags: frozenset[str]
     hints: frozenset[str]
     linked: int
-    hidden: bool
+
+
+def is_hidden(attrs: str) -> bool:
+    """Whether an element's attributes hide it: ``hidden``, ``aria-hidden="true"``, or such a ``style``.
+
+    Names and values are told apart, so a title, an address or a class with such a word hides nothing.
+    """
+    if not _MAYBE_GONE.search(attrs):
+        return False
+    for m in _ONE.finditer(attrs):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _STYLE_GONE.search(value)):
+            return True
+    return False
 
 
 def _hints(attrs: str) -> frozenset[str]:
@@ -67,7 +82,12 @@ def _hints(attrs: str) -> frozenset[str]:
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order; white space inside is one space."""
+    """The leaf blocks of a page in order; white space inside is one space.
+
+    Hidden elements have no blocks, whatever they hold; a hidden inline element ends
+    with its end tag, or with the block element that it was opened in. Elements
+    that show no text (scripts, buttons, pictures) do not end a block.
+    """
     page = page or ""
     # each open element holds what it and its ancestors add up to, so that depth costs nothing
     stack: list[tuple[str, frozenset[str], frozenset[str], bool]] = []
@@ -75,14 +95,14 @@ def leaf_blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked, links, at = 0, 0, 0
-    muted, mutes = "", 0  # a hidden inline element, and how many of its name are open
+    muted, mutes, within = "", 0, 0  # a hidden inline element, how many of its name are open, and in how many blocks it lies
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            if text := " ".join(html.unescape("".join(parts)).split()):
-                name, tags, hints, hidden = stack[-1] if stack else ("", frozenset(), frozenset(), False)
-                out.append(Block(text, name, tags, hints, linked, hidden))
+            name, tags, hints, hidden = stack[-1] if stack else ("", frozenset(), frozenset(), False)
+            if not hidden and (text := " ".join(html.unescape("".join(parts)).split())):
+                out.append(Block(text, name, tags, hints, linked))
             parts.clear()
         linked = 0
 
@@ -115,35 +135,38 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if mutes:
                 mutes += (name == muted) * (-1 if m[2] else 1)
                 continue
-            if not m[2] and name not in VOID and m[4] and _GONE.search(m[4]) and not m[4].rstrip().endswith("/"):
-                muted, mutes = name, 1
+            if not m[2] and name not in VOID and m[4] and is_hidden(m[4]) and not m[4].rstrip().endswith("/"):
+                muted, mutes, within = name, 1, len(stack)
             if name == "a":
                 links = max(0, links - 1) if m[2] else links + 1
             elif name in ("br", "wbr", "img"):
                 text(" ")
             continue
+        if name in _RAW_END and name != "head":  # the elements of a head are skipped one by one: its end tag may be missing
+            if not m[2] and not m[4].rstrip().endswith("/"):
+                end = _RAW_END[name].search(page, at)
+                at = end.end() if end else n
+            continue
         flush()
-        links = mutes = 0
+        links = 0
         if m[2]:
             while still_open[name]:
                 still_open[stack[-1][0]] -= 1
                 if stack.pop()[0] == name:
                     break
+            mutes = 0 if len(stack) < within else mutes
             continue
-        if name in _RAW_END and not m[4].rstrip().endswith("/"):
-            if name == "head":  # its elements are skipped one by one: the end tag may be missing
-                continue
-            end = _RAW_END[name].search(page, at)
-            at = end.end() if end else n
+        if name == "head":
             continue
         if name in VOID or m[4].rstrip().endswith("/"):
             continue
         while stack and stack[-1][0] in CLOSES and name in CLOSES[stack[-1][0]]:
             still_open[stack.pop()[0]] -= 1
+        mutes = 0 if len(stack) < within else mutes
         attrs = m[4]
         _, tags, hints, hidden = stack[-1] if stack else ("", frozenset(), frozenset(), False)
         own = _hints(attrs) if attrs else frozenset()
-        gone = hidden or bool(attrs and _GONE.search(attrs))
+        gone = hidden or bool(attrs and is_hidden(attrs))
         stack.append((name, tags if name in tags else tags | {name}, hints if own <= hints else hints | own, gone))
         still_open[name] += 1
     flush()
@@ -161,8 +184,6 @@ def features(blocks: list[Block]) -> list[list[str]]:
         f.append("links=" + ("0" if not dense else "some" if dense < 0.4 else "most"))
         f.append("stop" if b.text[-1] in ".!?…\"”»" else "open")
         f.append("first" if k == 0 else "last" if k == len(blocks) - 1 else "inner")
-        if b.hidden:
-            f.append("hidden")
         if "©" in b.text or re.search(r"(?i)\b(?:cookies?|all rights reserved|subscribe|newsletter|advertisement|log ?in|sign up)\b", b.text):
             f.append("notice words")
         out.append(f)
@@ -275,7 +296,7 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, str]]:
             blocks.append(p)
             if rng.random() < 0.06:
                 markup += shell(rng.choice(["ad", "share", "side", "form", "notice"]))
-        main = rng.choice(["article"] * 4 + ["main", 'div class="content"', 'div class="post"', 'div id="story"', 'section class="article-body"'])
+        main = rng.choice(["article"] * 4 + ["main", 'div class="content"', 'div class="post"', 'div id="story"', 'section class="article-body"', "div", "div", 'div class="row"'])
         before = "".join(shell(k) for k in rng.choices(["nav", "head", "ad", "notice", "side", "form"], k=rng.randint(0, 4)))
         after = "".join(shell(k) for k in rng.choices(["foot", "foot", "side", "comments", "share", "ad", "nav", "form"], k=rng.randint(0, 4)))
         inside = shell("comments") if rng.random() < 0.1 else ""
