@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import rules
 from quarry.functions.geometry import settled
+from quarry.operators.overlaps import overlap_join
 
 
 
@@ -192,13 +193,20 @@ def sliding_features(curve: DataFrame, window: int = 20, step: int = 10, top: fl
 def interval_recall(truth: DataFrame, found: DataFrame) -> DataFrame:
     """Truth intervals that each well overlaps, and whether one of its intervals holds the middle."""
     mid = (F.col("gt_top") + F.col("gt_bottom")) / 2
-    hit = (F.col("depth_top") <= F.col("gt_bottom")) & (F.col("depth_bottom") >= F.col("gt_top"))
     inside = (F.col("depth_top") <= mid) & (mid <= F.col("depth_bottom"))
-    # the truth is a literal table of a few rows
-    return found.join(F.broadcast(truth), hit).groupBy("gt_id", "well").agg(F.max(inside.cast("int")).alias("holds_middle"))
+    pairs = overlap_join(found, truth, [("depth_top", "depth_bottom")], [("gt_top", "gt_bottom")])
+    return pairs.groupBy("gt_id", "well").agg(F.max(inside.cast("int")).alias("holds_middle"))
 
 
 def tolerance_match(truth: DataFrame, found: DataFrame, tolerance: float) -> DataFrame:
     """Pairs whose tops are less than ``tolerance`` apart, with the distance."""
+    around = truth.withColumns({"_low": F.col("gt_top") - tolerance, "_high": F.col("gt_top") + tolerance})
+    pairs = overlap_join(found, around, [("depth_top", "depth_top")], [("_low", "_high")])
     apart = F.abs(F.col("depth_top") - F.col("gt_top"))
-    return found.join(F.broadcast(truth), apart < tolerance).select("well", "gt_id", "depth_top", apart.alias("off"))
+    return pairs.where(apart < tolerance).select("well", "gt_id", "depth_top", apart.alias("off"))
+
+
+def labelled_hits(truth: DataFrame, zones: DataFrame, label: str) -> DataFrame:
+    """``gt_id, well, n``: how many zones of a well hold a truth's depth ``gt_depth`` and have its ``label``."""
+    pairs = overlap_join(zones, truth, [("depth_top", "depth_bottom")], [("gt_depth", "gt_depth")], [label])
+    return pairs.groupBy("gt_id", "well").agg(F.count("*").alias("n"))

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.geometry import iou, pixel_to_data, to_index
+from quarry.functions.geometry import pixel_to_data, to_index
+from quarry.operators.overlaps import BOX, BOX_AXES, box_pairs, overlap_join, suppress_by_rounds
 
-BOX = ["x1", "y1", "x2", "y2"]
-
-
-def _box(prefix: str = "") -> list:
-    return [F.col(f"{prefix}{c}") for c in BOX]
+#: Groups of up to so many boxes are suppressed in one fold; larger ones by rounds, with equal results.
+FOLD_BOXES = 2_000
 
 
 def tag(dets: DataFrame, model: str, order: list[str]) -> DataFrame:
@@ -43,14 +41,13 @@ def normalize(dets: DataFrame, width: int, height: int) -> DataFrame:
 def match_verifications(vers: DataFrame, dets: DataFrame, threshold: float = 0.3) -> DataFrame:
     """``vers`` with the matched ``det_id``: by id, else the best box of the same image and class.
 
-    Only boxes above the threshold count; ties go to the smaller id. The
-    spatial join has image and class as equality keys.
+    Only boxes above the threshold (0 or more) count; ties go to the smaller id. Boxes
+    meet in the cells of a grid within image and class, not in all pairs.
     """
     by_id = vers.join(dets.select(F.col("det_id").alias("_d")), vers["result_id"].cast("string") == F.col("_d").cast("string"), "left")
     lost = by_id.where("_d IS NULL").drop("_d")
-    near = dets.select("image", "class_id", F.col("det_id").alias("_d"), *[F.col(c).alias(f"d_{c}") for c in BOX])
-    pairs = lost.join(near, ["image", "class_id"]).withColumn("_iou", iou(_box(), _box("d_"))).where(F.col("_iou") > threshold)
-    best = pairs.groupBy("ver_id").agg(F.min_by("_d", F.struct(-F.col("_iou"), F.col("_d"))).alias("matched"), F.max("_iou").alias("iou"))
+    pairs = box_pairs(lost, dets.select("image", "class_id", "det_id", *BOX), ["image", "class_id"], "d_", threshold)
+    best = pairs.groupBy("ver_id").agg(F.min_by("d_det_id", F.struct(-F.col("iou"), F.col("d_det_id"))).alias("matched"), F.max("iou").alias("iou"))
     found = by_id.where("_d IS NOT NULL").select("ver_id", F.col("_d").alias("matched"), F.lit(None).cast("double").alias("iou"))
     return vers.join(found.unionByName(best), "ver_id", "left")
 
@@ -71,11 +68,23 @@ def surviving(dets: DataFrame, outcomes: DataFrame) -> DataFrame:
     return dets.join(gone, "det_id", "left_anti")
 
 
-def nms_greedy(dets: DataFrame, threshold: float) -> DataFrame:
+def nms_greedy(dets: DataFrame, threshold: float, fold_boxes: int = FOLD_BOXES) -> DataFrame:
     """Greedy suppression per image and class against kept boxes only; equal overlap survives.
 
-    The order matters, so each group is folded by falling confidence, then id.
+    Groups of at most ``fold_boxes`` boxes are folded by falling confidence, then id;
+    of larger ones, rounds on a grid keep the same boxes without a group of them all.
     """
+    sizes = dets.groupBy("image", "class_id").agg(F.count("*").alias("_n"))
+    large = sizes.where(F.col("_n") > fold_boxes).select("image", "class_id")
+    if large.isEmpty():
+        return _folded(dets, threshold)
+    few = _folded(dets.join(large, ["image", "class_id"], "left_anti"), threshold)
+    many = suppress_by_rounds(dets.join(large, ["image", "class_id"], "left_semi"), threshold, ["image", "class_id"])
+    return few.unionByName(many.select("image", "class_id", "det_id", "confidence"))
+
+
+def _folded(dets: DataFrame, threshold: float) -> DataFrame:
+    """Greedy suppression of groups that fit into a row each."""
     item = F.struct((-F.col("confidence")).alias("k"), "det_id", *BOX)
     ious = "greatest(0D, least(k.x2, x.x2) - greatest(k.x1, x.x1)) * greatest(0D, least(k.y2, x.y2) - greatest(k.y1, x.y1))"
     area = lambda v: f"greatest(0D, {v}.x2 - {v}.x1) * greatest(0D, {v}.y2 - {v}.y1)"
@@ -85,11 +94,10 @@ def nms_greedy(dets: DataFrame, threshold: float) -> DataFrame:
 
 
 def nms_all(dets: DataFrame, threshold: float) -> DataFrame:
-    """Suppression against every higher-ranked box, suppressed or not: an anti-join."""
-    other = dets.select("image", "class_id", F.col("det_id").alias("o_id"), F.col("confidence").alias("o_conf"), *[F.col(c).alias(f"o_{c}") for c in BOX])
-    ahead = (F.col("o_conf") > F.col("confidence")) | ((F.col("o_conf") == F.col("confidence")) & (F.col("o_id") < F.col("det_id")))
-    same = (dets["image"] == other["image"]) & (dets["class_id"] == other["class_id"])
-    return dets.join(other, same & ahead & (iou(_box(), _box("o_")) > threshold), "left_anti")
+    """Suppression against every higher-ranked box, suppressed or not: an anti-join on the pairs that overlap."""
+    pairs = box_pairs(dets, dets.select("image", "class_id", "det_id", "confidence", *BOX), ["image", "class_id"], "o_", threshold)
+    ahead = (F.col("o_confidence") > F.col("confidence")) | ((F.col("o_confidence") == F.col("confidence")) & (F.col("o_det_id") < F.col("det_id")))
+    return dets.join(pairs.where(ahead).select("det_id"), "det_id", "left_anti")
 
 
 def suppress_hulls(regions: DataFrame, threshold: float) -> DataFrame:
@@ -98,13 +106,14 @@ def suppress_hulls(regions: DataFrame, threshold: float) -> DataFrame:
     Overlap is that of the corner coordinates, the more confident ones count
     suppressed or not, and of equal ones the smaller region number goes first.
     """
-    o = regions.select("il", F.col("region").alias("o_region"), F.col("confidence").alias("o_confidence"), *[F.col(c).alias(f"o_{c}") for c in BOX])
+    o = regions.select("il", *[F.col(c).alias(f"o_{c}") for c in ("region", "confidence", *BOX)])
+    pairs = overlap_join(regions, o, BOX_AXES, [(f"o_{lo}", f"o_{hi}") for lo, hi in BOX_AXES], ["il"])
     ahead = (F.col("o_confidence") > F.col("confidence")) | ((F.col("o_confidence") == F.col("confidence")) & (F.col("o_region") < F.col("region")))
     w = F.least("x2", "o_x2") - F.greatest("x1", "o_x1")
     h = F.least("y2", "o_y2") - F.greatest("y1", "o_y1")
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) + (F.col("o_x2") - F.col("o_x1")) * (F.col("o_y2") - F.col("o_y1"))
     over = (w > 0) & (h > 0) & (w * h / (area - w * h + F.lit(1e-8)) > threshold)
-    return regions.join(o, (regions["il"] == o["il"]) & ahead & over, "left_anti")
+    return regions.join(pairs.where(ahead & over).select("il", "region"), ["il", "region"], "left_anti")
 
 
 def dedup_by_id(dets: DataFrame, key: str, order: str) -> DataFrame:

@@ -16,52 +16,73 @@ RANGE_KEYS = ("expected_depth_ranges", "expected_range", "target_range", "depth_
 REQUIRED = {"traditional_code": "rules", "horizon_tracker": "seed_points", "attribute_extractor": "attributes", "sam": "prompt_value"}
 
 
+_DECODER = json.JSONDecoder()
+#: Braces in each other that the parser is given at most.
+DEEPEST = 2_000
 _MARK = re.compile(r'\\.|["{}]', re.S)
 
 
-def _close(text: str, start: int) -> int | None:
-    """Where the brace at ``start`` is closed."""
-    depth, odd = 0, 0
-    for m in _MARK.finditer(text, start):
-        odd ^= m[0] == '"'
-        depth += (not odd) * ((m[0] == "{") - (m[0] == "}"))
-        if not depth:
-            return m.end()
-    return None
+def _starts(text: str) -> list[tuple[int, int, int | None]]:
+    """Every opening brace: its place, how many quotes are before it (odd or even), and where it closes.
 
+    One with more than ``DEEPEST`` braces in each other counts as one that never closes.
 
-def first_json(text: str | None) -> str | None:
-    """The first balanced, parseable, non-empty object in a text.
-
-    Braces in strings do not count; a backslash skips the next character
-    anywhere. A start that never closes ends the search for that start only.
-
-    From a start on, quotes are read as seen from it. One pass finds where each
-    start closes: starts that see the same quotes share a stack, of which there
-    are two, for a start inside a string of the other sees them the other way.
+    From a start on, quotes are read as seen from it: starts that see the same quotes
+    share a stack, of which there are two, for a start inside a string of the other sees
+    them the other way. A brace after a backslash is skipped by the starts before it,
+    but is a start too: it closes where its stack falls below the height it began at.
     """
-    text = text or ""
-    stacks: tuple[list[int], list[int]] = ([], [])
+    stacks: tuple[list[list[int]], list[list[int]]] = ([], [])
+    skipped: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
+    seen: list[tuple[int, int]] = []
     closes: dict[int, int] = {}
     odd = 0
     for m in _MARK.finditer(text):
         c = m[0]
-        if c == "\\{":  # skipped by starts before it, but a start too
-            if end := _close(text, m.end() - 1):
-                closes[m.end() - 1] = end
-        elif c == '"':
+        if c == '"':
             odd ^= 1
         elif c == "{":
-            stacks[odd].append(m.start())
-        elif c == "}" and stacks[odd]:
-            closes[stacks[odd].pop()] = m.end()
-    for start in sorted(closes):
+            seen.append((m.start(), odd))
+            stacks[odd].append([m.start(), 0])
+        elif c == "\\{":
+            seen.append((m.end() - 1, odd))
+            skipped[odd].setdefault(len(stacks[odd]), []).append(m.end() - 1)
+        elif c == "}":
+            for at in skipped[odd].pop(len(stacks[odd]), ()):
+                closes[at] = m.end()
+            if stacks[odd]:
+                start, depth = stacks[odd].pop()
+                if depth < DEEPEST:
+                    closes[start] = m.end()
+                if stacks[odd]:
+                    stacks[odd][-1][1] = max(stacks[odd][-1][1], depth + 1)
+    return [(at, side, closes.get(at)) for at, side in seen]
+
+
+def first_json(text: str | None) -> str | None:
+    """The first balanced, parseable, non-empty object in a text.
+
+    Braces in strings do not count; a backslash skips the next character
+    anywhere. A start that never closes ends the search for that start only, and one
+    nested too deeply for the parser counts as unparseable.
+
+    Where parsing fails, all starts that are open there and see the same quotes fail
+    there as well, so they are passed over and the work is linear in the text.
+    """
+    text = text or ""
+    failed = [-1, -1]
+    for at, side, close in _starts(text):
+        if close is None or at < failed[side] < close:
+            continue
         try:
-            got = json.loads(text[start : closes[start]])
-        except ValueError:
+            got, _ = _DECODER.raw_decode(text, at)
+        except json.JSONDecodeError as e:
+            failed[side] = e.pos
+        except RecursionError:
             continue
-        if isinstance(got, dict) and got:
-            return json.dumps(got)
+        else:
+            if isinstance(got, dict) and got:
+                return json.dumps(got)
     return None
 
 

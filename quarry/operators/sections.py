@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from quarry.operators.components import label_cells
+
 
 def by_trace() -> WindowSpec:
     """Samples of a trace in order."""
@@ -136,36 +138,8 @@ def probability_mask(prob: DataFrame, threshold: float, value: str = "p") -> Dat
 
 
 def label_regions(mask: DataFrame, value: str = "p") -> DataFrame:
-    """``il, trace, s, value, region``: 4-neighbour components of each section's cells.
-
-    Union-find over the runs of a section's mask in grouped Arrow: one section
-    at a time, so memory is that of its mask; ``region`` is its first cell.
-    """
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells = {(t, s): k for k, (t, s) in enumerate(zip(pdf["trace"], pdf["s"], strict=True))}
-        up = list(range(len(pdf)))
-
-        def root(k: int) -> int:
-            while up[k] != k:
-                up[k] = up[up[k]]
-                k = up[k]
-            return k
-
-        for (t, s), k in cells.items():
-            for near in ((t + 1, s), (t, s + 1)):
-                if near in cells:
-                    a, b = root(k), root(cells[near])
-                    up[max(a, b)] = min(a, b)
-        roots = np.array([root(k) for k in range(len(pdf))])
-        first = pdf["trace"].to_numpy(np.int64) * 1_000_000 + pdf["s"].to_numpy(np.int64)
-        low = {}
-        for r, f in zip(roots, first, strict=True):
-            low[r] = min(low.get(r, f), f)
-        return pdf.assign(region=[low[r] for r in roots])
-
-    kind = mask.schema["trace"].dataType.simpleString()
-    return mask.select("il", "trace", "s", value).groupBy("il").applyInPandas(label, f"il {mask.schema['il'].dataType.simpleString()}, trace {kind}, s int, {value} double, region long")
+    """``il, trace, s, value, region``: 4-neighbour components of each section's cells, ``region`` their first cell."""
+    return label_cells(mask, value)
 
 
 def region_stats(labelled: DataFrame, min_area: int, value: str = "p") -> DataFrame:

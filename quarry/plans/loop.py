@@ -1,7 +1,8 @@
 """The closed loop: run the steps, verify, drop false positives, retry a step.
 
-The plan is a few rows and stays on the driver; its results are DataFrames,
-written after each round so that lineage does not grow.
+The plan is a few rows and stays on the driver; its results are DataFrames, written
+to the shared folder after each step, so that lineage does not grow and no round runs
+the models of an earlier one again.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from quarry.plans.registry import Registry
+from quarry.session import written
 
 
 @dataclass
@@ -44,10 +46,11 @@ def apply_retry(steps: list[Step], step: int | None, adjusted: dict | None) -> i
     return None
 
 
-def closed_loop(steps: list[Step], registry: Registry, context: dict[str, DataFrame], verify: Callable[[DataFrame, int], Verdict | None], rounds: int = 3, rerun_all: bool = False, checkpoint: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame | None:
+def closed_loop(steps: list[Step], registry: Registry, context: dict[str, DataFrame], verify: Callable[[DataFrame, int], Verdict | None], rounds: int = 3, rerun_all: bool = False, checkpoint: Callable[[DataFrame], DataFrame] = lambda d: written(d, "loop-step")) -> DataFrame | None:
     """Detections of the last round of each step, false positives removed.
 
-    An unknown model gives nothing. ``rerun_all`` runs every step each round
+    ``checkpoint`` is what becomes of each result: a written table, unless another is
+    given. An unknown model gives nothing. ``rerun_all`` runs every step each round
     instead of the adjusted one. The loop ends without a retry that applies (in
     either mode: an unchanged plan gives the same rows), without detections, or
     after ``rounds``.

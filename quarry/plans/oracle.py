@@ -135,6 +135,7 @@ SQL = {
     "parse_scales": "SELECT r_regionkey, raw, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS scale FROM (SELECT r_regionkey, raw, list_filter(list_transform(string_split(raw, ','), lambda x: try_cast(trim(x) AS DOUBLE)), lambda x: x IS NOT NULL) AS l FROM (SELECT r_regionkey, unnest(['0.5,1.0', '2', '1, x ,3.5']) AS raw FROM region))",
     "nearest_sample": with_views("curve_ev", "SELECT well, t, idx FROM (SELECT well, t, idx, row_number() OVER (PARTITION BY well, t ORDER BY abs(depth - t), idx) AS n FROM curve_ev JOIN (VALUES (1001e0), (1003.37e0), (1010.5e0)) v(t) ON abs(depth - t) < 1) WHERE n = 1"),
     "interval_recall": with_views("curve_li gt", f"WITH {CROSS} SELECT gt_id, well, max((depth_top <= (gt_top + gt_bottom) / 2 AND (gt_top + gt_bottom) / 2 <= depth_bottom)::INT) AS holds_middle FROM sands JOIN gt ON depth_top <= gt_bottom AND depth_bottom >= gt_top GROUP BY gt_id, well"),
+    "labelled_hits": with_views("curve_li gt", f"WITH {CROSS} SELECT gt_id, well, count(*) AS n FROM sands JOIN gt ON (gt_top + gt_bottom) / 2 BETWEEN depth_top AND depth_bottom AND well % 2 = substr(gt_id, 2, 1)::INT % 2 GROUP BY gt_id, well"),
     "tolerance_match": with_views("curve_li gt", f"WITH {CROSS} SELECT well, gt_id, {r('depth_top')} AS depth_top, {r('abs(depth_top - gt_top)')} AS off FROM sands JOIN gt ON abs(depth_top - gt_top) < 3"),
     "eval_summary": f"SELECT source, count(*) AS runs, {r('avg(quality)')} AS pass_rate, {r('stddev_pop(quality)')} AS pass_std, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS clean, {r('avg(0.7e0 * quality + 0.3e0 * (1 - toxic))')} AS score FROM labels JOIN documents USING (doc_id) GROUP BY source",
     "geom_pixel_to_data": with_views(DET, f"WITH p AS (SELECT det_id, 0e0 + x1 * 1000 / 1000e0 * 300e0 AS a, 0e0 + x2 * 1000 / 1000e0 * 300e0 AS b, 2500e0 + y1 * 500 / 500e0 * -2500e0 AS c, 2500e0 + y2 * 500 / 500e0 * -2500e0 AS d FROM det) SELECT det_id, {r('least(a, b)')} AS cdp_min, {r('greatest(a, b)')} AS cdp_max, {r('least(c, d)')} AS time_min, {r('greatest(c, d)')} AS time_max FROM p"),

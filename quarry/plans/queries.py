@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import geometry, rules
-from quarry.operators import curves, documents, kernels, ml, retrieval, schemas, scores, sections
+from quarry.operators import curves, documents, kernels, ml, overlaps, retrieval, schemas, scores, sections
 from quarry.operators import detections as det
 from quarry.plans import models
 from quarry.plans.loop import Step, Verdict
@@ -141,6 +141,15 @@ def tolerance_match(spark, sf_dir):
     return rounded(curves.tolerance_match(views.ground_truth(spark), found, 3.0))
 
 
+@query
+def labelled_hits(spark, sf_dir):
+    """Sands are of two kinds by their well, truths by their number; a hit is of one kind and holds the middle."""
+    kind = lambda c: F.when(c % 2 == 0, "gas").otherwise("water").alias("fluid")
+    sands = curves.crossing_intervals(views.line_curve(spark, sf_dir), "gr", 120.0, 1.0).select("well", "depth_top", "depth_bottom", kind(F.col("well")))
+    truth = views.ground_truth(spark).select("gt_id", ((F.col("gt_top") + F.col("gt_bottom")) / 2).alias("gt_depth"), kind(F.substring("gt_id", 2, 1).cast("int")))
+    return curves.labelled_hits(truth, sands, "fluid")
+
+
 @query
 def eval_summary(spark, sf_dir):
     lab = views.table(spark, sf_dir, "labels").join(views.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id")
@@ -172,10 +181,9 @@ def geom_data_to_pixel(spark, sf_dir):
 
 @query
 def bbox_iou(spark, sf_dir):
-    a = _dets(spark, sf_dir)
-    b = a.select("image", "class_id", F.col("det_id").alias("other"), *[F.col(c).alias(f"o_{c}") for c in det.BOX])
-    v = geometry.iou([F.col(c) for c in det.BOX], [F.col(f"o_{c}") for c in det.BOX])
-    return rounded(a.join(b, ["image", "class_id"]).where("det_id < other").select("det_id", "other", v.alias("iou")).where("iou > 0.2"))
+    a = _dets(spark, sf_dir).drop("confidence")
+    pairs = overlaps.box_pairs(a, a, ["image", "class_id"], "o_", 0.2)
+    return rounded(pairs.where("det_id < o_det_id").select("det_id", F.col("o_det_id").alias("other"), "iou"))
 
 
 @query

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -42,3 +43,27 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(ROOT))
     spark.sparkContext.addPyFile(str(target))
     spark.sparkContext._quarry_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where it is unset, a temporary folder stands in, which is only right where driver
+    and executors are one process.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends here, so a lost executor costs a re-read."""
+    spark = df.sparkSession
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
