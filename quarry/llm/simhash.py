@@ -97,7 +97,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, lanes: in
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, schema)
 
 
-def walk(v: np.ndarray, pairs: tuple[np.ndarray, ...], top: int, budget: int, bottom: int = 0, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def walk(v: np.ndarray, pairs: tuple[np.ndarray, ...], top: int, budget: int, bottom: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) of all linked values below pairs of trie nodes.
 
     ``v`` holds sorted values; a node is a range of them that agrees above bit
@@ -111,7 +111,7 @@ def walk(v: np.ndarray, pairs: tuple[np.ndarray, ...], top: int, budget: int, bo
         live = (a1 > a0) & (b1 > b0) & (used <= budget) & ~((a0 == b0) & (a1 == b1) & (a1 - a0 < 2))
         small = live & ((a1 - a0) * (b1 - b0) <= LEAF) if bit >= bottom else live
         if small.any():
-            yield from _compare(v, a0[small], a1[small], b0[small], b1[small], budget, root)
+            yield from _compare(v, a0[small], a1[small], b0[small], b1[small], budget)
         live &= ~small
         if not live.any():
             return
@@ -132,25 +132,19 @@ def walk(v: np.ndarray, pairs: tuple[np.ndarray, ...], top: int, budget: int, bo
         )
 
 
-def _compare(v, a0, a1, b0, b1, budget, root=None):
+def _compare(v, a0, a1, b0, b1, budget):
     """Checks pairs of small nodes value by value, a few million at a time.
 
     Large nodes only come here with all bits spent, as rows of equal values
     (several texts of one fingerprint). Up to ``ALL`` of them meet one by one;
     in larger groups each meets the ``NEXT`` following and the first ones of the
-    other node, which connects what all pairs would if they are alike. With
-    ``root``, all pairs of unlike roots meet.
+    other node, which connects what all pairs would if they are alike.
     """
     na, nb = a1 - a0, b1 - b0
     big = na * nb > LEAF
     for x0, x1, y0, y1 in zip(a0[big], a1[big], b0[big], b1[big], strict=True):
         m = int(x1 - x0)
-        if root is not None:
-            for i in range(x0, x1):
-                y = i + 1 if (x0, x1) == (y0, y1) else y0
-                j = y + np.flatnonzero(root[y:y1] != root[i])
-                yield np.full(len(j), i), j
-        elif (x0, x1) == (y0, y1):
+        if (x0, x1) == (y0, y1):
             for off in range(1, m if m <= ALL else NEXT + 1):
                 i = np.arange(x0, x1 - off)
                 yield i, i + off
@@ -214,8 +208,7 @@ def _join_tasks(width: int, budget: int, near: int | None, similar: float):
     ``near``: only pairs whose 128 further bits differ in so many at most count,
     and whose numbers of shingles ``_n`` allow ``similar``. What all such pairs
     connect the forest connects; for that, large groups of equal values are
-    linked in a row whatever their bits. Rows with a ``_root`` give all such
-    pairs of unlike roots instead.
+    linked in a row whatever their bits.
     """
 
     def links(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -231,7 +224,6 @@ def _join_tasks(width: int, budget: int, near: int | None, similar: float):
         names, at = np.unique(node, return_inverse=True)
         top, found = 63 - (width // (budget + 1)), []
         held = 0
-        root = b["_root"].to_numpy() if "_root" in b else None
         if near is not None:
             n = b["_n"].to_numpy()
             far = lambda i, j: np.bitwise_count((s1[i] ^ s1[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((s2[i] ^ s2[j]).view(np.uint64))
@@ -239,27 +231,23 @@ def _join_tasks(width: int, budget: int, near: int | None, similar: float):
             first[lo] = True
             run = np.cumsum(first) - 1
             large = np.bincount(run)[run] > ALL
-            if root is None and large.any():
+            if large.any():
                 j = np.flatnonzero(large & ~first)
                 found.append((at[j - 1], at[j], far(j - 1, j)))
-        for i, j in walk(v, pairs, top, budget, 64 - width, root):
+        for i, j in walk(v, pairs, top, budget, 64 - width):
             w = np.bitwise_count(v[i] ^ v[j]).astype(np.int64)
             if near is not None:
                 w = far(i, j)
                 ok = (w <= near) & (np.minimum(n[i], n[j]) >= similar * np.maximum(n[i], n[j]) - 1e-9)
-                ok = ok & (root[i] != root[j]) if root is not None else ok | (first[i] & first[j] & (large[i] | large[j]))
+                ok = ok | (first[i] & first[j] & (large[i] | large[j]))
                 i, j, w = i[ok], j[ok], w[ok]
             found.append((at[i], at[j], w))
             held += len(i)
-            if root is not None and held > 500_000:
-                x, y, w = (np.concatenate(c) for c in zip(*found, strict=True))
-                yield pd.DataFrame({"a": names[x], "b": names[y], "distance": w.astype(np.int32)})
-                found, held = [], 0
             if held > 2_000_000:  # only a forest of what has been found is kept
                 found, held = [_thin(len(names), found)], 0
         if not found:
             return
-        x, y, w = _thin(len(names), found) if root is None else (np.concatenate(c) for c in zip(*found, strict=True))
+        x, y, w = _thin(len(names), found)
         yield pd.DataFrame({"a": names[x], "b": names[y], "distance": w.astype(np.int32)})
 
     return _whole(links, ["_task", "_lo", "_mask"])
@@ -293,8 +281,7 @@ def trie_links(rows: DataFrame, width: int, budget: int, near: int | None = None
     """Edges ``a, b, distance`` that connect all nodes within ``budget`` bits in a space.
 
     ``rows``: ``_space`` int, ``_fp`` long (``width`` bits used), ``_node`` long
-    and two longs ``_s1``, ``_s2``; with ``near`` also ``_n``, and ``_root`` if
-    all pairs of unlike roots are asked for. Whatever two values differ by ``budget`` bits
+    and two longs ``_s1``, ``_s2``; with ``near`` also ``_n``. Whatever two values differ by ``budget`` bits
     agree on one of budget + 1 blocks of bits, so each value goes into that many
     tries, rotated to have one block at the root with no error allowed there; a
     prefix is a task. A prefix with more than ``hot`` rows is walked down in the
@@ -302,7 +289,7 @@ def trie_links(rows: DataFrame, width: int, budget: int, near: int | None = None
     """
     blocks = budget + 1
     each = width // blocks
-    more = [c for c in ("_n", "_root") if c in rows.columns]
+    more = [c for c in ("_n",) if c in rows.columns]
     turned = []
     for r in range(blocks):
         shift = 64 - width + r * each  # the r-th block from the top of the used bits goes to the top of the word
@@ -365,30 +352,42 @@ def short_links(rows: DataFrame, similar: float) -> DataFrame:
 
     Of n shingles a like text has ceil(similar * n) at least, so in any common
     order of shingles the first n - ceil(similar * n) + 1 of both have one in
-    common. The order is rarest first, which keeps the groups small. In groups
-    of over ``ALL`` each meets the ``NEXT`` following ones; rows with a ``_root``
-    meet all of other roots.
+    common. The order is rarest first, which keeps the groups small. Texts of n and m
+    shingles must share similar / (1 + similar) * (n + m); where their first common one
+    has s others behind it, they share s + 1 at most, so a row knows the greatest partner
+    that it can have in a group. Texts of one pattern that differ by too much in what is
+    their own have no partner in the groups of the pattern's shingles, and make no pairs.
+    In groups of over ``ALL`` each meets the ``NEXT`` following ones; rows with a
+    ``_root`` meet all of other roots.
     """
     more = [c for c in ("_root",) if c in rows.columns]
     each = rows.select("_node", "_n", *more, F.explode("_few").alias("_key"))
     ordered = each.join(each.groupBy("_key").agg(F.count("*").alias("_c")), "_key").groupBy("_node", "_n", *more).agg(F.sort_array(F.collect_list(F.struct("_c", "_key"))).alias("_few"))
     prefix = (F.col("_n") - F.ceil(F.col("_n") * similar - 1e-9) + 1).cast("int")
-    keyed = ordered.select("_node", "_n", *more, F.explode(F.slice("_few", F.lit(1), prefix)).alias("_f")).select(F.col("_f._key").alias("_key"), "_n", "_node", *more)
+    # the text without words has a shingle of its own and no size
+    size = F.greatest(F.col("_n"), F.lit(1))
+    most = F.floor((size - F.col("_at")) * ((1 + similar) / similar) + 1e-6) - size
+    keyed = ordered.select("_node", "_n", *more, F.posexplode(F.slice("_few", F.lit(1), prefix)).alias("_at", "_f")).select(F.col("_f._key").alias("_key"), "_n", "_node", most.cast("long").alias("_most"), *more)
+    keyed = keyed.where(F.col("_most") >= F.ceil(F.col("_n") * similar - 1e-9))  # others have no partner there
 
     def links(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        key, n, node = (b[c].to_numpy() for c in ("_key", "_n", "_node"))
+        key, n, node, most = (b[c].to_numpy() for c in ("_key", "_n", "_node", "_most"))
         cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         root = b["_root"].to_numpy() if more else None
         found, held = [], 0
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            ends = lo + np.searchsorted(n[lo:hi], n[lo:hi] / similar + 1e-9, "right")
-            for i, end in zip(range(lo, hi - 1), ends, strict=False):
-                if root is not None:
-                    j = i + 1 + np.flatnonzero(root[i + 1 : end] != root[i])
-                elif hi - lo > ALL:  # the next one whatever its size, so that groups hang together
+            if hi - lo < 2 or (root is not None and (root[lo:hi] == root[lo]).all()):
+                continue
+            size = n[lo:hi]
+            ends = lo + np.minimum(np.searchsorted(size, size / similar + 1e-9, "right"), np.searchsorted(size, most[lo:hi], "right"))
+            for i, end in _partners(lo, hi, ends, root):
+                if root is None and hi - lo > ALL:  # the next one whatever its size, so that groups hang together
                     j = np.arange(i + 1, max(i + 2, min(end, i + 1 + NEXT)))
                 else:
-                    j = np.arange(i + 1, end)
+                    j = i + 1 + np.flatnonzero(most[i + 1 : end] >= n[i])
+                    j = j if root is None else j[root[j] != root[i]]
+                if not len(j):
+                    continue
                 found.append((np.full(len(j), node[i]), node[j]))
                 held += len(j)
                 if held > 500_000:
@@ -400,6 +399,22 @@ def short_links(rows: DataFrame, similar: float) -> DataFrame:
     return keyed.repartition("_key").sortWithinPartitions("_key", "_n", "_node").mapInPandas(_whole(links, ["_key"]), "a long, b long")
 
 
+def _partners(lo: int, hi: int, ends: np.ndarray, root: np.ndarray | None) -> Iterator[tuple[int, int]]:
+    """The rows of a group that have any partner after them, with the end of those."""
+    if root is None:
+        yield from zip(range(lo, hi - 1), ends.tolist(), strict=False)
+        return
+    # where the next row of another root is, so that rows with none in reach cost nothing
+    change = np.flatnonzero(root[lo : hi - 1] != root[lo + 1 : hi]) + 1
+    other = np.full(hi - lo, hi)
+    if len(change):
+        at = np.searchsorted(change, np.arange(hi - lo), "right")
+        known = at < len(change)
+        other[known] = lo + change[at[known]]
+    for k in np.flatnonzero(other < ends).tolist():
+        yield lo + k, int(ends[k])
+
+
 def _pairs(found: list) -> pd.DataFrame:
     a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
@@ -417,9 +432,10 @@ def near_duplicate_links(texts: DataFrame, words: int = WORDS, similar: float =
     deviations off are kept as each task's minimum spanning forest, so closest
     texts link first and a large group gives as many edges as it has members. Of
     every such edge the two texts themselves decide. A forest that lost edges so
-    may have stood for pairs that are alike, hence a second round: in the
-    components that came apart all pairs of unlike components are compared, so
-    no pair that was met is left out, be there many or few.
+    may have stood for pairs that are alike, hence a second round: texts of the
+    components that came apart, long ones too, meet those of other components through
+    equal shingles (``short_links``), so no pair that is alike is left out. Texts of one
+    pattern that are not alike make no pairs there, however many they are.
     """
     lanes, few = tables // 2 + 2, int(SHORT / similar)
     sigs = materialize(signatures(texts, "_node", "_text", words, lanes, True, few), "sketches").withColumnRenamed("_id", "_node")
@@ -428,25 +444,36 @@ def near_duplicate_links(texts: DataFrame, words: int = WORDS, similar: float =
     near = int(128 * angle + SLACK * np.sqrt(128 * angle * (1 - angle)))
     low = F.expr(f"explode(transform(sequence(0, {tables - 1}), i -> named_struct('s', i, 'f', shiftrightunsigned(shiftleft(_sig[cast(i / 2 as int)], 32 * (i % 2)), 32))))")
 
-    def met(some: DataFrame) -> DataFrame:
-        more = [c for c in ("_n", "_root") if c in some.columns]
-        rows = some.where(F.col("_n") > SHORT).select("_node", *more, low.alias("_e"), F.col("_sig")[lanes - 2].alias("_s1"), F.col("_sig")[lanes - 1].alias("_s2"))
-        rows = rows.select(F.col("_e.s").alias("_space"), F.col("_e.f").alias("_fp"), "_node", "_s1", "_s2", *more)
-        linked = trie_links(rows, 32, 2, near, similar=similar).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        return linked.union(short_links(some.where(F.size("_few") > 0), similar)).distinct()
-
-    judged = judge(texts, materialize(met(distinct), "candidates"), words, similar)
+    rows = distinct.where(F.col("_n") > SHORT).select("_node", "_n", low.alias("_e"), F.col("_sig")[lanes - 2].alias("_s1"), F.col("_sig")[lanes - 1].alias("_s2"))
+    rows = rows.select(F.col("_e.s").alias("_space"), F.col("_e.f").alias("_fp"), "_node", "_s1", "_s2", "_n")
+    linked = trie_links(rows, 32, 2, near, similar=similar).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    met = linked.union(short_links(distinct.where(F.size("_few") > 0).select("_node", "_n", "_few"), similar)).distinct()
+    judged = judge(texts, materialize(met, "candidates"), words, similar)
     alike = judged.where("alike").select("a", "b")
     roots = materialize(connected_components(alike), "roots")
     of = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
     apart = of(of(judged.where("not alike").select("a", "b"), "a"), "b").where("ra <> rb").select(F.explode(F.array("ra", "rb")).alias("_root")).distinct()
-    again = materialize(of(distinct, "_node").withColumnRenamed("r_node", "_root").join(materialize(apart, "apart"), "_root", "left_semi"), "again")
+    again = of(distinct.select("_node"), "_node").withColumnRenamed("r_node", "_root").join(materialize(apart, "apart"), "_root", "left_semi")
+    again = materialize(again.select("_node", "_root"), "again")
     if again.isEmpty():
         return alike
-    edges = materialize(met(again).join(judged.select("a", "b"), ["a", "b"], "left_anti"), "further-candidates")
+    again = materialize(whole_sets(texts.join(again, "_node").groupBy("_node").agg(F.first("_text").alias("_text"), F.first("_root").alias("_root")), words), "whole-sets")
+    edges = short_links(again, similar).distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti")
+    edges = materialize(edges, "further-candidates")
     return alike.unionByName(judge(texts, edges, words, similar).where("alike").select("a", "b"))
 
 
+def whole_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``_node, _root, _n, _few``: all distinct shingles of each text, whatever their number; a single 0 without words."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t, words) for t in b["_text"]]
+            yield pd.DataFrame({"_node": b["_node"], "_root": b["_root"], "_n": [len(x) for x in sets], "_few": [x.view(np.int64) if len(x) else np.zeros(1, np.int64) for x in sets]})
+
+    return texts.select("_node", "_root", "_text").mapInPandas(run, "_node long, _root long, _n long, _few array<long>")
+
+
 def judge(texts: DataFrame, edges: DataFrame, words: int, similar: float) -> DataFrame:
     """``a, b, alike``: whether the texts of each edge share ``similar`` of their distinct shingles."""
     nodes = edges.select(F.col("a").alias("_node")).union(edges.select("b")).distinct()
@@ -487,10 +514,11 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = materialize(member.groupBy("_group").agg(F.min(first).alias("k")).select(null_key(F.col("k._id")).alias("_quarry_id"), F.col("k._node").alias("_quarry_node"), F.col("k._c").alias("_c")), "kept")
     keys = ["_quarry_id", "_quarry_node"]
     gone = materialize(rows.select(null_key(F.col("_id")).alias("_quarry_id"), F.col("_node").alias("_quarry_node")).join(kept, keys, "left_anti"), "gone")
-    keyed = docs.withColumn("_quarry_id", null_key(F.col(id_col))).withColumn("_quarry_node", F.xxhash64(text))
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])  # out of the way of the keys' names
+    keyed = docs.select(row.alias("_row"), null_key(F.col(id_col)).alias("_quarry_id"), F.xxhash64(text).alias("_quarry_node"))
     stays = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, keys, "left_anti")
     again = kept.where("_c > 1").select(*keys)
     if (n := again.count()):
         twice = F.broadcast(again) if n <= BROADCAST_ROWS else again
         stays = stays.join(twice, keys, "left_anti").unionByName(stays.join(twice, keys, "left_semi").dropDuplicates(keys))
-    return stays.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return stays.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

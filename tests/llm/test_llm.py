@@ -458,11 +458,70 @@ def test_pairs_behind_rejected_edges_are_found(spark, words, monkeypatch):
     assert kept == len(set(roots)) < 180
 
 
-def test_large_groups_of_equal_values_meet_across_roots():
-    v = np.full(600, 5 << 32, np.uint64)
-    root = np.array([0] * 597 + [7, 8, 9])
-    got = {(int(i), int(j)) for x, y in simhash._compare(v, np.array([0]), np.array([600]), np.array([0]), np.array([600]), 2, root) for i, j in zip(x, y)}
-    assert got == {(i, j) for i in range(600) for j in range(i + 1, 600) if root[i] != root[j]}
+@pytest.mark.parametrize("words", [40, 400])
+def test_families_just_under_the_threshold_make_few_pairs(spark, words, monkeypatch):
+    """Texts at 0.76 to 0.79 of each other, none alike: what is compared grows with the texts, not with their pairs."""
+    compared = []
+    judge = simhash.judge
+    monkeypatch.setattr(simhash, "judge", lambda texts, edges, *a: compared.append(edges.count()) or judge(texts, edges, *a))
+    monkeypatch.setattr(simhash, "ALL", 16)
+    monkeypatch.setattr(simhash, "NEXT", 2)
+    for n in (100, 200):
+        rows = [(g, " ".join(five_words(words, "w")[: words - words // 8] + five_words(words // 8 - (words > 40), f"g{g}x")), "s") for g in range(n)]
+        sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t, _ in rows]
+        assert 0.7 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.8
+        compared.clear()
+        assert simhash.keep_one_of_each(spark.createDataFrame(rows, DOCS)).count() == n
+        first, *further = compared
+        # in the first round at most the forests of the tasks that a text stands in, in the second hardly any
+        assert first <= (3 * simhash.TABLES if words > 40 else 4) * n and sum(further) <= 2 * n
+
+
+@pytest.mark.parametrize("rooted", [False, True])
+def test_short_links_lose_no_alike_pair(spark, rooted):
+    rng, rows = random.Random(17), []
+    for g in range(30):
+        base = rng.sample(range(10_000), rng.randint(1, 60))
+        for _ in range(8):
+            own = [x if rng.random() > 0.08 else rng.randrange(10_000) for x in base][: len(base) - rng.randint(0, len(base) // 6)]
+            few = sorted(set(own))
+            rows.append((len(rows), rng.randrange(4), len(few), few))
+    df = spark.createDataFrame(rows, "_node long, _root long, _n long, _few array<long>")
+    got = {(r.a, r.b) for r in simhash.short_links(df if rooted else df.drop("_root"), 0.8).collect()}
+    sets = [set(r[3]) for r in rows]
+    alike = {(j, i) for i in range(len(rows)) for j in range(i + 1, len(rows)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and not (rooted and rows[i][1] == rows[j][1])}
+    assert alike <= got and len(alike) > 50
+    assert not rooted or all(rows[a][1] != rows[b][1] for a, b in got)
+
+
+def test_near_duplicates_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "x", "y", "z"), (1, "a b c d e f", "x", "y", "z"), (2, "other words of no one else", "u", "v", "w")], "doc_id long, text string, _quarry_id string, _quarry_node string, _row string")
+    got = sorted(map(tuple, simhash.keep_one_of_each(df).collect()))
+    assert got == [(1, "a b c d e f", "x", "y", "z"), (2, "other words of no one else", "u", "v", "w")]
+
+
+def test_pipeline_stage_keeps_what_brute_force_keeps(spark):
+    """The near-duplicate stage over the whole of sf0.01: one row of each group at 0.8, groups by comparing all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = sorted({r.text or "" for r in docs.select("text").collect()})
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    owner = list(range(len(texts)))
+
+    def root(k):
+        while owner[k] != k:
+            k = owner[k]
+        return k
+
+    order = sorted(range(len(texts)), key=lambda k: len(sets[k]))
+    for x, i in enumerate(order):
+        for j in order[x + 1 :]:
+            if len(sets[i]) < 0.8 * len(sets[j]):
+                break
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root(i), root(j)
+                owner[max(a, b)] = min(a, b)
+    assert simhash.keep_one_of_each(docs).count() == len({root(k) for k in range(len(texts))})
 
 
 def test_components_of_chains_and_hubs(spark):
