@@ -88,6 +88,16 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def packed_row(df: DataFrame) -> Column:
+    """All columns of a table as one struct ``_row``, so that helper columns beside it clash with none of their names."""
+    return F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("_row")
+
+
+def unpacked_row(df: DataFrame, names: list[str], **instead: Column) -> DataFrame:
+    """The columns that ``packed_row`` put into ``_row``, under their names; ``instead`` replaces some of them."""
+    return df.select(*[instead.get(c, F.col(f"_row.c{i}")).alias(c) for i, c in enumerate(names)])
+
+
 def parts_for(rows: int, each: int) -> int:
     """How many partitions of about ``each`` rows hold ``rows``; 1 at least."""
     return max(1, -(-rows // each))

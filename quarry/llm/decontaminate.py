@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bound_batches, materialize
+from quarry.llm.common import bound_batches, materialize, packed_row, unpacked_row
 
 #: Words of a template window; a shorter item is one window.
 WINDOW = 8
@@ -292,11 +292,12 @@ def _sides(docs: DataFrame, benchmark: DataFrame, text_col: str, item_text_col:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that leak an item, as ``find_leaks`` defines it."""
+    """``docs`` without the rows that leak an item, as ``find_leaks`` defines it; all columns stay, whatever their names."""
     gone = leaked_texts(*_sides(docs, benchmark, text_col, item_text_col)).select(F.col("k1").alias("_quarry_k1"), F.col("k2").alias("_quarry_k2")).distinct()
     few = gone.count() <= BROADCAST_KEYS
-    keyed = _hashed(docs, text_col, "_quarry_k1", "_quarry_k2")
-    return keyed.join(F.broadcast(gone) if few else gone, ["_quarry_k1", "_quarry_k2"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(packed_row(docs), F.col(f"`{text_col}`").alias("_text"))  # out of the way of the keys' names
+    keyed = _hashed(packed, "_text", "_quarry_k1", "_quarry_k2")
+    return unpacked_row(keyed.join(F.broadcast(gone) if few else gone, ["_quarry_k1", "_quarry_k2"], "left_anti"), docs.columns)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

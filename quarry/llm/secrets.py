@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, materialize
+from quarry.llm.common import discard, materialize, packed_row, unpacked_row
 
 #: Names before a secret, and names before what only looks like one.
 SECRET_WORDS = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer|client[_-]?secret"
@@ -35,12 +35,12 @@ DICTIONARY = (
     "theory thing time title tool top total type under update upload url version view walk water web window word work world year"
 ).split()
 #: A private key: to its end mark, or else the lines of base64 after its head.
-#: A line's end may be written as \\n. Loops over groups are bounded, for the
-#: regular expressions of the JVM recurse in them.
+#: A line's end may be written as \\n. Loops over groups are possessive, in which
+#: the regular expressions of the JVM do not recurse, so a key may be of any length.
 PRIVATE_KEY = (
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
-    r"(?:[^-]*+(?:-{1,4}(?!-)[^-]*+){0,30}+-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
-    r"|(?:\s++[A-Za-z-]{3,30}: [^\n]*+){0,5}+(?:(?:\s|\\[nr])++[A-Za-z0-9+/]{16,}+={0,2}){0,400}+(?:(?:\s|\\[nr])++[A-Za-z0-9+/]{2,}+={1,2})?)"
+    r"(?:[^-]*+(?:-{1,4}(?!-)[^-]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:\s++[A-Za-z-]{3,30}: [^\n]*+)*+(?:(?:\s|\\[nr])++[A-Za-z0-9+/]{16,}+={0,2})*+(?:(?:\s|\\[nr])++[A-Za-z0-9+/]{2,}+={1,2})?)"
 )
 #: What may be a secret: a named value, a token of parts joined by dots, a long
 #: run with a digit, a long run of capitals, or a private key.
@@ -231,16 +231,23 @@ def find_secrets(docs: DataFrame, trees: list[str], id_col: str = "doc_id", text
     return out.withColumn("is_secret", (F.col("score") >= threshold).cast("int")).withColumnRenamed("_id", id_col)
 
 
-def redact_secrets(docs: DataFrame, trees: list[str], text_col: str = "text", threshold: float = THRESHOLD, mask: str = "[SECRET]", path_col: str | None = None) -> DataFrame:
+def redact_secrets(docs: DataFrame, trees: list[str], text_col: str = "text", threshold: float = THRESHOLD, mask: str = "[SECRET]", path_col: str | None = None, chars_col: str | None = None) -> DataFrame:
     """``docs`` with the values of found secrets replaced by ``mask`` at every candidate of the same value.
 
     The text is put together again from the pieces it was cut into, so the work
-    is linear in its length. All rows and columns stay; null and empty texts stay
-    as they are.
+    is linear in its length. All rows and columns stay, whatever their names; null and
+    empty texts stay as they are. ``chars_col`` names a column with the number of code
+    points of the text, which is counted again where the text has changed.
     """
-    found = with_candidates(docs, text_col, path_col)
+    path = [F.col(f"`{path_col}`").alias("_path")] if path_col else []
+    found = with_candidates(docs.select(packed_row(docs), F.col(f"`{text_col}`").alias("_text"), *path), "_text", "_path" if path_col else None)
     gone = f"array_distinct(transform(filter(_quarry_found, c -> length(c.value) > 0 AND {forest_vote(trees, 'c.f')} >= {float(threshold)!r}D), c -> c.value))"
     found = found.withColumn("_quarry_gone", F.expr(gone))
     piece = f"concat(c.before, if(c.whole IS NULL, '', if(array_contains(_quarry_gone, c.value), concat(left(c.whole, length(c.whole) - length(c.value)), {_sql(mask)}), c.whole)))"
     masked = F.when(F.size("_quarry_gone") > 0, F.expr(f"array_join(transform(_quarry_found, c -> {piece}), '')"))
-    return found.withColumn(text_col, F.coalesce(masked, F.col(text_col))).drop("_quarry_found", "_quarry_gone")
+    found = found.withColumn("_masked", F.coalesce(masked, F.col("_text")))
+    new = {text_col: F.col("_masked")}
+    if chars_col in docs.columns:
+        own = F.col(f"_row.c{docs.columns.index(chars_col)}")
+        new[chars_col] = F.when(F.col("_masked").eqNullSafe(F.col("_text")), own).otherwise(F.length("_masked").cast(docs.schema[chars_col].dataType))
+    return unpacked_row(found, docs.columns, **new)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import bound_batches, materialize, null_key
+from quarry.llm.common import bound_batches, materialize, null_key, packed_row, unpacked_row
 from quarry.llm.components import connected_components
 
 #: Seed of XXH64 over shingles.
@@ -514,11 +514,10 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = materialize(member.groupBy("_group").agg(F.min(first).alias("k")).select(null_key(F.col("k._id")).alias("_quarry_id"), F.col("k._node").alias("_quarry_node"), F.col("k._c").alias("_c")), "kept")
     keys = ["_quarry_id", "_quarry_node"]
     gone = materialize(rows.select(null_key(F.col("_id")).alias("_quarry_id"), F.col("_node").alias("_quarry_node")).join(kept, keys, "left_anti"), "gone")
-    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])  # out of the way of the keys' names
-    keyed = docs.select(row.alias("_row"), null_key(F.col(id_col)).alias("_quarry_id"), F.xxhash64(text).alias("_quarry_node"))
+    keyed = docs.select(packed_row(docs), null_key(F.col(id_col)).alias("_quarry_id"), F.xxhash64(text).alias("_quarry_node"))
     stays = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, keys, "left_anti")
     again = kept.where("_c > 1").select(*keys)
     if (n := again.count()):
         twice = F.broadcast(again) if n <= BROADCAST_ROWS else again
         stays = stays.join(twice, keys, "left_anti").unionByName(stays.join(twice, keys, "left_semi").dropDuplicates(keys))
-    return stays.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return unpacked_row(stays, docs.columns)
