@@ -48,15 +48,10 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with found secrets masked and ``n_chars`` counted again where that changed a text.
 
-    Null and empty texts stay as they are, and no row is dropped. Columns named
-    ``_quarry_...`` are not for input.
+    Null and empty texts stay as they are; no row is dropped, and all columns are kept
+    whatever their names.
     """
-    forest = secrets.train_forest(secrets.labelled_findings(spark))
-    masked = secrets.redact_secrets(docs.withColumn("_quarry_before", F.col("text")), forest)
-    if "n_chars" in docs.columns:
-        same = F.col("_quarry_before").eqNullSafe(F.col("text"))
-        masked = masked.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return masked.drop("_quarry_before")
+    return secrets.redact_secrets(docs, secrets.train_forest(secrets.labelled_findings(spark)), chars_col="n_chars")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
