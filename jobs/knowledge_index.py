@@ -25,6 +25,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from quarry.operators import index, retrieval  # noqa: E402
 from quarry.session import session, ship_package  # noqa: E402
+from quarry.sources import views  # noqa: E402
 
 log = logging.getLogger("knowledge_index")
 
@@ -37,22 +38,19 @@ def run(spark: SparkSession, conf: dict) -> dict:
     """
     id_col, text_col = conf.get("id", "doc_id"), conf.get("text", "text")
     buckets, path = int(conf.get("buckets", index.BUCKETS)), conf["output"]
-    schema = spark.read.parquet(conf["documents"]).select(id_col, text_col).schema
-    taken = []
+    taken: list[int] = []
 
     def add(batch: DataFrame, number: int) -> None:
         index.add_batch(batch, path, number, id_col, text_col, buckets)
-        taken.append(number)
-        log.info("batch %d is in %s", number, path)
+        taken.append(batch.count())  # of files: from their footers
+        log.info("batch %d of %d rows is in %s", number, taken[-1], path)
 
-    # as a pattern, for a stream takes a folder or a pattern, but not the path of a single file
-    where = f"{conf['documents'].rstrip('/')[:-1]}[{conf['documents'].rstrip('/')[-1]}]"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", int(conf.get("files_per_batch", 64))).parquet(where)
+    stream = views.stream(spark, conf["documents"], [id_col, text_col], maxFilesPerTrigger=str(conf.get("files_per_batch", 64)))
     query = stream.writeStream.foreachBatch(add).option("checkpointLocation", conf["checkpoint"]).trigger(availableNow=True).start()
     query.awaitTermination()
-    read = sum(p["numInputRows"] for p in query.recentProgress)
+    read = sum(taken)
     log.info("read %d new rows of %s in %d batches", read, conf["documents"], len(taken))
-    kind = schema[id_col].dataType
+    kind = stream.schema[id_col].dataType
     held = {"documents": index.document_count(spark, path, kind).first()["N"], "terms": index.term_counts(spark, path, kind).count()}
     log.info("%s holds %d documents and %d terms", path, held["documents"], held["terms"])
     return {"batches": len(taken), "rows": read, **held}

@@ -163,7 +163,7 @@ SQL = {
     "task_hint": "WITH a(cls, task) AS (VALUES ('fault','fault'),('horizon','horizon'),('facies','facies'),('fracture','fracture'),('channel','facies'),('reservoir_candidate','facies'),('断层','fault'),('层位','horizon'),('沉积相','facies'),('裂缝','fracture'),('salt',NULL)), m(task, model) AS (VALUES ('fault','cig_fault'),('horizon','horizon_tracker'),('facies','facies_classifier'),('fracture','seismic_domain_model')) SELECT r_regionkey, cls, a.task, coalesce(cls || ' -> ' || model, cls) AS hint FROM region, a LEFT JOIN m ON a.task = m.task",
     "tokenize": f"SELECT doc_id, count(*) AS n_tokens, count(DISTINCT t) AS n_terms, min(t) AS first, max(t) AS last FROM (SELECT doc_id, unnest({TOKENS.format(t='text')}) AS t FROM documents) GROUP BY doc_id",
     "tfidf_topk": f"WITH {TFIDF} SELECT query_id, doc_id, {r('score', 6)} AS score, rank FROM ranked WHERE rank <= 3",
-    "keyword_route": f"WITH {ROUTED} SELECT * FROM routed",
+    "keyword_route": f"WITH {ROUTED.split(', parts(')[0]} SELECT DISTINCT doc_id AS query_id, doc_name FROM documents JOIN kw ON contains(lower(text), keyword)",
     "hybrid_retrieve": f"WITH {TFIDF}, {ROUTED}, u AS (SELECT query_id, doc_name AS doc, 0 AS src, row_number() OVER (PARTITION BY query_id ORDER BY doc_name) AS rank FROM routed UNION ALL SELECT query_id, doc_id::VARCHAR, 1, rank FROM ranked WHERE rank <= 5), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY src, rank, doc) AS place FROM u) SELECT query_id, doc, src, place FROM p WHERE place <= 3",
     "message_explode": "SELECT conv_id, count(*) AS n, arg_min(text, turn) AS first_text FROM conversations WHERE role = 'user' GROUP BY conv_id",
     "section_extract": "SELECT r_regionkey, 'you are ' || r_name AS body, 'plain' AS fallback FROM region",
@@ -206,6 +206,7 @@ SQL = {
     "horizon_quality": with_views(SEC, f"WITH p AS (SELECT il, trace, arg_max(s, abs(amp)) AS seed FROM section WHERE s BETWEEN 0 AND 64 GROUP BY il, trace), t AS (SELECT il, trace, seed / 64e0 AS confidence, (trace - lag(trace) OVER (PARTITION BY il ORDER BY trace) > 1)::INT AS gap FROM p WHERE seed < 32) SELECT il, count(*) AS n_points, {r('1 / (1 + coalesce(avg(gap), 0))')} AS continuity, {r('avg(confidence)')} AS confidence FROM t GROUP BY il"),
     "closed_loop": with_views("det ver", f"WITH found AS (SELECT * FROM det WHERE confidence >= 0.3), {OUTCOME.replace('JOIN det d', 'JOIN found d')}, u AS (SELECT class_id AS step, 0.3e0 AS least, confidence FROM found WHERE class_id > 0 AND det_id NOT IN (SELECT matched FROM outcomes WHERE outcome = 'dropped') UNION ALL SELECT 0, 0.2e0, confidence FROM det WHERE class_id = 0 AND confidence >= 0.2) SELECT step, {r('least')} AS least, count(*) AS n, {r('avg(confidence)')} AS mean_confidence FROM u GROUP BY step, least"),
     "tumbling_counts": f"SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, {r('sum(value)', 2)} AS total FROM events GROUP BY ALL",
+    "stream_runs": f"WITH m AS (SELECT epoch_us(max(ts)) // 1000 - 3600000 AS mark FROM events), s AS (SELECT user_id, epoch_us(ts) AS us, event_id, value, value >= 50 AS ok, mark FROM events, m WHERE epoch_us(ts) // 1000 < mark), o AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY user_id) AS rows, CASE WHEN ok AND coalesce(lag(ok) OVER w, false) AND us // 1000 - lag(us) OVER w // 1000 <= 86400000 THEN 0 ELSE 1 END AS brk FROM s WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)), k AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY rn) AS run FROM o) SELECT user_id, make_timestamp(min(us)) AS run_start, make_timestamp(max(us)) AS run_end, count(*) AS n, {r('sum(value)', 2)} AS total FROM k WHERE ok GROUP BY user_id, run, rows, mark HAVING count(*) >= 3 AND (max(rn) < rows OR max(us) // 1000 + 86400000 < mark)",
     "gap_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS brk FROM events), k AS (SELECT user_id, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g), c AS (SELECT user_id, s, count(*) AS n FROM k GROUP BY user_id, s) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id",
 }
 
@@ -290,7 +291,7 @@ SQL["domain_model"] = with_views(
     f" SELECT il, 'fault' AS class_name, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2, {r(r('conf', 3), 2)} AS confidence, area AS area_pixels, {r(r('aspect', 1), 2)} AS aspect_ratio FROM k",
 )
 SQL["prompted_mask"] = with_views(SEC, f"WITH b AS (SELECT * FROM section WHERE trace BETWEEN 2 AND 12 AND s BETWEEN 10 AND 40), t AS (SELECT il, avg(amp) AS mu, stddev_pop(amp) AS sd FROM b GROUP BY il) SELECT il, 'body' AS label, count(*) AS mask_area_pixels, min(trace)::DOUBLE AS x1, min(s)::DOUBLE AS y1, max(trace)::DOUBLE AS x2, max(s)::DOUBLE AS y2, {r('avg(trace)')} AS cx, {r('avg(s)')} AS cy FROM b JOIN t USING (il) WHERE sd < 1e-8 OR amp > mu + 0.5e0 * sd GROUP BY il")
-SQL["cube_faults"] = with_views(SEC, f"WITH RECURSIVE {PROB}, {COMP} SELECT il AS slice_index, 'fault' AS class_name, count(*) AS area_pixels, min(trace)::DOUBLE AS x1, min(s)::DOUBLE AS y1, max(trace)::DOUBLE AS x2, max(s)::DOUBLE AS y2, {r(r('avg(p)', 3), 2)} AS confidence FROM labelled GROUP BY il, region HAVING count(*) >= 20")
+SQL["cube_faults"] = with_views(SEC, f"WITH RECURSIVE {PROB}, {COMP.replace('p >= 0.5', 'p >= 0.3')} SELECT il AS slice_index, 'fault' AS class_name, count(*) AS area_pixels, min(trace)::DOUBLE AS x1, min(s)::DOUBLE AS y1, max(trace)::DOUBLE AS x2, max(s)::DOUBLE AS y2, {r(r('avg(p)', 3), 2)} AS confidence FROM labelled GROUP BY il, region HAVING count(*) >= 20")
 
 
 def _span(a: str, b: str, size: str, n: int) -> str:
@@ -300,7 +301,7 @@ def _span(a: str, b: str, size: str, n: int) -> str:
 
 SQL["views_paint"] = with_views(
     DET,
-    "WITH v(name, kind, idx, h, w) AS (VALUES ('inline_model', 'inline', 3, 40, 14), ('inline', 'inline', 3, 40, 14), ('seismic_crossline', 'crossline', 5, 40, 12), ('slice', 'slice', 20, 12, 14)), d AS (SELECT ['inline_model','seismic_crossline','slice','p','inline','unknown'][det_id % 6 + 1] AS name, CASE WHEN class_id > 0 THEN 'c' || class_id ELSE 'unknown' END AS class_name, CASE WHEN det_id % 7 > 0 THEN confidence ELSE 1e0 END AS confidence, x1, y1, x2, y2 FROM det WHERE det_id < 400 AND det_id % 11 <> 0)"
+    "WITH v(name, kind, idx, h, w) AS (VALUES ('inline_model', 'inline', 3, 40, 14), ('inline', 'inline', 3, 40, 14), ('seismic_crossline', 'crossline', 5, 40, 12), ('slice', 'slice', 20, 12, 14)), d AS (SELECT ['inline_model','seismic_crossline','slice','p','inline','unknown'][det_id % 6 + 1] AS name, CASE WHEN class_id > 0 THEN 'c' || class_id ELSE 'unknown' END AS class_name, CASE WHEN det_id % 7 > 0 THEN confidence ELSE 1e0 END AS confidence, x1, y1, x2, y2 FROM det WHERE det_id % 11 <> 0)"
     f", a AS (SELECT class_name, confidence, CASE kind WHEN 'inline' THEN [idx::BIGINT] WHEN 'crossline' THEN {_span('x1', 'x2', 'w', 12)} ELSE {_span('y1', 'y2', 'h', 12)} END AS il, CASE kind WHEN 'crossline' THEN [idx::BIGINT] ELSE {_span('x1', 'x2', 'w', 14)} END AS xl, CASE kind WHEN 'slice' THEN [idx::BIGINT] ELSE {_span('y1', 'y2', 'h', 40)} END AS s FROM d JOIN v USING (name))"
     f", b AS (SELECT class_name, confidence, unnest(il) AS il, xl, s FROM a), c AS (SELECT class_name, confidence, il, unnest(xl) AS xl, s FROM b), e AS (SELECT class_name, confidence, il, xl, unnest(s) AS s FROM c) SELECT class_name, il, xl, s, {r('max(confidence)')} AS confidence FROM e GROUP BY ALL",
 )

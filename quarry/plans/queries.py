@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +15,9 @@ from quarry.plans import models
 from quarry.plans.loop import Step, Verdict
 from quarry.plans.loop import closed_loop as closed_loop_of
 from quarry.plans.registry import Registry
+from quarry.session import shared_dir
 from quarry.sources import files, views
-from quarry.streaming import windows
+from quarry.streaming import runs, windows
 
 N_SAMPLES = 64
 QUERIES = {}
@@ -327,7 +331,9 @@ def _parts(spark) -> DataFrame:
 
 @query
 def keyword_route(spark, sf_dir):
-    return retrieval.keyword_route(_parts(spark), retrieval.keyword_table(spark))
+    """What the keywords in every text of ``documents`` lead to."""
+    parts = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("part"))
+    return retrieval.keyword_route(parts, retrieval.keyword_table(spark))
 
 
 @query
@@ -579,6 +585,19 @@ def gap_sessions(spark, sf_dir):
 RULE_PLAN = {"rules": [{"class_name": "high", "rule": "GR>100"}, {"class_name": "pay", "rule": "RT>20", "expected_depth_ranges": [[1005, 1020], {"top_m": 1030, "bottom_m": "1040"}]}, {"class_name": "blind", "rule": "SP<1", "depth_range": [1, 2.5]}, {"class_name": "odd", "rule": "50<GR<90"}]}
 
 
+@query
+def stream_runs(spark, sf_dir):
+    """Stretches of high values of each user, from a stream of ``events`` that ends when all is taken."""
+    at = os.path.join(shared_dir(spark), f"stream-runs-{uuid.uuid4().hex}")
+    ev = views.stream(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = runs.threshold_runs(ev, F.col("value") >= 50, "user_id", "event_id", "value")
+    q = found.writeStream.option("checkpointLocation", f"{at}/mark").trigger(availableNow=True).start(f"{at}/out")
+    q.awaitTermination()
+    out = spark.read.schema(found.schema).parquet(f"{at}/out")
+    day = lambda c: F.col(c).cast("timestamp_ntz").alias(f"run_{c}")
+    return rounded(out.select("user_id", day("start"), day("end"), "n", "total"), 2)
+
+
 @query
 def rule_model(spark, sf_dir):
     found = models.traditional_code(RULE_PLAN, {"curve": views.line_curve(spark, sf_dir)})
@@ -643,7 +662,7 @@ def prompted_mask(spark, sf_dir):
 
 @query
 def cube_faults(spark, sf_dir):
-    out = models.cig_fault({"threshold": 0.5}, {"cube": _probability(spark, sf_dir).select("il", "trace", "s", "p")})
+    out = models.cig_fault({"threshold": 0.3}, {"cube": _probability(spark, sf_dir).select("il", "trace", "s", "p")})
     return rounded(out.select("slice_index", "class_name", "area_pixels", *[F.col("bbox_pixel")[i].alias(c) for i, c in enumerate(det.BOX)], "confidence"), 2)
 
 
@@ -653,7 +672,7 @@ def views_paint(spark, sf_dir):
     rows = [("inline", "run/inline_model.png", 3, 40, 14), ("crossline", "run/xl_model.png", 5, 40, 12), ("slice", "run/z.png", 20, 12, 14), ("local_patch", "run/p.png", 0, 9, 9)]
     known = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(v).alias("view_name"), F.lit(i).alias("image"), F.lit(n).alias("index"), F.lit(h).alias("rows"), F.lit(w).alias("cols")) for v, i, n, h, w in rows])))
     names = F.array(*[F.lit(x) for x in ("inline_model", "seismic_crossline", "slice", "p", "inline", "unknown")])
-    d = _dets(spark, sf_dir).where("det_id < 400").select(F.element_at(names, (F.col("det_id") % 6 + 1).cast("int")).alias("image_name"), F.when(F.col("class_id") > 0, F.concat(F.lit("c"), F.col("class_id").cast("string"))).alias("class_name"), F.when(F.col("det_id") % 7 > 0, F.col("confidence")).alias("confidence"), F.when(F.col("det_id") % 11 == 0, False).alias("in_roi"), *det.BOX)
+    d = _dets(spark, sf_dir).select(F.element_at(names, (F.col("det_id") % 6 + 1).cast("int")).alias("image_name"), F.when(F.col("class_id") > 0, F.concat(F.lit("c"), F.col("class_id").cast("string"))).alias("class_name"), F.when(F.col("det_id") % 7 > 0, F.col("confidence")).alias("confidence"), F.when(F.col("det_id") % 11 == 0, False).alias("in_roi"), *det.BOX)
     return rounded(det.paint_views(d, known, (12, 14, 40)))
 
 

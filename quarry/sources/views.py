@@ -16,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, path: str, columns: list[str] | None = None, **options: str) -> DataFrame:
+    """A stream of what is new in Parquet files of one schema: a folder that grows, or one file.
+
+    The path is given as a pattern, for a stream takes a folder or a pattern, but not the path of a single file.
+    """
+    path = path.rstrip("/")
+    schema = spark.read.parquet(path).schema if columns is None else spark.read.parquet(path).select(*columns).schema
+    return spark.readStream.schema(schema).options(**options).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def with_depth(df: DataFrame, well: str, order: list[str]) -> DataFrame:
     """Adds ``well, idx, depth``: the 0-based sample number under ``order`` and its depth."""
     w = Window.partitionBy(well).orderBy(*order)
