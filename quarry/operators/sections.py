@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quarry.operators.components import label_cells
+from quarry.operators.quantiles import group_quantile
 
 
 def by_trace() -> WindowSpec:
@@ -127,13 +128,26 @@ def glcm(section: DataFrame, levels: int = 16, offsets: tuple = ((1, 0), (2, 0),
     return one.withColumn("correlation", corr).groupBy("il").agg(*[F.avg(c).alias(c) for c in ("energy", "contrast", "homogeneity", "correlation")])
 
 
-def probability_mask(prob: DataFrame, threshold: float, value: str = "p") -> DataFrame:
-    """Cells at or above a threshold: none up to 0, absolute under 1, else a percentile in [1, 99.5] of the section."""
+#: Sections of up to so many cells have their percentile from one aggregate, larger ones from refined histograms.
+HELD_CELLS = 1_000_000
+
+
+def probability_mask(prob: DataFrame, threshold: float, value: str = "p", held: int = HELD_CELLS) -> DataFrame:
+    """Cells at or above a threshold: none up to 0, absolute under 1, else a percentile in [1, 99.5] of the section.
+
+    The percentile is exact either way; no more than ``held`` values are held together.
+    """
     if threshold <= 0:
         return prob.where(F.col(value) >= 0)
     if threshold < 1:
         return prob.where(F.col(value) >= threshold)
-    cut = prob.groupBy("il").agg(F.percentile(value, F.lit(max(1.0, min(99.5, threshold)) / 100)).alias("_cut"))
+    share = max(1.0, min(99.5, threshold)) / 100
+    large = prob.groupBy("il").agg(F.count("*").alias("_n")).where(F.col("_n") > held).select("il")
+    if large.isEmpty():
+        cut = prob.groupBy("il").agg(F.percentile(value, F.lit(share)).alias("_cut"))
+    else:
+        cut = prob.join(large, "il", "left_anti").groupBy("il").agg(F.percentile(value, F.lit(share)).alias("_cut"))
+        cut = cut.unionByName(group_quantile(prob.join(large, "il", "left_semi"), "il", value, share).withColumnRenamed("quantile", "_cut"))
     return prob.join(cut, "il").where(F.col(value) >= F.col("_cut")).drop("_cut")
 
 
