@@ -323,3 +323,28 @@ def _plan_errors() -> str:
 
 
 SQL["plan_branches"] = _plan_errors()
+
+
+def _tracked(seeds: str, search: int, least: float = 0.4, half: int = 25) -> str:
+    """CTEs that follow seeds (il, seed, start, pos) from trace to trace, both ways: ``picks`` (il, seed, start, seed_pos, trace, s, confidence)."""
+    z = lambda v: f"list_transform({v}, lambda x: (x - list_avg({v})) / (list_stddev_pop({v}) + 1e-8))"
+    return (
+        f"seeds AS ({seeds}), formed AS (SELECT il, seed, start, pos, samples[greatest(0, pos - {half}) + 1:least(len(samples), pos + {half})] AS form FROM seeds JOIN tr USING (il) WHERE trace = start)"
+        f", z AS (SELECT il, seed, start, pos, {z('form')} AS form FROM formed)"
+        ", way(il, seed, start, seed_pos, form, d, t, pos, score) AS (SELECT il, seed, start, pos, form, d, start, pos, 1e0 FROM z, (VALUES (-1), (1)) AS dirs(d) UNION ALL"
+        " SELECT il, seed, start, seed_pos, form, d, t, greatest(0, least(ns - 1, lo + list_position(fits, list_max(fits)) - 1 + len(form) // 2)), least(list_max(fits) / len(form), 1e0) FROM"
+        " (SELECT *, list_transform(range(0, len(part) - len(form) + 1), lambda k: list_dot_product(part[k + 1:k + len(form)], form)) AS fits FROM"
+        f" (SELECT * EXCLUDE (cut), {z('cut')} AS part FROM"
+        f" (SELECT il, seed, start, seed_pos, form, d, t + d AS t, len(samples) AS ns, greatest(0, way.pos - {search} - {half}) AS lo, samples[greatest(0, way.pos - {search} - {half}) + 1:least(len(samples), way.pos + {search} + {half})] AS cut"
+        f" FROM way JOIN (SELECT il AS i, trace, samples FROM tr) AS x ON x.i = il AND x.trace = t + d) WHERE len(cut) >= len(form) + 4)) WHERE list_max(fits) / len(form) >= {least})"
+        ", picks AS (SELECT DISTINCT il, seed, start, seed_pos, t AS trace, pos AS s, score AS confidence FROM way)"
+    )
+
+
+_FIRST_PEAK = "(SELECT il, trace, lo + list_position(near, list_max(near)) - 1 AS pos FROM (SELECT il, trace, lo, samples[lo + 1:want + 5] AS near FROM (SELECT il, trace, samples, {want} AS want, greatest(0, {want} - 4) AS lo FROM tr WHERE trace = {trace})))"
+SQL["horizon_track"] = with_views("correlated", f"WITH RECURSIVE {_tracked('SELECT DISTINCT il, 0 AS seed, 0 AS start, 30 AS pos FROM tr', 15)} SELECT il, trace, s, {r('confidence')} AS confidence FROM picks")
+_SEEDS = f"SELECT il, 0 AS seed, 2 AS start, pos FROM {_FIRST_PEAK.format(want=30, trace=2)} UNION ALL SELECT il, 1, 0, pos FROM {_FIRST_PEAK.format(want=32, trace=0)}"
+SQL["horizon_model"] = with_views(
+    "correlated",
+    f"WITH RECURSIVE {_tracked(_SEEDS, 10)}, g AS (SELECT *, (trace - lag(trace) OVER (PARTITION BY il, seed ORDER BY trace) > 1)::INT AS gap FROM picks) SELECT il, 'T_' || seed AS horizon_name, start AS seed_trace_idx, seed_pos AS seed_sample_idx, count(*) AS n_points, {r('1 / (1 + coalesce(avg(gap), 0e0))', 3)} AS continuity_score FROM g GROUP BY il, seed, start, seed_pos",
+)

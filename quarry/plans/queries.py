@@ -542,7 +542,7 @@ def horizon_seed(spark, sf_dir):
 
 @query
 def horizon_track(spark, sf_dir):
-    return rounded(sections.track_horizon(views.traces(spark, sf_dir), 30))
+    return rounded(sections.track_horizon(views.correlated_traces(spark, sf_dir), 30))
 
 
 @query
@@ -651,7 +651,7 @@ def facies_model(spark, sf_dir):
 @query
 def horizon_model(spark, sf_dir):
     ins = {"seed_points": [{"trace_idx": 2, "sample_idx": 30}, {"cdp": 0}], "tracking_mode": "peak", "horizon_name": "T"}
-    return models.horizon_tracker(ins, {"traces": views.traces(spark, sf_dir)}).select("il", "horizon_name", "seed_trace_idx", "seed_sample_idx", "n_points", "continuity_score")
+    return models.horizon_tracker(ins, {"traces": views.correlated_traces(spark, sf_dir)}).select("il", "horizon_name", "seed_trace_idx", "seed_sample_idx", "n_points", "continuity_score")
 
 
 @query

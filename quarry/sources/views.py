@@ -52,6 +52,14 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("label").alias("il"), (F.row_number().over(w) - 1).alias("trace"), F.col("embedding").cast("array<double>").alias("samples"))
 
 
+def correlated_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``il, trace, samples``: each section's first trace, a sample lower every twenty traces, with half of each one's own added."""
+    w = Window.partitionBy("il").orderBy("trace")
+    both = traces(spark, sf_dir).withColumn("base", F.first("samples").over(w))
+    mixed = "transform(sequence(0, size(samples) - 1), i -> base[cast(pmod(i - trace div 20, size(samples)) as int)] + 0.5D * samples[i])"
+    return both.select("il", "trace", F.expr(mixed).alias("samples"))
+
+
 def section(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``il, trace, s, amp``: the long form of the traces."""
     return traces(spark, sf_dir).select("il", "trace", F.posexplode("samples").alias("s", "amp"))
@@ -84,6 +92,7 @@ SQL = {
     "curve_ev": "curve_ev AS (SELECT user_id AS well, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, 1000e0 + 0.1524e0 * (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) AS depth, value AS x FROM events)",
     "curve_li": "curve_li AS (SELECT l_suppkey AS well, rn - 1 AS idx, 1000e0 + 0.1524e0 * (rn - 1) AS depth, 150e0 * q * q * q * q * q * q / 15625000000e0 AS gr, l_extendedprice / 4000e0 AS rt, 2e0 + 8e0 * l_discount AS den, 5e0 * l_tax AS cnl FROM (SELECT *, l_quantity AS q, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS rn FROM lineitem))",
     "section": "tr AS (SELECT label AS il, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS trace, embedding::DOUBLE[] AS samples FROM embeddings), section AS (SELECT il, trace, generate_subscripts(samples, 1) - 1 AS s, unnest(samples) AS amp FROM tr)",
+    "correlated": "plain AS (SELECT label AS il, row_number() OVER w - 1 AS trace, embedding::DOUBLE[] AS own, (first_value(embedding) OVER w)::DOUBLE[] AS base FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)), tr AS (SELECT il, trace, list_transform(range(0, len(own)), lambda i: base[((i - trace // 20) % len(own) + len(own)) % len(own) + 1] + 0.5e0 * own[i + 1]) AS samples FROM plain)",
     "det": "det AS (SELECT vec_id AS det_id, label AS image, (vec_id % 4)::INT AS class_id, x1, y1, x1 + (0.15e0 + abs(e[3])) AS x2, y1 + (0.15e0 + abs(e[4])) AS y2, least(1e0, 3e0 * abs(e[5])) AS confidence, abs(e[6]) AS e6 FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e, least(greatest(0.35e0 + 1.5e0 * embedding[1]::DOUBLE, 0e0), 0.7e0) AS x1, least(greatest(0.35e0 + 1.5e0 * embedding[2]::DOUBLE, 0e0), 0.7e0) AS y1 FROM embeddings))",
     "ver": "ver AS (SELECT det_id AS ver_id, CASE WHEN det_id % 5 <> 0 THEN det_id END AS result_id, image, class_id, CASE WHEN det_id % 5 = 0 THEN x1 + 0.01e0 ELSE x1 END AS x1, CASE WHEN det_id % 5 = 0 THEN y1 + 0.01e0 ELSE y1 END AS y1, CASE WHEN det_id % 5 = 0 THEN x2 + 0.01e0 ELSE x2 END AS x2, CASE WHEN det_id % 5 = 0 THEN y2 + 0.01e0 ELSE y2 END AS y2, det_id % 3 <> 0 AS is_real, CASE WHEN det_id % 7 <> 0 THEN least(1e0, 4e0 * e6) END AS confidence FROM det)",
     "gt": "gt(gt_id, gt_top, gt_bottom) AS (VALUES ('s1', 1200e0, 1255e0), ('s2', 1400e0, 1435e0), ('s3', 1550e0, 1625e0), ('s4', 1750e0, 1805e0), ('t1', 1010e0, 1022e0), ('t2', 1050e0, 1061e0))",
