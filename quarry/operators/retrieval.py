@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.documents import truncated
+
 #: Words that are no terms.
 STOP_WORDS = ["the", "a", "an", "is", "are", "of", "to", "in", "for", "and", "or", "on", "at", "with", "by", "from", "的", "了", "在", "是", "和", "与", "或", "等", "及", "之"]
 #: CJK runs, Latin words, decimals.
@@ -97,3 +99,21 @@ def hybrid(routed: DataFrame, ranked: DataFrame, k: int = 3) -> DataFrame:
     once = both.groupBy("query_id", "doc").agg(F.min(F.struct("src", "rank")).alias("b"))
     w = Window.partitionBy("query_id").orderBy("b.src", "b.rank", "doc")
     return once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "doc", F.col("b.src").alias("src"), "place")
+
+
+#: What stands before knowledge that is put into a prompt, and after a text that was cut.
+KNOWLEDGE_HEAD, CUT_MARK, CUT_AT = "\n=== 领域知识参考 (RAG检索) ===\n", "\n...(截断)", 1500
+
+
+def knowledge_text(chosen: DataFrame, docs: DataFrame, doc_col: str, text_col: str, limit: int = CUT_AT) -> DataFrame:
+    """``query_id, knowledge``: the texts chosen for a query, in their order, as one text for a prompt.
+
+    ``chosen`` (query_id, doc, place) are the few of ``hybrid``; their texts alone are
+    fetched. A text over ``limit`` characters is cut and marked; documents without a text are
+    left out, and a query whose documents all have none has the head alone.
+    """
+    found = docs.select(F.col(doc_col).cast("string").alias("doc"), F.col(text_col).alias("_text")).join(F.broadcast(chosen.select("doc").distinct()), "doc", "left_semi")
+    part = F.concat(F.lit("--- "), F.col("doc"), F.lit(" ---\n"), truncated(F.col("_text"), limit, CUT_MARK), F.lit("\n"))
+    each = chosen.join(found, "doc", "left").withColumn("_part", F.when(F.length("_text") > 0, part))
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("_part").isNotNull(), F.struct("place", "doc", "_part")))), lambda x: x["_part"])
+    return each.groupBy("query_id").agg(F.concat_ws("\n", F.lit(KNOWLEDGE_HEAD), listed).alias("knowledge"))

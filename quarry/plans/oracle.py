@@ -165,6 +165,7 @@ SQL = {
     "tfidf_topk": f"WITH {TFIDF} SELECT query_id, doc_id, {r('score', 6)} AS score, rank FROM ranked WHERE rank <= 3",
     "keyword_route": f"WITH {ROUTED.split(', parts(')[0]} SELECT DISTINCT doc_id AS query_id, doc_name FROM documents JOIN kw ON contains(lower(text), keyword)",
     "hybrid_retrieve": f"WITH {TFIDF}, {ROUTED}, u AS (SELECT query_id, doc_name AS doc, 0 AS src, row_number() OVER (PARTITION BY query_id ORDER BY doc_name) AS rank FROM routed UNION ALL SELECT query_id, doc_id::VARCHAR, 1, rank FROM ranked WHERE rank <= 5), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY src, rank, doc) AS place FROM u) SELECT query_id, doc, src, place FROM p WHERE place <= 3",
+    "knowledge_text": f"WITH {TFIDF}, {ROUTED}, u AS (SELECT query_id, doc_name AS doc, 0 AS src, row_number() OVER (PARTITION BY query_id ORDER BY doc_name) AS rank FROM routed UNION ALL SELECT query_id, doc_id::VARCHAR, 1, rank FROM ranked WHERE rank <= 5), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY src, rank, doc) AS place FROM u), e AS (SELECT query_id, place, doc, text FROM p LEFT JOIN documents ON doc_id::VARCHAR = doc WHERE place <= 3), f AS (SELECT query_id, string_agg('--- ' || doc || ' ---' || chr(10) || CASE WHEN length(text) > 1500 THEN substring(text, 1, 1500) || chr(10) || '...(截断)' ELSE text END || chr(10), chr(10) ORDER BY place, doc) FILTER (WHERE length(text) > 0) AS parts FROM e GROUP BY query_id) SELECT query_id, chr(10) || '=== 领域知识参考 (RAG检索) ===' || chr(10) || coalesce(chr(10) || parts, '') AS knowledge FROM f",
     "message_explode": "SELECT conv_id, count(*) AS n, arg_min(text, turn) AS first_text FROM conversations WHERE role = 'user' GROUP BY conv_id",
     "section_extract": "SELECT r_regionkey, 'you are ' || r_name AS body, 'plain' AS fallback FROM region",
     "manifest_slim": "SELECT r_regionkey, v.* FROM region, (VALUES ('a', 't', 'GR'), ('b', NULL, 'DEN,GR'), ('c', NULL, '')) v(sample_id, task, curves)",
@@ -206,6 +207,7 @@ SQL = {
     "horizon_quality": with_views(SEC, f"WITH p AS (SELECT il, trace, arg_max(s, abs(amp)) AS seed FROM section WHERE s BETWEEN 0 AND 64 GROUP BY il, trace), t AS (SELECT il, trace, seed / 64e0 AS confidence, (trace - lag(trace) OVER (PARTITION BY il ORDER BY trace) > 1)::INT AS gap FROM p WHERE seed < 32) SELECT il, count(*) AS n_points, {r('1 / (1 + coalesce(avg(gap), 0))')} AS continuity, {r('avg(confidence)')} AS confidence FROM t GROUP BY il"),
     "closed_loop": with_views("det ver", f"WITH found AS (SELECT * FROM det WHERE confidence >= 0.3), {OUTCOME.replace('JOIN det d', 'JOIN found d')}, u AS (SELECT class_id AS step, 0.3e0 AS least, confidence FROM found WHERE class_id > 0 AND det_id NOT IN (SELECT matched FROM outcomes WHERE outcome = 'dropped') UNION ALL SELECT 0, 0.2e0, confidence FROM det WHERE class_id = 0 AND confidence >= 0.2) SELECT step, {r('least')} AS least, count(*) AS n, {r('avg(confidence)')} AS mean_confidence FROM u GROUP BY step, least"),
     "tumbling_counts": f"SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, {r('sum(value)', 2)} AS total FROM events GROUP BY ALL",
+    "latest_rounds": f"SELECT user_id, count(*) AS n, {r('sum(value)', 2)} AS total, max(event_id) AS last_event FROM (SELECT *, max(ts::DATE) OVER (PARTITION BY user_id) AS last FROM events) WHERE ts::DATE = last GROUP BY user_id",
     "stream_runs": f"WITH m AS (SELECT epoch_us(max(ts)) // 1000 - 3600000 AS mark FROM events), s AS (SELECT user_id, epoch_us(ts) AS us, event_id, value, value >= 50 AS ok, mark FROM events, m WHERE epoch_us(ts) // 1000 < mark), o AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY user_id) AS rows, CASE WHEN ok AND coalesce(lag(ok) OVER w, false) AND us // 1000 - lag(us) OVER w // 1000 <= 86400000 THEN 0 ELSE 1 END AS brk FROM s WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)), k AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY rn) AS run FROM o) SELECT user_id, make_timestamp(min(us)) AS run_start, make_timestamp(max(us)) AS run_end, count(*) AS n, {r('sum(value)', 2)} AS total FROM k WHERE ok GROUP BY user_id, run, rows, mark HAVING count(*) >= 3 AND (max(rn) < rows OR max(us) // 1000 + 86400000 < mark)",
     "gap_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS brk FROM events), k AS (SELECT user_id, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g), c AS (SELECT user_id, s, count(*) AS n FROM k GROUP BY user_id, s) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id",
 }

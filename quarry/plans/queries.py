@@ -345,6 +345,11 @@ def hybrid_retrieve(spark, sf_dir):
     return retrieval.hybrid(routed.select("query_id", F.col("doc_name").alias("doc"), F.row_number().over(w).alias("rank")), ranked, 3)
 
 
+@query
+def knowledge_text(spark, sf_dir):
+    return retrieval.knowledge_text(hybrid_retrieve(spark, sf_dir), views.table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 # --- documents and JSON ---------------------------------------------------
 
 
@@ -585,6 +590,14 @@ def gap_sessions(spark, sf_dir):
 RULE_PLAN = {"rules": [{"class_name": "high", "rule": "GR>100"}, {"class_name": "pay", "rule": "RT>20", "expected_depth_ranges": [[1005, 1020], {"top_m": 1030, "bottom_m": "1040"}]}, {"class_name": "blind", "rule": "SP<1", "depth_range": [1, 2.5]}, {"class_name": "odd", "rule": "50<GR<90"}]}
 
 
+@query
+def latest_rounds(spark, sf_dir):
+    """Days are rounds and users steps: what each user did on the last day that has any of it."""
+    ev = views.table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    last = files.latest_round(ev, "user_id", "day")
+    return rounded(last.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("event_id").alias("last_event")), 2)
+
+
 @query
 def stream_runs(spark, sf_dir):
     """Stretches of high values of each user, from a stream of ``events`` that ends when all is taken."""
