@@ -130,9 +130,9 @@ SQL = {
         "WITH ns AS (SELECT well, count(*) AS n FROM curve_li GROUP BY well), st AS (SELECT well, unnest(generate_series(0, n - 21, 10)) AS start_idx FROM ns WHERE n > 20), e AS (SELECT c.*, start_idx, abs(coalesce((lead(gr) OVER w - lag(gr) OVER w) / 2, lead(gr) OVER w - gr, gr - lag(gr) OVER w, 0e0)) AS g FROM curve_li c JOIN st ON c.well = st.well AND c.idx BETWEEN start_idx AND start_idx + 19 WINDOW w AS (PARTITION BY c.well, start_idx ORDER BY idx)), f AS (SELECT well, start_idx, min(depth) AS depth_top, max(depth) AS depth_bottom, round(avg(gr), 9) AS gr_mean, stddev_pop(gr) AS gr_std, round(avg(rt), 9) AS rt_mean, round(avg(den), 9) AS den_mean, round(avg(cnl), 9) AS cnl_mean, avg(g) AS gr_slope FROM e GROUP BY well, start_idx HAVING max(depth) >= 1005 AND min(depth) <= 1070)"
         f", l AS (SELECT *, {WNAME} AS lithology FROM f) SELECT well, start_idx, {r('depth_top')} AS depth_top, {r('depth_bottom')} AS depth_bottom, {r('gr_mean')} AS gr_mean, {r('gr_std')} AS gr_std, {r('rt_mean')} AS rt_mean, {r('den_mean')} AS den_mean, {r('cnl_mean')} AS cnl_mean, {r('gr_slope')} AS gr_slope, {r('depth_bottom - depth_top')} AS thickness, {r('rt_mean / greatest(den_mean, 1e-8)')} AS rt_den, lithology, CASE WHEN lithology = 'clean_sandstone' AND rt_mean >= 50 AND den_mean <= 2.35e0 AND cnl_mean <= 0.2e0 THEN 'gas' WHEN lithology = 'clean_sandstone' AND rt_mean >= 20 AND den_mean <= 2.42e0 THEN 'oil' WHEN lithology = 'clean_sandstone' AND rt_mean <= 8 THEN 'water' WHEN lithology = 'silty_sandstone' AND rt_mean >= 15 AND den_mean <= 2.45e0 THEN 'oil' WHEN lithology = 'silty_sandstone' AND rt_mean <= 10 THEN 'water' END AS fluid FROM l",
     ),
-    "rule_parse": r"WITH t AS (SELECT r_regionkey, unnest(['GR<50', 'RT > 20', 'DEN <= 2.35', 'CNL>=0.3', '50<GR<120', 'RT>20 AND DEN<2.35', 'GR<-5', 'none']) AS rule FROM region), p AS (SELECT *, regexp_extract(rule, '^\s*(\w+)\s*(<=|>=|<|>)\s*([0-9.]+)', ['v', 'o', 'n']) AS m, regexp_extract(rule, '^\s*([0-9.]+)\s*<\s*(\w+)\s*<\s*([0-9.]+)', ['a', 'v', 'b']) AS b FROM t) SELECT r_regionkey, rule, nullif(m.v, '') AS variable, nullif(m.o, '') AS op, try_cast(m.n AS DOUBLE) AS threshold, CASE WHEN b.v <> '' THEN try_cast(b.a AS DOUBLE) < 60 AND 60 < try_cast(b.b AS DOUBLE) WHEN m.o = '<' THEN 60 < try_cast(m.n AS DOUBLE) WHEN m.o = '>' THEN 60 > try_cast(m.n AS DOUBLE) WHEN m.o = '<=' THEN 60 <= try_cast(m.n AS DOUBLE) WHEN m.o = '>=' THEN 60 >= try_cast(m.n AS DOUBLE) ELSE false END AS holds FROM p",
-    "depth_ranges": "SELECT r_regionkey, k, pos, top, bottom FROM region, (VALUES (0, 0, 1200e0, 1255e0), (1, 0, 1400e0, 1435e0), (2, 0, 1550e0, 1625e0), (3, 0, 2e0, 3e0), (4, 0, 7e0, 8e0)) v(k, pos, top, bottom)",
-    "parse_scales": "SELECT r_regionkey, raw, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS scale FROM (SELECT r_regionkey, raw, list_filter(list_transform(string_split(raw, ','), lambda x: try_cast(trim(x) AS DOUBLE)), lambda x: x IS NOT NULL) AS l FROM (SELECT r_regionkey, unnest(['0.5,1.0', '2', '1, x ,3.5']) AS raw FROM region))",
+    "rule_parse": r"WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, (l_partkey % 60)::DOUBLE AS x, CASE WHEN l_partkey % 13 = 0 THEN 'none' WHEN l_partkey % 11 = 0 THEN 'GR<-5' ELSE ['GR<' || q, 'RT > ' || q, 'DEN <= ' || q || '.5', q || '<GR<1' || q, 'CNL>=' || q || ' AND DEN<2.35'][l_suppkey % 5 + 1] END AS rule FROM (SELECT *, l_quantity::INT::VARCHAR AS q FROM lineitem)), p AS (SELECT *, regexp_extract(rule, '^\s*(\w+)\s*(<=|>=|<|>)\s*([0-9.]+)', ['v', 'o', 'n']) AS m, regexp_extract(rule, '^\s*([0-9.]+)\s*<\s*(\w+)\s*<\s*([0-9.]+)', ['a', 'v', 'b']) AS b FROM t) SELECT l_orderkey, l_linenumber, l_partkey, rule, CASE WHEN try_cast(m.n AS DOUBLE) IS NOT NULL THEN m.v END AS variable, CASE WHEN try_cast(m.n AS DOUBLE) IS NOT NULL THEN m.o END AS op, try_cast(m.n AS DOUBLE) AS threshold, CASE WHEN b.v <> '' THEN try_cast(b.a AS DOUBLE) < x AND x < try_cast(b.b AS DOUBLE) WHEN m.o = '<' THEN x < try_cast(m.n AS DOUBLE) WHEN m.o = '>' THEN x > try_cast(m.n AS DOUBLE) WHEN m.o = '<=' THEN x <= try_cast(m.n AS DOUBLE) WHEN m.o = '>=' THEN x >= try_cast(m.n AS DOUBLE) ELSE false END AS holds FROM p",
+    "depth_ranges": "SELECT o_orderkey, 0 AS pos, o_orderkey::DOUBLE AS top, o_orderkey + 50e0 AS bottom FROM orders WHERE o_custkey % 6 < 5",
+    "parse_scales": "SELECT o_orderkey, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS scale FROM (SELECT o_orderkey, list_filter(list_transform(string_split(o_orderkey || ', ' || o_orderpriority || ', ' || o_custkey || '.5 ', ','), lambda x: try_cast(trim(x) AS DOUBLE)), lambda x: x IS NOT NULL) AS l FROM orders)",
     "nearest_sample": with_views("curve_ev", "SELECT well, t, idx FROM (SELECT well, t, idx, row_number() OVER (PARTITION BY well, t ORDER BY abs(depth - t), idx) AS n FROM curve_ev JOIN (VALUES (1001e0), (1003.37e0), (1010.5e0)) v(t) ON abs(depth - t) < 1) WHERE n = 1"),
     "interval_recall": with_views("curve_li gt", f"WITH {CROSS} SELECT gt_id, well, max((depth_top <= (gt_top + gt_bottom) / 2 AND (gt_top + gt_bottom) / 2 <= depth_bottom)::INT) AS holds_middle FROM sands JOIN gt ON depth_top <= gt_bottom AND depth_bottom >= gt_top GROUP BY gt_id, well"),
     "labelled_hits": with_views("curve_li gt", f"WITH {CROSS} SELECT gt_id, well, count(*) AS n FROM sands JOIN gt ON (gt_top + gt_bottom) / 2 BETWEEN depth_top AND depth_bottom AND well % 2 = substr(gt_id, 2, 1)::INT % 2 GROUP BY gt_id, well"),
@@ -160,19 +160,19 @@ SQL = {
     "volume_paint": with_views(DET, f"WITH c AS (SELECT *, unnest(generate_series({cell('x1', 20)}, greatest({cell('x1', 20)}, {cell('x2', 20)}))) AS x FROM det WHERE det_id % 13 <> 0), d AS (SELECT *, unnest(generate_series({cell('y1', 50)}, greatest({cell('y1', 50)}, {cell('y2', 50)}))) AS y FROM c) SELECT class_id, image, x, y, {r('max(confidence)')} AS confidence FROM d GROUP BY class_id, image, x, y"),
     "slice_mask": with_views(DET, f"WITH c AS (SELECT *, unnest(generate_series({cell('x1', 20)}, greatest({cell('x1', 20)}, {cell('x2', 20)}))) AS x FROM det), d AS (SELECT *, unnest(generate_series({cell('y1', 50)}, greatest({cell('y1', 50)}, {cell('y2', 50)}))) AS y FROM c) SELECT image, x, y, {r('arg_max(greatest(confidence, 0.25e0), det_id)')} AS confidence FROM d GROUP BY image, x, y"),
     "step_image_join": "SELECT n_nationkey, coalesce(r_name, (SELECT arg_min(r_name, r_regionkey) FROM region WHERE r_regionkey < 3)) AS image, r_name IS NULL AS fallback FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey",
-    "task_hint": "WITH a(cls, task) AS (VALUES ('fault','fault'),('horizon','horizon'),('facies','facies'),('fracture','fracture'),('channel','facies'),('reservoir_candidate','facies'),('断层','fault'),('层位','horizon'),('沉积相','facies'),('裂缝','fracture'),('salt',NULL)), m(task, model) AS (VALUES ('fault','cig_fault'),('horizon','horizon_tracker'),('facies','facies_classifier'),('fracture','seismic_domain_model')) SELECT r_regionkey, cls, a.task, coalesce(cls || ' -> ' || model, cls) AS hint FROM region, a LEFT JOIN m ON a.task = m.task",
+    "task_hint": "WITH a(k, cls, task) AS (VALUES (0, 'fault','fault'),(1, 'horizon','horizon'),(2, 'facies','facies'),(3, 'fracture','fracture'),(4, 'channel','facies'),(5, 'reservoir_candidate','facies'),(6, '断层','fault'),(7, '层位','horizon'),(8, '沉积相','facies'),(9, '裂缝','fracture'),(10, 'salt',NULL)), m(task, model) AS (VALUES ('fault','cig_fault'),('horizon','horizon_tracker'),('facies','facies_classifier'),('fracture','seismic_domain_model')) SELECT vec_id AS det_id, cls, a.task, coalesce(cls || ' -> ' || model, cls) AS hint FROM embeddings JOIN a ON vec_id % 11 = k LEFT JOIN m ON a.task = m.task",
     "tokenize": f"SELECT doc_id, count(*) AS n_tokens, count(DISTINCT t) AS n_terms, min(t) AS first, max(t) AS last FROM (SELECT doc_id, unnest({TOKENS.format(t='text')}) AS t FROM documents) GROUP BY doc_id",
     "tfidf_topk": f"WITH {TFIDF} SELECT query_id, doc_id, {r('score', 6)} AS score, rank FROM ranked WHERE rank <= 3",
     "keyword_route": f"WITH {ROUTED.split(', parts(')[0]} SELECT DISTINCT doc_id AS query_id, doc_name FROM documents JOIN kw ON contains(lower(text), keyword)",
     "hybrid_retrieve": f"WITH {TFIDF}, {ROUTED}, u AS (SELECT query_id, doc_name AS doc, 0 AS src, row_number() OVER (PARTITION BY query_id ORDER BY doc_name) AS rank FROM routed UNION ALL SELECT query_id, doc_id::VARCHAR, 1, rank FROM ranked WHERE rank <= 5), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY src, rank, doc) AS place FROM u) SELECT query_id, doc, src, place FROM p WHERE place <= 3",
     "knowledge_text": f"WITH {TFIDF}, {ROUTED}, u AS (SELECT query_id, doc_name AS doc, 0 AS src, row_number() OVER (PARTITION BY query_id ORDER BY doc_name) AS rank FROM routed UNION ALL SELECT query_id, doc_id::VARCHAR, 1, rank FROM ranked WHERE rank <= 5), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY src, rank, doc) AS place FROM u), e AS (SELECT query_id, place, doc, text FROM p LEFT JOIN documents ON doc_id::VARCHAR = doc WHERE place <= 3), f AS (SELECT query_id, string_agg('--- ' || doc || ' ---' || chr(10) || CASE WHEN length(text) > 1500 THEN substring(text, 1, 1500) || chr(10) || '...(截断)' ELSE text END || chr(10), chr(10) ORDER BY place, doc) FILTER (WHERE length(text) > 0) AS parts FROM e GROUP BY query_id) SELECT query_id, chr(10) || '=== 领域知识参考 (RAG检索) ===' || chr(10) || coalesce(chr(10) || parts, '') AS knowledge FROM f",
     "message_explode": "SELECT conv_id, count(*) AS n, arg_min(text, turn) AS first_text FROM conversations WHERE role = 'user' GROUP BY conv_id",
-    "section_extract": "SELECT r_regionkey, 'you are ' || r_name AS body, 'plain' AS fallback FROM region",
-    "manifest_slim": "SELECT r_regionkey, v.* FROM region, (VALUES ('a', 't', 'GR'), ('b', NULL, 'DEN,GR'), ('c', NULL, '')) v(sample_id, task, curves)",
+    "section_extract": r"SELECT doc_id, length(body) AS n_chars, md5(body) AS body, md5(text) AS fallback FROM (SELECT doc_id, text, regexp_replace(string_split(text || chr(10) || chr(10) || '## Next', chr(10) || '## ')[1], '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS body FROM documents)",
+    "manifest_slim": "SELECT p_partkey, 'p' || p_partkey AS sample_id, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS task, array_to_string(list_sort(CASE p_partkey % 3 WHEN 0 THEN CASE WHEN p_size % 2 = 1 THEN [p_type] ELSE [] END WHEN 1 THEN CASE WHEN p_size % 2 = 1 THEN ['GR', p_type] ELSE ['GR'] END ELSE [] END), ',') AS curves FROM part",
     "run_report": with_views(DET, "SELECT image, count(*) AS n, array_to_string(list_sort(list(DISTINCT 'model_' || class_id)), ',') AS models FROM det GROUP BY image"),
     "json_extract": "SELECT event_id, json_extract_string(props, '$.k') AS k, true AS found FROM events",
     "plan_validate": "WITH p AS (SELECT n_nationkey, ['traditional_code','horizon_tracker','attribute_extractor','sam','other'][n_nationkey % 5 + 1] AS model, CASE WHEN n_nationkey % 2 = 0 THEN ['rules','seed_points'] WHEN n_nationkey % 3 = 0 THEN ['attributes'] ELSE [] END AS has FROM nation), q AS (SELECT *, CASE model WHEN 'traditional_code' THEN 'rules' WHEN 'horizon_tracker' THEN 'seed_points' WHEN 'attribute_extractor' THEN 'attributes' WHEN 'sam' THEN 'prompt_value' END AS need FROM p) SELECT n_nationkey, model, CASE WHEN need IS NOT NULL AND NOT list_contains(has, need) THEN need END AS missing FROM q",
-    "schema_validate": "SELECT r_regionkey, v.* FROM region, (VALUES (0, NULL), (1, 'bbox: 4 numbers'), (2, 'confidence: 0 to 1'), (3, 'kind: fault or horizon'), (4, '$: not JSON')) v(k, error)",
+    "schema_validate": "SELECT vec_id AS det_id, [NULL, 'bbox: 4 numbers', 'confidence: 0 to 1', 'kind: fault or horizon', '$: not JSON'][vec_id % 5 + 1] AS error FROM embeddings",
     "apply_retry": "SELECT n_nationkey, '1' AS a, CASE WHEN n_nationkey % 2 = 0 THEN 'new' ELSE n_name END AS b, CASE WHEN n_nationkey % 2 = 0 THEN '3' END AS c FROM nation",
     "section_normalize": with_views(SEC, f"WITH t AS (SELECT il, avg(amp) AS mu, stddev_pop(amp) AS sd, min(amp) AS lo, max(amp) AS hi FROM section GROUP BY il), b AS (SELECT il, greatest(mu - 2 * CASE WHEN sd = 0 THEN 1e0 ELSE sd END, lo) AS low, least(mu + 2 * CASE WHEN sd = 0 THEN 1e0 ELSE sd END, hi) AS high FROM t), v AS (SELECT il, s, CASE WHEN high > low THEN 2 * (least(greatest(amp, low), high) - low) / (high - low) - 1 ELSE 0e0 END AS value FROM section JOIN b USING (il)) SELECT il, s, {r('avg(value)')} AS mean_value, {r('min(value)')} AS lo, {r('max(value)')} AS hi FROM v GROUP BY il, s"),
     "attr_stats": with_views(SEC, f"SELECT il, {STATS} FROM section WHERE isfinite(amp) GROUP BY il"),

@@ -105,24 +105,31 @@ def welllog_windows(spark, sf_dir):
 
 @query
 def rule_parse(spark, sf_dir):
-    texts = ["GR<50", "RT > 20", "DEN <= 2.35", "CNL>=0.3", "50<GR<120", "RT>20 AND DEN<2.35", "GR<-5", "none"]
-    r = views.table(spark, sf_dir, "region").select("r_regionkey", F.explode(F.array(*[F.lit(t) for t in texts])).alias("rule"))
+    """A rule for every line item, in all spellings, held against a value of the item."""
+    li = views.table(spark, sf_dir, "lineitem").withColumn("q", F.col("l_quantity").cast("int").cast("string"))
+    forms = [F.concat(F.lit("GR<"), F.col("q")), F.concat(F.lit("RT > "), F.col("q")), F.concat(F.lit("DEN <= "), F.col("q"), F.lit(".5")), F.concat(F.col("q"), F.lit("<GR<1"), F.col("q")), F.concat(F.lit("CNL>="), F.col("q"), F.lit(" AND DEN<2.35"))]
+    rule = F.when(F.col("l_partkey") % 13 == 0, F.lit("none")).when(F.col("l_partkey") % 11 == 0, F.lit("GR<-5")).otherwise(F.element_at(F.array(*forms), (F.col("l_suppkey") % 5 + 1).cast("int")))
+    li = li.select("l_orderkey", "l_linenumber", "l_partkey", rule.alias("rule"), (F.col("l_partkey") % 60).cast("double").alias("value"))
     p = rules.parse_rule(F.col("rule"))
-    return r.select("r_regionkey", "rule", p["variable"].alias("variable"), p["op"].alias("op"), p["threshold"].alias("threshold"), rules.holds(F.col("rule"), F.lit(60.0)).alias("holds"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "rule", p["variable"].alias("variable"), p["op"].alias("op"), p["threshold"].alias("threshold"), rules.holds(F.col("rule"), F.col("value")).alias("holds"))
 
 
 @query
 def depth_ranges(spark, sf_dir):
-    raws = ['{"expected_range":[{"top_m":1200,"bottom_m":1255}]}', '{"target_range":[[1400,"1435"]]}', '{"depth_range":["1550",1625]}', '{"depth_ranges":[{"top":1,"bottom":"x"},[2,3]]}', '{"expected_range":[],"depth_range":[7,8]}', '{"other":1}']
-    r = views.table(spark, sf_dir, "region").select("r_regionkey", F.posexplode(F.array(*[F.lit(t) for t in raws])).alias("k", "raw"))
-    found = r.select("r_regionkey", "k", F.posexplode(documents.depth_ranges(documents.range_of(F.col("raw")))).alias("pos", "r"))
-    return found.select("r_regionkey", "k", "pos", "r.top", "r.bottom")
+    """A depth range for every order, in all spellings."""
+    a, b = F.col("o_orderkey").cast("string"), (F.col("o_orderkey") + 50).cast("string")
+    raws = [F.concat(F.lit('{"expected_range":[{"top_m":'), a, F.lit(',"bottom_m":'), b, F.lit("}]}")), F.concat(F.lit('{"target_range":[['), a, F.lit(',"'), b, F.lit('"]]}')), F.concat(F.lit('{"depth_range":["'), a, F.lit('",'), b, F.lit("]}")), F.concat(F.lit('{"depth_ranges":[{"top":1,"bottom":"x"},['), a, F.lit(","), b, F.lit("]]}")), F.concat(F.lit('{"expected_range":[],"depth_range":['), a, F.lit(","), b, F.lit("]}")), F.concat(F.lit('{"other":'), a, F.lit("}"))]
+    o = views.table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(F.array(*raws), (F.col("o_custkey") % 6 + 1).cast("int")).alias("raw"))
+    found = o.select("o_orderkey", F.posexplode(documents.depth_ranges(documents.range_of(F.col("raw")))).alias("pos", "r"))
+    return found.select("o_orderkey", "pos", "r.top", "r.bottom")
 
 
 @query
 def parse_scales(spark, sf_dir):
-    r = views.table(spark, sf_dir, "region").select("r_regionkey", F.explode(F.array(F.lit("0.5,1.0"), F.lit("2"), F.lit("1, x ,3.5"))).alias("raw"))
-    return r.select("r_regionkey", "raw", F.posexplode(documents.parse_scales(F.col("raw"))).alias("pos", "scale"))
+    """Lists of numbers, and of what is none, of every order."""
+    raw = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.concat(F.lit(" "), F.col("o_orderpriority")), F.concat(F.lit(" "), F.col("o_custkey").cast("string"), F.lit(".5 ")))
+    o = views.table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"))
+    return o.select("o_orderkey", F.posexplode(documents.parse_scales(F.col("raw"))).alias("pos", "scale"))
 
 
 @query
@@ -297,11 +304,12 @@ def _literal_map(pairs: dict[str, str]):
 
 @query
 def task_hint(spark, sf_dir):
+    """The model that the class of every detection asks for; one class is unknown."""
     names = [*CLASS_ALIASES, "salt"]
-    r = views.table(spark, sf_dir, "region").select("r_regionkey", F.explode(F.array(*[F.lit(x) for x in names])).alias("cls"))
+    r = _dets(spark, sf_dir).select("det_id", F.element_at(F.array(*map(F.lit, names)), (F.col("det_id") % len(names) + 1).cast("int")).alias("cls"))
     task = F.try_element_at(_literal_map(CLASS_ALIASES), F.col("cls"))
     model = F.try_element_at(_literal_map(TASK_MODELS), task)
-    return r.select("r_regionkey", "cls", task.alias("task"), F.coalesce(F.concat(F.col("cls"), F.lit(" -> "), model), F.col("cls")).alias("hint"))
+    return r.select("det_id", "cls", task.alias("task"), F.coalesce(F.concat(F.col("cls"), F.lit(" -> "), model), F.col("cls")).alias("hint"))
 
 
 # --- retrieval ------------------------------------------------------------
@@ -361,18 +369,26 @@ def message_explode(spark, sf_dir):
 
 @query
 def section_extract(spark, sf_dir):
-    t = views.table(spark, sf_dir, "region").select("r_regionkey", F.concat(F.lit("# T\n\n## System Prompt\nyou are "), F.col("r_name"), F.lit("\n\n## Next\nx")).alias("t"))
-    return t.select("r_regionkey", documents.section_after(F.col("t"), "## System Prompt\n").alias("body"), documents.section_after(F.lit("plain"), "## System Prompt\n").alias("fallback"))
-
-
-_MANIFESTS = ['{"sample_id":"a","task":"t","seismic":{"shape":[1,2]},"well_logs":{"curves":[{"canonical_name":"GR","available":true},{"canonical_name":"RT","available":false}]}}', '{"sample_id":"b","seismic":{},"well_logs":{"curves":{"g":{"canonical_name":"GR","available":true},"d":{"canonical_name":"DEN","available":true}}}}', '{"sample_id":"c"}']
+    """Every text of ``documents`` as a section of a prompt file, taken out again; without the heading it is taken whole."""
+    whole = F.concat(F.lit("# T\n\n## System Prompt\n"), F.col("text"), F.lit("\n\n## Next\nx"))
+    body, plain = documents.section_after(whole, "## System Prompt\n"), documents.section_after(F.col("text"), "## System Prompt\n")
+    return views.table(spark, sf_dir, "documents").select("doc_id", F.length(body).alias("n_chars"), F.md5(body.cast("binary")).alias("body"), F.md5(plain.cast("binary")).alias("fallback"))
 
 
 @query
 def manifest_slim(spark, sf_dir):
-    r = views.table(spark, sf_dir, "region").select("r_regionkey", F.explode(F.array(*[F.lit(m) for m in _MANIFESTS])).alias("raw"))
-    s = r.select("r_regionkey", documents.slim_manifest(F.col("raw")).alias("m"))
-    return s.select("r_regionkey", "m.sample_id", "m.task", F.array_join(F.sort_array("m.curves_present"), ",").alias("curves"))
+    """A manifest for every part: with a list of curves, with a map of them, and without any."""
+    on = F.when(F.col("p_size") % 2 == 1, F.lit("true")).otherwise(F.lit("false"))
+    curve = lambda name, available: F.concat(F.lit('{"canonical_name":"'), name, F.lit('","available":'), available, F.lit("}"))
+    head = F.concat(F.lit('{"sample_id":"p'), F.col("p_partkey").cast("string"), F.lit('"'))
+    raws = [
+        F.concat(head, F.lit(',"task":"'), F.col("p_brand"), F.lit('","seismic":{"shape":[1,2]},"well_logs":{"curves":['), curve(F.col("p_type"), on), F.lit(","), curve(F.lit("RT"), F.lit("false")), F.lit("]}}")),
+        F.concat(head, F.lit(',"seismic":{},"well_logs":{"curves":{"g":'), curve(F.lit("GR"), F.lit("true")), F.lit(',"d":'), curve(F.col("p_type"), on), F.lit("}}}")),
+        F.concat(head, F.lit("}")),
+    ]
+    r = views.table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*raws), (F.col("p_partkey") % 3 + 1).cast("int")).alias("raw"))
+    s = r.select("p_partkey", documents.slim_manifest(F.col("raw")).alias("m"))
+    return s.select("p_partkey", "m.sample_id", "m.task", F.array_join(F.sort_array("m.curves_present"), ",").alias("curves"))
 
 
 @query
@@ -402,11 +418,13 @@ def plan_validate(spark, sf_dir):
 
 @query
 def schema_validate(spark, sf_dir):
-    raws = ['{"bbox":[0,0,1,1],"confidence":0.5,"kind":"fault"}', '{"bbox":[0,0,1],"confidence":0.5,"kind":"fault"}', '{"bbox":[0,0,1,1],"confidence":1.5,"kind":"fault"}', '{"bbox":[0,0,1,1],"confidence":0.5,"kind":"x"}', "not json"]
-    r = views.table(spark, sf_dir, "region").select("r_regionkey", F.posexplode(F.array(*[F.lit(m) for m in raws])).alias("k", "raw"))
+    """A detection in JSON for every embedding, a part of them with one fault each."""
+    k, d = F.col("det_id") % 5, F.col("det_id").cast("string")
+    raw = F.when(k == 4, F.concat(F.lit("not json "), d)).otherwise(F.concat(F.lit('{"bbox":[0,0,1'), F.when(k == 1, "").otherwise(F.concat(F.lit(","), d)), F.lit('],"confidence":'), F.when(k == 2, "1.5").otherwise("0.5"), F.lit(',"kind":"'), F.when(k == 3, "x").otherwise("fault"), F.lit('"}')))
+    r = _dets(spark, sf_dir).select("det_id", raw.alias("raw"))
     field = lambda k: F.get_json_object("raw", f"$.{k}")
     checks = [("bbox", F.size(F.from_json(field("bbox"), "array<double>")) == 4, "4 numbers"), ("confidence", field("confidence").try_cast("double").between(0, 1), "0 to 1"), ("kind", field("kind").isin("fault", "horizon"), "fault or horizon")]
-    return documents.validate(r, "raw", checks).select("r_regionkey", "k", "error")
+    return documents.validate(r, "raw", checks).select("det_id", "error")
 
 
 @query
