@@ -198,11 +198,11 @@ SQL = {
     "region_stats": with_views(SEC, f"WITH RECURSIVE {PROB}, {COMP}, g AS (SELECT il, region, count(*) AS area, min(trace) AS x1, max(trace) AS x2, min(s) AS y1, max(s) AS y2, avg(p) AS m FROM labelled GROUP BY il, region HAVING count(*) >= 5), d AS (SELECT *, x2 - x1 + 1 AS w, y2 - y1 + 1 AS h FROM g) SELECT il, region, area, x1, x2, y1, y2, {r('greatest(w, h) / (least(w, h) + 1)::DOUBLE')} AS aspect, {r('m * CASE WHEN h > 3 * w OR w > 3 * h THEN 1e0 WHEN h > 2 * w OR w > 2 * h THEN 0.8e0 ELSE 0.5e0 END')} AS confidence FROM d"),
     "mask_stats": with_views(SEC, f"WITH t AS (SELECT il, avg(amp) AS mu, stddev_pop(amp) AS sd FROM section GROUP BY il) SELECT il, count(*) AS area, min(trace) AS x1, max(trace) AS x2, min(s) AS y1, max(s) AS y2, {r('avg(trace)')} AS cx, {r('avg(s)')} AS cy FROM section JOIN t USING (il) WHERE sd < 1e-8 OR amp > mu + 0.5e0 * sd GROUP BY il"),
     "flood_fill": with_views(SEC, "WITH RECURSIVE seed AS (SELECT il, amp AS v FROM section WHERE trace = 3 AND s = 20), close AS (SELECT x.il, trace, s FROM section x JOIN seed USING (il) WHERE abs(amp - v) <= 0.08e0), fill(il, trace, s) AS (SELECT il, 3::BIGINT, 20::BIGINT FROM seed UNION SELECT c.il, c.trace, c.s FROM fill f JOIN close c ON c.il = f.il AND abs(c.trace - f.trace) + abs(c.s - f.s) = 1) SELECT il, count(*) AS area, min(trace) AS x1, max(trace) AS x2, min(s) AS y1, max(s) AS y2 FROM fill GROUP BY il"),
-    "slice_extract": with_views(SEC, f"SELECT il, trace, {r('samples[11]')} AS amp10, len(samples) AS n FROM tr"),
+    "slice_extract": with_views(SEC, f"SELECT il, trace, 64 AS n, s, {r('amp')} AS amp FROM section"),
     "slice_stride": "SELECT DISTINCT label AS il, task FROM embeddings, (VALUES ('fault'), ('horizon'), ('facies'), ('fracture')) v(task) WHERE label % 5 = 0",
     "volume_metadata": "SELECT min(label) AS il_min, max(label) AS il_max, count(*) AS n_traces, max(len(embedding)) AS n_samples, max(len(embedding)) * 4e0 AS length_ms FROM embeddings",
-    "zscore_features": "WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS f0, embedding[2]::DOUBLE AS f1, embedding[3]::DOUBLE AS f2 FROM embeddings) SELECT vec_id, " + ", ".join(f"{r(f'(f{i} - (SELECT avg(f{i}) FROM e)) / ((SELECT stddev_pop(f{i}) FROM e) + 1e-8)')} AS f{i}" for i in range(3)) + " FROM e",
-    "cluster_profile": "WITH e AS (SELECT label, embedding[1]::DOUBLE AS f0, embedding[2]::DOUBLE AS f1, embedding[3]::DOUBLE AS f2 FROM embeddings), z AS (SELECT label, " + ", ".join(f"(f{i} - (SELECT avg(f{i}) FROM e)) / ((SELECT stddev_pop(f{i}) FROM e) + 1e-8) AS f{i}" for i in range(3)) + " FROM e), m AS (SELECT label, count(*) AS area, avg(f0) AS f0, avg(f1) AS f1, avg(f2) AS f2 FROM z GROUP BY label HAVING count(*) >= 10)" + f" SELECT label, area, {r('f0')} AS f0, {r('f1')} AS f1, {r('f2')} AS f2, CASE WHEN abs(f2) >= abs(f0) AND abs(f2) >= abs(f1) THEN 'f2' WHEN abs(f1) >= abs(f0) THEN 'f1' ELSE 'f0' END AS dominant FROM m",
+    "zscore_features": "SELECT vec_id, " + ", ".join(f"{r(f'(embedding[{i + 1}]::DOUBLE - avg(embedding[{i + 1}]::DOUBLE) OVER ()) / (stddev_pop(embedding[{i + 1}]::DOUBLE) OVER () + 1e-8)')} AS f{i}" for i in range(64)) + " FROM embeddings",
+    "cluster_profile": "WITH z AS (SELECT label, " + ", ".join(f"(embedding[{i + 1}]::DOUBLE - avg(embedding[{i + 1}]::DOUBLE) OVER ()) / (stddev_pop(embedding[{i + 1}]::DOUBLE) OVER () + 1e-8) AS f{i}" for i in range(64)) + " FROM embeddings), m AS (SELECT label, count(*) AS area, " + ", ".join(f"avg(f{i}) AS f{i}" for i in range(64)) + " FROM z GROUP BY label HAVING count(*) >= 10), b AS (SELECT *, [" + ", ".join(f"abs(f{i})" for i in range(64)) + "] AS l FROM m) SELECT label, area, " + ", ".join(f"{r(f'f{i}')} AS f{i}" for i in range(64)) + ", 'f' || (list_position(l, list_max(l)) - 1) AS dominant FROM b",
     "horizon_seed": with_views(SEC, "SELECT il, trace, arg_min(s, -amp) AS seed, arg_min(s, amp) AS trough FROM section WHERE s BETWEEN 26 AND 34 GROUP BY il, trace"),
     "horizon_quality": with_views(SEC, f"WITH p AS (SELECT il, trace, arg_max(s, abs(amp)) AS seed FROM section WHERE s BETWEEN 0 AND 64 GROUP BY il, trace), t AS (SELECT il, trace, seed / 64e0 AS confidence, (trace - lag(trace) OVER (PARTITION BY il ORDER BY trace) > 1)::INT AS gap FROM p WHERE seed < 32) SELECT il, count(*) AS n_points, {r('1 / (1 + coalesce(avg(gap), 0))')} AS continuity, {r('avg(confidence)')} AS confidence FROM t GROUP BY il"),
     "closed_loop": with_views("det ver", f"WITH found AS (SELECT * FROM det WHERE confidence >= 0.3), {OUTCOME.replace('JOIN det d', 'JOIN found d')}, u AS (SELECT class_id AS step, 0.3e0 AS least, confidence FROM found WHERE class_id > 0 AND det_id NOT IN (SELECT matched FROM outcomes WHERE outcome = 'dropped') UNION ALL SELECT 0, 0.2e0, confidence FROM det WHERE class_id = 0 AND confidence >= 0.2) SELECT step, {r('least')} AS least, count(*) AS n, {r('avg(confidence)')} AS mean_confidence FROM u GROUP BY step, least"),
@@ -321,7 +321,7 @@ def _plan_errors() -> str:
             lacks = f": '{need[m]}' is a required property" if m in need and need[m] not in fields else None
             said = lacks or odd.get((m, k))
             rows.append(f"('{m}', {k}, " + ("NULL" if said is None else "'workflow_steps/0/instruction" + said.replace("'", "''") + "'") + ")")
-    return "SELECT r_regionkey, v.* FROM region, (VALUES " + ", ".join(rows) + ") v(model, k, error) WHERE r_regionkey < 2"
+    return "SELECT r_regionkey, v.* FROM region, (VALUES " + ", ".join(rows) + ") v(model, k, error)"
 
 
 SQL["plan_branches"] = _plan_errors()

@@ -529,7 +529,7 @@ def flood_fill(spark, sf_dir):
 @query
 def slice_extract(spark, sf_dir):
     t = views.traces(spark, sf_dir)
-    return rounded(t.select("il", "trace", F.col("samples")[10].alias("amp10"), F.size("samples").alias("n")))
+    return rounded(t.select("il", "trace", F.size("samples").alias("n"), F.posexplode("samples").alias("s", "amp")))
 
 
 @query
@@ -546,14 +546,15 @@ def volume_metadata(spark, sf_dir):
 
 @query
 def zscore_features(spark, sf_dir):
-    e = views.table(spark, sf_dir, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(3)])
-    return rounded(sections.zscore(e, ["f0", "f1", "f2"]))
+    e = views.table(spark, sf_dir, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
+    return rounded(sections.zscore(e, [f"f{i}" for i in range(64)]))
 
 
 @query
 def cluster_profile(spark, sf_dir):
-    e = views.table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(3)])
-    return rounded(ml.cluster_profile(sections.zscore(e, ["f0", "f1", "f2"]), "label", ["f0", "f1", "f2"]))
+    names = [f"f{i}" for i in range(64)]
+    e = views.table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)])
+    return rounded(ml.cluster_profile(sections.zscore(e, names), "label", names))
 
 
 @query
@@ -740,7 +741,7 @@ def plan_branches(spark, sf_dir):
     """Plans of every model with an instruction that is empty, or has only a number or a text under ``task``."""
     names = F.array(*[F.lit(m) for m in schemas.INSTRUCTIONS])
     ins = F.array(F.lit("{}"), F.lit('{"threshold":1,"task":"fracture"}'), F.lit('{"threshold":"x","n_clusters":3,"analysis_type":"full"}'))
-    r = views.table(spark, sf_dir, "region").where("r_regionkey < 2").select("r_regionkey", F.explode(names).alias("model")).select("*", F.posexplode(ins).alias("k", "ins"))
+    r = views.table(spark, sf_dir, "region").select("r_regionkey", F.explode(names).alias("model")).select("*", F.posexplode(ins).alias("k", "ins"))
     raw = F.concat(F.lit('{"scene_understanding":"x","workflow_steps":[{"step":1,"model":"'), F.col("model"), F.lit('","instruction":'), F.col("ins"), F.lit("}]}"))
     return r.select("r_regionkey", "model", "k", schemas.error_column(raw, schemas.PLAN).alias("error"))
 
