@@ -6,6 +6,8 @@ reflected with the edge sample repeated, by mirrored rows around the data.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -220,7 +222,7 @@ def snap(column: np.ndarray, at: int, mode: str, half: int = 4) -> int:
 def follow(wave: np.ndarray, start: int, at: int, half: int, search: int, least: float) -> list[tuple[int, int, float]]:
     """(trace, sample, confidence) of a horizon through sample ``at`` of trace ``start``; ``wave`` is traces by samples.
 
-    To the left, then to the right from where that ended: on each trace the best
+    To the left, then to the right, both from the seed: on each trace the best
     normalised correlation with the waveform around the seed near the pick before;
     flat traces are skipped, a fit under ``least`` ends the way.
     """
@@ -288,34 +290,51 @@ def horizon_quality(points: DataFrame) -> DataFrame:
     return g.select("il", "n_points", (1 / (1 + F.col("share"))).alias("continuity"), "confidence")
 
 
+def _by_length(samples: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The traces of a batch, those of one length together: their places and a matrix of samples by traces."""
+    lengths = samples.map(len).to_numpy()
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        yield at, np.stack([np.asarray(samples.iloc[k], float) for k in at], axis=1)
+
+
+def _place(out: np.ndarray, at: np.ndarray, found: np.ndarray) -> None:
+    """Puts the columns of a matrix at their traces' places."""
+    for k, column in zip(at, found.T, strict=True):
+        out[k] = column
+
+
 def envelope(traces: DataFrame) -> DataFrame:
-    """Trace attributes of the analytic signal: envelope, phase, frequency, sweetness (Arrow, by FFT)."""
+    """Trace attributes of the analytic signal: envelope, phase, frequency, sweetness (Arrow, by FFT of many traces at once)."""
+    from quarry.operators.kernels import analytic
+
+    names = ("envelope", "phase", "frequency", "sweetness")
 
     def run(batches):
         for b in batches:
-            out = []
-            for samples in b["samples"]:
-                x = np.asarray(samples, float)
-                gain = np.zeros(len(x))
-                gain[0], gain[1 : (len(x) + 1) // 2] = 1, 2
-                if len(x) % 2 == 0:
-                    gain[len(x) // 2] = 1
-                z = np.fft.ifft(np.fft.fft(x) * gain)
+            out = {n: np.empty(len(b), object) for n in names}
+            for at, x in _by_length(b["samples"]):
+                z = analytic(x)
                 phase = np.angle(z)
-                freq = np.abs(np.diff(np.unwrap(phase), prepend=np.unwrap(phase)[0])) / (2 * np.pi)
-                out.append((np.abs(z), phase, freq, np.abs(z) / np.sqrt(freq + 1e-8)))
-            yield pd.DataFrame({"il": b["il"], "trace": b["trace"], **{n: [o[k] for o in out] for k, n in enumerate(("envelope", "phase", "frequency", "sweetness"))}})
+                steps = np.unwrap(phase, axis=0)
+                freq = np.abs(np.diff(steps, axis=0, prepend=steps[:1])) / (2 * np.pi)
+                for n, v in zip(names, (np.abs(z), phase, freq, np.abs(z) / np.sqrt(freq + 1e-8)), strict=True):
+                    _place(out[n], at, v)
+            yield pd.DataFrame({"il": b["il"], "trace": b["trace"], **out})
 
     return traces.mapInPandas(run, "il int, trace int, envelope array<double>, phase array<double>, frequency array<double>, sweetness array<double>")
 
 
 def spectral_band(traces: DataFrame, low: float, high: float) -> DataFrame:
-    """Traces through a zero-phase Butterworth band of order 4, in cycles a sample."""
+    """Traces through a zero-phase Butterworth band of order 4, in cycles a sample; those of one length in a batch together."""
     from quarry.operators.kernels import band
 
     def run(batches):
         for b in batches:
-            yield b.assign(samples=[band(np.asarray(x, float)[:, None], low, high)[:, 0] for x in b["samples"]])
+            out = np.empty(len(b), object)
+            for at, x in _by_length(b["samples"]):
+                _place(out, at, band(x, low, high))
+            yield b.assign(samples=out)
 
     return traces.mapInPandas(run, traces.schema)
 

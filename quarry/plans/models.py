@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import rules
@@ -29,11 +29,13 @@ ANALYZER_DEFAULTS = {"den": 2.5, "rt": 5.0, "cnl": 0.2}
 LEARNED_DEFAULTS = {"gr": 95.0, "rt": 3.0, "den": 2.55, "cnl": 0.25}
 
 
-def _ranges(spark: SparkSession, rule: dict) -> list[tuple[float, float]]:
-    """Depth ranges of a rule in any of their spellings."""
-    raw = json.dumps(rule)
-    row = spark.range(1).select(documents.depth_ranges(documents.range_of(F.lit(raw))).alias("r")).first()
-    return [(r["top"], r["bottom"]) for r in row["r"]]
+def _read_rules(spark: SparkSession, asked: list) -> list[tuple[list[tuple[float, float]], Row | None]]:
+    """Depth ranges, in any of their spellings, and the parsed rule of each of a plan's few rules: one job for all."""
+    rows = [(k, json.dumps(x), str(x.get("rule", ""))) if isinstance(x, dict) else (k, "{}", "") for k, x in enumerate(asked)]
+    if not rows:
+        return []
+    read = spark.createDataFrame(rows, "k int, raw string, text string").select("k", documents.depth_ranges(documents.range_of(F.col("raw"))).alias("r"), rules.parse_rule(F.col("text")).alias("p"))
+    return [([(x["top"], x["bottom"]) for x in row["r"]], row["p"]) for row in sorted(read.collect(), key=lambda row: row["k"])]
 
 
 def _literal(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
@@ -64,12 +66,11 @@ def traditional_code(ins: dict, ctx: Context) -> DataFrame:
     if asked is None:
         return _literal(spark, [{"id": "code_custom_0", "class_name": ins.get("class_name", "custom"), "result": "no rules specified"}], _RULE_ROW)
     curve, parts = ctx.get("curve"), []
-    for k, rule in enumerate(asked):
+    for k, (rule, (ranges, parsed)) in enumerate(zip(asked, _read_rules(spark, asked), strict=True)):
         if isinstance(rule, str):
             parts.append(_literal(spark, [{"id": f"code_str_{k}", "class_name": rule}], _RULE_ROW))
             continue
-        name, text, ranges = rule.get("class_name", "segment"), rule.get("rule", ""), _ranges(spark, rule)
-        parsed = spark.range(1).select(rules.parse_rule(F.lit(text)).alias("p")).first()["p"]
+        name, text = rule.get("class_name", "segment"), rule.get("rule", "")
         value = parsed and next((c for c in curve.columns if c.lower() == parsed["variable"].lower()), None) if curve is not None else None
         if value:
             for top, bottom in ranges or [(None, None)]:
@@ -90,7 +91,8 @@ def _with_curves(curve: DataFrame, missing: dict[str, float]) -> DataFrame:
 
 def _passed_on(spark: SparkSession, ins: dict, prefix: str, default: str, sure: float, cut: int | None = None) -> DataFrame | None:
     """Ranges of an instruction's rules as they are."""
-    rows = [{"id": f"{prefix}_{k}_{j}", "class_name": rule.get("class_name", default), "depth_top": t, "depth_bottom": b, "confidence": sure, "rule": str(rule.get("rule", ""))[:cut]} for k, rule in enumerate(ins.get("rules") or []) if isinstance(rule, dict) for j, (t, b) in enumerate(_ranges(spark, rule))]
+    asked = ins.get("rules") or []
+    rows = [{"id": f"{prefix}_{k}_{j}", "class_name": rule.get("class_name", default), "depth_top": t, "depth_bottom": b, "confidence": sure, "rule": str(rule.get("rule", ""))[:cut]} for k, (rule, (ranges, _)) in enumerate(zip(asked, _read_rules(spark, asked), strict=True)) if isinstance(rule, dict) for j, (t, b) in enumerate(ranges)]
     return _literal(spark, rows, "id string, class_name string, depth_top double, depth_bottom double, confidence double, rule string") if rows else None
 
 
