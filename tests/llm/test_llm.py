@@ -112,9 +112,9 @@ def test_viterbi_finds_the_best_of_all_paths():
 
 
 def test_hidden_inline_text_is_left_out():
-    text = lambda page: [(b.text, b.hidden) for b in html_extract.leaf_blocks(page)]
-    assert text("<p>a <span hidden>no <span>no</span> no</span> b</p><p><i style='display:none'>no<p>c") == [("a b", False), ("c", False)]
-    assert text("<div hidden><p>x</p></div><p>y</p>") == [("x", True), ("y", False)]
+    text = lambda page: [b.text for b in html_extract.leaf_blocks(page)]
+    assert text("<p>a <span hidden>no <span>no</span> no</span> b</p><p><i style='display:none'>no<p>c") == ["a b", "c"]
+    assert text("<div hidden><p>x</p></div><p>y</p>") == ["y"]
 
 
 def test_deep_and_stray_tags_take_linear_time():
