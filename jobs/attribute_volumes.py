@@ -8,8 +8,9 @@ Three outputs lie under ``output``: ``kept`` (the detections that stay, Parquet
 image), ``volumes`` (painted cells, Parquet by class and image) and ``report`` (counts
 per image, JSON by image). All are written by dynamic overwrite: a run replaces the
 images it works on, whole, and leaves others as they are, so it can be run again, and
-for a part of the images with ``images``. Of an image that loses all detections of a
-class the volume of that class is written without cells above 0.
+for a part of the images with ``images``. A class that an earlier run painted in such an
+image, and that has no kept detections now, gets a volume without cells above 0. Images
+that are no longer in the tables keep what they had.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from pyspark.errors import AnalysisException  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from quarry.operators import detections as det  # noqa: E402
-from quarry.session import session, ship_package  # noqa: E402
+from quarry.session import session, ship_package, written  # noqa: E402
 from quarry.sources import views  # noqa: E402
 
 log = logging.getLogger("attribute_volumes")
@@ -60,7 +62,8 @@ def run(spark: SparkSession, conf: dict) -> dict:
         judged = judged.where(F.col("image").isin(list(conf["images"])))
     painted = det.paint_volume(judged.where("fate = 'kept'").withColumn("in_roi", F.lit(True)), nx, ny)
     # a class without kept detections has one cell of confidence 0, which replaces what an earlier run painted
-    blank = judged.groupBy("class_id", "image").agg(F.max((F.col("fate") == "kept").cast("int")).alias("any")).where("any = 0")
+    seen = judged.select("class_id", "image").unionByName(_painted_before(spark, conf, found).join(judged.select("image").distinct(), "image", "left_semi"))
+    blank = seen.distinct().join(judged.where("fate = 'kept'").select("class_id", "image"), ["class_id", "image"], "left_anti")
     blank = blank.select("class_id", "image", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0.0).alias("confidence"))
     _write(painted.unionByName(blank), "parquet", f"{out}/volumes", "class_id", "image")
     count = lambda fate: F.count(F.when(F.col("fate") == fate, 1)).alias(fate)
@@ -73,11 +76,23 @@ def run(spark: SparkSession, conf: dict) -> dict:
     return totals
 
 
+def _schema(found: DataFrame) -> str:
+    return f"x int, y int, confidence double, class_id {found.schema['class_id'].dataType.simpleString()}, image {found.schema['image'].dataType.simpleString()}"
+
+
+def _painted_before(spark: SparkSession, conf: dict, found: DataFrame) -> DataFrame:
+    """``class_id, image`` of the volumes that are there, apart from the folder that is written next; none on a first run."""
+    try:
+        there = spark.read.schema(_schema(found)).parquet(f"{conf['output']}/volumes")
+    except AnalysisException:
+        return spark.createDataFrame([], _schema(found)).select("class_id", "image")
+    return written(there.select("class_id", "image").distinct(), "painted-before")
+
+
 def volumes(spark: SparkSession, conf: dict) -> DataFrame:
     """The painted cells as they are on disk: ``class_id, image, x, y, confidence``."""
     found = views.detections(spark, conf["tables"])
-    schema = f"x int, y int, confidence double, class_id {found.schema['class_id'].dataType.simpleString()}, image {found.schema['image'].dataType.simpleString()}"
-    return spark.read.schema(schema).parquet(f"{conf['output']}/volumes").where("confidence > 0").select("class_id", "image", "x", "y", "confidence")
+    return spark.read.schema(_schema(found)).parquet(f"{conf['output']}/volumes").where("confidence > 0").select("class_id", "image", "x", "y", "confidence")
 
 
 def main() -> None:
