@@ -6,6 +6,8 @@ value columns. All windows are partitioned by well.
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -172,17 +174,25 @@ def merge_islands(segments: DataFrame, keys: list[str], max_gap: float = 3.0, fi
 def sliding_features(curve: DataFrame, window: int = 20, step: int = 10, top: float | None = None, bottom: float | None = None) -> DataFrame:
     """Eight features per window of samples; a well of at most ``window`` samples has none.
 
-    Each sample is sent to the windows that hold it (two, for half steps), and
-    the gradient is taken inside the window.
+    Samples are numbered without gaps. They are summed once, in blocks that windows
+    are whole numbers of, and a window is a frame of blocks: no sample is repeated or
+    sorted again. The gradient is one-sided at the ends of a window.
     """
-    n = curve.groupBy("well").agg(F.count("*").alias("n"))
-    first = F.greatest(F.lit(0), F.ceil((F.col("idx") - (window - 1)) / step)) * step
-    starts = F.filter(F.sequence(first, F.greatest(first, F.floor(F.col("idx") / step) * step), F.lit(step)), lambda s: (s <= F.col("idx")) & (s < F.col("n") - window))
-    each = curve.join(n, "well").withColumn("start_idx", F.explode(starts))
-    w = Window.partitionBy("well", "start_idx").orderBy("idx")
-    ahead, behind = F.lead("gr").over(w), F.lag("gr").over(w)
-    each = each.withColumn("g", F.abs(F.coalesce((ahead - behind) / 2, ahead - F.col("gr"), F.col("gr") - behind, F.lit(0.0))))
-    out = each.groupBy("well", "start_idx").agg(F.min("depth").alias("depth_top"), F.max("depth").alias("depth_bottom"), F.round(F.avg("gr"), 9).alias("gr_mean"), F.stddev_pop("gr").alias("gr_std"), F.round(F.avg("rt"), 9).alias("rt_mean"), F.round(F.avg("den"), 9).alias("den_mean"), F.round(F.avg("cnl"), 9).alias("cnl_mean"), F.avg("g").alias("gr_slope"))
+    block = gcd(window, step)
+    x, ahead, behind = F.col("gr"), F.lead("gr").over(by_well()), F.lag("gr").over(by_well())
+    size = lambda *c: F.coalesce(F.abs(F.coalesce(*c)), F.lit(0.0))
+    rows = curve.select("well", "idx", "depth", "gr", "rt", "den", "cnl", size((ahead - behind) / 2, ahead - x, x - behind).alias("g"), size(ahead - x).alias("_first"), size(x - behind).alias("_last"))
+    sums = [f(c).alias(f"{c}_{k}") for c in ("gr", "rt", "den", "cnl") for k, f in (("sum", F.sum), ("n", F.count))]
+    ends = [F.max(F.when(F.col("idx") % block == k, F.col(c) - F.col("g"))).alias(c) for k, c in ((0, "_first"), (block - 1, "_last"))]
+    blocks = rows.groupBy("well", F.floor(F.col("idx") / block).alias("_b")).agg(F.min("depth").alias("_top"), F.max("depth").alias("_bottom"), F.sum("g").alias("g"), *ends, *sums, F.avg("gr").alias("_mean"), F.var_pop("gr").alias("_var"))
+    here = Window.partitionBy("well").orderBy("_b")
+    w = here.rowsBetween(0, window // block - 1)
+    mean = {c: F.try_divide(F.sum(f"{c}_sum").over(w), F.sum(f"{c}_n").over(w)) for c in ("gr", "rt", "den", "cnl")}
+    slope = (F.sum("g").over(w) + F.col("_first") + F.lead("_last", window // block - 1).over(here)) / window if window > 1 else F.lit(0.0)
+    parts = F.collect_list(F.struct(F.col("gr_n").alias("n"), F.col("_mean").alias("mean"), F.col("_var").alias("var"))).over(w)
+    each = blocks.select("well", (F.col("_b") * block).alias("start_idx"), F.min("_top").over(w).alias("depth_top"), F.max("_bottom").over(w).alias("depth_bottom"), mean["gr"].alias("_m"), parts.alias("_parts"), F.sum("gr_n").over(w).alias("_n"), *[F.round(mean[c], 9).alias(f"{c}_mean") for c in ("rt", "den", "cnl")], slope.alias("gr_slope"), F.lead("_b", window // block).over(here).alias("_next"))
+    spread = F.expr("aggregate(filter(_parts, p -> p.n > 0), 0D, (a, p) -> a + p.n * (p.var + (p.mean - _m) * (p.mean - _m)))")
+    out = each.where((F.col("start_idx") % step == 0) & F.col("_next").isNotNull()).select("well", "start_idx", "depth_top", "depth_bottom", F.round("_m", 9).alias("gr_mean"), F.sqrt(F.try_divide(spread, F.col("_n"))).alias("gr_std"), "rt_mean", "den_mean", "cnl_mean", "gr_slope")
     if top:
         out = out.where(F.col("depth_bottom") >= top)
     if bottom:

@@ -255,3 +255,29 @@ def test_stream_equals_table(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("tumbled").collect()} == want
+
+
+def test_sliding_features_equal_brute_force(spark):
+    """Every feature of every window, for steps that halve, divide and do not divide the window; the samples are not repeated."""
+    import statistics
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(w, i, 1000.0 + 0.5 * i, *[None if rng.random() < 0.02 and w == 2 else float(v) for v in rng.normal(50, 20, 4)]) for w, n in ((1, 63), (2, 90), (3, 20)) for i in range(n)]
+    curve = spark.createDataFrame(rows, "well long, idx long, depth double, gr double, rt double, den double, cnl double")
+    wells = {w: [r for r in rows if r[0] == w] for w in (1, 2, 3)}
+    for window, step in ((20, 10), (12, 5), (4, 6), (2, 1)):
+        got = {(r.well, r.start_idx): r for r in curves.sliding_features(curve, window, step).collect()}
+        assert sorted(got) == [(w, s) for w, all_ in wells.items() for s in range(0, len(all_) - window, step)]
+        for (w, s), r in got.items():
+            part = wells[w][s : s + window]
+            gr = [p[3] for p in part]
+            at = lambda k: gr[k] if 0 <= k < len(gr) else None  # noqa: B023,E731
+            less = lambda a, b: None if a is None or b is None else a - b
+            steps = [next((abs(v) for v in ((lambda d: d and d / 2)(less(at(k + 1), at(k - 1))), less(at(k + 1), at(k)), less(at(k), at(k - 1))) if v is not None), 0.0) for k in range(len(gr))]
+            mean = lambda c: statistics.fmean(p[c] for p in part if p[c] is not None)  # noqa: B023,E731
+            want = (part[0][2], part[-1][2], mean(3), statistics.pstdev(v for v in gr if v is not None), mean(4), mean(5), mean(6), statistics.fmean(steps))
+            assert (r.depth_top, r.depth_bottom, r.gr_mean, r.gr_std, r.rt_mean, r.den_mean, r.cnl_mean, r.gr_slope) == pytest.approx(want)
+    plan = curves.sliding_features(curve)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
