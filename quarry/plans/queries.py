@@ -15,7 +15,7 @@ from quarry.plans import models
 from quarry.plans.loop import Step, Verdict
 from quarry.plans.loop import closed_loop as closed_loop_of
 from quarry.plans.registry import Registry
-from quarry.session import shared_dir
+from quarry.session import shared_dir, written
 from quarry.sources import files, views
 from quarry.streaming import runs, windows
 
@@ -772,6 +772,6 @@ def rf_lithology(spark, sf_dir):
     w = curves.sliding_features(views.line_curve(spark, sf_dir))
     cols = ["gr_mean", "gr_std", "rt_mean", "den_mean", "cnl_mean", "gr_slope", "thickness", "rt_den"]
     label = F.when(F.col("gr_mean") < 20, 0.0).when(F.col("gr_mean") < 28, 1.0).otherwise(2.0)
-    data = w.withColumn("label", label)
+    data = written(w.withColumn("label", label), "lithology-windows")  # fitting reads them several times
     model = ml.train_lithology(data.where("well % 2 = 0"), cols, trees=20, depth=6)
     return ml.predict_lithology(model, data.where("well % 2 = 1"), cols).groupBy("label", "class_id").agg(F.count("*").alias("n"))
