@@ -1,14 +1,18 @@
-"""Kernels on whole sections: a section is one array of samples by traces, in grouped Arrow.
+"""Kernels on sections: arrays of samples by traces, in grouped Arrow.
 
-Edges are reflected with the edge sample repeated. Memory is a few arrays of one
-section; sections are independent.
+Edges are reflected with the edge sample repeated. A section is cut into tiles of
+traces that overlap by what the maps reach, so memory is a few arrays of a tile.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quarry.operators.quantiles import group_quantile
+from quarry.session import written
 
 Array = np.ndarray
 
@@ -72,16 +76,26 @@ def unit(x: Array) -> Array:
     return x / (x.max() + 1e-8)
 
 
+def gradient_excess(x: Array, sigma: float = 3.0) -> Array:
+    """What the vertical gradient exceeds half of the horizontal one by, smoothed."""
+    return gaussian(np.maximum(np.abs(sobel(x, 0)) - 0.5 * np.abs(sobel(x, 1)), 0), sigma)
+
+
 def gradient_fault(x: Array, sigma: float = 3.0) -> Array:
-    """What the vertical gradient exceeds half of the horizontal one by, smoothed, over its maximum."""
-    return unit(gaussian(np.maximum(np.abs(sobel(x, 0)) - 0.5 * np.abs(sobel(x, 1)), 0), sigma))
+    """The excess of the vertical gradient over its maximum."""
+    return unit(gradient_excess(x, sigma))
 
 
-def structure_tensor(x: Array, sigma: float = 2.0) -> Array:
-    """1 less the difference of the eigenvalues of the smoothed gradient tensor over its maximum."""
+def eigenvalue_gap(x: Array, sigma: float = 2.0) -> Array:
+    """The difference of the eigenvalues of the smoothed gradient tensor."""
     gx, gy = sobel(x, 1), sobel(x, 0)
     xx, yy, xy = gaussian(gx * gx, sigma), gaussian(gy * gy, sigma), gaussian(gx * gy, sigma)
-    return 1 - unit(np.sqrt(np.maximum((xx + yy) ** 2 - 4 * (xx * yy - xy * xy), 0)))
+    return np.sqrt(np.maximum((xx + yy) ** 2 - 4 * (xx * yy - xy * xy), 0))
+
+
+def structure_tensor(x: Array, sigma: float = 2.0) -> Array:
+    """1 less the difference of eigenvalues over its maximum."""
+    return 1 - unit(eigenvalue_gap(x, sigma))
 
 
 def entropy(x: Array, half: int = 5, bins: int = 8) -> Array:
@@ -190,6 +204,13 @@ MAPS = {
     "coherence_fault": lambda x: 1 - coherence(x, max(3, min(9, x.shape[0] // 4))),
 }
 
+#: Maps that are a share of a section's maximum: what that is of, and whether 1 less the share is meant.
+SHARES = {"gradient_fault": (gradient_excess, False), "structure_tensor": (eigenvalue_gap, True), "variance_fault": (lambda x: variance(x, 15), False)}
+#: How many traces to each side a map of a trace depends on, where it does.
+REACH = {"gradient_magnitude": 1, "local_variance": 4, "local_entropy": 11, "dip": 1, "gradient_fault": 13, "structure_tensor": 9, "variance_fault": 7, "coherence_fault": 1}
+#: Traces of a tile, without those it shares with its neighbours.
+TILE = 512
+
 
 def box_of(roi: list[float] | None, rows: int, cols: int) -> tuple[int, int, int, int]:
     """First and last trace and sample of a normalised box, clipped and truncated; the whole without one."""
@@ -199,30 +220,59 @@ def box_of(roi: list[float] | None, rows: int, cols: int) -> tuple[int, int, int
     return at(roi[0], cols), at(roi[1], rows), at(roi[2], cols), at(roi[3], rows)
 
 
-def section_maps(traces: DataFrame, names: list[str], roi: list[float] | None = None, bands: dict[str, tuple[float, float]] | None = None, clip: bool = False, least: tuple[int, int] = (0, 0)) -> DataFrame:
+def section_maps(traces: DataFrame, names: list[str], roi: list[float] | None = None, bands: dict[str, tuple[float, float]] | None = None, clip: bool = False, least: tuple[int, int] = (0, 0), tile: int = TILE) -> DataFrame:
     """``il, trace, s`` and a column for each map of ``names`` and each of ``bands``.
 
     Maps are computed on the box ``roi`` (normalised) of each section alone;
     boxes of fewer than ``least`` traces and samples beyond the first give
     nothing. ``clip``: the section is first divided by the 99th percentile of its
     magnitude and cut to [-1, 1].
+
+    A section is dealt out in tiles of ``tile`` traces and those that their maps reach to
+    both sides. Where a map is a share of the section's maximum, tiles are written
+    and the maximum is taken from there. The result does not depend on ``tile``.
     """
     bands = bands or {}
+    reach = max([REACH.get(n, 0) for n in names], default=0)
+    maps = {n: SHARES[n][0] if n in SHARES else MAPS[n] for n in names}
+    shape = ["il", "trace", "s", *names, *bands]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("trace")
+        rows = pdf.sort_values("_at")
         x = np.stack(rows["samples"].to_numpy()).astype(float).T
         if clip:
-            x = np.clip(x / (np.percentile(np.abs(x), 99) or 1.0), -1, 1)
-        x1, y1, x2, y2 = box_of(roi, *x.shape)
-        if x2 - x1 < least[0] or y2 - y1 < least[1]:
-            return pd.DataFrame(columns=["il", "trace", "s", *names, *bands])
-        x = x[y1 : y2 + 1, x1 : x2 + 1]
-        maps = {n: MAPS[n](x) for n in names} | {n: band(x, *lim) for n, lim in bands.items()}
-        at = rows["trace"].to_numpy()[x1 : x2 + 1]
-        out = {"il": rows["il"].iloc[0], "trace": np.repeat(at, x.shape[0]), "s": np.tile(np.arange(y1, y2 + 1), x.shape[1])}
-        return pd.DataFrame(out | {n: m.T.ravel() for n, m in maps.items()})
-
+            x = np.clip(x / (rows["_lim"].iloc[0] or 1.0), -1, 1)
+        _, y1, _, y2 = box_of(roi, len(x), 1)
+        if y2 - y1 < least[1]:
+            return pd.DataFrame(columns=shape)
+        x = x[y1 : y2 + 1]
+        own = (rows["_at"] // tile == rows["_tile"]).to_numpy()
+        found = {n: f(x) for n, f in maps.items()} | {n: band(x, *lim) for n, lim in bands.items()}
+        at = rows["trace"].to_numpy()[own]
+        out = {"il": rows["il"].iloc[0], "trace": np.repeat(at, x.shape[0]), "s": np.tile(np.arange(y1, y2 + 1), len(at))}
+        return pd.DataFrame(out | {n: m[:, own].T.ravel() for n, m in found.items()})
+
+    section = Window.partitionBy("il")
+    placed = traces.select("il", "trace", "samples", (F.row_number().over(section.orderBy("trace")) - 1).alias("_at"), F.count("*").over(section).alias("_n"))
+    if roi is not None:
+        edge = lambda v: F.least(F.greatest(F.lit(float(v)) * F.col("_n"), F.lit(0.0)), F.col("_n") - 1).cast("int")
+        placed = placed.withColumns({"_x1": edge(roi[0]), "_x2": edge(roi[2])}).where(F.col("_at").between(F.col("_x1"), F.col("_x2")))
+        placed = placed.withColumns({"_at": F.col("_at") - F.col("_x1"), "_n": F.col("_x2") - F.col("_x1") + 1})
+    placed = placed.where(F.col("_n") > least[0])
+    tiles = F.sequence(F.floor(F.greatest(F.col("_at") - reach, F.lit(0)) / tile), F.floor(F.least(F.col("_at") + reach, F.col("_n") - 1) / tile))
+    dealt = placed.select("il", "trace", "samples", "_at", F.explode(tiles).alias("_tile"))
+    if clip:
+        # a struct, for it is never null
+        sizes = traces.select(F.struct("il").alias("_key"), F.explode("samples").alias("_v")).withColumn("_v", F.abs("_v"))
+        lim = group_quantile(sizes, "_key", "_v", 0.99).select(F.col("_key"), F.col("quantile").alias("_lim"))
+        dealt = dealt.withColumn("_key", F.struct("il")).join(F.broadcast(lim), "_key").drop("_key")
     kinds = dict(traces.dtypes)
-    shape = f"il {kinds['il']}, trace {kinds['trace']}, s int, " + ", ".join(f"`{n}` double" for n in [*names, *bands])
-    return traces.select("il", "trace", "samples").groupBy("il").applyInPandas(run, shape)
+    out = dealt.groupBy("il", "_tile").applyInPandas(run, f"il {kinds['il']}, trace {kinds['trace']}, s int, " + ", ".join(f"`{n}` double" for n in [*names, *bands]))
+    shares = [n for n in names if n in SHARES]
+    if not shares:
+        return out
+    out = written(out, "section-maps")
+    most = out.groupBy(F.col("il").alias("_il")).agg(*[F.max(n).alias(f"_max_{n}") for n in shares])
+    part = {n: F.col(n) / (F.col(f"_max_{n}") + F.lit(1e-8)) for n in shares}
+    whole = out.join(F.broadcast(most), F.col("il").eqNullSafe(F.col("_il")))
+    return whole.withColumns({n: 1 - c if SHARES[n][1] else c for n, c in part.items()}).select(*shape)

@@ -91,6 +91,22 @@ def test_maps_of_a_box(spark):
         assert np.allclose(got[name].to_numpy().reshape(6, 20).T, kernels.MAPS[name](sub))
 
 
+@pytest.mark.parametrize(("cols", "roi"), [(40, None), (8, None), (40, [0.1, 0.2, 0.9, 1.0])])
+def test_maps_do_not_depend_on_tiles(spark, cols, roi):
+    """Tiles of seven traces give what the whole section gives, with maxima and limits of the section."""
+    x = np.random.default_rng(6).normal(size=(48, cols))
+    x1, y1, x2, y2 = kernels.box_of(roi, *x.shape)
+    lim = np.percentile(np.abs(x), 99)
+    for clip in (False, True):
+        sub = (np.clip(x / lim, -1, 1) if clip else x)[y1 : y2 + 1, x1 : x2 + 1]
+        names = list(kernels.MAPS)
+        got = kernels.section_maps(traces(spark, x), names, roi, {"low": (0.0, 0.2)}, clip=clip, tile=7).orderBy("trace", "s").toPandas()
+        assert len(got) == sub.size and sorted(set(got["trace"])) == list(range(x1, x2 + 1))
+        for name in names:
+            assert np.allclose(got[name].to_numpy().reshape(sub.T.shape).T, kernels.MAPS[name](sub)), name
+        assert np.allclose(got["low"].to_numpy().reshape(sub.T.shape).T, kernels.band(sub, 0.0, 0.2))
+
+
 # models
 
 
