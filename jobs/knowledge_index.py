@@ -60,7 +60,7 @@ def contents(spark: SparkSession, conf: dict) -> DataFrame:
     """The whole index: ``doc_id, term, n, n_tokens, df`` of every term of every document as it is now."""
     kind = spark.read.parquet(conf["documents"]).schema[conf.get("id", "doc_id")].dataType
     terms = index.term_counts(spark, conf["output"], kind).select("term", "df")
-    return index.live_postings(spark, conf["output"], kind).join(terms, "term").select(F.col("id").alias("doc_id"), "term", "n", "n_tokens", "df")
+    return index.live_postings(spark, conf["output"], kind).join(index.broadcast_few(terms), "term").select(F.col("id").alias("doc_id"), "term", "n", "n_tokens", "df")
 
 
 def ask(spark: SparkSession, conf: dict, question: str, k: int = 3) -> DataFrame:

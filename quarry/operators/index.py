@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from quarry.operators.retrieval import term_frequencies, tokens
 
 BUCKETS = 16
+#: Rows of ids or terms that are sent to every task.
+FEW = 200_000
 
 
 def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
@@ -24,6 +26,11 @@ def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def broadcast_few(df: DataFrame) -> DataFrame:
+    """``df``, marked to be broadcast where it has ``FEW`` rows or fewer, which are counted."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def _schemas(kind: T.DataType) -> dict[str, T.StructType]:
     f = T.StructField
     return {
@@ -80,8 +87,10 @@ def add_batch(docs: DataFrame, path: str, batch: int, id_col: str = "doc_id", te
 
 def live_postings(spark: SparkSession, path: str, kind: T.DataType) -> DataFrame:
     """``id, term, n, n_tokens, bucket`` of the last version of every document."""
-    last = _table(spark, path, "documents", kind).groupBy("id").agg(F.max("batch").alias("batch"))
-    return _table(spark, path, "postings", kind).join(last, ["id", "batch"]).drop("batch")
+    held = _table(spark, path, "documents", kind).groupBy("id").agg(F.max("batch").alias("_last"), F.collect_list("batch").alias("_all")).where("size(_all) > 1")
+    # versions that later ones replace, few as a rule: postings are not moved for them
+    old = held.select("id", "_last", F.explode("_all").alias("batch")).where("batch < _last").drop("_last")
+    return _table(spark, path, "postings", kind).join(broadcast_few(old), ["id", "batch"], "left_anti").drop("batch")
 
 
 def term_counts(spark: SparkSession, path: str, kind: T.DataType) -> DataFrame:

@@ -11,6 +11,7 @@ from pathlib import Path
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobs import attribute_volumes, knowledge_index, queries
 from quarry.operators import index, retrieval
@@ -160,3 +161,25 @@ def test_jobs_import_nothing_of_the_training_data_part():
     for p in [*ROOT.glob("jobs/*.py"), ROOT / "quarry/operators/index.py", ROOT / "tests/test_jobs.py"]:
         lines = [x for x in p.read_text().splitlines() if x.startswith(("import ", "from "))]
         assert not [x for x in lines if "llm" in x or "corpus_pipeline" in x]
+
+
+def test_live_postings_are_not_moved(spark, tmp_path, monkeypatch):
+    """Postings are read where they lie if few versions are replaced, and the rows are the same if many are."""
+    from quarry.operators import index
+
+    path, kind = f"{tmp_path}/index", T.LongType()
+    for number, rows in enumerate(([(1, "fault throw fault"), (2, "sand")], [(1, "shale"), (3, None)])):
+        index.add_batch(spark.createDataFrame(rows, "doc_id long, text string"), path, number)
+    few = index.live_postings(spark, path, kind)
+    want = [(1, "shale", 1), (2, "sand", 1)]
+    assert sorted((r["id"], r["term"], r["n"]) for r in few.collect()) == want
+    assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(index, "FEW", 0)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted((r["id"], r["term"], r["n"]) for r in index.live_postings(spark, path, kind).collect()) == want
+        monkeypatch.undo()
+        assert "SortMergeJoin" not in index.live_postings(spark, path, kind)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
