@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import bound_batches, materialize, packed_row, unpacked_row
@@ -27,31 +29,84 @@ BITS_EACH, LEAST_BITS, MOST_BITS = 32, 16, 30
 BROADCAST_KEYS = 1_000_000
 #: Unit words that are placeholders after a number.
 UNITS = set("mm cm m km in ft yd mi mg g kg lb lbs oz t ml l gal s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros pound pounds cent cents meter meters metre metres mile miles gram grams liter liters litre litres percent degree degrees watt watts volt volts".split())
-_TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:;\"\n()\[\]\u201c\u201d\u201e\u00ab\u00bb\u2026]")
-_PUNCT, _NUM, _CAP, _UNIT = 1, 2, 4, 8
+_MARKS = ".!?:;\"\n()[]“”„«»…"
+#: Kinds of characters: parts of numbers, marks and parts of words, and what a token is that begins with them.
+_DIGIT, _MARK, _LETTER, _NUM, _CAP, _PUNCT = 1, 2, 4, 8, 16, 32
+#: Characters that are read in one go (a longer text is read whole).
+TOGETHER = 1 << 18
 _SLOTS = np.array([xxhash.xxh64_intdigest(s) for s in ("<num>", "<name>", "<unit>")], np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PROBES = tuple(np.uint64(x | 1) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
-class Words:
-    """The words of a text as hashes.
+@functools.cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Kind of every code point, and its hash without regard to case."""
+    kind, low = np.zeros(sys.maxunicode + 1, np.uint8), np.arange(1, sys.maxunicode + 2, dtype=np.uint64)
+    for c in range(sys.maxunicode + 1):
+        s = chr(c)
+        if s.isdecimal():
+            kind[c] = _DIGIT | _NUM
+        elif s.isalnum():
+            small = s.lower()
+            kind[c] = _LETTER | (_NUM if s.isdigit() else _PUNCT if not s.isalpha() else _CAP * (s != small[0]))
+            if len(small) == 1:
+                low[c] = ord(small) + 1
+        elif s in _MARKS:
+            kind[c] = _MARK | _PUNCT
+    return kind, _mixed(low * _BASE)
+
+
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _small_sigma(word: re.Match) -> str:
+    return "".join(s if c == "Σ" else c for c, s in zip(word[0], word[0].replace("İ", "I").lower(), strict=True)) if "Σ" in word[0] else word[0]
+
+
+@functools.cache
+def _units() -> np.ndarray:
+    return np.sort(Words([*UNITS], units=False).raw)
 
-    ``raw``: as they stand, without regard to case. ``shape``: with placeholders
-    for numbers, for capitals inside a sentence (names) and for units after a
-    number; ``open_shape``: with capitals at the beginning of sentences as names
-    too, for a name may stand there. ``slot``: placeholders of ``shape``.
-    ``starts``: words that follow a mark or line end.
+
+class Words:
+    """The words of texts as hashes, one text after the other; ``text`` tells the place of a word's text.
+
+    Tokens are numbers, runs of letters and marks; all texts are cut at once, by
+    the kinds of their characters. ``raw``: words as they stand, without regard to
+    case. ``shape``: with placeholders for numbers, for capitals inside a sentence
+    (names) and for units after a number; ``open_shape``: with capitals at the
+    beginning of sentences as names too, for a name may stand there. ``slot``:
+    placeholders of ``shape``. ``starts``: words that follow a mark or line end or
+    begin a text.
     """
 
-    def __init__(self, found: np.ndarray) -> None:
-        raw, kind = found & ~np.uint64(15), (found & np.uint64(15)).astype(np.uint8)
-        word = (kind & _PUNCT) == 0
-        starts = np.concatenate(([True], ~word[:-1])) if len(kind) else np.empty(0, bool)
-        self.raw, kind, self.starts = raw[word], kind[word], starts[word]
-        num, cap = (kind & _NUM) > 0, (kind & _CAP) > 0
-        name = cap & ~self.starts
-        unit = ((kind & _UNIT) > 0) & np.concatenate(([False], num[:-1])) if len(num) else num
+    def __init__(self, texts: list[str], units: bool = True) -> None:
+        kinds, hashes = _characters()
+        whole = "\0".join(texts) + "\0"
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+        kind = kinds[points]
+        part = kind & (_DIGIT | _MARK | _LETTER)
+        inner = np.flatnonzero((points[1:-1] == ord(".")) | (points[1:-1] == ord(","))) + 1
+        part[inner[(kind[inner - 1] & kind[inner + 1] & _DIGIT) > 0]] = _DIGIT
+        cuts = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (part[1:] == _MARK))))
+        ends = np.append(cuts[1:], len(points))
+        cuts, ends = cuts[part[cuts] > 0], ends[part[cuts] > 0]
+        text, first = np.searchsorted(begins, cuts, "right") - 1, kind[cuts]
+        word = (first & _PUNCT) == 0
+        starts = np.concatenate(([True], ~word[:-1] | (text[1:] != text[:-1])))[: len(word)]
+        cuts, ends, first, self.text, self.starts = cuts[word], ends[word], first[word], text[word], starts[word]
+        if "Σ" in whole:  # the one letter whose small form depends on its place
+            points = np.frombuffer(_LETTERS.sub(_small_sigma, whole).encode("utf-32-le"), np.uint32)
+        up, down = _POWERS.upto(len(points))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes[points] * up[: len(points)], dtype=np.uint64)))
+        self.raw = _mixed((sums[ends] - sums[cuts]) * down[cuts])
+        num, cap = (first & _NUM) > 0, ((first & _CAP) > 0) & (ends - cuts > 1)
+        name, unit = cap & ~self.starts, np.zeros(len(num), bool)
+        if units:
+            after = np.flatnonzero(num[:-1] & (self.text[1:] == self.text[:-1])) + 1
+            unit[after] = np.isin(self.raw[after], _units())
         self.shape = self.raw.copy()
         for s, which in zip(_SLOTS, (num, name, unit), strict=True):
             self.shape[which] = s
@@ -62,23 +117,25 @@ class Words:
         return len(self.raw)
 
     def keys(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(places, hashes) of the windows of ``size`` words: as they stand, and as both templates.
+        """(places, hashes) of the windows of ``size`` words of a text: as they stand, and as both templates.
 
         Templates need enough literal words; windows of fewer than ``SHORT`` words
         stand between marks.
         """
-        raw = windows(self.raw, size) ^ np.uint64(size)
+        n = len(self) - size + 1
+        if n <= 0:
+            return
+        raw, inside = windows(self.raw, size) ^ np.uint64(size), self.text[:n] == self.text[size - 1 :]
         if size < SHORT:
-            ends = np.concatenate((self.starts[1:], [True])) if len(self) else self.starts
-            at = np.flatnonzero(self.starts[: len(raw)] & ends[size - 1 :]) if len(raw) else np.empty(0, np.int64)
+            ends = np.append(self.starts[1:], True)
+            at = np.flatnonzero(inside & self.starts[:n] & ends[size - 1 :])
             yield at, raw[at]
             return
-        yield np.arange(len(raw)), raw
-        if not len(raw):
-            return
+        at = np.flatnonzero(inside)
+        yield at, raw[at]
         for shape, slot in ((self.shape, self.slot), (self.open_shape, self.open_slot)):
             literal = np.concatenate(([0], np.cumsum(~slot)))
-            at = literal[size:] - literal[:-size] >= LITERALS
+            at = inside & (literal[size:] - literal[:-size] >= LITERALS)
             if shape is self.open_shape:  # only windows in which it is another template
                 other = np.concatenate(([0], np.cumsum(slot != self.slot)))
                 at &= other[size:] > other[:-size]
@@ -86,26 +143,6 @@ class Words:
             yield at, windows(shape, size)[at] ^ np.uint64(size << 8)
 
 
-class Reader:
-    """Makes ``Words`` of texts; tokens seen are remembered, within bounds."""
-
-    def __init__(self) -> None:
-        self.memo: dict[str, int] = {}
-
-    def _look(self, t: str) -> int:
-        """Hash of a token with its kind in the four low bits."""
-        low = t.lower()
-        kind = _NUM if t[0].isdigit() else _PUNCT if not t[0].isalpha() else _CAP * (t[0] != low[0] and len(t) > 1) | _UNIT * (low in UNITS)
-        got = self.memo[t] = xxhash.xxh64_intdigest(low) >> 4 << 4 | kind
-        return got
-
-    def __call__(self, text: str | None) -> Words:
-        if len(self.memo) > 300_000:
-            self.memo.clear()
-        memo, look = self.memo, self._look
-        return Words(np.array([memo.get(t) or look(t) for t in _TOKEN.findall(text or "")], np.uint64))
-
-
 class _Powers:
     """Powers of the base and of its inverse, as far as they have been needed."""
 
@@ -124,6 +161,11 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
 def windows(ids: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` ids, as differences of prefix sums."""
     n = len(ids) - size + 1
@@ -131,9 +173,7 @@ def windows(ids: np.ndarray, size: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     up, down = _POWERS.upto(len(ids))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(ids * up[: len(ids)], dtype=np.uint64)))
-    h = (sums[size:] - sums[:n]) * down[:n]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    return _mixed((sums[size:] - sums[:n]) * down[:n])
 
 
 def _hashed(df: DataFrame, text_col: str, a: str, b: str) -> DataFrame:
@@ -142,6 +182,19 @@ def _hashed(df: DataFrame, text_col: str, a: str, b: str) -> DataFrame:
     return df.withColumn(a, F.xxhash64(text)).withColumn(b, F.xxhash64(F.lit(1), text))
 
 
+def _whole() -> Column:
+    return F.coalesce(F.col("_text"), F.lit("")).alias("_text")
+
+
+def _together(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """``rows`` in parts of about ``TOGETHER`` characters of text."""
+    part = np.cumsum(rows["_text"].str.len().to_numpy(np.int64)) // TOGETHER
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(rows)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield rows.iloc[a:b]
+
+
 def item_windows(items: DataFrame) -> DataFrame:
     """A row for each window and template of ``i1, i2, _text``: ``key, i1, i2, n, q, own, slot``.
 
@@ -150,18 +203,17 @@ def item_windows(items: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        read = Reader()
         for b in batches:
             out = []
             for i1, i2, text in zip(b["i1"], b["i2"], b["_text"], strict=True):
-                words = read(text)
+                words = Words([text])
                 size = min(WINDOW, len(words))
                 if size:
                     found = {(int(k), int(q)) for at, keys in words.keys(size) for q, k in zip(at, keys.view(np.int64), strict=True)}
                     out += [(k, i1, i2, len(words), q, words.raw[q : q + size].view(np.int64), words.slot[q : q + size]) for k, q in sorted(found)]
             yield pd.DataFrame(out, columns=["key", "i1", "i2", "n", "q", "own", "slot"])
 
-    return items.select("i1", "i2", "_text").mapInPandas(run, "key long, i1 long, i2 long, n int, q int, own array<long>, slot array<boolean>")
+    return items.select("i1", "i2", _whole()).mapInPandas(run, "key long, i1 long, i2 long, n int, q int, own array<long>, slot array<boolean>")
 
 
 def _probes(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -195,13 +247,12 @@ def _text_windows(texts: DataFrame, found: DataFrame) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(key_filter(found))
 
     def run(batches):
-        read, (bits, flags) = Reader(), shared.value
+        bits, flags = shared.value
         for b in batches:
-            out = []
-            for k1, k2, text in zip(b["k1"], b["k2"], b["_text"], strict=True):
-                words = read(text)
+            for rows in _together(b):
+                words = Words(rows["_text"].tolist())
+                begins = np.searchsorted(words.text, np.arange(len(rows)))
                 for size in sizes:
-                    hits = set()
                     for at, keys in words.keys(size):
                         for p in _PROBES:  # most keys fall out at the first probe
                             spot = (keys * p) >> np.uint64(64 - bits)
@@ -209,11 +260,12 @@ def _text_windows(texts: DataFrame, found: DataFrame) -> DataFrame:
                             at, keys = at[there], keys[there]
                             if not len(keys):
                                 break
-                        hits.update(zip(keys.view(np.int64).tolist(), at.tolist(), strict=True))
-                    out += [(k1, k2, k, p, words.raw[p : p + size].view(np.int64)) for k, p in sorted(hits)]
-            yield pd.DataFrame(out, columns=["k1", "k2", "key", "p", "other"])
+                        else:
+                            text = words.text[at]
+                            other = words.raw.view(np.int64)[at[:, None] + np.arange(size)]
+                            yield pd.DataFrame({"k1": rows["k1"].to_numpy()[text], "k2": rows["k2"].to_numpy()[text], "key": keys.view(np.int64), "p": at - begins[text], "other": list(other)})
 
-    return texts.select("k1", "k2", "_text").mapInPandas(run, "k1 long, k2 long, key long, p int, other array<long>")
+    return texts.select("k1", "k2", _whole()).mapInPandas(run, "k1 long, k2 long, key long, p int, other array<long>")
 
 
 def _consistent(own: np.ndarray, other: np.ndarray, slot: np.ndarray) -> bool:
