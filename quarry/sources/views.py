@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STEP_M, TOP_M = 0.1524, 1000.0
+#: Samples of a task, about, where tables are dealt out by wells; a well is never cut.
+ROWS_EACH = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +28,19 @@ def stream(spark: SparkSession, path: str, columns: list[str] | None = None, **o
     return spark.readStream.schema(schema).options(**options).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+def by_wells(df: DataFrame) -> DataFrame:
+    """``df`` dealt out by its wells to as many tasks as its rows need, few rows as Spark deals them."""
+    tasks = -(-df.count() // ROWS_EACH)
+    return df if tasks <= 1 else df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism), "well")
+
+
 def with_depth(df: DataFrame, well: str, order: list[str]) -> DataFrame:
-    """Adds ``well, idx, depth``: the 0-based sample number under ``order`` and its depth."""
-    w = Window.partitionBy(well).orderBy(*order)
-    return df.withColumn("well", F.col(well)).withColumn("idx", F.row_number().over(w) - 1).withColumn("depth", F.lit(TOP_M) + F.lit(STEP_M) * F.col("idx"))
+    """Adds ``well, idx, depth``: the 0-based sample number under ``order`` and its depth.
+
+    Samples are numbered by ``well`` itself, so windows and groups of wells that follow move no row again.
+    """
+    w = Window.partitionBy("well").orderBy(*order)
+    return by_wells(df.withColumn("well", F.col(well))).withColumn("idx", F.row_number().over(w) - 1).withColumn("depth", F.lit(TOP_M) + F.lit(STEP_M) * F.col("idx"))
 
 
 def event_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
