@@ -89,3 +89,24 @@ def test_state_is_cleared(spark, tmp_path):
         q.awaitTermination()
     assert spark.read.parquet(f"{at}/out").count() == 5
     assert sum(o["numRowsTotal"] for o in q.lastProgress["stateOperators"]) <= 1  # the last row's own key
+
+
+def test_keys_share_calls_and_state(spark, tmp_path):
+    """4,000 keys are held in at most 64 rows of state, in three batches, with the rows of the whole table; keys keep their type."""
+    rng = random.Random(6)
+    rows = [(k if k else None, ZERO + timedelta(minutes=10 * i + rng.randrange(9)), i, rng.choice([None, 1.0, 6.1, 7.7, 8.3])) for k in range(4000) for i in range(6)]
+    rng.shuffle(rows)
+    last = [(2**60 + 1, ZERO + timedelta(minutes=110), 0, 1.0)]
+    at = f"{tmp_path}/d"
+    q = None
+    for part in (rows[:9000], rows[9000:], last):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        runs = threshold_runs(spark.readStream.schema(SCHEMA).parquet(f"{at}/in"), F.col("x") >= 5, "well", "seq", "x", buckets=64)
+        q = runs.writeStream.option("checkpointLocation", f"{at}/mark").trigger(availableNow=True).start(f"{at}/out")
+        q.awaitTermination()
+        assert sum(o["numRowsTotal"] for o in q.lastProgress["stateOperators"]) <= 64
+    out = spark.read.parquet(f"{at}/out")
+    assert out.schema["well"].dataType.simpleString() == "bigint"
+    got = sorted(((r["well"], r["start"].astimezone(timezone.utc), r["end"].astimezone(timezone.utc), r["n"], round(r["total"], 6)) for r in out.collect()), key=str)
+    want = brute(rows + last, ZERO + timedelta(minutes=50), timedelta(days=1))
+    assert got == want and len(want) > 50
