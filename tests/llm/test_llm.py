@@ -662,6 +662,28 @@ def test_levels_are_merged_like_a_binary_counter(spark, tmp_path, batches):
         assert all(a <= b for part in level.select("head").rdd.glom().map(lambda p: [r.head for r in p]).collect() for a, b in zip(part, part[1:]))
 
 
+def test_a_window_of_very_many_contexts_is_split_over_tasks(spark):
+    same = random.Random(5).randbytes(suffix_dedup.LENGTH)
+    data = [same + i.to_bytes(3) for i in range(8000)]
+    rows = [(1, 1, len(data), i, -i, 7, 200, 4, bytearray(d)) for i, d in enumerate(data)]
+    seen = Counter((p, d[p : p + suffix_dedup.LENGTH]) for d in data for p in range(4))
+    want = sorted((i, -i, 7 + p, 7 + p + suffix_dedup.LENGTH) for i, d in enumerate(data) for p in range(4) if seen[p, d[p : p + suffix_dedup.LENGTH]] > 1)
+    adaptive = "spark.sql.adaptive."
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.sql.autoBroadcastJoinThreshold": "-1", f"{adaptive}advisoryPartitionSizeInBytes": "16k", f"{adaptive}skewJoin.skewedPartitionThresholdInBytes": "16k", f"{adaptive}skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        contexts = spark.createDataFrame(rows, "gram long, n long, kinds long, k1 long, k2 long, first int, offset int, starts int, bytes binary").repartition(16)
+        got = suffix_dedup._resolve_hot(contexts).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(tuple(r)[:4] for r in got) == want
+    first = Counter(r.task for r in got if r.begin == 7)  # the window that all contexts have
+    assert sum(first.values()) == len(data) and max(first.values()) < len(data) / 2
+
+
 def test_repeats_awkward(awkward, none):
     assert suffix_dedup.remove_repeats(awkward).count() == 10 and suffix_dedup.remove_repeats(none).count() == 0
 
