@@ -773,5 +773,5 @@ def rf_lithology(spark, sf_dir):
     cols = ["gr_mean", "gr_std", "rt_mean", "den_mean", "cnl_mean", "gr_slope", "thickness", "rt_den"]
     label = F.when(F.col("gr_mean") < 20, 0.0).when(F.col("gr_mean") < 28, 1.0).otherwise(2.0)
     data = written(w.withColumn("label", label), "lithology-windows")  # fitting reads them several times
-    model = ml.train_lithology(data.where("well % 2 = 0"), cols, trees=20, depth=6)
+    model = ml.train_lithology(data.where("well % 2 = 0"), cols)
     return ml.predict_lithology(model, data.where("well % 2 = 1"), cols).groupBy("label", "class_id").agg(F.count("*").alias("n"))

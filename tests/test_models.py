@@ -136,6 +136,21 @@ def test_log_analyzer(spark):
     assert [r.confidence for r in models.well_log_analyzer(rules | {"analysis_type": "fluid_identification"}, {"curve": ctx["curve"].drop("rt")}).collect()] == [0.65]
 
 
+def test_rf_lithology_fits_the_whole_forest(spark, monkeypatch):
+    """The query's forest has the trees and the depth of the surveyed system, and every window of the odd wells is judged by it."""
+    from quarry.operators import curves
+    from quarry.plans.queries import rf_lithology
+    from quarry.sources import views
+
+    made, train = [], ml.train_lithology
+    monkeypatch.setattr(ml, "train_lithology", lambda *a, **k: made.append(train(*a, **k)) or made[-1])
+    sf = "/root/testdata/sf0.001"
+    judged = sum(r.n for r in rf_lithology(spark, sf).collect())
+    (forest,) = made
+    assert forest.getNumTrees == 100 and forest.getMaxDepth() == 10
+    assert judged == curves.sliding_features(views.line_curve(spark, sf)).where("well % 2 = 1").count()
+
+
 def test_learned_lithology(spark, tmp_path):
     model = ml.LithologyModel.train(ml.training_samples(spark, 200), trees=30)
     fresh = ml.training_samples(spark, 100, seed=7)
