@@ -155,3 +155,32 @@ def test_findings_dealt_over_partitions(spark, model, monkeypatch):
     monkeypatch.setattr(pii, "FIT_ROWS", 300)
     dealt = pii.train(spark.read.parquet(f"{SF}/documents.parquet"))
     assert dealt.thresholds.keys() == model.thresholds.keys() and all(t <= 1 for t in dealt.thresholds.values())
+
+
+def test_gates_lose_no_proposal(spark, monkeypatch):
+    """What the generators propose in a text is the same when every pattern is tried on every text."""
+    rng = random.Random(5)
+    pieces = ["anna", " at ", " AT\n", "\tat ", "b.de", "acme", ".", " . ", " dot ", " [dot] ", " [at] ", "{ at }", "<@>", " @ ", "@", "x_y", "4111 1111 1111 1111", "10.0.0.1", "fe80::1", "a:b:c:d:e:f:a:b", "(843) 555-7672", "+12345678", " ", "é"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 10))) for _ in range(2000)]
+    docs = spark.createDataFrame([*enumerate(texts), (-1, "write to anna at example.com today"), (-2, "anna at example . com")], "id long, _t string")
+    props = lambda: {r["id"]: [(p["kind"], p["start"], p["end"]) for p in r["p"]] for r in pii._with_proposals(docs, "_t").selectExpr("id", "transform(_props, p -> struct(p.kind, p.start, p.end)) AS p").collect()}
+    gated = props()
+    assert gated[-1] == [("email", 9, 28)] and gated[-2] == [("email", 0, 21)]
+    monkeypatch.setattr(pii, "_GATE", dict.fromkeys(pii.KINDS, ""))
+    assert gated == props()
+
+
+def test_plain_at_before_an_address(spark, model):
+    """A plain "at" before a disguised address is no part of it, and one that marks an address is found without other marks."""
+    texts = ["mail me at john.smith [at] example [dot] com now", "write to anna at example.com today", "mail us at info_x.y @ acme.org", "look at house.Then we"]
+    got = spans_of(spark, model, texts)
+    assert [[(k, texts[i][a:b]) for k, a, b, _ in got[i]] for i in range(4)] == [[("email", "john.smith [at] example [dot] com")], [("email", "anna at example.com")], [("email", "info_x.y @ acme.org")], []]
+
+
+def test_long_texts_of_marks(spark, model):
+    """Time stays linear where marks of addresses repeat."""
+    n = 20_000
+    texts = ["x at " * n, "x at " + "a dot " * n, "x at " + "a dot " * n + "b@c.dd", "a at b.c " * n, "x at a.b_ " * n, "x at a.b" + "_%" * n, "a at b.c [at] " * n, "at dot " * n]
+    began = time.time()
+    assert len(spans_of(spark, model, texts)) == len(texts)
+    assert time.time() - began < 60
